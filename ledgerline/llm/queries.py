@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, kd_shards, poisson_mix, quality, secret_scan, topk, url_filter
+from . import bpe, exact_dedup, fuzzy_lines, kd_shards, ngram_join, poisson_mix, quality, secret_scan, topk, url_filter
 
 QUERIES = {
+    "op1_fuzzy_lines": fuzzy_lines.query,
     "op2_url_filter": url_filter.query,
     "op3_kd_shards": kd_shards.query,
     "op4_byte_bpe": bpe.query,
@@ -13,5 +14,6 @@ QUERIES = {
     "op7_secret_scan": secret_scan.query,
     "op8_quality": quality.query,
     "op9_poisson_mix": poisson_mix.query,
+    "op10_ngram_join": ngram_join.query,
 }
 SQL = {"op5_exact_dedup": exact_dedup.SQL, "op6_top_k": topk.SQL, "op9_poisson_mix": poisson_mix.SQL}
