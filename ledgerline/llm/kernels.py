@@ -69,27 +69,35 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes, wherever they lie: a polynomial of the bytes, shifted back by the place, with the length."""
+    size = 1 << max(16, int(len(buf)).bit_length())
+    up, down = _powers(size) if size <= 1 << 21 else _powers.__wrapped__(size)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, dtype=U), np.cumsum(_letters()[buf] * up[: len(buf)], dtype=U)))
+        return mix(((total[end] - total[start]) * down[start]) ^ ((end - start).astype(U) * _GOLD))
+
+
+def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of bytes that aren't ASCII white space begin and end."""
+    word = ~SPACE[buf]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
+    return edge[0::2], edge[1::2]
 
 
 def _words(data: bytes, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Start positions and hashes of the words of lower-cased bytes, or of the words' first ``head`` bytes."""
     buf = np.frombuffer(data, dtype=np.uint8)
-    word = ~_SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
-    start, end = edge[0::2], edge[1::2]
+    start, end = word_spans(buf)
     if head:
         end = np.minimum(end, start + head)
     if not len(start):
         return start, np.zeros(0, dtype=U)
-    size = 1 << max(16, int(len(buf)).bit_length())
-    up, down = _powers(size) if size <= 1 << 21 else _powers.__wrapped__(size)
-    with np.errstate(over="ignore"):
-        total = np.cumsum(_letters()[buf] * up[: len(buf)], dtype=U)
-        before = np.where(start > 0, total[start - 1], U(0))
-        own = (total[end - 1] - before) * down[start]
-        return start, mix(own ^ ((end - start).astype(U) * _GOLD))
+    return start, span_hashes(buf, start, end)
 
 
 def word_hashes(docs: list[bytes], head: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +107,7 @@ def word_hashes(docs: list[bytes], head: int = 0) -> tuple[np.ndarray, np.ndarra
         data, parts, at = lowered[0], [], 0
         while at < len(data):
             to = min(len(data), at + SLICE)
-            while to < len(data) and not _SPACE[data[to]]:
+            while to < len(data) and not SPACE[data[to]]:
                 to += 1
             parts.append(_words(data[at:to], head)[1])
             at = to

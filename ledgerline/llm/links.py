@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Forest, least_labels, shared
+from .kernels import Forest, least_labels, raw, shared
 from .tables import Tables
 
 EDGES_A_TASK = 1_000_000
+FINISH = 1_000_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,12 +40,15 @@ def components(edges: DataFrame, tables: Tables, name: str, rounds: int = 40) ->
     Partitions first replace their edges by spanning forests, without a shuffle. Then alternating star rounds run until nothing changes: each
     node's neighbours are hung on the least of them, first the larger ones, then the smaller ones. Minima are combined before the shuffle; the
     joins have both sides shuffled by the join itself, so that a hub with a large share of all edges is split at run time. Every round is a
-    written table: a lost executor costs a round at most.
+    written table: a lost executor costs a round at most. Up to ``FINISH`` edges, counted beforehand, are finished in one task instead (16 bytes each).
     """
     edges = tables.save(
         edges.select("a", "b").filter("a <> b").mapInArrow(_forest, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         f"{name}-0",
     )
+    if edges.count() <= FINISH:
+        edges = tables.save(edges.repartition(1).mapInArrow(_forest, "a long, b long"), f"{name}-whole")
+        rounds = 0
     for k in range(1, rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = tables.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-{k}-least")
@@ -63,7 +67,8 @@ def components(edges: DataFrame, tables: Tables, name: str, rounds: int = 40) ->
         if done:
             break
     else:
-        raise RuntimeError("components did not settle")
+        if rounds:
+            raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
@@ -161,14 +166,14 @@ def _bits(sets: list[np.ndarray]) -> int:
     return min(1 << 16, max(256, 1 << (4 * max(map(len, sets))).bit_length()))
 
 
-def _join_units(percent: int) -> Callable:
+def _join_units(percent: int, expand: Callable[[list[bytes]], list[np.ndarray]]) -> Callable:
     """For one task: links of a unit with itself, or between two units. Sets known to be connected aren't compared."""
 
     def run(key, group):
         side = group.column("side").to_numpy()
         ids = group.column("id").to_numpy()
         label = group.column("label").to_numpy()
-        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in group.column("values").combine_chunks()]
+        sets = expand(raw(group.column("data")))
         _, known = np.unique(label, return_inverse=True)
         first = {}
         forest, links = Forest(len(ids)), []
@@ -192,20 +197,30 @@ def _join_units(percent: int) -> Callable:
     return run
 
 
-def set_links(members: DataFrame, percent: int, tables: Tables, name: str) -> DataFrame:
-    """node, label of all sets that have a link within their group; members: group, id (long, unique), n, values (binary of sorted uint64).
+def set_links(
+    sizes: DataFrame,
+    read: Callable[[DataFrame], DataFrame],
+    expand: Callable[[list[bytes]], list[np.ndarray]],
+    percent: int,
+    tables: Tables,
+    name: str,
+) -> DataFrame:
+    """node, label of all sets that have a link within their group.
+
+    ``sizes``: group, id (long, unique), n (the set's size); ``read`` gives id and data (binary) for the ids of a table, and perhaps more rows; ``expand``
+    makes sorted sets of hashes from data. Texts travel rather than sets: they are smaller.
 
     A unit holds sets of one group and of one class of sizes (similar sets lie in the same or in neighbouring classes), dealt by a hash of the id when
     there are many. Groups that fit one unit are done after the first round. For larger ones, components so far are carried into a round that joins each
     unit with the first of its class and of the next one, and then into a last round over the pairs of units which hold more than one
     component between them. So a group of copies, however large, is connected by few comparisons, and yet no pair is skipped that may be a link.
     """
-    step = np.log(100 / percent)
-    members = members.withColumn("size_class", F.floor(F.log("n") / F.lit(float(step)) + 1e-9).cast("int"))
-    whole = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("values_in"))
+    step = float(np.log(100 / percent))
+    sizes = sizes.withColumn("size_class", F.floor(F.log("n") / F.lit(step) + 1e-9).cast("int"))
+    whole = sizes.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("values_in"))
     small = (F.col("sets") <= UNIT_SETS) & (F.col("values_in") <= UNIT_VALUES)
     classes = (
-        members.groupBy("group", "size_class")
+        sizes.groupBy("group", "size_class")
         .agg(F.count("*").alias("c"), F.sum("n").alias("v"))
         .join(whole, "group")
         .select(
@@ -215,23 +230,22 @@ def set_links(members: DataFrame, percent: int, tables: Tables, name: str) -> Da
         )
     )
     classes = tables.save(classes, f"{name}-classes")
-    dealt = members.join(classes, ["group", "size_class"])
     unit_of = F.when(F.col("deals") == 0, F.struct("group", F.lit(-1).alias("class"), F.lit(0).alias("deal"))).otherwise(
         F.struct("group", F.col("size_class").alias("class"), F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "deals")).cast("int").alias("deal"))
     )
-    dealt = tables.save(dealt.select(unit_of.alias("unit"), "id", "values"), f"{name}-dealt")
+    units = tables.save(sizes.join(classes, ["group", "size_class"]).select(unit_of.alias("unit"), "id"), f"{name}-units")
+    join, task = _join_units(percent, expand), "a long, b long"
+    first = units.join(read(units), "id").select("unit", F.lit(0).alias("side"), "id", F.col("id").alias("label"), "data")
+    links = tables.save(first.groupBy("unit").applyInArrow(join, task), f"{name}-links-0")
     large = classes.filter("deals > 0")
-    task = "a long, b long"
-    first = dealt.select("unit", F.lit(0).alias("side"), "id", F.col("id").alias("label"), "values")
-    links = tables.save(first.groupBy("unit").applyInArrow(_join_units(percent), task), f"{name}-links-0")
     if large.isEmpty():
         return components(links, tables, f"{name}-cc")
+    tables.free()
     pairs = _unit_pairs(large)
     for k, some in enumerate((pairs.filter("hub"), pairs), 1):
         label = tables.save(components(links, tables, f"{name}-cc-{k}"), f"{name}-labels-{k}")
         labelled = (
-            dealt.filter("unit.class >= 0")
-            .select("unit", "id")
+            units.filter("unit.class >= 0")
             .join(label.withColumnRenamed("node", "id"), "id", "left")
             .select("unit", "id", F.coalesce("label", "id").alias("label"))
         )
@@ -244,9 +258,10 @@ def set_links(members: DataFrame, percent: int, tables: Tables, name: str) -> Da
             to = mixed.select(F.col("x").alias("unit"), "x", "y", F.lit(0).alias("side")).unionByName(
                 mixed.select(F.col("y").alias("unit"), "x", "y", F.lit(1).alias("side"))
             )
-            rows = to.join(dealt, "unit").join(labelled.select("id", "label"), "id").select("x", "y", "side", "id", "label", "values")
-            more = tables.save(rows.groupBy("x", "y").applyInArrow(_join_units(percent), task), f"{name}-links-{k}")
-            links = links.unionByName(more)
+            rows = tables.save(to.join(labelled, "unit").select("x", "y", "side", "id", "label"), f"{name}-sides-{k}")
+            more = rows.join(read(rows.select("id").distinct()), "id").groupBy("x", "y").applyInArrow(join, task)
+            links = links.unionByName(tables.save(more, f"{name}-links-{k}"))
+            tables.free()
     return components(links, tables, f"{name}-cc")
 
 
@@ -301,13 +316,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packed_entries(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parts: int, percent: int) -> pa.RecordBatch:
-    """The entries of a slice, a row for each part that has any; equal entries once."""
-    order = np.lexsort((ids, keys))
+    """The entries of a slice, a row for each part that has any."""
+    order = np.argsort(keys)
     keys, ids, sizes = keys[order], ids[order], sizes[order]
-    if len(keys):
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-        keys, ids, sizes = keys[new], ids[new], sizes[new]
     part = ((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)  # a range of the keys: the order above holds within each
     part = part.astype(np.int64)
     cuts = np.flatnonzero(np.diff(part)) + 1

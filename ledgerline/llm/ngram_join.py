@@ -10,7 +10,8 @@ A document's set is its distinct 5-word shingles (64-bit hashes). Documents of e
    reaches two leaves is compared exactly. Sets that are connected already aren't compared again.
 3. The links' components, again by union-find, give each document the smallest id that it reaches.
 
-Texts are read three times (sets, first quarters, sets of grouped documents), in slices of 1 MB, and shuffled only for documents that are in a group.
+Texts are read once for each step (sets, first quarters, texts of grouped documents, and again for large groups), in slices of 1 MB, and only
+texts of documents in a group are shuffled.
 
 Defined results: words are maximal runs without 0x20, 0x09 to 0x0D, after lower-casing A-Z; a text with one to four words has one shingle, all of them; null,
 empty and blank texts have an empty set and link with nothing (not even with each other). A row with a null id is returned with the smallest id of
@@ -20,6 +21,7 @@ its component, or null; rows that repeat are each returned. Shingles are equal w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -108,12 +110,12 @@ def _entries(sent, width: int, percent: int, parts: int):
         order = Order(sent.value)
         for _, texts in slices(batches, "text"):
             keys, ids, sizes = [], [], []
-            for values in shingle_sets(texts, width):
-                if len(values):
-                    own = np.sort(order.keys(values))[: _quarter(len(values), percent)]
-                    keys.append(own)
-                    ids.append(np.full(len(own), set_print(values)[0]))
-                    sizes.append(np.full(len(own), len(values)))
+            distinct = {set_print(s)[0]: s for s in shingle_sets(texts, width) if len(s)}
+            for name, values in distinct.items():
+                own = np.sort(order.keys(values))[: _quarter(len(values), percent)]
+                keys.append(own)
+                ids.append(np.full(len(own), name))
+                sizes.append(np.full(len(own), len(values)))
             if keys:
                 # frequent values lie in the upper half of the keys: the parts are ranges of a hash of the key, not of the key
                 key = _scatter(np.concatenate(keys))
@@ -128,15 +130,11 @@ def _scatter(keys: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(32))
 
 
-def _members(width: int, bitmap: np.ndarray):
+def _near(bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            near = batch.filter(pa.array(passes(bitmap, ids)))
-            for part, texts in slices(iter((near,)), "text"):
-                sets = shingle_sets(texts, width)
-                columns = [part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.record_batch(columns, names=["doc_id", "values"])
+            near = batch.filter(pa.array(passes(bitmap, batch.column("id").to_numpy(zero_copy_only=False))))
+            yield pa.record_batch([near.column("id"), near.column("text").cast(pa.binary())], names=["id", "data"])
 
     return run
 
@@ -159,11 +157,14 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     edges = tables.save(shared_key_edges(entries, tasks), "edges")
     groups = tables.save(components(edges, tables, "groups"), "groups").withColumnsRenamed({"node": "print", "label": "group"})
     grouped = tables.save(reps.filter("id is not null").join(groups, "print").select("id", "n", "group"), "grouped")
-    bitmap = sieve(grouped, "id")
-    read = own.filter("doc_id is not null").mapInArrow(_members(width, bitmap), "doc_id long, values binary")
-    members = read.withColumnRenamed("doc_id", "id").join(grouped, "id").select("group", "id", "n", "values")
-    members = tables.save(members.dropDuplicates(["id"]) if _repeats(sets) else members, "members")
-    labels = tables.save(set_links(members, percent, tables, "links"), "labels")
+    tables.free()
+    texts = own.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    once = texts.dropDuplicates(["id"]) if _repeats(sets) else texts
+
+    def read(ids: DataFrame) -> DataFrame:
+        return once.mapInArrow(_near(sieve(ids, "id")), "id long, data binary")
+
+    labels = tables.save(set_links(grouped, read, partial(shingle_sets, width=width), percent, tables, "links"), "labels")
     named = reps.join(labels.withColumnRenamed("node", "id"), "id", "left").select("print", "check", F.coalesce("label", "id").alias("component_id"))
     # only sets that several rows share or that have a link differ from "the document itself"
     copies = sets.filter("n > 0").groupBy("print", "check").agg(F.count("*").alias("rows"))

@@ -6,6 +6,7 @@ so that the planner's choice between a broadcast and a shuffle rests on the byte
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,11 @@ class Tables:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
 
+    def free(self) -> None:
+        """Has the context cleaner remove the shuffle files of jobs that are over, which it does once the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
