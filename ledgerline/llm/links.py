@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,37 +167,91 @@ def _bits(sets: list[np.ndarray]) -> int:
     return min(1 << 16, max(256, 1 << (4 * max(map(len, sets))).bit_length()))
 
 
+def _pairs(x: list[np.ndarray], y: list[np.ndarray], same: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Candidate pairs of two lists of sets. Lists that one node holds are compared by size alone, larger ones through signature trees."""
+    if max(len(x), len(y)) <= FAN:
+        for i, a in enumerate(x):
+            for j in range(i + 1 if same else 0, len(y)):
+                if 100 * len(a) >= percent * len(y[j]) and 100 * len(y[j]) >= percent * len(a):
+                    yield i, j
+        return
+    bits = _bits(x + y)
+    left = SignatureTree(x, bits)
+    right = left if same else SignatureTree(y, bits)
+    for i, j in dual_traversal(left, right, percent):
+        yield left.order[i], right.order[j]
+
+
+def _unit_links(ids: list[int], side: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a unit with itself (all sides 0), or between two units. Sets known to be connected aren't compared."""
+    _, known = np.unique(label, return_inverse=True)
+    forest, links, first = Forest(len(ids)), [], {}
+    for i, k in enumerate(known.tolist()):
+        forest.join(first.setdefault(k, i), i)
+    if len(first) > 1:
+        left, right = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
+        same = not right
+        right = right or left
+        for i, j in _pairs([sets[i] for i in left], [sets[j] for j in right], same, percent):
+            a, b = left[i], right[j]
+            if forest.find(a) != forest.find(b):
+                common = shared(sets[a], sets[b])
+                if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                    forest.join(a, b)
+                    links.append((ids[a], ids[b]))
+    return links
+
+
 def _join_units(percent: int, expand: Callable[[list[bytes]], list[np.ndarray]]) -> Callable:
-    """For one task: links of a unit with itself, or between two units. Sets known to be connected aren't compared."""
-
-    def run(key, group):
-        side = group.column("side").to_numpy()
-        ids = group.column("id").to_numpy()
-        label = group.column("label").to_numpy()
-        sets = expand(raw(group.column("data")))
-        _, known = np.unique(label, return_inverse=True)
-        first = {}
-        forest, links = Forest(len(ids)), []
-        for i, k in enumerate(known.tolist()):
-            forest.join(first.setdefault(k, i), i)
-        if len(first) > 1:
-            bits = _bits(sets)
-            places = [np.flatnonzero(side == s) for s in (0, 1)]
-            trees = [SignatureTree([sets[i] for i in p], bits) for p in places if len(p)]
-            x, y = trees[0], trees[-1]
-            at_x, at_y = places[0] if len(places[0]) else places[1], places[1] if len(places[1]) else places[0]
-            for i, j in dual_traversal(x, y, percent):
-                a, b = int(at_x[x.order[i]]), int(at_y[y.order[j]])
-                if forest.find(a) != forest.find(b):
-                    common = shared(x.sets[i], y.sets[j])
-                    if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
-                        forest.join(a, b)
-                        links.append((ids[a], ids[b]))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+    """For one task, whose rows are sorted by unit: the links of one unit (or pair of units) after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_units(batches):
+            unit = rows.column("unit").to_numpy()
+            ids, side, label = rows.column("id").to_pylist(), rows.column("side").to_numpy(), rows.column("label").to_numpy()
+            sets = expand(raw(rows.column("data")))
+            cuts = np.flatnonzero(np.diff(unit)) + 1
+            links: list[tuple[int, int]] = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)], strict=True):
+                if b - a > 1:
+                    links += _unit_links(ids[a:b], side[a:b], label[a:b], sets[a:b], percent)
+            columns = [pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)]
+            yield pa.record_batch(columns, names=["a", "b"])
 
     return run
 
 
+def _whole_units(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[pa.Table]:
+    """Sorted rows again, in runs that hold whole units and about ``limit`` bytes of data, or one larger unit."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        unit = batch.column("unit").to_numpy()
+        lengths = np.cumsum(pc.binary_length(batch.column("data")).to_numpy())
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(unit)) + 1)).tolist() if len(unit) else []
+        last = held[-1].column("unit")[-1].as_py() if held else None
+        begin = 0
+        for at in starts:
+            fresh = at > 0 or unit[0] != last
+            here = int(lengths[at - 1]) - (int(lengths[begin - 1]) if begin else 0) if at else 0
+            if fresh and (held or at > begin) and size + here > limit:
+                if at > begin:
+                    held.append(batch.slice(begin, at - begin))
+                yield pa.Table.from_batches(held)
+                held, size, begin = [], 0, at
+        if batch.num_rows > begin:
+            held.append(batch.slice(begin))
+            size += int(lengths[-1]) - (int(lengths[begin - 1]) if begin else 0)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _linked(rows: DataFrame, join: Callable) -> DataFrame:
+    """Links of rows (unit, side, id, label, data), whose units meet in one task each, sorted."""
+    own = rows.select(F.xxhash64("unit").alias("unit"), "side", "id", "label", "data")
+    return own.repartition("unit").sortWithinPartitions("unit").mapInArrow(join, "a long, b long")
+
+
 def set_links(
     sizes: DataFrame,
     read: Callable[[DataFrame], DataFrame],
@@ -234,9 +289,9 @@ def set_links(
         F.struct("group", F.col("size_class").alias("class"), F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "deals")).cast("int").alias("deal"))
     )
     units = tables.save(sizes.join(classes, ["group", "size_class"]).select(unit_of.alias("unit"), "id"), f"{name}-units")
-    join, task = _join_units(percent, expand), "a long, b long"
+    join = _join_units(percent, expand)
     first = units.join(read(units), "id").select("unit", F.lit(0).alias("side"), "id", F.col("id").alias("label"), "data")
-    links = tables.save(first.groupBy("unit").applyInArrow(join, task), f"{name}-links-0")
+    links = tables.save(_linked(first, join), f"{name}-links-0")
     large = classes.filter("deals > 0")
     if large.isEmpty():
         return components(links, tables, f"{name}-cc")
@@ -258,9 +313,9 @@ def set_links(
             to = mixed.select(F.col("x").alias("unit"), "x", "y", F.lit(0).alias("side")).unionByName(
                 mixed.select(F.col("y").alias("unit"), "x", "y", F.lit(1).alias("side"))
             )
-            rows = tables.save(to.join(labelled, "unit").select("x", "y", "side", "id", "label"), f"{name}-sides-{k}")
-            more = rows.join(read(rows.select("id").distinct()), "id").groupBy("x", "y").applyInArrow(join, task)
-            links = links.unionByName(tables.save(more, f"{name}-links-{k}"))
+            rows = tables.save(to.join(labelled, "unit").select(F.struct("x", "y").alias("unit"), "side", "id", "label"), f"{name}-sides-{k}")
+            more = rows.join(read(rows.select("id").distinct()), "id")
+            links = links.unionByName(tables.save(_linked(more, join), f"{name}-links-{k}"))
             tables.free()
     return components(links, tables, f"{name}-cc")
 

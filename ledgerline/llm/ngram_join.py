@@ -3,7 +3,8 @@
 A document's set is its distinct 5-word shingles (64-bit hashes). Documents of equal sets share one representative. The join runs in three steps.
 
 1. Which sets can be similar at all: two sets with a similarity of 0.75 share a value among the first quarter of each in any common order. The order puts
-   shingles that many documents of a batch have last (at most ``COMMON`` of them, counted over all documents), and the rest by hash. Sets that share such
+   the shingles that most documents have last (at most ``COMMON`` of them; every task counts all its shingles, and any it sees twice is added
+   up over all tasks), and the rest by hash. Any common order is right; this one keeps passages that many documents share from joining them. Sets that share such
    a value are connected into groups by a distributed union-find; documents outside every group have no link.
 2. Within a group, sets lie in units of bounded size, each under a signature tree: nodes hold the OR of their sets' bitmaps and their range of sizes.
    Trees are joined by dual traversal; a pair of nodes is left out when the largest overlap that bitmaps and sizes allow falls short. What
@@ -34,40 +35,46 @@ from .sieve import passes, sieve
 from .tables import Tables, only, table
 
 WIDTH, PERCENT = 5, 75
-COMMON = 65_536
-#: Candidates for common shingles: those that this share of a slice's distinct sets has (and four of them at least).
-OFTEN = 1 / 64
+COMMON = 1 << 19
+#: Values of distinct sets that a task gathers before it counts which of them occur twice.
+GATHER = 4_000_000
 ENTRIES_A_TASK = 1_500_000
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: dict[tuple[int, int], np.ndarray] = {}
+        size = 0
         for part, texts in slices(batches, "text"):
             sets = shingle_sets(texts, width)
             prints = [set_print(s) for s in sets]
-            rows = part.num_rows
-            distinct = {p: s for p, s in zip(prints, sets, strict=True) if len(s)}
-            often = np.zeros(0, dtype=U)
-            counts = np.zeros(0, dtype=np.int64)
-            if distinct:
-                often, counts = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                some = counts >= max(4, OFTEN * len(distinct))
-                often, counts = often[some], counts[some]
-            yield pa.record_batch(
-                [
-                    part.column("doc_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([p[0] for p in prints], pa.int64()),
-                    pa.array([p[1] for p in prints], pa.int64()),
-                    pa.array([often.tobytes()] + [None] * (rows - 1), pa.binary()),
-                    pa.array([counts.tobytes()] + [None] * (rows - 1), pa.binary()),
-                ],
-                names=["doc_id", "n", "print", "check", "often", "counts"],
-            )
+            for p, s in zip(prints, sets, strict=True):
+                if len(s) and p not in gathered:
+                    gathered[p] = s
+                    size += len(s)
+            columns = [[len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints]]
+            nothing = pa.nulls(part.num_rows, pa.binary())
+            yield pa.record_batch([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), nothing, nothing], names=_SETS)
+            if size > GATHER:
+                yield _often(gathered)
+                gathered, size = {}, 0
+        if gathered:
+            yield _often(gathered)
 
     return run
 
 
+_SETS = ["doc_id", "n", "print", "check", "often", "counts"]
+
+
+def _often(sets: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    """A row with the values that several of these sets have, and with how many have them."""
+    values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    some = counts > 1
+    packed = [pa.array([x[some].astype(k).tobytes()], pa.binary()) for x, k in ((values, U), (counts, np.int64))]
+    return pa.record_batch([*(pa.nulls(1, pa.int64()) for _ in range(4)), *packed], names=_SETS)
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for often, counts in zip(batch.column("often"), batch.column("counts"), strict=True):
@@ -89,14 +96,17 @@ class Order:
     def __init__(self, frequent: np.ndarray):
         at = np.argsort(frequent)
         self.values, self.ranks = frequent[at], at.astype(U)
+        self.near = np.zeros(1 << 23, dtype=bool)  # which low bits the frequent values have: a cheap first test
+        self.near[(frequent & U((1 << 23) - 1)).astype(np.int64)] = True
 
     def keys(self, values: np.ndarray) -> np.ndarray:
         out = values >> U(1)
-        if len(self.values):
-            at = np.searchsorted(self.values, values)
+        some = np.flatnonzero(self.near[(values & U((1 << 23) - 1)).astype(np.int64)])
+        if len(some):
+            at = np.searchsorted(self.values, values[some])
             at[at == len(self.values)] = 0
-            hit = self.values[at] == values
-            out[hit] = (U(1) << U(63)) | (self.ranks[at[hit]] << U(40))
+            hit = self.values[at] == values[some]
+            out[some[hit]] = (U(1) << U(63)) | (self.ranks[at[hit]] << U(40))
         return out
 
 
@@ -146,7 +156,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "doc_id long, n long, print long, check long, often binary, counts binary"
     found = tables.save(own.mapInArrow(_sets(width), kinds), "sets")
-    sets = found.select("doc_id", "n", "print", "check")
+    sets = found.filter("n is not null").select("doc_id", "n", "print", "check")
     # one representative for equal sets: the smallest id; its id is the name of the set from here on
     reps = tables.save(sets.filter("n > 0").groupBy("print", "check").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")), "reps")
     size = reps.agg(F.sum("n").alias("values")).first()["values"] or 0
