@@ -117,8 +117,9 @@ def _possible(x, i: np.ndarray, y, j: np.ndarray, crowd: int, leaf: bool, percen
     (maps_x, low_x, high_x), (maps_y, low_y, high_y) = x, y
     keep = (100 * high_x[i] >= percent * low_y[j]) & (100 * high_y[j] >= percent * low_x[i])
     need = _need(low_x[i], low_y[j], percent)
-    for at in range(0, len(i), 4096):
-        part = slice(at, at + 4096)
+    rows = max(1, (1 << 18) // maps_x.shape[1])  # about 2 MB of bitmaps at a time
+    for at in range(0, len(i), rows):
+        part = slice(at, at + rows)
         a, b = maps_x[i[part]], maps_y[j[part]]
         if leaf:  # a bit that only one of the sets has stands for a value that the other one hasn't
             most = np.minimum(
@@ -362,7 +363,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     key, id_, size = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
     del keys, ids, sizes
-    order = np.lexsort((size, key))
+    order = np.argsort(key) if size.min() == size.max() else np.lexsort((size, key))
     key, id_, size = key[order], id_[order], size[order]
     near = (key[1:] == key[:-1]) & (id_[1:] != id_[:-1]) & (100 * size[:-1] >= percent * size[1:])
     nodes, label = least_labels(id_[:-1][near], id_[1:][near])
@@ -372,10 +373,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed_entries(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parts: int, percent: int) -> pa.RecordBatch:
     """The entries of a slice, a row for each part that has any."""
-    order = np.argsort(keys)
-    keys, ids, sizes = keys[order], ids[order], sizes[order]
-    part = ((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)  # a range of the keys: the order above holds within each
-    part = part.astype(np.int64)
+    part = (((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    part, keys, ids, sizes = part[order].astype(np.int64), keys[order], ids[order], sizes[order]
     cuts = np.flatnonzero(np.diff(part)) + 1
     begins, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(part)]))
     full = begins < ends

@@ -25,11 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Has Spark hand long texts to Python in batches of 8 MB rather than 64: that bounds what a worker holds at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864b").rstrip("b")) != most:
+        spark.conf.set(key, f"{most}b")
+
+
 class Tables:
     """The intermediate tables of one operator call; ``drop`` frees those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -51,6 +59,7 @@ class Tables:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
