@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Forest, least_labels, raw, shared
+from .kernels import SLICE, Forest, least_labels, raw, shared
 from .tables import Tables
 
 EDGES_A_TASK = 1_000_000
@@ -210,7 +210,7 @@ def _join_units(percent: int, expand: Callable[[list[bytes]], list[np.ndarray]])
         for rows in _whole_units(batches):
             unit = rows.column("unit").to_numpy()
             ids, side, label = rows.column("id").to_pylist(), rows.column("side").to_numpy(), rows.column("label").to_numpy()
-            sets = expand(raw(rows.column("data")))
+            sets = _expanded(raw(rows.column("data")), expand)
             cuts = np.flatnonzero(np.diff(unit)) + 1
             links: list[tuple[int, int]] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)], strict=True):
@@ -222,6 +222,18 @@ def _join_units(percent: int, expand: Callable[[list[bytes]], list[np.ndarray]])
     return run
 
 
+def _expanded(data: list[bytes], expand: Callable[[list[bytes]], list[np.ndarray]]) -> list[np.ndarray]:
+    """The sets of all data, made from about a slice of it at a time."""
+    out: list[np.ndarray] = []
+    begin = size = 0
+    for i, x in enumerate(data):
+        if size and size + len(x) > SLICE:
+            out += expand(data[begin:i])
+            begin, size = i, 0
+        size += len(x)
+    return out + expand(data[begin:]) if begin < len(data) else out
+
+
 def _whole_units(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[pa.Table]:
     """Sorted rows again, in runs that hold whole units and about ``limit`` bytes of data, or one larger unit."""
     held: list[pa.RecordBatch] = []
