@@ -387,7 +387,8 @@ def packed_entries(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parts:
     """The entries of a slice, a row for each part that has any."""
     part = (((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
-    part, keys, ids, sizes = part[order].astype(np.int64), keys[order], ids[order], sizes[order]
+    part, keys = part[order].astype(np.int64), keys[order]
+    ids, sizes = (x[order] if len(x) else x for x in (ids, sizes))  # keys may come alone
     cuts = np.flatnonzero(np.diff(part)) + 1
     begins, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(part)]))
     full = begins < ends
