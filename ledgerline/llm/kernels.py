@@ -192,19 +192,14 @@ def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
     label = np.arange(len(nodes))
-    while len(x):
-        low = np.minimum(label[x], label[y])
-        before = label.copy()
-        for side in (x, y):
-            np.minimum.at(label, label[side], low)
-            np.minimum.at(label, side, low)
+    while len(x):  # every label is a root here; of two roots that an edge joins the larger hangs on the smaller
+        p, q = label[x], label[y]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
         while True:
             jumped = label[label]
             if np.array_equal(jumped, label):
                 break
             label = jumped
-        if np.array_equal(before, label):
-            break
         apart = label[x] != label[y]
         x, y = x[apart], y[apart]
     return nodes, nodes[label]
