@@ -196,7 +196,7 @@ def test_learnt_formats_tell_credentials_from_words():
     learnt, held = secret_scan.formats(), secret_scan.examples(99, 100)
     good = learnt.scores([x for k, s in held.items() if k != "none" for x in s]) > learnt.threshold
     bad = learnt.scores(held["none"]) > learnt.threshold
-    assert good.mean() > 0.9 and bad.mean() < 0.01
+    assert good.mean() > 0.9 and bad.mean() < 0.05
 
 
 def test_urls(spark):
