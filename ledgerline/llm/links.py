@@ -280,7 +280,7 @@ def set_links(
 
     A unit holds sets of one group and of one class of sizes (similar sets lie in the same or in neighbouring classes), dealt by a hash of the id when
     there are many. Groups that fit one unit are done after the first round. For larger ones, components so far are carried into a round that joins each
-    unit with the first of its class and of the next one, and then into a last round over the pairs of units which hold more than one
+    unit with the first of its class and of the next one, and then into a last round over all other pairs of units which hold more than one
     component between them. So a group of copies, however large, is connected by few comparisons, and yet no pair is skipped that may be a link.
     """
     step = float(np.log(100 / percent))
@@ -310,7 +310,7 @@ def set_links(
         return components(links, tables, f"{name}-cc")
     tables.free()
     pairs = _unit_pairs(large)
-    for k, some in enumerate((pairs.filter("hub"), pairs), 1):
+    for k, some in enumerate((pairs.filter("hub"), pairs.filter("not hub")), 1):
         label = tables.save(components(links, tables, f"{name}-cc-{k}"), f"{name}-labels-{k}")
         labelled = (
             units.filter("unit.class >= 0")
