@@ -1,7 +1,8 @@
 """Connected components, and exact Jaccard links within groups by signature trees.
 
-``components`` is a distributed union-find. ``SetLinks`` finds, for groups of sets, which pairs reach a Jaccard similarity: a group's sets lie in
-units of bounded size, each unit has a signature tree, and trees are joined by dual traversal.
+``components`` is a distributed union-find. ``set_links`` finds, for groups of sets, which pairs reach a Jaccard similarity: a group's sets lie in
+units of bounded size, each unit has a signature tree, and trees are joined by dual traversal. ``sketch_links`` first splits the groups by
+parity bitmaps alone, which are small enough to compare every unit of a large group with all units near in size.
 """
 
 from __future__ import annotations
@@ -82,6 +83,8 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
 
 #: Of one unit, and of one task's pair of units twice this.
 UNIT_SETS, UNIT_VALUES = 512, 2_000_000
+#: The same for units of sketches.
+SKETCH_SETS, SKETCH_VALUES = 2048, 16_000_000
 FAN = 8
 
 
@@ -203,7 +206,84 @@ def _unit_links(ids: list[int], side: np.ndarray, label: np.ndarray, sets: list[
     return links
 
 
-def _join_units(percent: int, expand: Callable[[list[bytes]], list[np.ndarray]]) -> Callable:
+#: Bits that the smallest sketch has.
+LEAST_BITS = 64
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """A set's size and parity bitmap: a bit is the parity of the values that fall on it. It has as many bits as values, up to the next power of two.
+
+    Two bitmaps differ in at most as many bits as the sets differ in values. A bitmap of twice the bits becomes one of half by XOR of its halves.
+    """
+    bits = max(LEAST_BITS, 1 << max(0, len(values) - 1).bit_length())
+    slot = ((values >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+    return len(values).to_bytes(8, "little") + np.packbits((np.bincount(slot, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def _sketches(data: list[bytes]) -> list[np.ndarray]:
+    """The sketches as words; the first word is the size."""
+    return [np.frombuffer(x, dtype=np.uint64) for x in data]
+
+
+def _sketch_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (of the same side, or of both if there are two) whose sizes and sketches allow the similarity, a block of about 2 MB at a time."""
+    size = np.array([int(s[0]) for s in sets], dtype=np.int64)
+    width = np.array([len(s) - 1 for s in sets])
+    two = bool(side.any())
+    for words in np.unique(width).tolist():
+        rows = np.flatnonzero((width == words) & (side == 0)) if two else np.flatnonzero(width == words)
+        # partners of the same width, of twice the width (folded), and between two sides of half of it (the rows are folded)
+        for other in (words, 2 * words, words // 2) if two else (words, 2 * words):
+            columns = np.flatnonzero((width == other) & (side == 1)) if two else np.flatnonzero(width == other)
+            if not len(rows) or not len(columns) or other == 0:
+                continue
+            least = min(words, other)
+            x, y = _folded(sets, rows, least), _folded(sets, columns, least)
+            a, b = np.argsort(size[rows], kind="stable"), np.argsort(size[columns], kind="stable")
+            x, y, of_x, of_y = x[a], y[b], rows[a], columns[b]
+            m, n = size[of_x], size[of_y]
+            step = max(1, min(len(m), 64))
+            for at in range(0, len(m), step):
+                mine = slice(at, at + step)
+                low = int(np.searchsorted(n, -(-percent * m[at] // 100)))
+                if not two and other == words:  # each pair once
+                    low = max(low, at)
+                high = int(np.searchsorted(n, 100 * m[mine][-1] // percent, side="right"))
+                wide = max(1, (1 << 18) // (step * least))
+                for to in range(low, high, wide):
+                    theirs = slice(to, min(high, to + wide))
+                    apart = np.bitwise_count(x[mine, None] ^ y[None, theirs]).sum(axis=2, dtype=np.int64)
+                    total = m[mine, None] + n[None, theirs]
+                    near = (apart <= total - 2 * _need(total, 0, percent)) & (100 * m[mine, None] >= percent * n[None, theirs])
+                    near &= 100 * n[None, theirs] >= percent * m[mine, None]
+                    i, j = np.nonzero(near)
+                    i, j = of_x[mine][i], of_y[theirs][j]
+                    yield i[i != j], j[i != j]
+
+
+def _folded(sets: list[np.ndarray], which: np.ndarray, words: int) -> np.ndarray:
+    """The bitmaps of these sketches, which are of one width, in so many words."""
+    maps = np.stack([sets[k][1:] for k in which.tolist()])
+    return maps if maps.shape[1] == words else maps[:, :words] ^ maps[:, words:]
+
+
+def _sketch_links(ids: list[int], side: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sketches allow the similarity; all that is known to be connected is passed over."""
+    if (label == label[0]).all():
+        return []
+    a = b = np.zeros(0, dtype=np.int64)
+    for i, j in _sketch_pairs(sets, side, percent):
+        apart = label[i] != label[j]
+        a, b = np.concatenate((a, i[apart])), np.concatenate((b, j[apart]))
+        if len(a) > 1 << 18:
+            a, b = least_labels(a, b)
+            a, b = a[a != b], b[a != b]
+    a, b = least_labels(a, b)
+    apart = a != b
+    return [(ids[i], ids[j]) for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True)]
+
+
+def _join_units(percent: int, expand: Callable[[list[bytes]], list[np.ndarray]], links_of: Callable) -> Callable:
     """For one task, whose rows are sorted by unit: the links of one unit (or pair of units) after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +295,7 @@ def _join_units(percent: int, expand: Callable[[list[bytes]], list[np.ndarray]])
             links: list[tuple[int, int]] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)], strict=True):
                 if b - a > 1:
-                    links += _unit_links(ids[a:b], side[a:b], label[a:b], sets[a:b], percent)
+                    links += links_of(ids[a:b], side[a:b], label[a:b], sets[a:b], percent)
             columns = [pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)]
             yield pa.record_batch(columns, names=["a", "b"])
 
@@ -265,6 +345,16 @@ def _linked(rows: DataFrame, join: Callable) -> DataFrame:
     return own.repartition("unit").sortWithinPartitions("unit").mapInArrow(join, "a long, b long")
 
 
+def sketch_links(sizes: DataFrame, sketches: DataFrame, percent: int, tables: Tables, name: str) -> DataFrame:
+    """node, label of all sets that have a partner within their group which sizes and sketches (id, data) allow: no link lies outside these components.
+
+    Sketches take a bit or two a value, a fiftieth of a text, so that units are larger. A group that chance or a passage holds together falls apart
+    here, before any of its texts travels.
+    """
+    units = (SKETCH_SETS, SKETCH_VALUES)
+    return _group_links(sizes, lambda ids: sketches, _join_units(percent, _sketches, _sketch_links), percent, units, tables, name)
+
+
 def set_links(
     sizes: DataFrame,
     read: Callable[[DataFrame], DataFrame],
@@ -273,10 +363,23 @@ def set_links(
     tables: Tables,
     name: str,
 ) -> DataFrame:
-    """node, label of all sets that have a link within their group.
+    """node, label of all sets that have a link within their group, by signature trees and exact comparison."""
+    return _group_links(sizes, read, _join_units(percent, expand, _unit_links), percent, (UNIT_SETS, UNIT_VALUES), tables, name)
+
+
+def _group_links(
+    sizes: DataFrame,
+    read: Callable[[DataFrame], DataFrame],
+    join: Callable,
+    percent: int,
+    limits: tuple[int, int],
+    tables: Tables,
+    name: str,
+) -> DataFrame:
+    """node, label of all sets that ``join`` links within their group.
 
-    ``sizes``: group, id (long, unique), n (the set's size); ``read`` gives id and data (binary) for the ids of a table, and perhaps more rows; ``expand``
-    makes sorted sets of hashes from data. Texts travel rather than sets: they are smaller.
+    ``sizes``: group, id (long, unique), n (the set's size); ``read`` gives id and data (binary) for the ids of a table, and perhaps more rows; ``join``
+    works on data. Texts travel rather than sets: they are smaller. ``limits``: the most sets and values of a unit.
 
     A unit holds sets of one group and of one class of sizes (similar sets lie in the same or in neighbouring classes), dealt by a hash of the id when
     there are many. Groups that fit one unit are done after the first round. For larger ones, components so far are carried into a round that joins each
@@ -285,8 +388,9 @@ def set_links(
     """
     step = float(np.log(100 / percent))
     sizes = sizes.withColumn("size_class", F.floor(F.log("n") / F.lit(step) + 1e-9).cast("int"))
+    most_sets, most_values = limits
     whole = sizes.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("values_in"))
-    small = (F.col("sets") <= UNIT_SETS) & (F.col("values_in") <= UNIT_VALUES)
+    small = (F.col("sets") <= most_sets) & (F.col("values_in") <= most_values)
     classes = (
         sizes.groupBy("group", "size_class")
         .agg(F.count("*").alias("c"), F.sum("n").alias("v"))
@@ -294,7 +398,7 @@ def set_links(
         .select(
             "group",
             "size_class",
-            F.when(small, 0).otherwise(F.greatest(F.ceil(F.col("c") / UNIT_SETS), F.ceil(F.col("v") / UNIT_VALUES))).cast("int").alias("deals"),
+            F.when(small, 0).otherwise(F.greatest(F.ceil(F.col("c") / most_sets), F.ceil(F.col("v") / most_values))).cast("int").alias("deals"),
         )
     )
     classes = tables.save(classes, f"{name}-classes")
@@ -302,7 +406,6 @@ def set_links(
         F.struct("group", F.col("size_class").alias("class"), F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "deals")).cast("int").alias("deal"))
     )
     units = tables.save(sizes.join(classes, ["group", "size_class"]).select(unit_of.alias("unit"), "id"), f"{name}-units")
-    join = _join_units(percent, expand)
     first = units.join(read(units), "id").select("unit", F.lit(0).alias("side"), "id", F.col("id").alias("label"), "data")
     links = tables.save(_linked(first, join), f"{name}-links-0")
     large = classes.filter("deals > 0")

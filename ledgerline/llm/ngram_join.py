@@ -1,19 +1,19 @@
 """Exact Jaccard join of documents on word n-grams, by signature trees.
 
-A document's set is its distinct 5-word shingles (64-bit hashes). Documents of equal sets share one representative. The join runs in three steps.
+A document's set is its distinct 5-word shingles (64-bit hashes). Documents of equal sets share one representative. The join runs in four steps.
 
 1. Which sets can be similar at all: two sets with a similarity of 0.75 share a value among the first quarter of each in any common order. The order puts
    the shingles that most documents have last (at most ``COMMON`` of them; every task counts all its shingles, and any it sees twice is added
-   up over all tasks), and the rest by hash. Any common order is right; this one keeps passages that many documents share from joining them. Groups that come
-   out large all the same are grouped once more, by an order that rests on exact counts of all their shingles. Sets that share such
-   a value are connected into groups by a distributed union-find; documents outside every group have no link.
-2. Within a group, sets lie in units of bounded size, each under a signature tree: nodes hold the OR of their sets' bitmaps and their range of sizes.
+   up over all tasks), and the rest by hash. Any common order is right; this one keeps passages that many documents share from joining them. Sets that share
+   such a value are connected into groups by a distributed union-find; documents outside every group have no link.
+2. Groups grow together by chance as data grow. Each set has a parity bitmap of a bit or two a shingle, made when the sets were counted. Two bitmaps
+   differ in no more bits than the sets do in shingles, so that they show exactly which pairs stay possible; only these hold a group together from here on.
+3. Within a group, sets lie in units of bounded size, each under a signature tree: nodes hold the OR of their sets' bitmaps and their range of sizes.
    Trees are joined by dual traversal; a pair of nodes is left out when the largest overlap that bitmaps and sizes allow falls short. What
    reaches two leaves is compared exactly. Sets that are connected already aren't compared again.
-3. The links' components, again by union-find, give each document the smallest id that it reaches.
+4. The links' components, again by union-find, give each document the smallest id that it reaches.
 
-Texts are read once for each step (sets, first quarters, texts of grouped documents, and again for large groups), in slices of 1 MB, and only
-texts of documents in a group are shuffled.
+Texts are read three times (sets, first quarters, texts of grouped documents), in slices of 1 MB, and only texts of documents in a group are shuffled.
 
 Defined results: words are maximal runs without 0x20, 0x09 to 0x0D, after lower-casing A-Z; a text with one to four words has one shingle, all of them; null,
 empty and blank texts have an empty set and link with nothing (not even with each other). A row with a null id is returned with the smallest id of
@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import U, set_print, shingle_sets, signed, slices
-from .links import ENTRIES, components, packed_entries, set_links, shared_key_edges
+from .kernels import U, set_print, shingle_sets, slices
+from .links import ENTRIES, components, packed_entries, set_links, shared_key_edges, sketch, sketch_links
 from .sieve import passes, sieve
 from .tables import Tables, only, table
 
@@ -40,8 +40,6 @@ COMMON = 1 << 19
 #: Values of distinct sets that a task gathers before it counts which of them occur twice.
 GATHER = 4_000_000
 ENTRIES_A_TASK = 1_500_000
-#: Groups of more sets than this are grouped again.
-REFINE = 512
 
 
 def _sets(width: int):
@@ -57,7 +55,8 @@ def _sets(width: int):
                     size += len(s)
             columns = [[len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints]]
             nothing = pa.nulls(part.num_rows, pa.binary())
-            yield pa.record_batch([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), nothing, nothing], names=_SETS)
+            sketches = pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.record_batch([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), nothing, nothing, sketches], names=_SETS)
             if size > GATHER:
                 yield _often(gathered)
                 gathered, size = {}, 0
@@ -67,7 +66,7 @@ def _sets(width: int):
     return run
 
 
-_SETS = ["doc_id", "n", "print", "check", "often", "counts"]
+_SETS = ["doc_id", "n", "print", "check", "often", "counts", "sketch"]
 
 
 def _often(sets: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
@@ -75,7 +74,7 @@ def _often(sets: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
     values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
     some = counts > 1
     packed = [pa.array([x[some].astype(k).tobytes()], pa.binary()) for x, k in ((values, U), (counts, np.int64))]
-    return pa.record_batch([*(pa.nulls(1, pa.int64()) for _ in range(4)), *packed], names=_SETS)
+    return pa.record_batch([*(pa.nulls(1, pa.int64()) for _ in range(4)), *packed, pa.nulls(1, pa.binary())], names=_SETS)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,10 +87,6 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_values(found: DataFrame, most: int = COMMON) -> np.ndarray:
     """The most frequent shingles, rarest first: at most ``most`` of them, 8 bytes each."""
     counted = found.filter("often is not null").select("often", "counts").mapInArrow(_unpack, "value long, n long")
-    return _top(counted, most)
-
-
-def _top(counted: DataFrame, most: int) -> np.ndarray:
     top = counted.groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(most)
     values = top.toArrow().sort_by([("n", "ascending"), ("value", "ascending")]).column("value").to_numpy()
     return values.astype(np.int64).view(U)
@@ -122,37 +117,10 @@ def _quarter(n: int, percent: int) -> int:
     return n - -(-(percent * n) // 100) + 1
 
 
-def _only(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch if bitmap is None else batch.filter(pa.array(passes(bitmap, batch.column("id").to_numpy(zero_copy_only=False))))
-
-
-def _values(width: int, bitmap: np.ndarray, parts: int):
-    """All values of the documents that the bitmap names, packed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(_only(batches, bitmap), "text"):
-            sets = list({set_print(s)[0]: s for s in shingle_sets(texts, width) if len(s)}.values())
-            if sets:
-                values = np.concatenate(sets)
-                yield packed_entries(values, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), parts, 0)
-
-    return run
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The values that occur more than once among those that meet here, and how often."""
-    held = [np.frombuffer(k.as_buffer(), dtype=U) for batch in batches for k in batch.column("keys")]
-    if held:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        some = counts > 1
-        yield pa.record_batch([pa.array(signed(values[some])), pa.array(counts[some].astype(np.int64))], names=["value", "n"])
-
-
-def _entries(sent, width: int, percent: int, parts: int, bitmap: np.ndarray | None = None):
+def _entries(sent, width: int, percent: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(sent.value)
-        for _, texts in slices(_only(batches, bitmap), "text"):
+        for _, texts in slices(batches, "text"):
             keys, ids, sizes = [], [], []
             distinct = {set_print(s)[0]: s for s in shingle_sets(texts, width) if len(s)}
             for name, values in distinct.items():
@@ -188,7 +156,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     spark = docs.sparkSession
     tables = Tables(spark, "ngrams")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kinds = "doc_id long, n long, print long, check long, often binary, counts binary"
+    kinds = "doc_id long, n long, print long, check long, often binary, counts binary, sketch binary"
     found = tables.save(own.mapInArrow(_sets(width), kinds), "sets")
     sets = found.filter("n is not null").select("doc_id", "n", "print", "check")
     # one representative for equal sets: the smallest id; its id is the name of the set from here on
@@ -198,25 +166,18 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts // 4)
     sent = spark.sparkContext.broadcast(common_values(found))
     texts = own.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    once = texts.dropDuplicates(["id"]) if _repeats(sets) else texts
+    repeats = _repeats(sets)
+    once = texts.dropDuplicates(["id"]) if repeats else texts
     edges = tables.save(shared_key_edges(own.select("text").mapInArrow(_entries(sent, width, percent, parts), ENTRIES), tasks), "edges")
     groups = tables.save(components(edges, tables, "groups"), "groups").withColumnsRenamed({"node": "print", "label": "group"})
-    grouped = tables.save(reps.filter("id is not null").join(groups, "print").select("id", "print", "n", "group"), "grouped")
+    grouped = tables.save(reps.filter("id is not null").join(groups, "print").select("id", "n", "group"), "grouped")
     tables.free()
-    big = grouped.groupBy("group").agg(F.count("*").alias("sets")).filter(F.col("sets") > REFINE)
-    big = tables.save(grouped.join(big, "group", "left_semi"), "big")
-    if not big.isEmpty():
-        # few large groups, held together by passages: count all their shingles exactly, and group them again by the order that follows
-        bitmap = sieve(big, "id")
-        packed = once.mapInArrow(_values(width, bitmap, parts), ENTRIES).repartition(tasks, "part")
-        again = spark.sparkContext.broadcast(_top(packed.mapInArrow(_repeated, "value long, n long"), COMMON))
-        edges = shared_key_edges(once.mapInArrow(_entries(again, width, percent, parts, bitmap), ENTRIES), tasks)
-        edges = tables.save(edges, "edges-again")
-        regrouped = tables.save(components(edges, tables, "again"), "groups-again").withColumnsRenamed({"node": "print", "label": "again"})
-        split = big.join(regrouped, "print").select("id", "print", "n", F.xxhash64("group", "again").alias("group"))
-        rest = grouped.join(big.select("group").distinct(), "group", "left_anti").select("id", "print", "n", "group")
-        grouped = tables.save(rest.unionByName(split), "regrouped")
-    grouped = grouped.select("id", "n", "group")
+    # no text travels before its sketch has shown that it may have a partner
+    own_sketch = found.filter("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), F.col("sketch").alias("data"))
+    some = own_sketch.join(grouped.select("id"), "id", "left_semi")
+    sketches = tables.save(some.dropDuplicates(["id"]) if repeats else some, "sketches")
+    able = sketch_links(grouped, sketches, percent, tables, "able").withColumnsRenamed({"node": "id", "label": "able"})
+    grouped = tables.save(grouped.join(able, "id").select("id", "n", F.col("able").alias("group")), "able")
     tables.free()
 
     def read(ids: DataFrame) -> DataFrame:

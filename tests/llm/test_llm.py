@@ -81,7 +81,7 @@ def components(pairs, ids):
 @pytest.mark.parametrize("unit", [512, 2])
 def test_ngram_join(docs, rows, unit, monkeypatch):
     monkeypatch.setattr(links, "UNIT_SETS", unit)
-    monkeypatch.setattr(ngram_join, "REFINE", unit)
+    monkeypatch.setattr(links, "SKETCH_SETS", unit)
     monkeypatch.setattr(links, "FINISH", 0 if unit == 2 else links.FINISH)
     sets = {}
     for i, t, *_ in rows:
@@ -104,6 +104,18 @@ def test_signature_trees_lose_no_pair():
     assert similar and similar <= found and len(found) < len(every) / 3
 
 
+@pytest.mark.parametrize("two", [False, True])
+def test_sketches_lose_no_pair(two):
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (1, 2, 5, 30, 64, 65, 120, 128, 129, 250, 256, 300, 1000)]
+    sets = [np.unique(np.concatenate((b[rng.random(len(b)) < 0.93], b[:1], rng.integers(0, 1 << 62, len(b) // 20, dtype=np.uint64)))) for b in base for _ in range(12)]
+    side = rng.integers(0, 2, len(sets)) if two else np.zeros(len(sets), dtype=np.int64)
+    found = [(min(a, b), max(a, b)) for i, j in links._sketch_pairs(links._sketches([links.sketch(s) for s in sets]), side, 75) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    every = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if not two or side[i] != side[j]}
+    similar = {(i, j) for i, j in every if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert similar and similar <= set(found) <= every and len(set(found)) < len(every) / 5
+
+
 @pytest.mark.parametrize("finish", [0, 10**6])
 def test_components(spark, finish, monkeypatch):
     monkeypatch.setattr(links, "FINISH", finish)
