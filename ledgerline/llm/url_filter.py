@@ -6,8 +6,10 @@ log-likelihoods per character. The threshold is calibrated on labelled URLs that
 classes sum to the least. Host rules come first; the models judge what no rule fits.
 
 Labels come from a list of terms: a URL whose host holds one is a rejected example, any other an accepted one. The models generalise from there
-by spelling. All URLs are counted. n-grams fall into ``SLOTS`` slots per class and order, so the tables that reach the driver and are broadcast
-are of fixed size (under 10 MB), however many URLs there are; counts combine before the shuffle.
+by spelling. All URLs are counted. Statistics are exact up to 64-bit hashes and grow with the input: a distributed table holds every n-gram with its
+context and its count in each class, and counts combine before the shuffle. URLs are scored in blocks of at most ``ROWS`` rows: the distinct
+n-grams and contexts that a block asks for are joined with the table, and what was found comes to the block. Nothing of the models
+reaches the driver.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path; an empty host and path is allowed (nothing speaks against it). With no
 rejected or no accepted examples to learn from, the models allow everything. Repeated rows get the same verdict; a null page_id is
@@ -20,14 +22,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import U, mix
-from .tables import only, table
+from .kernels import U, mix, signed
+from .tables import Tables, only, table
 
 ORDER = 5
-SLOTS = 1 << 16
+ROWS, BYTES = 2000, 1 << 17  # of the URLs of a block; a longer URL is a block of its own
 BINS = 2000
 TERMS = ("adult", "bets", "casino", "cheap", "pills", "poker", "porn", "spam", "track", "viagra", "xxx")
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -64,91 +67,124 @@ def _characters(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buf, own
 
 
-def _grams(buf: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each order the slots of the contexts and of the n-grams of the predicted characters."""
+def _grams(buf: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the hashes of the contexts and of the n-grams of the predicted characters."""
     at = np.flatnonzero(own)
     context = np.zeros(len(at), dtype=U)
     with np.errstate(over="ignore"):
         for order in range(ORDER + 1):
             if order:
                 context = mix(context + buf[at - order].astype(U) + U(1))
-            gram = mix(context ^ (buf[at].astype(U) + U(7)) * U(0x9E3779B97F4A7C15))
-            yield order, (context & U(SLOTS - 1)).astype(np.int64), (gram & U(SLOTS - 1)).astype(np.int64)
+            yield context, mix(context ^ (buf[at].astype(U) + U(7)) * U(0x9E3779B97F4A7C15))
+
+
+def _runs(urls: list[str]) -> Iterator[tuple[int, int]]:
+    """Begins and ends of runs of at most ``ROWS`` URLs and ``BYTES`` bytes, or of one longer URL."""
+    begin = size = 0
+    for i, url in enumerate(urls):
+        own = len(url.encode())
+        if i > begin and (i - begin >= ROWS or size + own > BYTES):
+            yield begin, i
+            begin, size = i, 0
+        size += own
+    if urls:
+        yield begin, len(urls)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, order, slot of the n-gram, slot of its context, occurrences), summed over a partition."""
-    tables: dict[tuple[int, int], np.ndarray] = {}
-    contexts: dict[tuple[int, int], np.ndarray] = {}
+    """(context, n-gram, occurrences in accepted URLs, in rejected ones), summed over runs of URLs."""
+    for batch in batches:
+        every, bad = batch.column("url").to_pylist(), batch.column("rejected").to_numpy(zero_copy_only=False)
+        for a, b in _runs(every):
+            for label in (0, 1):
+                some = [u for u, r in zip(every[a:b], bad[a:b], strict=True) if r == label]
+                if not some:
+                    continue
+                context, gram = (np.concatenate(x) for x in zip(*_grams(*_characters(some)), strict=True))
+                gram, first, n = np.unique(gram, return_index=True, return_counts=True)
+                columns = [signed(context[first]), signed(gram), *((n, 0 * n) if label == 0 else (0 * n, n))]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["context", "gram", "n0", "n1"])
+
+
+def statistics(grams: DataFrame) -> DataFrame:
+    """key, a0, b0, a1, b1: of an n-gram its counts in both classes (a), of a context its total and the number of its kinds (b)."""
+    kinds = [F.count_if(F.col(n) > 0).alias(b) for n, b in (("n0", "b0"), ("n1", "b1"))]
+    contexts = grams.groupBy(F.col("context").alias("key")).agg(F.sum("n0").alias("a0"), kinds[0], F.sum("n1").alias("a1"), kinds[1])
+    none = F.lit(0).cast("long")
+    own = grams.select(F.col("gram").alias("key"), F.col("n0").alias("a0"), none.alias("b0"), F.col("n1").alias("a1"), none.alias("b1"))
+    return own.unionByName(contexts)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their block: of the task, and counted within it."""
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        urls = [h + p for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        for a, b in _runs(urls):
+            part = batch.slice(a, b - a)
+            yield pa.record_batch([*part.columns, pa.array(np.full(b - a, block), pa.int64())], names=[*part.schema.names, "block"])
+            block += 1
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, hash) of the distinct n-grams and contexts of each block."""
     for batch in batches:
-        urls, bad = batch.column("url").to_pylist(), batch.column("rejected").to_numpy(zero_copy_only=False)
-        for label in (0, 1):
-            some = [u for u, b in zip(urls, bad, strict=True) if b == label]
-            if not some:
-                continue
-            for order, context, gram in _grams(*_characters(some)):
-                key = label, order
-                if key not in tables:
-                    tables[key], contexts[key] = np.zeros(SLOTS, dtype=np.int64), np.full(SLOTS, SLOTS, dtype=np.int64)
-                tables[key] += np.bincount(gram, minlength=SLOTS)
-                np.minimum.at(contexts[key], gram, context)
-    for (label, order), counts in tables.items():
-        slot = np.flatnonzero(counts)
-        n = len(slot)
-        columns = [np.full(n, label), np.full(n, order), slot, contexts[label, order][slot], counts[slot]]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["label", "order", "gram", "context", "n"])
-
-
-class Models:
-    """Both models, as tables of n-gram counts, context totals and context varieties."""
+        urls = [h + p for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        block = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                keys = np.unique(np.concatenate([x for pair in _grams(*_characters(urls[a:b])) for x in pair]))
+                yield pa.record_batch([pa.array(np.full(len(keys), block[a])), pa.array(signed(keys))], names=["block", "key"])
+
+
+class Found:
+    """What the table of statistics has for the n-grams and contexts of a block."""
 
     def __init__(self, rows: pa.Table):
-        shape = (2, ORDER + 1, SLOTS)
-        self.grams, self.totals, self.kinds = (np.zeros(shape, dtype=np.float32) for _ in range(3))
-        label, order, gram, context, n = (rows.column(c).to_numpy() for c in ("label", "order", "gram", "context", "n"))
-        np.add.at(self.grams, (label, order, gram), n)
-        np.add.at(self.totals, (label, order, context), n)
-        np.add.at(self.kinds, (label, order, context), 1)
-        self.trained = bool(len(set(label.tolist())) == 2)
+        key = rows.column("key").to_numpy()
+        order = np.argsort(key)
+        self.keys = np.append(key[order], 0)  # the last place stands for all that is not there
+        self.numbers = np.vstack([np.append(rows.column(c).to_numpy()[order], 0).astype(float) for c in ("a0", "b0", "a1", "b1")])
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        wanted, last = signed(hashes), len(self.keys) - 1
+        at = np.searchsorted(self.keys[:last], wanted)
+        return np.where((at < last) & (self.keys[at] == wanted), at, last)
 
     def scores(self, urls: list[str]) -> np.ndarray:
         """Log-likelihood under the rejected model less that under the accepted one, per character."""
-        if not self.trained or not urls:
-            return np.zeros(len(urls))
         buf, own = _characters(urls)
-        logs = []
-        for label in (0, 1):
-            p = np.full(int(own.sum()), 1 / 256)
-            for order, context, gram in _grams(buf, own):
-                total, kinds = self.totals[label, order, context].astype(float), self.kinds[label, order, context].astype(float)
-                seen = np.minimum(self.grams[label, order, gram], total)
-                p = np.where(total > 0, (seen + kinds * p) / np.maximum(total + kinds, 1), p)
-            logs.append(np.log(p))
-        difference = logs[1] - logs[0]
+        p = np.full((2, int(own.sum())), 1 / 256)
+        for context, gram in _grams(buf, own):
+            at, seen = self._places(context), self.numbers[::2, self._places(gram)]
+            total, kinds = self.numbers[::2, at], self.numbers[1::2, at]
+            p = np.where(total > 0, (seen + kinds * p) / np.maximum(total + kinds, 1), p)
+        difference = np.log(p[1]) - np.log(p[0])
         lengths = np.array([len(u.encode()) + 1 for u in urls])
         begins = np.cumsum(lengths) - lengths
         return np.add.reduceat(difference, begins) / lengths
 
 
-def _score(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = sent.value
-        for batch in batches:
-            kept = [c for c in batch.schema.names if c != "url"]
-            parts = []
-            for at in range(0, batch.num_rows, 2000):
-                parts.append(models.scores(batch.column("url").slice(at, 2000).to_pylist()))
-            scores = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(scores)], names=[*kept, "score"])
+def _score(rows: pa.Table, found: pa.Table) -> pa.Table:
+    urls = [h + p for h, p in zip(rows.column("host").to_pylist(), rows.column("path").to_pylist(), strict=True)]
+    scores = Found(found).scores(urls) if urls else np.zeros(0)
+    return pa.table([*(rows.column(c) for c in ("page_id", "host", "path")), pa.array(scores, pa.float64())], names=["page_id", "host", "path", "score"])
 
-    return run
 
+def scored(parts: DataFrame, grams: DataFrame, tables: Tables) -> DataFrame:
+    """page_id, host, path, score of every row, by the counts of ``grams``."""
+    blocks = tables.save(parts.mapInArrow(_blocks, "page_id long, host string, path string, block long"), "blocks")
+    asked = blocks.mapInArrow(_asked, "block long, key long")
+    found = asked.join(statistics(grams), "key").select("block", "a0", "b0", "a1", "b1", "key")
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_score, "page_id long, host string, path string, score double")
 
-def threshold(scored: DataFrame) -> float:
+
+def threshold(held: DataFrame) -> float:
     """Where the share of accepted examples at or above it and of rejected ones below it sum to the least; from a histogram of fixed size."""
     bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + 10) * (BINS / 20)))).cast("int")
     hist = np.zeros((2, BINS))
-    for row in scored.groupBy("rejected", bin_.alias("bin")).count().collect():
+    for row in held.groupBy("rejected", bin_.alias("bin")).count().collect():
         hist[row["rejected"], row["bin"]] += row["count"]
     if not hist.sum(axis=1).all():
         return float("inf")
@@ -160,31 +196,28 @@ def threshold(scored: DataFrame) -> float:
 
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, terms: Sequence[str] = TERMS) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every row."""
-    spark = pages.sparkSession
+    tables = Tables(pages.sparkSession, "urls")
     host, path = url_parts(F.col("url"))
-    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
+    parts = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     bad = F.lit(False)
     for term in terms:
         bad = bad | F.col("host").contains(term)
-    labelled = (
-        parts.withColumn("url", F.concat("host", "path"))
-        .filter(F.col("url") != "")
-        .select("url", bad.cast("int").alias("rejected"), (F.pmod(F.xxhash64("url"), F.lit(4)) == 0).alias("held"))
-    )
-    counted = labelled.filter("not held").select("url", "rejected").mapInArrow(_count, "label long, order long, gram long, context long, n long")
-    summed = counted.groupBy("label", "order", "gram").agg(F.min("context").alias("context"), F.sum("n").alias("n"))
-    models = Models(summed.toArrow())  # at most 2 * (ORDER + 1) * SLOTS rows
-    sent = spark.sparkContext.broadcast(models)
-    held = labelled.filter("held").select("url", "rejected").mapInArrow(_score(sent), "rejected int, score double")
-    limit = threshold(held) if models.trained else float("inf")
-    kinds = "page_id long, host string, path string, score double"
-    scored = parts.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", F.concat("host", "path").alias("url")).mapInArrow(
-        _score(sent), kinds
-    )
+
+    def labelled(rows: DataFrame, held: bool) -> DataFrame:
+        url = F.concat("host", "path")
+        own = rows.filter((url != "") & ((F.pmod(F.xxhash64(url), F.lit(4)) == 0) == held))
+        return own.withColumn("url", url).withColumn("rejected", bad.cast("int"))
+
+    counted = labelled(parts, held=False).select("url", "rejected").mapInArrow(_count, "context long, gram long, n0 long, n1 long")
+    grams = tables.save(counted.groupBy("context", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
+    seen = grams.agg(F.max("n0").alias("n0"), F.max("n1").alias("n1")).first()
+    trained = bool(seen["n0"]) and bool(seen["n1"])
+    judged = tables.save(scored(parts, grams, tables), "scores") if trained else parts.withColumn("score", F.lit(0.0))
+    limit = threshold(labelled(judged, held=True).select("rejected", "score")) if trained else float("inf")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     empty = (F.col("host") == "") & (F.col("path") == "")
     own = F.when((F.col("score") >= limit) & ~empty, "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score")
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,6 +223,35 @@ def test_urls(spark):
     assert wrong < 15
 
 
+def test_url_counts_are_exact(spark, monkeypatch):
+    rng = random.Random(7)
+    urls = [("casino-" if i % 5 == 0 else "") + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(24)) + f".org/{i}" for i in range(6000)]
+    df = spark.createDataFrame([(i, f"http://{u}") for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
+    monkeypatch.setattr(url_filter, "ROWS", 700)
+    got = {r["page_id"]: r["score"] for r in url_filter.url_verdicts(df).collect()}
+    held = {r["u"] for r in spark.createDataFrame([(u,) for u in urls], "u string").filter(F.pmod(F.xxhash64("u"), F.lit(4)) == 0).collect()}
+    counts = [{}, {}]
+    for u in urls:
+        if u not in held:
+            marked = "\x02" * 5 + u + "\x03"
+            for at in range(5, len(marked)):
+                for k in range(6):
+                    own = counts["casino" in u].setdefault(marked[at - k : at], {})
+                    own[marked[at]] = own.get(marked[at], 0) + 1
+    assert len({(c, x) for c, own in counts[0].items() if len(c) == 5 for x in own}) > 65_536
+    for i in range(0, 6000, 97):
+        marked, score = "\x02" * 5 + urls[i] + "\x03", 0.0
+        for at in range(5, len(marked)):
+            for sign, table in ((-1, counts[0]), (1, counts[1])):
+                p = 1 / 256
+                for k in range(6):
+                    own = table.get(marked[at - k : at], {})
+                    if own:
+                        p = (own.get(marked[at], 0) + len(own) * p) / (sum(own.values()) + len(own))
+                score += sign * np.log(p)
+        assert abs(got[i] - score / (len(urls[i]) + 1)) < 1e-9
+
+
 def test_quality(spark):
     rng = random.Random(9)
 
