@@ -2,7 +2,9 @@
 
 Grades: 0 poor, 1 good but toxic, 2 good and clean. One weight vector over hashed text features is shared by all grades; ordered thresholds turn its
 score s into P(grade <= j) = 1 / (1 + exp(s - theta_j)). A document's expected grade and the probability of the top grade follow, and the
-latter selects.
+latter selects: from a least probability for each language, where the share of rows of lower grades that are kept and the share of those of the top
+grade that are not sum to the least, over rows of the sample that the model was not trained on (``FOLDS`` parts, each judged by a model of the others). A language
+with fewer than ``ENOUGH`` rows of either kind, or documents without a column ``lang``, go by all languages together, and that by ``LEAST``.
 
 Features of a text: its distinct lower-cased words without ASCII punctuation and their first five bytes, hashed, of which those weigh that the sample
 shows to go with a grade (chi-square); and a few hashed descriptions of its shape (shares of capitals, digits, symbols and punctuation among its bytes, share of distinct words, length, words per line, each as a level).
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import U, mix, slices, word_hashes
@@ -32,9 +34,10 @@ BITS = 18
 SAMPLE = 6000
 NONZEROS = 20_000_000
 GRADES = 3
-LEAST = 0.4  # the least probability of the top grade that selects
-ROUNDS = 150
-TELLING = 80.0  # a feature is trained if its chi-square over the grades of the sample is as large; by chance one of millions is
+LEAST = 0.5  # the least probability of the top grade that selects, where the sample is too small to choose it
+FOLDS, ENOUGH = 3, 20
+ROUNDS, STEP = 150, 0.6
+TELLING = 27.6  # a feature is trained if its chi-square over the grades of the sample is as large; by chance one of millions is
 WORD, SHAPE = 0.25, 0.3
 HEAD = 5  # bytes of a word's beginning, a feature of its own
 DECAY = 2e-5
@@ -96,12 +99,25 @@ def chi_square(slots: np.ndarray, grades: np.ndarray, sizes: np.ndarray) -> np.n
     return ((seen - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=0) / np.maximum(1e-9, 1 - seen.sum(axis=0) / sizes.sum()).clip(0.05)
 
 
+def least(top: np.ndarray, grades: np.ndarray, otherwise: float) -> float:
+    """The probability from which to keep rows, for the least sum of the shares of lower grades kept and of top grades dropped."""
+    good = grades == GRADES - 1
+    if min(good.sum(), (~good).sum()) < ENOUGH:
+        return otherwise
+    at = np.linspace(0.01, 0.99, 99)
+    wrong = np.array([(top[~good] >= x).mean() + (top[good] < x).mean() for x in at])
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+    return float(at[best[len(best) // 2]])
+
+
 class Ordinal:
     """Weights and ordered thresholds. With no training, everything has the top grade."""
 
     def __init__(self):
         self.weights = np.zeros(1 << BITS)
         self.theta = np.full(GRADES - 1, -20.0)
+        self.least: dict[str, float] = {}
+        self.least_of_all = LEAST
 
     def fit(self, slots: np.ndarray, values: np.ndarray, offsets: np.ndarray, grades: np.ndarray) -> Ordinal:
         """Full-batch Adam on the cumulative-link likelihood; thresholds are kept ordered by positive gaps."""
@@ -141,11 +157,35 @@ class Ordinal:
                 m, v = moments[i]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                params[i] = p_i - 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+                params[i] = p_i - STEP * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         self.weights[used] = params[0]
         self.theta = params[1][0] + np.concatenate(([0.0], np.cumsum(np.exp(params[2]))))
         return self
 
+    def learn(self, slots: np.ndarray, values: np.ndarray, offsets: np.ndarray, grades: np.ndarray, langs: list[str]) -> Ordinal:
+        """Fits all rows, and chooses the least probabilities on rows that the judging model has not seen."""
+        if len(np.unique(grades)) < 2:
+            return self
+        top, fold, row = np.zeros(len(grades)), np.arange(len(grades)) % FOLDS, np.repeat(np.arange(len(grades)), np.diff(offsets))
+        for k in range(FOLDS):
+            own = fold[row] != k
+            sizes = np.diff(offsets)[fold != k]
+            model = Ordinal().fit(slots[own], values[own], np.concatenate(([0], np.cumsum(sizes))), grades[fold != k])
+            top[fold == k] = model.top(slots, values, offsets)[fold == k]
+        self.least_of_all = least(top, grades, LEAST)
+        names = np.array(langs, dtype=object)
+        for name in set(langs):
+            self.least[name] = least(top[names == name], grades[names == name], self.least_of_all)
+        return self.fit(slots, values, offsets, grades)
+
+    def top(self, slots: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return 1 - _sigmoid(self.theta[-1] - _sums(self.weights[slots] * values, offsets))
+
+    def keeps(self, top: np.ndarray, langs: list[str | None] | None = None) -> np.ndarray:
+        if langs is None:
+            return top >= self.least_of_all
+        return top >= np.array([self.least.get(x or "", self.least_of_all) for x in langs])
+
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade and the probability of the top grade."""
         slots, values, offsets = features(texts)
@@ -162,6 +202,10 @@ def graded(labels: DataFrame) -> DataFrame:
     return known.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
+def language(docs: DataFrame) -> Column:
+    return (F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
@@ -169,13 +213,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
         for part, texts in slices(batches, "text"):
             slots, values, offsets = features(texts)
             lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x)) for x in (slots.astype(np.int32), values.astype(np.float32))]
-            yield pa.record_batch([part.column("doc_id"), part.column("grade"), *lists], names=["doc_id", "grade", "slots", "values"])
+            yield pa.record_batch([*(part.column(c) for c in ("doc_id", "grade", "lang")), *lists], names=["doc_id", "grade", "lang", "slots", "values"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), language(docs))
     rows = (
         own.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
-        .select("doc_id", "grade", "text")
-        .mapInArrow(run, "doc_id long, grade int, slots array<int>, values array<float>")
+        .select("doc_id", "grade", "lang", "text")
+        .mapInArrow(run, "doc_id long, grade int, lang string, slots array<int>, values array<float>")
         .toArrow()
         .sort_by("doc_id")
         .combine_chunks()
@@ -189,8 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     column, values = column.slice(0, whole), values.slice(0, whole)
     offsets = column.offsets.to_numpy().astype(np.int64)
     grades = rows.column("grade").to_numpy()[:whole].astype(np.int64)
-    return Ordinal().fit(
-        column.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float), offsets - offsets[0], grades
+    langs = [x or "" for x in rows.column("lang").to_pylist()[:whole]]
+    return Ordinal().learn(
+        column.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float), offsets - offsets[0], grades, langs
     )
 
 
@@ -201,27 +246,30 @@ def scores(docs: DataFrame, model: Ordinal) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             grade, top = sent.value.predict(texts)
-            yield pa.record_batch([part.column("doc_id"), pa.array(grade), pa.array(top), pa.array(top >= LEAST)], names=["doc_id", "expected_grade", "p_top", "kept"])
+            kept = sent.value.keeps(top, part.column("lang").to_pylist())
+            yield pa.record_batch([part.column("doc_id"), pa.array(grade), pa.array(top), pa.array(kept)], names=["doc_id", "expected_grade", "p_top", "kept"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), language(docs))
     return own.mapInArrow(run, "doc_id long, expected_grade double, p_top double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose probability of the top grade is ``LEAST`` or more, with all their columns, in one pass over them."""
+    """The documents whose probability of the top grade is the least of their language or more, with all their columns, in one pass over them."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    text = docs.columns.index("text")
+    text, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
             for part, texts in slices(iter((named,)), f"c{text}"):
-                kept = part.filter(pa.array(model.value.predict(texts)[1] >= LEAST))
+                langs = part.column(lang).cast(pa.string()).to_pylist() if lang is not None else None
+                kept = part.filter(pa.array(model.value.keeps(model.value.predict(texts)[1], langs)))
                 yield kept.rename_columns(batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = only(table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    docs = table(spark, sf_dir, "documents")
+    docs = only(docs, doc_id="long", text="string", **({"lang": "string"} if "lang" in docs.columns else {}))
     return scores(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -271,6 +271,27 @@ def test_quality(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_rare_toxic_words_are_learnt():
+    rng = random.Random(21)
+
+    def row(i):
+        grade = 0 if i % 10 == 0 else 1 if i % 10 == 1 else 2
+        lang = "es" if i % 12 == 1 else "en"
+        text = words(rng, rng.randint(30, 80))
+        if grade == 0:
+            text = text.upper().replace(" ", "!! ")
+        if grade == 1:
+            text += " " + " ".join(rng.sample([f"{lang}bad{k}x" for k in range(25)], 2))
+        return text.encode(), grade, lang
+
+    data = [row(i) for i in range(4000)]
+    slots, values, offsets = quality.features([t for t, _, _ in data[:2500]])
+    model = quality.Ordinal().learn(slots, values, offsets, np.array([g for _, g, _ in data[:2500]]), [x for _, _, x in data[:2500]])
+    kept = model.keeps(model.predict([t for t, _, _ in data[2500:]])[1], [x for _, _, x in data[2500:]])
+    grades = np.array([g for _, g, _ in data[2500:]])
+    assert kept[grades == 1].mean() < 0.15 and kept[grades == 2].mean() > 0.9 and set(model.least) == {"en", "es"}
+
+
 def test_poisson_mix(spark, docs):
     many = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("source"), F.lit("t").alias("text"))
     mixed = poisson_mix.poisson_mix(many, {"a": 3.0, "": 1.0}, rows_wanted=8000)
