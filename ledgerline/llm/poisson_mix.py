@@ -1,7 +1,9 @@
 """Mixing sources to target weights by Poisson replication. [DataFrame operations only]
 
 Every source has a target repetition rate: its target share of the mixture, times the rows wanted, over its rows. A document is repeated a
-Poisson number of times with that mean: a hash of the seed and the id is a number in [0, 1), and the Poisson distribution inverted there is the count. No
+Poisson number of times with that mean: a hash of the seed and the id is a number in [0, 1), and the Poisson distribution inverted there is the count.
+A rate over ``MAX_RATE`` is split into equal parts of at most ``MAX_RATE``, and the count is the sum of a draw for each, from hashes of their own: a sum of independent
+Poisson numbers is one of the summed rate. So no rate is cut, and e^-rate stays a normal number. No
 state is shared between rows, so a rerun task or another partitioning gives the same mixture. Each document is exploded by its
 count and the copies are shuffled globally by a hash of seed, id and copy.
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from .tables import Tables, only, spread, table
 
 SEED = 20250601
-MAX_RATE = 30.0
+MAX_RATE = 30.0  # of one draw
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -28,10 +30,7 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, rows_wanted: int | None = None) -> DataFrame:
-    """__source, rate, cdf: one row per source. ``cdf`` is the Poisson distribution function from 0 up to where it ends.
-
-    A rate is at most ``MAX_RATE``: so a tiny source with a large target isn't repeated without end, and e^-rate stays a normal number.
-    """
+    """__source, rate, parts, cdf: one row per source. ``cdf`` is the distribution function of one of the ``parts`` from 0 up to where it ends."""
     counts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source")).agg(F.count("*").alias("n"))
     if weights is None:
         share = F.sqrt("n")
@@ -42,18 +41,20 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, rows_wanted:
     counts = counts.withColumn("share", share)
     whole = counts.agg(F.sum("n").alias("rows"), F.sum("share").alias("shares"))
     wanted = F.col("rows") if rows_wanted is None else F.lit(rows_wanted)
-    rate = F.least(F.lit(MAX_RATE), F.coalesce(wanted * F.col("share") / F.nullif(F.col("shares"), F.lit(0.0)), F.lit(0.0)) / F.col("n"))
-    steps = F.sequence(F.lit(1), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int"))
-    start = F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
+    rate = F.coalesce(wanted * F.col("share") / F.nullif(F.col("shares"), F.lit(0.0)), F.lit(0.0)) / F.col("n")
+    steps = F.sequence(F.lit(1), F.ceil(F.col("__part") + 12 * F.sqrt("__part") + 20).cast("int"))
+    start = F.struct(F.exp(-F.col("__part")).alias("p"), F.array(F.exp(-F.col("__part"))).alias("cdf"))
 
     def step(acc: Column, k: Column) -> Column:
-        p = acc["p"] * F.col("rate") / k
+        p = acc["p"] * F.col("__part") / k
         return F.struct(p.alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + p)).alias("cdf"))
 
     return (
         counts.crossJoin(F.broadcast(whole))  # one row
         .withColumn("rate", rate)
-        .select("__source", "rate", F.aggregate(steps, start, step, lambda acc: acc["cdf"]).alias("cdf"))
+        .withColumn("parts", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rate") / MAX_RATE)))
+        .withColumn("__part", F.col("rate") / F.col("parts"))
+        .select("__source", "rate", "parts", F.aggregate(steps, start, step, lambda acc: acc["cdf"]).alias("cdf"))
     )
 
 
@@ -61,13 +62,20 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, rows_wan
     """The mixture before it is shuffled: the columns of ``docs`` plus __rate, __copies and __copy (from 1)."""
     tables = Tables(docs.sparkSession, "mix")
     plan = tables.save(rates(docs, weights, rows_wanted), "rates")
-    draw = uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+    def copies(draw: Column) -> Column:
+        return F.size(F.filter("__cdf", lambda c: draw >= c)).cast("long")
+
+    more = F.aggregate(
+        F.sequence(F.lit(2).cast("long"), F.col("__parts")), F.lit(0).cast("long"), lambda n, k: n + copies(uniform(F.lit(str(seed)), name, k.cast("string")))
+    )
     return (
         docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-        .join(plan.withColumnRenamed("rate", "__rate").withColumnRenamed("cdf", "__cdf"), "__source")
-        .withColumn("__draw", draw)
-        .withColumn("__copies", F.size(F.filter("__cdf", lambda c: F.col("__draw") >= c)))
-        .drop("__cdf", "__draw", "__source")
+        .join(plan.withColumnRenamed("rate", "__rate").withColumnRenamed("cdf", "__cdf").withColumnRenamed("parts", "__parts"), "__source")
+        .withColumn("__draw", uniform(F.lit(str(seed)), name))
+        .withColumn("__copies", copies(F.col("__draw")) + F.when(F.col("__parts") > 1, more).otherwise(0)).withColumn("__copies", F.col("__copies").cast("int"))
+        .drop("__cdf", "__draw", "__parts", "__source")
         .filter("__copies > 0")
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     )

@@ -302,6 +302,13 @@ def test_poisson_mix(spark, docs):
     assert a == b and poisson_mix.poisson_mix(docs).columns == docs.columns
 
 
+def test_poisson_rates_are_not_cut(spark):
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100, "small").otherwise("large").alias("source"))
+    mixed = poisson_mix.replicate(many, {"small": 9.0, "large": 1.0}, rows_wanted=10_000)
+    per = [r["n"] for r in mixed.filter("source = 'small'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()]
+    assert len(per) == 100 and abs(sum(per) - 9000) < 5 * 95 and 40 < np.var(per) < 160
+
+
 def test_empty_tables(spark, nothing):
     assert exact_dedup.exact_groups(nothing).count() == 0
     assert ngram_join.ngram_components(nothing).count() == 0
