@@ -373,7 +373,7 @@ for _group, _key in (("type", "type"), ("company", "ticker"), ("person", "person
 
 def _edges(c: Catalog) -> DataFrame:
     return c.read("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b")).unionByName(
-        c.read("lineitem").filter("l_partkey < 50").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
+        c.read("lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
     )
 
 

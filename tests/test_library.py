@@ -70,6 +70,25 @@ def test_graph(spark):
     assert graph.budget_of(4, 500) == 100
 
 
+def test_graph_query_takes_all_edges(spark):
+    import __spark_entry__
+
+    directory = "/root/testdata/sf0.001"
+    near = {}
+    for name, a, b, x, y in (("orders", "o_orderkey", "o_custkey", "o", "c"), ("lineitem", "l_orderkey", "l_partkey", "o", "p")):
+        for r in spark.read.parquet(f"{directory}/{name}.parquet").select(a, b).collect():
+            u, v = f"{x}{r[0]}", f"{y}{r[1]}"
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    level, left, edge = {"c7": 0}, 199, ["c7"]
+    for k in (1, 2):
+        edge = sorted({n for e in edge for n in near.get(e, ())} - set(level))[:left]
+        left -= len(edge)
+        level |= dict.fromkeys(edge, k)
+    got = __spark_entry__.queries()["graph_bfs"](spark, directory).collect()
+    assert {r["node"]: r["level"] for r in got} == level and any(n[0] == "p" and int(n[1:]) >= 50 for n in level)
+
+
 def test_fql_parser():
     q = fql.parse('type:trade,insider -ticker:A,B amount:>50k "two words" limit:20 sort:amount')
     assert [c.key for c in q.clauses] == ["type", "ticker", "amount"] and q.clauses[1].negated and q.clauses[2].low == 50_000 and q.clauses[2].low_open
