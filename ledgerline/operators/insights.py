@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import clamp, days_between, week_of
-from .signals import oversees, round_trips, swarms
+from .signals import enriched_swarms, oversees, round_trips
 from .temporal import asof_join, band_join
 from .trades import count_if, distinct_if, is_buy, is_sell
 
@@ -77,11 +77,14 @@ def quick_round_trip(trades: DataFrame, baseline_days: int = 365, days: int = 30
     return _finding(quick.withColumn("__r", rarity).filter("__r is not null"), "round_trip", F.col("person_id"), F.col("ticker"), F.col("sold_at"), F.col("__r"), "hold_days", "est", "usual")
 
 
-def swarm_outlier(trades: DataFrame, ticker: str = "ticker") -> DataFrame:
-    own = trades if ticker == "ticker" else trades.withColumn("ticker", F.col(ticker).cast("string"))
-    per = swarms(own, 4, None).groupBy("ticker").agg(F.sum("reps").alias("reps"), F.count("*").alias("weeks"), F.max("week").alias("week"))
-    rarity = 30 + 5.0 * F.col("reps") + 10.0 * F.col("weeks")
-    return _finding(per.filter(rarity >= 50), "swarm_outlier", F.lit(""), F.col("ticker"), F.col("week"), rarity, "reps", "weeks")
+def swarm_outlier(trades: DataFrame, insiders: DataFrame, prices: DataFrame) -> DataFrame:
+    """Tickers by their swarms: more if insiders traded in a swarm's week, and for each week whose volume was under 1.5 times the usual."""
+    per = enriched_swarms(trades, insiders, prices, 4).groupBy("ticker").agg(
+        F.sum("reps").alias("reps"), F.count("*").alias("weeks"), F.max("week").alias("week"),
+        F.sum("insider_trades").alias("insider_trades"), count_if(F.col("volume_ratio") < 1.5).alias("low_volume_weeks"),
+    )
+    rarity = 30 + 5.0 * F.col("reps") + 10.0 * F.col("weeks") + F.when(F.col("insider_trades") > 0, 10.0).otherwise(0.0) + 5.0 * F.col("low_volume_weeks")
+    return _finding(per.filter(rarity >= 50), "swarm_outlier", F.lit(""), F.col("ticker"), F.col("week"), rarity, "reps", "weeks", "insider_trades", "low_volume_weeks")
 
 
 def lone_wolf(trades: DataFrame, factor: float = 4.0, least: int = 5, top: int = 3) -> DataFrame:

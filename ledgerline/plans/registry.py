@@ -272,7 +272,7 @@ DETECTORS: dict[str, tuple[Callable[[Catalog], DataFrame], str, tuple[str, ...]]
         (TRIPS,),
     ),
     "swarm_outlier": (
-        lambda c: insights.swarm_outlier(c.trades),
+        lambda c: insights.swarm_outlier(c.trades, c.trades.select("ticker", F.col("filed_at").alias("traded_at"), "trade_type"), c.prices),
         finding("swarm_outlier", "''", "ticker", "max(week)", "30 + 5 * sum(reps) + 10 * count(*)", "FROM sw GROUP BY ticker HAVING 30 + 5 * sum(reps) + 10 * count(*) >= 50"),
         (SW,),
     ),

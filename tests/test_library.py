@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import exprs
-from ledgerline.operators import graph, scores, signals
+from ledgerline.operators import graph, insights, scores, signals
 from ledgerline.operators.temporal import asof_join, band_join
 from ledgerline.plans import fql
 from ledgerline.sources import payloads, sinks
@@ -89,6 +89,15 @@ def test_graph_query_takes_all_edges(spark):
     assert {r["node"]: r["level"] for r in got} == level and any(n[0] == "p" and int(n[1:]) >= 50 for n in level)
 
 
+def test_swarm_outlier_adds_insiders_and_quiet_weeks(spark):
+    day = dt.datetime(2024, 3, 6)
+    trades = spark.createDataFrame([(i, f"N{i}", t, "purchase", "R", day) for t in ("AAA", "BBB", "CCC") for i in range(4)], "person_id int, name string, ticker string, trade_type string, party string, traded_at timestamp")
+    insiders = spark.createDataFrame([("AAA", day, "purchase"), ("BBB", day + dt.timedelta(days=9), "purchase")], "ticker string, traded_at timestamp, trade_type string")
+    prices = spark.createDataFrame([(t, day - dt.timedelta(days=d), 100, v) for t, now in (("AAA", 149), ("BBB", 150)) for d, v in ((0, now), (20, 100))], "ticker string, at timestamp, price_cents int, volume int")
+    got = {r["ticker"]: r["rarity"] for r in insights.swarm_outlier(trades, insiders, prices).collect()}
+    assert got == {"AAA": 75.0, "BBB": 60.0, "CCC": 60.0}
+
+
 def test_fql_parser():
     q = fql.parse('type:trade,insider -ticker:A,B amount:>50k "two words" limit:20 sort:amount')
     assert [c.key for c in q.clauses] == ["type", "ticker", "amount"] and q.clauses[1].negated and q.clauses[2].low == 50_000 and q.clauses[2].low_open
