@@ -1,8 +1,8 @@
-"""Connected components, and exact Jaccard links within groups by signature trees.
+"""Connected components, and Jaccard links within groups by signature trees.
 
 ``components`` is a distributed union-find. ``set_links`` finds, for groups of sets, which pairs reach a Jaccard similarity: a group's sets lie in
-units of bounded size, each unit has a signature tree, and trees are joined by dual traversal. ``sketch_links`` first splits the groups by
-parity bitmaps alone, which are small enough to compare every unit of a large group with all units near in size.
+units of bounded size, each unit has a signature tree, trees are joined by dual traversal, and the pairs of leaves that are left are compared exactly.
+``sketch_links`` and ``close_links`` do the same on the bitmaps alone, which are a fiftieth of a text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SLICE, Forest, least_labels, raw, shared
+from .kernels import SLICE, Forest, least_labels, mix, raw, shared
 from .tables import Tables
 
 EDGES_A_TASK = 1_000_000
@@ -86,138 +86,17 @@ UNIT_SETS, UNIT_VALUES = 512, 2_000_000
 #: The same for units of sketches.
 SKETCH_SETS, SKETCH_VALUES = 2048, 16_000_000
 FAN = 8
-
-
-class SignatureTree:
-    """Sets in order of size and then of least value; every node holds the OR of its sets' bitmaps and their range of sizes."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0))
-        self.sets = [sets[i] for i in self.order]
-        words = bits // 64
-        leaves = np.zeros((len(sets), words), dtype=np.uint64)
-        self.crowd = 1  # the most values that one set has in one bit
-        for i, values in enumerate(self.sets):
-            slot = (values >> np.uint64(20)) & np.uint64(bits - 1)
-            counts = np.bincount(slot.astype(np.int64), minlength=bits)
-            self.crowd = max(self.crowd, int(counts.max(initial=1)))
-            leaves[i] = np.packbits(counts > 0, bitorder="little").view(np.uint64)
-        sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
-        self.levels = [(leaves, sizes, sizes)]
-        while len(self.levels[-1][0]) > 1:
-            maps, low, high = self.levels[-1]
-            starts = np.arange(0, len(maps), FAN)
-            self.levels.append((np.bitwise_or.reduceat(maps, starts, axis=0), np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)))
-
-
-def _need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """The least overlap of sets of these sizes that reaches the similarity: 100 i >= p (a + b - i)."""
-    return -(-(percent * (a + b)) // (100 + percent))
-
-
-def _possible(x, i: np.ndarray, y, j: np.ndarray, crowd: int, leaf: bool, percent: int) -> np.ndarray:
-    """Which node pairs may hold a pair of sets that is similar enough, by sizes and by the largest possible overlap."""
-    (maps_x, low_x, high_x), (maps_y, low_y, high_y) = x, y
-    keep = (100 * high_x[i] >= percent * low_y[j]) & (100 * high_y[j] >= percent * low_x[i])
-    need = _need(low_x[i], low_y[j], percent)
-    rows = max(1, (1 << 18) // maps_x.shape[1])  # about 2 MB of bitmaps at a time
-    for at in range(0, len(i), rows):
-        part = slice(at, at + rows)
-        a, b = maps_x[i[part]], maps_y[j[part]]
-        if leaf:  # a bit that only one of the sets has stands for a value that the other one hasn't
-            most = np.minimum(
-                high_x[i[part]] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), high_y[j[part]] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
-            )
-        else:
-            most = np.minimum(np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) * crowd, np.minimum(high_x[i[part]], high_y[j[part]]))
-        keep[part] &= most >= need[part]
-    return keep
-
-
-def dual_traversal(x: SignatureTree, y: SignatureTree, percent: int) -> Iterator[tuple[int, int]]:
-    """Candidate pairs (positions in the trees' orders) that no bound excludes; with x is y each pair once."""
-    crowd = min(x.crowd, y.crowd)
-    level = max(len(x.levels), len(y.levels)) - 1
-    i = j = np.zeros(1, dtype=np.int64)
-    while True:
-        a, b = x.levels[min(level, len(x.levels) - 1)], y.levels[min(level, len(y.levels) - 1)]
-        keep = _possible(a, i, b, j, crowd, level == 0, percent)
-        i, j = i[keep], j[keep]
-        if level == 0 or not len(i):
-            break
-        level -= 1
-        i, j = _children(i, j, level, x, y)
-        if x is y:
-            once = i <= j
-            i, j = i[once], j[once]
-    if x is y:
-        i, j = i[i != j], j[i != j]
-    yield from zip(i.tolist(), j.tolist(), strict=True)
-
-
-def _children(i: np.ndarray, j: np.ndarray, level: int, x: SignatureTree, y: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
-    def grow(at: np.ndarray, tree: SignatureTree) -> tuple[np.ndarray, int]:
-        return (at[:, None] * FAN + np.arange(FAN), len(tree.levels[level][0])) if level + 1 < len(tree.levels) else (at[:, None], len(tree.levels[-1][0]))
-
-    (a, n), (b, m) = grow(i, x), grow(j, y)
-    left = np.repeat(a, b.shape[1], axis=1).ravel()
-    right = np.tile(b, (1, a.shape[1])).ravel()
-    inside = (left < n) & (right < m)
-    return left[inside], right[inside]
-
-
-def _bits(sets: list[np.ndarray]) -> int:
-    """Bits of a bitmap: four for each value of the largest set, 256 to 65,536."""
-    return min(1 << 16, max(256, 1 << (4 * max(map(len, sets))).bit_length()))
-
-
-def _pairs(x: list[np.ndarray], y: list[np.ndarray], same: bool, percent: int) -> Iterator[tuple[int, int]]:
-    """Candidate pairs of two lists of sets. Lists that one node holds are compared by size alone, larger ones through signature trees."""
-    if max(len(x), len(y)) <= FAN:
-        for i, a in enumerate(x):
-            for j in range(i + 1 if same else 0, len(y)):
-                if 100 * len(a) >= percent * len(y[j]) and 100 * len(y[j]) >= percent * len(a):
-                    yield i, j
-        return
-    bits = _bits(x + y)
-    left = SignatureTree(x, bits)
-    right = left if same else SignatureTree(y, bits)
-    for i, j in dual_traversal(left, right, percent):
-        yield left.order[i], right.order[j]
-
-
-def _unit_links(ids: list[int], side: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of a unit with itself (all sides 0), or between two units. Sets known to be connected aren't compared."""
-    _, known = np.unique(label, return_inverse=True)
-    forest, links, first = Forest(len(ids)), [], {}
-    for i, k in enumerate(known.tolist()):
-        forest.join(first.setdefault(k, i), i)
-    if len(first) > 1:
-        left, right = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
-        same = not right
-        right = right or left
-        for i, j in _pairs([sets[i] for i in left], [sets[j] for j in right], same, percent):
-            a, b = left[i], right[j]
-            if forest.find(a) != forest.find(b):
-                common = shared(sets[a], sets[b])
-                if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
-                    forest.join(a, b)
-                    links.append((ids[a], ids[b]))
-    return links
-
-
 #: Bits that the smallest sketch has.
 LEAST_BITS = 64
+#: Words of bitmaps that one step of a traversal holds of each side, about 4 MB.
+WORDS = 1 << 19
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """A set's size and parity bitmap: a bit is the parity of the values that fall on it. It has as many bits as values, up to the next power of two.
-
-    Two bitmaps differ in at most as many bits as the sets differ in values. A bitmap of twice the bits becomes one of half by XOR of its halves.
-    """
+    """A set's size and token bitmap: a bit is set if a value falls on it. It has one or two bits a value. One of twice the bits becomes one of half by OR of its halves."""
     bits = max(LEAST_BITS, 1 << max(0, len(values) - 1).bit_length())
     slot = ((values >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
-    return len(values).to_bytes(8, "little") + np.packbits((np.bincount(slot, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+    return len(values).to_bytes(8, "little") + np.packbits(np.bincount(slot, minlength=bits) > 0, bitorder="little").tobytes()
 
 
 def _sketches(data: list[bytes]) -> list[np.ndarray]:
@@ -225,79 +104,155 @@ def _sketches(data: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype=np.uint64) for x in data]
 
 
-def _sketch_pairs(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (of the same side, or of both if there are two) whose sizes and sketches allow the similarity, a block of about 2 MB at a time."""
-    size = np.array([int(s[0]) for s in sets], dtype=np.int64)
-    width = np.array([len(s) - 1 for s in sets])
-    two = bool(side.any())
-    for words in np.unique(width).tolist():
-        rows = np.flatnonzero((width == words) & (side == 0)) if two else np.flatnonzero(width == words)
-        # partners of the same width, of twice the width (folded), and between two sides of half of it (the rows are folded)
-        for other in (words, 2 * words, words // 2) if two else (words, 2 * words):
-            columns = np.flatnonzero((width == other) & (side == 1)) if two else np.flatnonzero(width == other)
-            if not len(rows) or not len(columns) or other == 0:
+def _need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The least overlap of sets of these sizes that reaches the similarity: 100 i >= p (a + b - i)."""
+    return -(-(percent * (a + b)) // (100 + percent))
+
+
+class SignatureForest:
+    """Many signature trees side by side. Leaves are sets, in order of tree and size; a node of up to ``FAN`` children of one tree holds the OR and the AND of their
+    bitmaps and their range of sizes. On the last level every tree has one node, its root; node numbers there are tree numbers."""
+
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, tree: np.ndarray):
+        self.levels = [(maps, maps, sizes, sizes)]
+        self.children: list[tuple[np.ndarray, np.ndarray]] = []
+        while True:
+            first = np.flatnonzero(np.diff(tree, prepend=-1))
+            inside = np.arange(len(tree)) - np.repeat(first, np.diff(np.append(first, len(tree))))
+            if self.children and not inside.any():
+                break
+            starts = np.flatnonzero(inside % FAN == 0)
+            any_, all_, low, high = self.levels[-1]
+            ufuncs = ((np.bitwise_or, any_), (np.bitwise_and, all_), (np.minimum, low), (np.maximum, high))
+            self.levels.append(tuple(f.reduceat(x, starts, axis=0) for f, x in ufuncs))
+            self.children.append((starts, np.diff(np.append(starts, len(tree)))))
+            tree = tree[starts]
+
+    def possible(self, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of nodes may hold a pair of sets that is similar enough, by their sizes and by the largest overlap.
+
+        A bit that all sets of one node have and no set of the other one stands for a value that no overlap has.
+        """
+        any_, all_, low, high = self.levels[level]
+        keep = (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
+        at = np.flatnonzero(keep)
+        a, b = i[at], j[at]
+        most = np.minimum(
+            high[a] - np.bitwise_count(all_[a] & ~any_[b]).sum(axis=1, dtype=np.int64), high[b] - np.bitwise_count(all_[b] & ~any_[a]).sum(axis=1, dtype=np.int64)
+        )
+        keep[at] = most >= _need(low[a], low[b], percent)
+        return keep
+
+    def traverse(self, i: np.ndarray, j: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaves that no bound excludes, below the pairs (i, j) of roots; within one tree each pair once. Depth first, in blocks of bounded size."""
+        rows = max(1, WORDS // self.levels[0][0].shape[1])
+        todo = [(len(self.levels) - 1, i, j)]
+        while todo:
+            level, i, j = todo.pop()
+            if len(i) > rows:
+                todo += [(level, i[rows:], j[rows:]), (level, i[:rows], j[:rows])]
+                continue
+            keep = self.possible(level, i, j, percent)
+            i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            if level == 0:
+                yield i, j
                 continue
-            least = min(words, other)
-            x, y = _folded(sets, rows, least), _folded(sets, columns, least)
-            a, b = np.argsort(size[rows], kind="stable"), np.argsort(size[columns], kind="stable")
-            x, y, of_x, of_y = x[a], y[b], rows[a], columns[b]
-            m, n = size[of_x], size[of_y]
-            step = max(1, min(len(m), 64))
-            for at in range(0, len(m), step):
-                mine = slice(at, at + step)
-                low = int(np.searchsorted(n, -(-percent * m[at] // 100)))
-                if not two and other == words:  # each pair once
-                    low = max(low, at)
-                high = int(np.searchsorted(n, 100 * m[mine][-1] // percent, side="right"))
-                wide = max(1, (1 << 18) // (step * least))
-                for to in range(low, high, wide):
-                    theirs = slice(to, min(high, to + wide))
-                    apart = np.bitwise_count(x[mine, None] ^ y[None, theirs]).sum(axis=2, dtype=np.int64)
-                    total = m[mine, None] + n[None, theirs]
-                    near = (apart <= total - 2 * _need(total, 0, percent)) & (100 * m[mine, None] >= percent * n[None, theirs])
-                    near &= 100 * n[None, theirs] >= percent * m[mine, None]
-                    i, j = np.nonzero(near)
-                    i, j = of_x[mine][i], of_y[theirs][j]
-                    yield i[i != j], j[i != j]
-
-
-def _folded(sets: list[np.ndarray], which: np.ndarray, words: int) -> np.ndarray:
-    """The bitmaps of these sketches, which are of one width, in so many words."""
-    maps = np.stack([sets[k][1:] for k in which.tolist()])
-    return maps if maps.shape[1] == words else maps[:, :words] ^ maps[:, words:]
-
-
-def _sketch_links(ids: list[int], side: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sketches allow the similarity; all that is known to be connected is passed over."""
-    if (label == label[0]).all():
-        return []
+            part = max(1, rows // (FAN * FAN))
+            todo += [(level - 1, *self._below(level - 1, i[at : at + part], j[at : at + part])) for at in range(0, len(i), part)]
+
+    def _below(self, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of a child of i with a child of j; of a node with itself each pair once, and on the level of sets none of a set with itself."""
+        starts, counts = self.children[level]
+        pairs = counts[i] * counts[j]
+        k = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        width = np.repeat(counts[j], pairs)
+        left, right = np.repeat(starts[i], pairs) + k // width, np.repeat(starts[j], pairs) + k % width
+        once = np.repeat(i != j, pairs) | ((left < right) if level == 0 else (left <= right))
+        return left[once], right[once]
+
+
+def candidates(sketches: list[np.ndarray], unit: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of one unit (of both its sides, where it has two) that signature trees can't exclude, a block at a time.
+
+    Trees are joined in the width of the narrower bitmap: sets with bitmaps of one width, and those with the next one, which are folded.
+    """
+    size = np.array([int(s[0]) for s in sketches], dtype=np.int64)
+    width = np.array([len(s) - 1 for s in sketches])
+    two = np.zeros(int(unit.max(initial=0)) + 1, dtype=bool)
+    two[unit[side == 1]] = True
+    for words in np.unique(width).tolist():
+        own = np.flatnonzero((width == words) | ((width == 2 * words) & (percent * size <= 100 * 64 * words)))
+        wide = (width[own] != words).astype(np.int64)
+        key = unit[own] * 4 + side[own] * 2 + wide
+        order = np.lexsort((size[own], key))
+        own, key = own[order], key[order]
+        maps = np.stack([_folded(sketches[k][1:], words) for k in own.tolist()])
+        names, tree = np.unique(key, return_inverse=True)
+        forest = SignatureForest(maps, size[own], tree)
+        roots = []
+        for a, b, which in ((0, 0, ~two), (0, 1, ~two), (0, 2, two), (0, 3, two), (1, 2, two)):  # as 2 side + wide
+            left = names[(names % 4 == a) & which[names // 4]]
+            left = left[np.isin(left - a + b, names)]
+            roots.append((np.searchsorted(names, left), np.searchsorted(names, left - a + b)))
+        i, j = (np.concatenate([r[k] for r in roots]) for k in (0, 1))
+        for x, y in forest.traverse(i, j, percent):
+            yield own[x], own[y]
+
+
+def _folded(words: np.ndarray, to: int) -> np.ndarray:
+    return words if len(words) == to else words[:to] | words[to:]
+
+
+def _set_links(ids: np.ndarray, unit: np.ndarray, side: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of units: what the trees leave is compared exactly, unless it is known to be connected."""
+    _, known = np.unique(label, return_inverse=True)
+    forest, a, b = Forest(len(known)), [], []
+    for x, y in candidates(_sketches([sketch(s) for s in sets]), unit, side, percent):
+        apart = known[x] != known[y]
+        for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+            p, q = int(known[i]), int(known[j])
+            if forest.find(p) != forest.find(q):
+                common = shared(sets[i], sets[j])
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    forest.join(p, q)
+                    a.append(i)
+                    b.append(j)
+    return ids[np.array(a, dtype=np.int64)], ids[np.array(b, dtype=np.int64)]
+
+
+def _sketch_links(ids: np.ndarray, unit: np.ndarray, side: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that the trees leave; all that is known to be connected is passed over."""
     a = b = np.zeros(0, dtype=np.int64)
-    for i, j in _sketch_pairs(sets, side, percent):
-        apart = label[i] != label[j]
-        a, b = np.concatenate((a, i[apart])), np.concatenate((b, j[apart]))
+    mixed = np.zeros(int(unit.max(initial=0)) + 1, dtype=bool)  # units of several labels
+    first = np.flatnonzero(np.diff(unit, prepend=-1))
+    if len(first):
+        mixed[unit[first]] = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+    own = np.flatnonzero(mixed[unit])
+    if not len(own):
+        return a, b
+    for x, y in candidates([sets[k] for k in own.tolist()], unit[own], side[own], percent):
+        x, y = label[own[x]], label[own[y]]
+        apart = x != y
+        a, b = np.concatenate((a, x[apart])), np.concatenate((b, y[apart]))
         if len(a) > 1 << 18:
             a, b = least_labels(a, b)
             a, b = a[a != b], b[a != b]
     a, b = least_labels(a, b)
-    apart = a != b
-    return [(ids[i], ids[j]) for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True)]
+    return a[a != b], b[a != b]
 
 
 def _join_units(percent: int, expand: Callable[[list[bytes]], list[np.ndarray]], links_of: Callable) -> Callable:
-    """For one task, whose rows are sorted by unit: the links of one unit (or pair of units) after another."""
+    """For one task, whose rows are sorted by unit: the links of its units, some units at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_units(batches):
-            unit = rows.column("unit").to_numpy()
-            ids, side, label = rows.column("id").to_pylist(), rows.column("side").to_numpy(), rows.column("label").to_numpy()
-            sets = _expanded(raw(rows.column("data")), expand)
-            cuts = np.flatnonzero(np.diff(unit)) + 1
-            links: list[tuple[int, int]] = []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(unit)], strict=True):
-                if b - a > 1:
-                    links += links_of(ids[a:b], side[a:b], label[a:b], sets[a:b], percent)
-            columns = [pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)]
-            yield pa.record_batch(columns, names=["a", "b"])
+            if rows.num_rows > 1:
+                _, unit = np.unique(rows.column("unit").to_numpy(), return_inverse=True)
+                ids, side, label = (rows.column(c).to_numpy() for c in ("id", "side", "label"))
+                links = links_of(ids, unit, side, label, _expanded(raw(rows.column("data")), expand), percent)
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
 
     return run
 
@@ -345,14 +300,22 @@ def _linked(rows: DataFrame, join: Callable) -> DataFrame:
     return own.repartition("unit").sortWithinPartitions("unit").mapInArrow(join, "a long, b long")
 
 
-def sketch_links(sizes: DataFrame, sketches: DataFrame, percent: int, tables: Tables, name: str) -> DataFrame:
-    """node, label of all sets that have a partner within their group which sizes and sketches (id, data) allow: no link lies outside these components.
+def sketch_links(sizes: DataFrame, sketches: DataFrame, percent: int, tables: Tables, name: str, known: DataFrame | None = None) -> DataFrame:
+    """node, label of all sets that have a partner in a partition which signature trees over sketches (id, data) can't exclude: no link lies outside these components."""
+    units = (SKETCH_SETS, SKETCH_VALUES)
+    return _group_links(sizes, lambda ids: sketches, _join_units(percent, _sketches, _sketch_links), percent, units, tables, name, known)
+
+
+def close_links(members: DataFrame, percent: int, tables: Tables, name: str) -> DataFrame:
+    """node, label of sets (group, id, n, data) that trees over sketches connect within units of a group; a set may be in several groups.
 
-    Sketches take a bit or two a value, a fiftieth of a text, so that units are larger. A group that chance or a passage holds together falls apart
-    here, before any of its texts travels.
+    No pair of units is joined, so this costs no more than the rows that come in, and connects most of what is near, not all.
     """
-    units = (SKETCH_SETS, SKETCH_VALUES)
-    return _group_links(sizes, lambda ids: sketches, _join_units(percent, _sketches, _sketch_links), percent, units, tables, name)
+    whole = members.groupBy("group").agg(F.count("*").alias("sets")).filter("sets > 1")
+    deals = F.ceil(F.col("sets") / SKETCH_SETS)
+    unit = F.struct("group", F.pmod(F.xxhash64("id", "group"), deals).alias("deal")).alias("unit")
+    rows = members.join(whole, "group").select(unit, F.lit(0).alias("side"), "id", F.col("id").alias("label"), "data")
+    return components(_linked(rows, _join_units(percent, _sketches, _sketch_links)), tables, name)
 
 
 def set_links(
@@ -364,7 +327,7 @@ def set_links(
     name: str,
 ) -> DataFrame:
     """node, label of all sets that have a link within their group, by signature trees and exact comparison."""
-    return _group_links(sizes, read, _join_units(percent, expand, _unit_links), percent, (UNIT_SETS, UNIT_VALUES), tables, name)
+    return _group_links(sizes, read, _join_units(percent, expand, _set_links), percent, (UNIT_SETS, UNIT_VALUES), tables, name)
 
 
 def _group_links(
@@ -375,11 +338,12 @@ def _group_links(
     limits: tuple[int, int],
     tables: Tables,
     name: str,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """node, label of all sets that ``join`` links within their group.
 
-    ``sizes``: group, id (long, unique), n (the set's size); ``read`` gives id and data (binary) for the ids of a table, and perhaps more rows; ``join``
-    works on data. Texts travel rather than sets: they are smaller. ``limits``: the most sets and values of a unit.
+    ``sizes``: group, id (long), n (the set's size), a row for every group that a set is in; ``read`` gives id and data (binary) for the ids of a table, each once, and perhaps
+    more rows; ``join`` works on data. ``limits``: the most sets and values of a unit. ``known``: node, label of what is connected already.
 
     A unit holds sets of one group and of one class of sizes (similar sets lie in the same or in neighbouring classes), dealt by a hash of the id when
     there are many. Groups that fit one unit are done after the first round. For larger ones, components so far are carried into a round that joins each
@@ -406,8 +370,16 @@ def _group_links(
         F.struct("group", F.col("size_class").alias("class"), F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "deals")).cast("int").alias("deal"))
     )
     units = tables.save(sizes.join(classes, ["group", "size_class"]).select(unit_of.alias("unit"), "id"), f"{name}-units")
-    first = units.join(read(units), "id").select("unit", F.lit(0).alias("side"), "id", F.col("id").alias("label"), "data")
-    links = tables.save(_linked(first, join), f"{name}-links-0")
+    links = None
+
+    def save(found: DataFrame, at: str) -> DataFrame:
+        found = tables.save(found, at)
+        return found if links is None else links.unionByName(found)
+
+    if known is not None:
+        links = tables.save(known.select(F.col("node").alias("a"), F.col("label").alias("b")), f"{name}-known")
+    first = _labelled(units, known).join(read(units), "id").select("unit", F.lit(0).alias("side"), "id", "label", "data")
+    links = save(_linked(first, join), f"{name}-links-0")
     large = classes.filter("deals > 0")
     if large.isEmpty():
         return components(links, tables, f"{name}-cc")
@@ -415,12 +387,7 @@ def _group_links(
     pairs = _unit_pairs(large)
     for k, some in enumerate((pairs.filter("hub"), pairs.filter("not hub")), 1):
         label = tables.save(components(links, tables, f"{name}-cc-{k}"), f"{name}-labels-{k}")
-        labelled = (
-            units.filter("unit.class >= 0")
-            .join(label.withColumnRenamed("node", "id"), "id", "left")
-            .select("unit", "id", F.coalesce("label", "id").alias("label"))
-        )
-        labelled = tables.save(labelled, f"{name}-labelled-{k}")
+        labelled = tables.save(_labelled(units.filter("unit.class >= 0"), label), f"{name}-labelled-{k}")
         spans = labelled.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         sides = [spans.select(F.col("unit").alias(u), F.col("lo").alias(f"{u}_lo"), F.col("hi").alias(f"{u}_hi")) for u in ("x", "y")]
         mixed = some.join(sides[0], "x").join(sides[1], "y").filter("least(x_lo, y_lo) <> greatest(x_hi, y_hi)").select("x", "y")
@@ -431,11 +398,18 @@ def _group_links(
             )
             rows = tables.save(to.join(labelled, "unit").select(F.struct("x", "y").alias("unit"), "side", "id", "label"), f"{name}-sides-{k}")
             more = rows.join(read(rows.select("id").distinct()), "id")
-            links = links.unionByName(tables.save(_linked(more, join), f"{name}-links-{k}"))
+            links = save(_linked(more, join), f"{name}-links-{k}")
             tables.free()
     return components(links, tables, f"{name}-cc")
 
 
+def _labelled(units: DataFrame, label: DataFrame | None) -> DataFrame:
+    """unit, id, label: of a set that is connected with nothing its own id."""
+    if label is None:
+        return units.select("unit", "id", F.col("id").alias("label"))
+    return units.join(label.withColumnRenamed("node", "id"), "id", "left").select("unit", "id", F.coalesce("label", "id").alias("label"))
+
+
 def _unit_pairs(large: DataFrame) -> DataFrame:
     """x, y, hub: pairs of units of one group whose classes are the same or neighbours. A hub pair has the first unit of its class on one side."""
     one = large.select("group", "size_class", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
@@ -464,8 +438,16 @@ def shared_key_edges(entries: DataFrame, tasks: int) -> DataFrame:
     return entries.repartition(tasks, "part").mapInArrow(_meet, "a long, b long")
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One part after another would need them sorted; all parts of a task together need no more memory than its entries."""
+def shared_key_groups(entries: DataFrame, tasks: int) -> DataFrame:
+    """(group, id) of all runs of ids that share a key and are neighbours in size. Runs of the same ids have one name, so that equal ones become one group.
+
+    Entries with a ``percent`` of 0 are of keys so hot that their ids don't meet here: the key names their group, and ids may be of any size.
+    """
+    return entries.repartition(tasks, "part").mapInArrow(_runs, "group long, id long").distinct()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """key, id, and whether an entry goes on with the run of the one before it; sorted. All parts of a task together need no more memory than its entries."""
     keys, ids, sizes = [], [], []
     percent = 0
     for batch in batches:
@@ -475,20 +457,59 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(np.frombuffer(n.as_buffer(), dtype=np.int32))
             percent = p
     if not keys:
-        return
+        return None
     key, id_, size = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
     del keys, ids, sizes
-    order = np.argsort(key) if size.min() == size.max() else np.lexsort((size, key))
+    order = np.argsort(key) if size.min() == size.max() else np.lexsort((id_, size, key))
     key, id_, size = key[order], id_[order], size[order]
-    near = (key[1:] == key[:-1]) & (id_[1:] != id_[:-1]) & (100 * size[:-1] >= percent * size[1:])
-    nodes, label = least_labels(id_[:-1][near], id_[1:][near])
-    apart = nodes != label
-    yield pa.record_batch([pa.array(nodes[apart]), pa.array(label[apart])], names=["a", "b"])
+    return key, id_, (key[1:] == key[:-1]) & (100 * size[:-1] >= percent * size[1:])
 
 
-def packed_entries(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parts: int, percent: int) -> pa.RecordBatch:
-    """The entries of a slice, a row for each part that has any."""
-    part = (((keys >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met = _met(batches)
+    if met is not None:
+        _, id_, near = met
+        near &= id_[1:] != id_[:-1]
+        nodes, label = least_labels(id_[:-1][near], id_[1:][near])
+        apart = nodes != label
+        yield pa.record_batch([pa.array(nodes[apart]), pa.array(label[apart])], names=["a", "b"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hot: list[pa.RecordBatch] = []
+
+    def others() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_hot = pc.equal(batch.column("percent"), 0)
+            hot.append(batch.filter(of_hot))
+            yield batch.filter(pc.invert(of_hot))
+
+    met = _met(others())
+    for batch in hot:
+        for keys, ids in zip(batch.column("keys"), batch.column("ids"), strict=True):
+            yield pa.record_batch([pa.array(np.frombuffer(x.as_buffer(), dtype=np.int64)) for x in (keys, ids)], names=["group", "id"])
+    if met is None:
+        return
+    key, id_, near = met
+    again = np.append(False, near & (id_[1:] == id_[:-1]))  # the same set from another task
+    run = np.cumsum(np.append(True, ~near))[~again]
+    id_ = id_[~again]
+    first = np.flatnonzero(np.diff(run, prepend=0))
+    length = np.diff(np.append(first, len(run)))
+    with np.errstate(over="ignore"):
+        name = mix(np.add.reduceat(mix(id_.view(np.uint64)), first) + length.astype(np.uint64))
+    several = np.flatnonzero(length > 1)
+    several = several[np.unique(name[several], return_index=True)[1]]
+    for at in range(0, len(several), 1 << 16):
+        some = several[at : at + (1 << 16)]
+        n = length[some]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.record_batch([pa.array(np.repeat(name[some], n).view(np.int64)), pa.array(id_[np.repeat(first[some], n) + inside])], names=["group", "id"])
+
+
+def packed_entries(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parts: int, percent: int, by: np.ndarray | None = None) -> pa.RecordBatch:
+    """The entries of a slice, a row for each part that has any. The parts are ranges of the keys, or of ``by``."""
+    part = ((((keys if by is None else by) >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
     part, keys = part[order].astype(np.int64), keys[order]
     ids, sizes = (x[order] if len(x) else x for x in (ids, sizes))  # keys may come alone

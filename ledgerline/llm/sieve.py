@@ -1,4 +1,4 @@
-"""A bitmap of hashed keys, of fixed size whatever the data: what it lets pass is checked exactly afterwards."""
+"""A bitmap of hashed keys, with 16 bits or more for each: what it lets pass is checked exactly afterwards."""
 
 from __future__ import annotations
 
@@ -6,12 +6,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 24
+LEAST, MOST = 1 << 20, 1 << 30
 _BUCKET = 32768
 
 
-def sieve(df: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
-    """The set bits (as booleans) for a long column; at most ``bits / 8`` bytes reach the driver, 2 MB by default."""
+def size_for(keys: int) -> int:
+    """Bits for so many keys: 128 KB of them at least and 128 MB at most. Only past 10^8 keys more than one in ten others passes, and results are exact then too."""
+    return min(MOST, max(LEAST, 1 << (16 * keys).bit_length()))
+
+
+def sieve(df: DataFrame, key: str) -> np.ndarray:
+    """The bits, packed, for a long column of a written table."""
+    bits = size_for(df.count())
     slot = slot_of(F.col(key), bits) + 1
     rows = (
         df.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
@@ -26,7 +32,7 @@ def sieve(df: DataFrame, key: str, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def slot_of(key: Column, bits: int = BITS) -> Column:
+def slot_of(key: Column, bits: int) -> Column:
     return key.bitwiseAND(F.lit(bits - 1))
 
 

@@ -6,10 +6,12 @@ so that the planner's choice between a broadcast and a shuffle rests on the byte
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,12 +41,26 @@ class Tables:
         self.spark = spark
         small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._forget)
+
+    def _forget(self) -> None:
+        """Results are plans over these tables, so that they last as long as the driver's process does."""
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            self.drop("")
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_parts(self, df: DataFrame, name: str, by: str) -> DataFrame:
+        """A table with a folder for every value of ``by``."""
+        df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(f"{self.root}/{name}")
+        return self.read(name, df.schema)
+
+    def read(self, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -68,6 +84,24 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """key, key2: 128 bits that stand for a row's id and text."""
+    own = F.coalesce(F.col(f"`{doc_id}`").cast("long").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return [F.xxhash64(*own).alias("key"), F.xxhash64(F.lit(2), *own).alias("key2")]
+
+
+def keep_rows(docs: DataFrame, fate: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that do not stay; ``fate``: key, key2, stays, times. Of a row that stays and is there several times one is left; rows that ``fate`` lacks stay."""
+    names = [f"__{c}" for c in ("key", "key2", "stays", "times")]
+    fate = fate.select(*[F.col(c).alias(n) for c, n in zip(("key", "key2", "stays", "times"), names, strict=True)])
+    own = docs.select("*", *[c.alias(n) for c, n in zip(row_keys(doc_id, text), names, strict=False)]).join(fate, names[:2], "left")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    once = own.filter("__stays is null or (__stays and __times = 1)").select(*kept)
+    if fate.filter("__stays and __times > 1").isEmpty():
+        return once
+    return once.unionByName(own.filter("__stays and __times > 1").dropDuplicates(names[:2]).select(*kept))
+
+
 def spread(spark: SparkSession, rows: int, per_task: int) -> int:
     """Tasks for so many rows; grows with the rows and is at least the session's own choice of shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // per_task))
