@@ -1,17 +1,21 @@
 """Secret scans: fixed patterns, and formats learnt by grammar inference.
 
-Base patterns give spans of three kinds. Further candidates, all runs of 16 or more of ``A-Z a-z 0-9 + / _ . = -``, are scored by probabilistic automata.
+Base patterns give spans of three kinds. Candidates are all runs of ``A-Z a-z 0-9 + / _ . = -``, and their pieces between ``=`` and between ``= / . +``, each also without
+dots and dashes at its end; they are scored by probabilistic automata.
 Each automaton is inferred from labelled credentials of one format: their prefix tree is built with counts and, in breadth-first order, states are
-merged whose frequencies (of ending, and of each next symbol, recursively) differ by no more than Hoeffding's bound allows. The
-labelled examples that aren't credentials (words, identifiers, numbers, paths) give an automaton of the same sort. A candidate's
-score is its log-likelihood under the best credential automaton less that under the other, per symbol; the threshold lies where it splits held-out
-examples best. What passes is a span of kind ``format``, unless it lies within a base span.
-
-The examples are drawn by rule from a fixed seed, so training takes a bounded time on the driver and its result is small. Documents are scanned in
-slices of 1 MB, whole texts, with no shuffle.
-
-Defined results: null counts as empty and has no spans; spans are in code points, end exclusive; repeated rows are each scanned; an empty table gives an
-empty result; other columns are not read.
+merged whose frequencies (of ending, of each next symbol, and of kinds of characters, recursively) differ by no more than Hoeffding's bound allows. In the tree a character is a
+symbol of its own where a fifth of the examples there have it, and ``.`` and ``=`` always; all others are one symbol, with frequencies of capitals, hex
+letters, other letters, digits and punctuation within it. So a tree isn't split into thin branches by random characters, and counts stay large enough to tell states of different
+lengths apart. An automaton of credentials gives a string nothing that leaves its transitions or ends where no example does: length counts. The
+labelled examples that aren't credentials (words, identifiers, numbers, paths) give an automaton of the same sort, smoothed. A candidate's
+score is its log-likelihood under the best credential automaton less that under the other, per character; the threshold lies where it splits held-out
+examples best. What passes is a span of kind ``format``, unless it lies within a base span or a longer one.
+
+All candidates are scored; the ones that no automaton can accept leave the computation at the first character that shows it. The examples are drawn by rule from a fixed seed,
+so training takes a bounded time on the driver and its result is small. Documents are scanned in slices of 1 MB, whole texts, with no shuffle.
+
+Defined results: null counts as empty and has no spans; spans are in code points, end exclusive; repeated rows and rows with a null or repeated id are each scanned; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,8 +38,7 @@ from .kernels import slices
 from .tables import only, table
 
 KINDS = ("assign", "access", "hex", "format")
-LEAST = 16
-HEAD = 4  # so many first characters are symbols of their own, later ones stand for their class
+WORD = 16  # characters of the shortest example that is no credential
 SEED = 7
 EXAMPLES = 400
 
@@ -48,26 +52,25 @@ ASSIGN = re.compile(
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
 ACCESS = re.compile("AKIA[A-Z0-9]+")
-HEX = re.compile("[0-9a-f]{16,}")  # [0-9a-f]+ is greedy and its runs are maximal: those of 16 or more are these
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
+_HEX = np.zeros(256, dtype=bool)  # [0-9a-f]+ is greedy: its matches are the maximal runs
+_HEX[[ord(c) for c in "0123456789abcdef"]] = True
 _RUN = np.zeros(256, dtype=bool)
 _RUN[[ord(c) for c in string.ascii_letters + string.digits + "+/_.=-"]] = True
 
 
-def _class_of(c: str) -> str:
-    return "U" if c.isupper() else "h" if c in "abcdef" else "l" if c.islower() else "d" if c.isdigit() else c
-
-
-_SIZES = {"U": 26, "h": 6, "l": 20, "d": 10}
 _ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
-SYMBOLS = [f"1{c}" for c in _ALPHABET] + sorted({_class_of(c) for c in _ALPHABET})
-_HEADS = {c: i for i, c in enumerate(_ALPHABET)}
-_TAILS = {c: SYMBOLS.index(_class_of(c)) for c in _ALPHABET}
-_SPREAD = np.array([0.0] * len(_ALPHABET) + [math.log(_SIZES.get(s, 1)) for s in SYMBOLS[len(_ALPHABET) :]])
-
-
-def symbols(text: str) -> list[int]:
-    return [_HEADS[c] for c in text[:HEAD]] + [_TAILS[c] for c in text[HEAD:]]
+_PLACE = np.full(256, -1, dtype=np.int64)
+_PLACE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
+_PIECE, _PART = _RUN.copy(), _RUN.copy()
+_PIECE[ord("=")] = False
+_PART[[ord(c) for c in "=/.+"]] = False
+_CLASSES = (string.ascii_uppercase, "abcdef", "ghijklmnopqrstuvwxyz", string.digits, "+/_-")
+_CLASS_OF = {c: k for k, some in enumerate(_CLASSES) for c in some}
+_SIZES = np.array([len(x) for x in _CLASSES], dtype=float)
+OTHER = len(_ALPHABET)  # the symbol of a character that is none of its own
+SHARE = 0.2
+NEVER = -1e6
 
 
 def examples(seed: int = SEED, each: int = EXAMPLES) -> dict[str, list[str]]:
@@ -95,7 +98,7 @@ def examples(seed: int = SEED, each: int = EXAMPLES) -> dict[str, list[str]]:
 
     def long_word() -> str:
         out = word()
-        while len(out) < LEAST:
+        while len(out) < WORD:
             out += word()
         return out
 
@@ -112,7 +115,7 @@ def examples(seed: int = SEED, each: int = EXAMPLES) -> dict[str, list[str]]:
         lambda: "".join(word().capitalize() for _ in range(4)),
     )
     out = {name: [make() for _ in range(each)] for name, make in made.items()}
-    out["none"] = [x for _ in range(each) for make in plain if len(x := make()) >= LEAST]
+    out["none"] = [x for _ in range(each) for make in plain if len(x := make()) >= WORD]
     return out
 
 
@@ -120,26 +123,43 @@ class Automaton:
     """A probabilistic deterministic automaton inferred from strings by merging compatible states of their prefix tree."""
 
     def __init__(self, strings: list[str], alpha: float = 0.05):
-        self.ends: list[int] = [0]
-        self.arrivals: list[int] = [0]
-        self.next: list[dict[int, int]] = [{}]
-        self.counts: list[dict[int, int]] = [{}]
-        for text in strings:
-            state = 0
-            self.arrivals[0] += 1
-            for s in symbols(text):
-                self.counts[state][s] = self.counts[state].get(s, 0) + 1
-                if s not in self.next[state]:
-                    self.next[state][s] = len(self.ends)
-                    self.ends.append(0)
-                    self.arrivals.append(0)
-                    self.next.append({})
-                    self.counts.append({})
-                state = self.next[state][s]
-                self.arrivals[state] += 1
-            self.ends[state] += 1
+        self.ends: list[int] = []
+        self.arrivals: list[int] = []
+        self.next: list[dict[int, int]] = []
+        self.counts: list[dict[int, int]] = []  # of symbols
+        self.kinds: list[np.ndarray] = []  # of the classes of characters within the symbol OTHER
+        self._grow(strings)
         self._merge(math.sqrt(0.5 * math.log(2 / alpha)))
 
+    def _grow(self, strings: list[str]) -> None:
+        todo = [(self._state(), strings, 0)]
+        while todo:
+            state, some, depth = todo.pop()
+            self.arrivals[state] = len(some)
+            after: dict[int, list[str]] = {}
+            here = Counter(x[depth] for x in some if len(x) > depth)
+            for x in some:
+                if len(x) == depth:
+                    self.ends[state] += 1
+                    continue
+                c = x[depth]
+                own = c not in _CLASS_OF or (here[c] >= SHARE * len(some) and here[c] >= 20)
+                if not own:
+                    self.kinds[state][_CLASS_OF[c]] += 1
+                after.setdefault(_ALPHABET.index(c) if own else OTHER, []).append(x)
+            for s, rest in after.items():
+                self.counts[state][s] = len(rest)
+                self.next[state][s] = self._state()
+                todo.append((self.next[state][s], rest, depth + 1))
+
+    def _state(self) -> int:
+        self.ends.append(0)
+        self.arrivals.append(0)
+        self.next.append({})
+        self.counts.append({})
+        self.kinds.append(np.zeros(len(_CLASSES)))
+        return len(self.ends) - 1
+
     def _merge(self, width: float) -> None:
         red, blue = [0], sorted(self.next[0].values())
         parent = {t: (0, s) for s, t in self.next[0].items()}
@@ -152,29 +172,30 @@ class Automaton:
                     break
             else:
                 red.append(state)
-            fringe = {}
+            known, fringe = set(red), {}
             for r in red:
                 for s, t in self.next[r].items():
-                    if t not in red:
+                    if t not in known:
                         fringe[t], parent[t] = True, (r, s)
             blue = sorted(fringe)
         self.states = red
 
     def _alike(self, a: int, b: int, width: float) -> bool:
         """Whether no frequency below the two states differs by more than Hoeffding's bound."""
-        todo = [(a, b)]
+        todo, seen = [(a, b)], set()
         while todo:
             a, b = todo.pop()
             n, m = self.arrivals[a], self.arrivals[b]
-            if not n or not m:
+            if not n or not m or (a, b) in seen:
                 continue
+            seen.add((a, b))
             bound = width * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            if abs(self.ends[a] / n - self.ends[b] / m) > bound:
+            if abs(self.ends[a] / n - self.ends[b] / m) > bound or (np.abs(self.kinds[a] / n - self.kinds[b] / m) > bound).any():
                 return False
             for s in self.counts[a].keys() | self.counts[b].keys():
                 if abs(self.counts[a].get(s, 0) / n - self.counts[b].get(s, 0) / m) > bound:
                     return False
-                if s in self.next[a] and s in self.next[b] and self.next[a][s] != a:
+                if s in self.next[a] and s in self.next[b]:
                     todo.append((self.next[a][s], self.next[b][s]))
         return True
 
@@ -185,6 +206,7 @@ class Automaton:
             a, b = todo.pop()
             self.arrivals[a] += self.arrivals[b]
             self.ends[a] += self.ends[b]
+            self.kinds[a] = self.kinds[a] + self.kinds[b]
             for s, n in self.counts[b].items():
                 self.counts[a][s] = self.counts[a].get(s, 0) + n
             for s, t in self.next[b].items():
@@ -193,20 +215,25 @@ class Automaton:
                 else:
                     self.next[a][s] = t
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Next states, log probabilities of symbols, and of ending; the last state takes what was never seen."""
+    def arrays(self, strict: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Next states, log probabilities of characters, and of ending. The last state takes what no example has: ``strict`` allows nothing of it."""
         place = {s: i for i, s in enumerate(self.states)}
-        n, k = len(self.states) + 1, len(SYMBOLS)
-        step, log, end = np.full((n, k), n - 1), np.zeros((n, k)), np.zeros(n)
+        n, k = len(self.states) + 1, len(_ALPHABET)
+        step = np.full((n, k), n - 1)
+        log, end = np.full((n, k), NEVER if strict else math.log(1 / (k + 1))), np.full(n, NEVER if strict else math.log(1 / (k + 1)))
         for state, i in place.items():
-            total = self.arrivals[state] + 0.5 * (k + 1)
-            log[i] = math.log(0.5 / total)
-            end[i] = math.log((self.ends[state] + 0.5) / total)
+            total = self.arrivals[state] + (0.0 if strict else 0.5 * (k + 1))
+            if not strict:
+                log[i] = math.log(0.5 / total)
+            ends = self.ends[state] + (0.0 if strict else 0.5)
+            if ends:
+                end[i] = math.log(ends / total)
+            kinds = (self.kinds[state] + 0.5) / (self.kinds[state].sum() + 0.5 * len(_CLASSES)) / _SIZES
             for s, c in self.counts[state].items():
-                log[i, s] = math.log((c + 0.5) / total)
-                step[i, s] = place.get(self.next[state].get(s, -1), n - 1)
-        log[n - 1], end[n - 1] = math.log(1 / (k + 1)), math.log(1 / (k + 1))
-        return step, log - _SPREAD[None, :], end
+                to = place.get(self.next[state].get(s, -1), n - 1)
+                for x, p in ((s, 1.0),) if s != OTHER else ((_ALPHABET.index(ch), kinds[cl]) for ch, cl in _CLASS_OF.items() if _ALPHABET.index(ch) not in self.counts[state]):
+                    log[i, x], step[i, x] = math.log((c + (0.0 if strict else 0.5)) * p / total), to
+        return step, log, end
 
 
 class Formats:
@@ -216,7 +243,7 @@ class Formats:
         train, held = examples(seed), examples(seed + 1, 100)
         steps, logs, ends, self.starts, self.names, at = [], [], [], [], [], 0
         for name, strings in train.items():
-            step, log, end = Automaton(strings).arrays()
+            step, log, end = Automaton(strings).arrays(strict=name != "none")
             steps.append(step + at)
             logs.append(log)
             ends.append(end)
@@ -224,33 +251,52 @@ class Formats:
             self.names.append(name)
             at += len(step)
         self.step, self.log, self.end = np.concatenate(steps), np.concatenate(logs), np.concatenate(ends)
+        self.shortest = min(self._shortest(s) for n, s in zip(self.names, self.starts, strict=True) if n != "none")
         good = np.sort(self.scores([x for name, s in held.items() if name != "none" for x in s]))
         bad = np.sort(self.scores(held["none"]))
-        cuts = np.unique(np.concatenate((good, bad)))
-        wrong = np.searchsorted(good, cuts) / len(good) + 3 * (1 - np.searchsorted(bad, cuts) / len(bad))
-        best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-        self.threshold = float(max(cuts[best[len(best) // 2]], bad[-1] + 0.05 if bad[-1] < good[len(good) // 50] else -np.inf))
+        cuts = np.unique(np.concatenate((good, bad, [0.0])))
+        cuts = cuts[cuts >= 0]  # a candidate has to be likelier as a credential than as something else
+        wrong = np.searchsorted(good, cuts) / len(good) + 3 * (1 - np.searchsorted(bad, cuts, side="right") / len(bad))
+        self.threshold = float(cuts[np.flatnonzero(wrong <= wrong.min() + 1e-12)[0]])
+
+    def _shortest(self, start: int) -> int:
+        """The length of the shortest string that an automaton accepts."""
+        edge, known, n = {start}, {start}, 0
+        while edge:
+            if any(self.end[x] > NEVER for x in edge):
+                return n
+            edge = {int(t) for x in edge for t in self.step[x][self.log[x] > NEVER]} - known
+            known |= edge
+            n += 1
+        return 1 << 62
 
     def scores(self, candidates: list[str]) -> np.ndarray:
-        """Log-likelihood per symbol of the best credential automaton less that of the other one."""
-        if not candidates:
-            return np.zeros(0)
-        lengths = np.array([len(c) for c in candidates])
-        order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[order]
-        flat = np.concatenate([np.array(symbols(candidates[i])) for i in order])
-        begins = np.cumsum(lengths) - lengths
-        state = np.tile(np.array(self.starts), (len(candidates), 1))
-        total = np.zeros(state.shape)
-        for j in range(int(lengths[0])):
-            n = int(np.searchsorted(-lengths, -j, side="left"))  # those longer than j
-            s = flat[begins[:n] + j][:, None]
-            total[:n] += self.log[state[:n], s]
-            state[:n] = self.step[state[:n], s]
-        total = (total + self.end[state]) / (lengths[:, None] + 1)
+        joined = "\0".join(candidates).encode()
+        lengths = np.array([len(c) for c in candidates], dtype=np.int64)
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        return self.span_scores(np.frombuffer(joined, dtype=np.uint8), begins, begins + lengths)
+
+    def span_scores(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Log-likelihood per character of the best credential automaton less that of the other one, of spans of bytes. A span leaves when all automata are at an end with it."""
         none = self.names.index("none")
-        out = np.empty(len(candidates))
-        out[order] = np.delete(total, none, axis=1).max(axis=1) - total[:, none]
+        out = np.full(len(start), float(NEVER))
+        own = np.flatnonzero(end - start >= self.shortest)  # no automaton accepts a shorter one
+        state = np.tile(np.array(self.starts), (len(own), 1))
+        total = np.zeros(state.shape)
+        j = 0
+        while len(own):
+            done = start[own] + j == end[own]
+            if done.any():
+                last = (total[done] + self.end[state[done]]) / (j + 1)
+                out[own[done]] = np.delete(last, none, axis=1).max(axis=1) - last[:, none]
+            place = np.full(len(own), -1)
+            place[~done] = _PLACE[buf[start[own[~done]] + j]]
+            own, state, total, place = (x[~done] for x in (own, state, total, place))
+            total += self.log[state, place[:, None]]
+            state = self.step[state, place[:, None]]
+            alive = (np.delete(total, none, axis=1) > NEVER / 2).any(axis=1)
+            own, state, total = own[alive], state[alive], total[alive]
+            j += 1
         return out
 
 
@@ -259,53 +305,73 @@ def formats(seed: int = SEED) -> Formats:
     return Formats(seed)
 
 
-def _runs(texts: list[bytes]) -> tuple[list[list[tuple[int, int]]], list[str]]:
-    """For each text the byte spans of its candidates; and the candidates in that order."""
-    joined = b"\0".join(texts) + b"\0"
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], _RUN[np.frombuffer(joined, dtype=np.uint8)])).view(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    long = end - start >= LEAST
+def _edges(buf: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside[buf], [False])).view(np.int8)))
+    return edge[0::2], edge[1::2]
+
+
+def _candidates(buf: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs and pieces of runs, also without dots and dashes at their end; those shorter than any automaton accepts are left out at once."""
+    found = [_edges(buf, inside) for inside in (_RUN, _PIECE, _PART)]
+    start, end = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    long = end - start >= shortest
     start, end = start[long], end[long]
-    lengths = np.array([len(t) + 1 for t in texts])
-    begins = np.cumsum(lengths) - lengths
-    own = np.searchsorted(begins, start, side="right") - 1
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for i, a, b in zip(own.tolist(), start.tolist(), end.tolist(), strict=True):
-        spans[i].append((a - int(begins[i]), b - int(begins[i])))
-    return spans, [joined[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-
-
-def base_spans(text: str, data: bytes, runs: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
-    """(start, end, kind) of the three base kinds; ``runs`` are the candidates, within which every hex run of 16 lies."""
-    found = []
+    cut = end.copy()
+    while True:
+        more = (cut > start) & np.isin(buf[cut - 1], (ord("."), ord("-")))
+        if not more.any():
+            break
+        cut[more] -= 1
+    both = np.stack((np.concatenate((start, start)), np.concatenate((end, cut))), axis=1)
+    both = np.unique(both[both[:, 0] < both[:, 1]], axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def base_spans(text: str, data: bytes, hexes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the three base kinds; ``hexes`` are the runs of hex digits."""
+    found = [(a, b, 2) for a, b in hexes]
     lowered = data.lower()
     if any(w in lowered for w in _WORDS):
         found += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 12]
     if b"AKIA" in data:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    for a, _, run in runs:
-        found += [(a + m.start(), a + m.end(), 2) for m in HEX.finditer(run)]
     return found
 
 
 def scan(texts: list[bytes], learnt: Formats) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text its base spans and all its spans, by start and then kind."""
-    spans, candidates = _runs(texts)
-    passed = learnt.scores(candidates) > learnt.threshold
-    out, at = [], 0
-    for data, own in zip(texts, spans, strict=True):
+    buf = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    start, end = _candidates(buf, learnt.shortest)
+    passed = learnt.span_scores(buf, start, end) > learnt.threshold
+    formats_ = _by_text(start[passed], end[passed], begins)
+    start, end = _edges(buf, _HEX)
+    long = end - start >= 16
+    hexes = _by_text(start[long], end[long], begins)
+    out = []
+    for i, data in enumerate(texts):
         text = data.decode()
-        if own and len(text) != len(data):  # from bytes to code points
+        own, digits = formats_.get(i, []), hexes.get(i, [])
+        if (own or digits) and len(text) != len(data):  # from bytes to code points
             points = np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)
-            own = [(int(points[a]) - 1, int(points[a]) - 1 + b - a) for a, b in own]
-        runs = [(a, b, candidates[at + i]) for i, (a, b) in enumerate(own)]
-        base = sorted(base_spans(text, data, runs), key=lambda s: (s[0], s[2]))
-        extra = [(a, b, 3) for i, (a, b) in enumerate(own) if passed[at + i] and not any(s <= a and b <= e for s, e, _ in base)]
-        at += len(own)
+            own, digits = ([(int(points[a]) - 1, int(points[a]) - 1 + b - a) for a, b in x] for x in (own, digits))
+        base = sorted(base_spans(text, data, digits), key=lambda s: (s[0], s[2]))
+        extra, reach = [], -1
+        for a, b in sorted(own, key=lambda s: (s[0], -s[1])):
+            if a >= reach and not any(s <= a and b <= e for s, e, _ in base):
+                extra.append((a, b, 3))
+                reach = b
         out.append((base, sorted(base + extra, key=lambda s: (s[0], s[2]))))
     return out
 
 
+def _by_text(start: np.ndarray, end: np.ndarray, begins: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, a, b in zip((np.searchsorted(begins, start, side="right") - 1).tolist(), start.tolist(), end.tolist(), strict=True):
+        out.setdefault(i, []).append((a - int(begins[i]), b - int(begins[i])))
+    return out
+
+
 def _written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
