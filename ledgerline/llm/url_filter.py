@@ -2,11 +2,12 @@
 
 Two variable-order Markov models, of accepted and of rejected URLs, give each character a probability from its last 0 to ``ORDER``
 characters; an order that has seen little falls back on the next shorter one (Witten-Bell smoothing). A URL's score is the difference of the two
-log-likelihoods per character. The threshold is calibrated on labelled URLs that the models weren't trained on: where the error rates of both
+log-likelihoods per character. The threshold is calibrated on labelled URLs of hosts that the models weren't trained on: where the error rates of both
 classes sum to the least. Host rules come first; the models judge what no rule fits.
 
-Labels come from a list of terms: a URL whose host holds one is a rejected example, any other an accepted one. The models generalise from there
-by spelling. All URLs are counted. Statistics are exact up to 64-bit hashes and grow with the input: a distributed table holds every n-gram with its
+Labels come from two places. What a rule decides is an example of its verdict. Of the others a URL whose host holds one of some terms is a rejected example and the rest are
+accepted ones, since nearly all URLs are. The models generalise from there by spelling, and they may overrule a label: a host with a term passes if it is spelt like accepted ones, and
+one without is blocked if it is spelt like rejected ones. Every fourth host, by a hash, is left out of the counts for calibration. All other URLs are counted. Statistics are exact up to 64-bit hashes and grow with the input: a distributed table holds every n-gram with its
 context and its count in each class, and counts combine before the shuffle. URLs are scored in blocks of at most ``ROWS`` rows: the distinct
 n-grams and contexts that a block asks for are joined with the table, and what was found comes to the block. Nothing of the models
 reaches the driver.
@@ -180,6 +181,10 @@ def scored(parts: DataFrame, grams: DataFrame, tables: Tables) -> DataFrame:
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_score, "page_id long, host string, path string, score double")
 
 
+def held_out(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(4)) == 0
+
+
 def threshold(held: DataFrame) -> float:
     """Where the share of accepted examples at or above it and of rejected ones below it sum to the least; from a histogram of fixed size."""
     bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + 10) * (BINS / 20)))).cast("int")
@@ -202,11 +207,12 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, ter
     bad = F.lit(False)
     for term in terms:
         bad = bad | F.col("host").contains(term)
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
 
     def labelled(rows: DataFrame, held: bool) -> DataFrame:
         url = F.concat("host", "path")
-        own = rows.filter((url != "") & ((F.pmod(F.xxhash64(url), F.lit(4)) == 0) == held))
-        return own.withColumn("url", url).withColumn("rejected", bad.cast("int"))
+        own = rows.filter((url != "") & (held_out(F.col("host")) == held))
+        return own.withColumn("url", url).withColumn("rejected", F.coalesce(verdict == "block", bad).cast("int"))
 
     counted = labelled(parts, held=False).select("url", "rejected").mapInArrow(_count, "context long, gram long, n0 long, n1 long")
     grams = tables.save(counted.groupBy("context", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
@@ -214,7 +220,6 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, ter
     trained = bool(seen["n0"]) and bool(seen["n1"])
     judged = tables.save(scored(parts, grams, tables), "scores") if trained else parts.withColumn("score", F.lit(0.0))
     limit = threshold(labelled(judged, held=True).select("rejected", "score")) if trained else float("inf")
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     empty = (F.col("host") == "") & (F.col("path") == "")
     own = F.when((F.col("score") >= limit) & ~empty, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score")
