@@ -5,11 +5,14 @@ cut in two at the median of its bytes along its widest dimension, until the leav
 ordered further by a hash of the id, so a source with a third of all rows is cut as finely as any other.
 
 A median is found by a descent through the ordering key, 12 bits at a time: a histogram of bytes (4,096 bins a cell at most, summed before the
-shuffle) names the bin that holds the middle; the descent ends once that bin weighs under 1/2,000 of its cell. Only those histograms reach the
-driver. Slots are row numbers: they are counted in small parts of a shard, and offsets of the parts make them gapless.
+shuffle) names the bin that holds the middle; the descent ends once that bin weighs under 1/2,000 of its cell. A window over a cell's bins finds it, so that one row a
+cell reaches the driver. The table of cuts has a row for each cell and is broadcast up to ``CELLS`` of them, 24 bytes each. Slots are row numbers: they are counted in small
+parts of a shard, and offsets of the parts make them gapless.
 
 Defined results: size is the UTF-8 bytes of the text (none for null) plus 1; the checksum of a null text is that of the empty one; null
-metadata is a value of its own; rows that repeat are rows. An empty table gives an empty result. Law: ``bytes``.
+metadata is a value of its own. Rows that repeat are rows of their own: the number that each got when the sizes were written breaks ties among them, so that a third of all rows being
+equal doesn't fill one shard. Rows with equal texts aren't kept together, since near-equal sizes of all shards couldn't hold then. An empty table gives an empty result;
+other columns are not read. Law: ``bytes``.
 """
 
 from __future__ import annotations
@@ -25,6 +28,9 @@ KEY = 48
 DIMS = ("source", "lang", "length", "place")
 ROWS_A_PART = 2000
 FINE = 2000
+CELLS = 1 << 20
+#: Bits of a tie that tell rows apart which are equal in id and text.
+AGAIN = 12
 
 
 def _points(docs: DataFrame) -> DataFrame:
@@ -40,11 +46,16 @@ def _points(docs: DataFrame) -> DataFrame:
             "source": F.pmod(F.xxhash64("source"), F.lit(1 << CODES)),
             "lang": F.pmod(F.xxhash64("lang"), F.lit(1 << CODES)),
             "length": F.least(F.lit((1 << CODES) - 1), F.floor(F.log2("size") * 96)).cast("long"),
-            "tie": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << (KEY - CODES))),
+            "row": F.monotonically_increasing_id(),
         }
     )
 
 
+def _tied(points: DataFrame) -> DataFrame:
+    own = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << (KEY - CODES - AGAIN)))
+    return points.withColumn("tie", F.shiftleft(own, AGAIN).bitwiseOR(F.pmod(F.xxhash64("row"), F.lit(1 << AGAIN))))
+
+
 def _key(dim: str) -> Column:
     return F.shiftleft(F.col(dim), KEY - CODES).bitwiseOR(F.col("tie"))
 
@@ -55,7 +66,7 @@ def _with_cells(rows: DataFrame, cells: dict[int, tuple]) -> DataFrame:
     key = F.when(F.col("dim") == 0, _key(DIMS[0]))
     for i, d in enumerate(DIMS[1:], 1):
         key = key.when(F.col("dim") == i, _key(d))
-    return rows.join(F.broadcast(known), "cell").withColumn("key", key)
+    return rows.join(F.broadcast(known) if len(cells) <= CELLS else known, "cell").withColumn("key", key)
 
 
 def _medians(rows: DataFrame, wide: dict[int, str], weights: dict[int, int]) -> dict[int, tuple[str, int]]:
@@ -66,20 +77,19 @@ def _medians(rows: DataFrame, wide: dict[int, str], weights: dict[int, int]) ->
         if not open_:
             break
         shift = KEY - CODES * (depth + 1)
+        half = rows.sparkSession.createDataFrame([(c, weights[c] / 2 - below[c]) for c in open_], "cell int, half double")
         inside = _with_cells(rows, {c: (wide[c], prefix[c]) for c in open_}).filter(F.shiftright("key", shift + CODES) == F.col("at"))
-        bins: dict[int, list[tuple[int, int]]] = {c: [] for c in open_}
-        for row in inside.groupBy("cell", F.shiftright("key", shift).alias("bin")).agg(F.sum("size").alias("bytes")).collect():
-            bins[row["cell"]].append((row["bin"], row["bytes"]))
-        for c in sorted(open_):
-            half = weights[c] / 2
-            for bin_, heavy in sorted(bins[c]):
-                prefix[c] = bin_
-                if below[c] + heavy >= half:
-                    break
-                below[c] += heavy
+        bins = inside.groupBy("cell", F.shiftright("key", shift).alias("bin")).agg(F.sum("size").alias("bytes"))
+        upto = F.sum("bytes").over(Window.partitionBy("cell").orderBy("bin"))  # 4,096 rows a cell at most
+        bins = bins.withColumn("upto", upto).join(half, "cell")
+        middle = F.min(F.when(F.col("upto") >= F.col("half"), F.struct("bin", "bytes", "upto")))
+        last = F.max(F.struct("bin", "bytes", "upto"))
+        for row in bins.groupBy("cell").agg(F.coalesce(middle, last).alias("m"), F.first("half").alias("half")).collect():
+            c, (bin_, heavy, upto_), half_ = row["cell"], row["m"], row["half"]
+            prefix[c], below[c] = bin_, below[c] + upto_ - heavy
             if heavy * FINE <= weights[c] or not shift:
-                after = half - below[c] > heavy / 2
-                known[c] = (wide[c], (prefix[c] + after) << shift)
+                after = half_ - (upto_ - heavy) > heavy / 2
+                known[c] = (wide[c], (bin_ + after) << shift)
         open_ -= set(known)
     return known
 
@@ -111,17 +121,17 @@ def kd_shards(docs: DataFrame, shards: int | None = 16, target_bytes: int | None
     ).first()
     lo, span = whole["lo"] or 0, (whole["hi"] or 0) - (whole["lo"] or 0) + 1
     place = F.coalesce(F.floor((F.col("doc_id") - lo) / F.lit(span) * (1 << CODES)), F.lit(0)).cast("long")
-    points = first.withColumn("place", place)
+    points = _tied(first).withColumn("place", place)
     leaves = shards if target_bytes is None else max(1, -(-(whole["bytes"] or 0) // target_bytes))
     depth = max(0, (leaves - 1).bit_length())
     placed = kd_cells(points, depth if whole["rows"] else 0, tables)
     parts = max(16, -(-whole["rows"] // (ROWS_A_PART << depth)))
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int").alias("part")
-    placed = tables.save(placed.select("doc_id", "size", "text_crc32", F.col("cell").alias("shard"), part), "placed")
+    part = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(parts)).cast("int").alias("part")
+    placed = tables.save(placed.select("doc_id", "size", "text_crc32", "row", F.col("cell").alias("shard"), part), "placed")
     tables.drop("sizes")
     counted = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))  # as many rows as there are parts: one per 2,000 documents
     offsets = counted.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("offset"))
-    inner = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
+    inner = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "row")
     return (
         placed.withColumn("row", F.row_number().over(inner) - 1)
         .join(offsets, ["shard", "part"])
