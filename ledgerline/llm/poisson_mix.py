@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Poisson replication. [DataFrame operations only]
 
 Every source has a target repetition rate: its target share of the mixture, times the rows wanted, over its rows. A document is repeated a
-Poisson number of times with that mean: a hash of the seed and the id is a number in [0, 1), and the Poisson distribution inverted there is the count.
+Poisson number of times with that mean: a hash of the seed, the id and the text is a number in [0, 1), and the Poisson distribution inverted there is the count.
 A rate over ``MAX_RATE`` is split into equal parts of at most ``MAX_RATE``, and the count is the sum of a draw for each, from hashes of their own: a sum of independent
 Poisson numbers is one of the summed rate. So no rate is cut, and e^-rate stays a normal number. No
 state is shared between rows, so a rerun task or another partitioning gives the same mixture. Each document is exploded by its
-count and the copies are shuffled globally by a hash of seed, id and copy.
+count and the copies are shuffled globally by a hash of seed, id, text and copy.
 
-Defined results: a null source is a source of its own (the empty name); a document with a null id draws by the empty id; a source without target
-weight gets the rate 0; rows that repeat draw the same number; extra columns are kept; an empty table gives an empty mixture. Without
+Defined results: a null source is a source of its own (the empty name); a null id draws like an empty one, so by the text; a null text counts as empty; a source without target
+weight gets the rate 0; an id may repeat with other texts, which draw numbers of their own; rows that repeat both id and text draw the same number, and lie in one partition
+only if their copies have the same number; extra columns are kept; an empty table gives an empty mixture. Without
 ``weights`` the target shares are the square roots of the sources' shares, which lifts small sources and holds back large ones.
 """
 
@@ -29,6 +30,12 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def draw_name(docs: DataFrame) -> Column:
+    """What a row draws by: its id and the MD5 of its text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")) if "text" in docs.columns else F.lit("")
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text.cast("binary")))
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, rows_wanted: int | None = None) -> DataFrame:
     """__source, rate, parts, cdf: one row per source. ``cdf`` is the distribution function of one of the ``parts`` from 0 up to where it ends."""
     counts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source")).agg(F.count("*").alias("n"))
@@ -62,7 +69,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, rows_wan
     """The mixture before it is shuffled: the columns of ``docs`` plus __rate, __copies and __copy (from 1)."""
     tables = Tables(docs.sparkSession, "mix")
     plan = tables.save(rates(docs, weights, rows_wanted), "rates")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    name = draw_name(docs)
 
     def copies(draw: Column) -> Column:
         return F.size(F.filter("__cdf", lambda c: draw >= c)).cast("long")
@@ -88,7 +95,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, rows_w
 
 def _shuffled(copies: DataFrame, seed: int) -> DataFrame:
     """Every partition gets a random set of copies, in a random order: partition by one half of a hash, order by the other."""
-    spot = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "__copy")
+    spot = F.xxhash64(F.lit(seed), draw_name(copies), "__copy")
     tasks = spread(copies.sparkSession, 0, 1)
     return copies.withColumn("__spot", spot).repartition(tasks, "__spot").sortWithinPartitions(F.xxhash64("__spot"), "doc_id", "__copy")
 
@@ -108,11 +115,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH s AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1),
-r AS (SELECT s, least({MAX_RATE}, (sum(n) OVER ())::DOUBLE * sqrt(n) / (sum(sqrt(n)) OVER ()) / n) AS rate FROM s),
-k AS (SELECT s, rate, k, exp(-rate) * rate ** k / (CASE WHEN k = 0 THEN 1.0 ELSE exp(lgamma(k + 1)) END) AS p FROM r, range(0, 240) AS t(k)),
-c AS (SELECT s, rate, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS cdf FROM k WHERE k <= ceil(rate + 12 * sqrt(rate) + 20)),
-d AS (SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
-n AS (SELECT d.doc_id, d.source, d.text, any_value(c.rate) AS rate, count(*) FILTER (WHERE d.u >= c.cdf) AS copies
-      FROM d JOIN c ON c.s = coalesce(d.source, '') GROUP BY d.doc_id, d.source, d.text)
+r AS (SELECT *, greatest(1, ceil(rate / {MAX_RATE}))::BIGINT AS parts FROM (SELECT s, (sum(n) OVER ())::DOUBLE * sqrt(n) / (sum(sqrt(n)) OVER ()) / n AS rate FROM s)),
+q AS (SELECT *, rate / parts AS part FROM r),
+k AS (SELECT s, part, k, exp(-part) * part ** k / (CASE WHEN k = 0 THEN 1.0 ELSE exp(lgamma(k + 1)) END) AS p FROM q, range(0, 240) AS t(k)),
+c AS (SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS cdf FROM k WHERE k <= ceil(part + 12 * sqrt(part) + 20)),
+d AS (SELECT row_number() OVER () AS row, doc_id, source, text, rate, coalesce(source, '') AS s, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS name, unnest(range(1, parts + 1)) AS draw
+      FROM documents JOIN q ON q.s = coalesce(source, '')),
+u AS (SELECT *, ('0x' || substr(md5('{SEED}:' || name || CASE WHEN draw = 1 THEN '' ELSE ':' || draw::VARCHAR END), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM d),
+n AS (SELECT u.row, any_value(u.doc_id) AS doc_id, any_value(u.source) AS source, any_value(u.text) AS text, any_value(u.rate) AS rate, count(*) FILTER (WHERE u.u >= c.cdf) AS copies FROM u JOIN c USING (s) GROUP BY u.row)
 SELECT doc_id, source, copies, unnest(range(1, copies + 1)) AS copy, round(rate, 6) AS rate, text FROM n WHERE copies > 0
 """
