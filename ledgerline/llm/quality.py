@@ -9,12 +9,13 @@ with fewer than ``ENOUGH`` rows of either kind, or documents without a column ``
 Features of a text: its distinct lower-cased words without ASCII punctuation and their first five bytes, hashed, of which those weigh that the sample
 shows to go with a grade (chi-square); and a few hashed descriptions of its shape (shares of capitals, digits, symbols and punctuation among its bytes, share of distinct words, length, words per line, each as a level).
 
-Training reads a bounded sample: the ``SAMPLE`` labelled rows that come first in the order of a hash of the id. Their features (a fixed number of
-rows; at most ``NONZEROS`` entries in all are collected) train on the driver. Every document is scored, over its whole text, in
+Training reads a bounded sample: the ``SAMPLE`` labelled ids that come first in the order of a hash of the id, one text each, and of those as many as have ``NONZEROS`` features
+together, in the same order. Only they are collected, and train on the driver. Every document is scored, over its whole text, in
 slices of 1 MB; the broadcast weights have a fixed size.
 
-Defined results: null counts as empty; labels with a null quality or id are skipped and a null ``toxic`` is 0; a label of a missing document is skipped;
-if the sample holds fewer than two grades every document is kept, with the top grade. Repeated rows score alike. Documents keep all
+Defined results: null counts as empty; labels with a null quality or id are skipped and a null ``toxic`` is 0; a label of a missing document is skipped; of several labels of an id
+the lowest grade counts, and of several texts of an id the least one trains; if the sample holds fewer than two grades every document is kept, with the top grade. Every row is scored
+by its own text, so that repeated rows score alike and rows that share an id, or have none, by their texts. An empty table gives an empty result. Documents keep all
 their columns in ``keep_good``.
 """
 
@@ -26,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .kernels import U, mix, slices, word_hashes
-from .tables import only, table
+from .tables import Tables, only, table
 
 BITS = 18
 SAMPLE = 6000
@@ -206,7 +208,7 @@ def language(docs: DataFrame) -> Column:
     return (F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = NONZEROS) -> Ordinal:
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,27 +218,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
             yield pa.record_batch([*(part.column(c) for c in ("doc_id", "grade", "lang")), *lists], names=["doc_id", "grade", "lang", "slots", "values"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), language(docs))
-    rows = (
-        own.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
-        .select("doc_id", "grade", "lang", "text")
-        .mapInArrow(run, "doc_id long, grade int, lang string, slots array<int>, values array<float>")
-        .toArrow()
-        .sort_by("doc_id")
-        .combine_chunks()
-    )
+    one = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "grade").agg(F.min(F.struct("text", "lang")).alias("of"))  # at most ``sample`` rows
+    made = one.select("doc_id", "grade", "of.lang", "of.text").mapInArrow(run, "doc_id long, grade int, lang string, slots array<int>, values array<float>")
+    made = Tables(docs.sparkSession, "quality").save(made, "sample")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over the sample
+    fits = made.select("doc_id", F.sum(F.size("slots")).over(order).alias("upto")).filter(F.col("upto") <= entries).select("doc_id")
+    rows = made.join(F.broadcast(fits), "doc_id").toArrow().sort_by("doc_id").combine_chunks()
     if not rows.num_rows:
         return Ordinal()
-    column = rows.column("slots").combine_chunks()
-    values = rows.column("values").combine_chunks()
-    column, values = (pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in (column, values))
-    whole = int(np.searchsorted(column.offsets.to_numpy(), NONZEROS, side="right")) - 1  # rows whose entries fit the bound
-    column, values = column.slice(0, whole), values.slice(0, whole)
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    grades = rows.column("grade").to_numpy()[:whole].astype(np.int64)
-    langs = [x or "" for x in rows.column("lang").to_pylist()[:whole]]
-    return Ordinal().learn(
-        column.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float), offsets - offsets[0], grades, langs
-    )
+    slots, values = (rows.column(c).combine_chunks() for c in ("slots", "values"))
+    slots, values = (pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in (slots, values))
+    offsets = slots.offsets.to_numpy().astype(np.int64)
+    grades, langs = rows.column("grade").to_numpy().astype(np.int64), [x or "" for x in rows.column("lang").to_pylist()]
+    return Ordinal().learn(slots.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float), offsets - offsets[0], grades, langs)
 
 
 def scores(docs: DataFrame, model: Ordinal) -> DataFrame:
