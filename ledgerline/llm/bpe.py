@@ -5,7 +5,7 @@ segment tree that stores the rank of the pair that begins there; an inner node s
 the leftmost pair of least rank. A merge writes three leaves (the pair itself, the neighbour it swallowed, and the live neighbour on the left)
 and repairs their paths: logarithmic work, also for a piece of a million bytes. Short pieces are merged many at a time, one tree a row of an array.
 
-Pieces repeat, so each Python worker keeps the ids of up to ``CACHE`` pieces. Rows are independent: no shuffle. Memory is bounded by a
+Pieces repeat, so each Python worker keeps the ids of pieces, up to ``CACHE`` bytes in all. Rows are independent: no shuffle. Memory is bounded by a
 slice of about 1 MB of text; a longer text is read piece by piece and its digests are updated as it goes.
 
 Defined results: null counts as empty and has no tokens; special tokens aren't known, their strings are ordinary text; repeated rows are
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .kernels import SLICE, U, mix, slices
 from .tables import only, table
 
-CACHE = 400_000
+CACHE = 96 << 20  # bytes of what a worker keeps, with about 200 a piece for the objects
 NONE = (1 << 62) - 1
 POS = 24  # bits of a position in a node of the arrays
 WIDE = 64  # longer pieces get a tree of their own
@@ -70,6 +70,7 @@ class Vocabulary:
                 at = (at + 1) & self._mask
             self._keys[at], self._values[at] = key, r
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the merged pairs, ``NONE`` where the vocabulary has no such token."""
@@ -110,9 +111,12 @@ class Vocabulary:
         known = self.known
         missing = [w for w in words if w not in known]
         if missing:
-            if len(known) + len(missing) > CACHE:
+            size = sum(map(len, missing)) * 5 + 200 * len(missing)
+            if self.held + size > CACHE:
                 known.clear()
                 missing = list(words)
+                self.held, size = 0, sum(map(len, missing)) * 5 + 200 * len(missing)
+            self.held += size
             known.update(zip(missing, self.encode_pieces([w.encode() for w in missing]), strict=True))
 
     def ids(self, words: list[str]) -> bytes:

@@ -5,9 +5,9 @@ dimensions with the most query mass first. What the rest of the dimensions can s
 (Cauchy-Schwarz); a candidate that can't reach the k-th best score any more is dropped and the survivors are compacted. The bound starts at the k-th
 best score among the queries themselves, which are candidates too, and rises with every block.
 
-Queries are handled in blocks of about ``QUERIES`` vectors: one block is read to the driver and broadcast (of bounded size, whatever the number of
-queries) and one scan of the candidates answers it. A partition returns its k best for each query; the last step ranks those. No vector is
-shuffled.
+Queries are handled in blocks of about ``QUERIES`` vectors, one after another: a block is read to the driver and broadcast (of bounded size, whatever the number of
+queries), one scan of the candidates answers it, its answers are written and the broadcast is freed. A partition returns its k best for each query; the last
+step ranks those. No vector is shuffled.
 
 Defined results: components become floor(1024 * x). Vectors that are null, or hold null or non-finite components, and rows with a null id take no
 part. Vectors of different lengths are compared as if padded with zeros. Rows that repeat a query's id are the query's own; of such rows
@@ -119,9 +119,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     tables = Tables(spark, "topk")
     queries = tables.save(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     blocks = max(1, -(-queries.count() // QUERIES))
-    found = None
+    if blocks > 1:  # a block is a part of the table, so that reading all of them reads it once
+        queries = tables.save_parts(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "dealt", "block")
+    found = []
     for block in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        own = queries.filter(F.col("block") == block).select("vec_id", "v") if blocks > 1 else queries
+        own = own.toArrow().combine_chunks()
         ids = own.column("vec_id").to_numpy().astype(np.int64)
         column = own.column("v").combine_chunks()
         q = _matrix(column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks), 0) if len(ids) else np.zeros((0, 0), dtype=np.int64)
@@ -141,10 +144,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                         [pa.array(np.full(len(best), own_id)), pa.array(best), pa.array(score)], names=["query_id", "vec_id", "score"]
                     )
 
-        part = vectors.mapInArrow(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+        found.append(tables.save(vectors.mapInArrow(run, "query_id long, vec_id long, score long"), f"found/block={block}"))
+        sent.destroy()
+    best = found[0] if blocks == 1 else tables.read("found", "query_id long, vec_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Every operator against a plain version, over one small table that holds the awkward cases."""
+"""Operators against plain versions, over small tables that hold the awkward cases."""
 
 import hashlib
 import random
@@ -93,29 +93,43 @@ def test_ngram_join(docs, rows, unit, monkeypatch):
     assert got == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
-def test_signature_trees_lose_no_pair():
-    rng = np.random.default_rng(5)
-    base = [rng.integers(0, 1 << 62, 60, dtype=np.uint64) for _ in range(12)]
-    sets = [np.unique(np.concatenate((b[rng.random(60) < 0.93], rng.integers(0, 1 << 62, 3, dtype=np.uint64)))) for b in base for _ in range(8)]
-    tree = links.SignatureTree(sets, links._bits(sets))
-    found = {tuple(sorted((tree.order[i], tree.order[j]))) for i, j in links.dual_traversal(tree, tree, 75)}
-    every = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))}
-    similar = {(i, j) for i, j in every if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
-    assert similar and similar <= found and len(found) < len(every) / 3
-
-
 @pytest.mark.parametrize("two", [False, True])
-def test_sketches_lose_no_pair(two):
+def test_signature_trees_lose_no_pair(two, monkeypatch):
+    monkeypatch.setattr(links, "WORDS", 64)  # many small blocks
     rng = np.random.default_rng(6)
     base = [rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in (1, 2, 5, 30, 64, 65, 120, 128, 129, 250, 256, 300, 1000)]
-    sets = [np.unique(np.concatenate((b[rng.random(len(b)) < 0.93], b[:1], rng.integers(0, 1 << 62, len(b) // 20, dtype=np.uint64)))) for b in base for _ in range(12)]
-    side = rng.integers(0, 2, len(sets)) if two else np.zeros(len(sets), dtype=np.int64)
-    found = [(min(a, b), max(a, b)) for i, j in links._sketch_pairs(links._sketches([links.sketch(s) for s in sets]), side, 75) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-    every = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if not two or side[i] != side[j]}
+    sets = [np.unique(np.concatenate((b[rng.random(len(b)) < 0.93], b[:1], rng.integers(0, 1 << 62, len(b) // 20, dtype=np.uint64)))) for b in base for _ in range(24)]
+    unit = rng.integers(0, 3, len(sets))
+    side = np.where(unit > 0, rng.integers(0, 2, len(sets)), 0) if two else np.zeros(len(sets), dtype=np.int64)
+    found = [(min(a, b), max(a, b)) for i, j in links.candidates(links._sketches([links.sketch(s) for s in sets]), unit, side, 75) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    every = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if unit[i] == unit[j] and (not two or unit[i] == 0 or side[i] != side[j])}
     similar = {(i, j) for i, j in every if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert len(found) == len(set(found))
     assert similar and similar <= set(found) <= every and len(set(found)) < len(every) / 5
 
 
+@pytest.mark.parametrize("links_of", [links._set_links, links._sketch_links])
+def test_all_links_come_from_the_trees(links_of, monkeypatch):
+    """Without the pairs that dual traversal gives there is no link, and what it gives is far less than all pairs: nothing else finds candidates."""
+    rng = np.random.default_rng(8)
+    base = [rng.integers(0, 1 << 62, 200, dtype=np.uint64) for _ in range(60)]
+    sets = [np.unique(np.concatenate((b[rng.random(200) < 0.95], b[:1]))) for b in base for _ in range(3)]
+    data = sets if links_of is links._set_links else links._sketches([links.sketch(x) for x in sets])
+    ids, zero, seen = np.arange(len(sets)), np.zeros(len(sets), dtype=np.int64), []
+    own = links.SignatureForest.traverse
+
+    def counted(self, i, j, percent):
+        for x, y in own(self, i, j, percent):
+            seen.append(len(x))
+            yield x, y
+
+    monkeypatch.setattr(links.SignatureForest, "traverse", counted)
+    a, b = links_of(ids, zero, zero, ids, data, 75)
+    assert len(a) == 120 and 120 <= sum(seen) < len(sets) * (len(sets) - 1) / 2 / 20
+    monkeypatch.setattr(links.SignatureForest, "traverse", lambda *args: iter(()))
+    assert not len(links_of(ids, zero, zero, ids, data, 75)[0])
+
+
 @pytest.mark.parametrize("finish", [0, 10**6])
 def test_components(spark, finish, monkeypatch):
     monkeypatch.setattr(links, "FINISH", finish)
@@ -229,7 +243,7 @@ def test_url_counts_are_exact(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://{u}") for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
     monkeypatch.setattr(url_filter, "ROWS", 700)
     got = {r["page_id"]: r["score"] for r in url_filter.url_verdicts(df).collect()}
-    held = {r["u"] for r in spark.createDataFrame([(u,) for u in urls], "u string").filter(F.pmod(F.xxhash64("u"), F.lit(4)) == 0).collect()}
+    held = {r["u"] for r in spark.createDataFrame([(u,) for u in urls], "u string").filter(url_filter.held_out(F.split("u", "/")[0])).collect()}
     counts = [{}, {}]
     for u in urls:
         if u not in held:
@@ -309,6 +323,242 @@ def test_poisson_rates_are_not_cut(spark):
     assert len(per) == 100 and abs(sum(per) - 9000) < 5 * 95 and 40 < np.var(per) < 160
 
 
+@pytest.fixture(scope="module")
+def odd():
+    """Null ids, ids that repeat with other texts, rows that repeat, copies of them all, and null texts; (doc_id, text)."""
+    rng = random.Random(13)
+    base = [words(rng, rng.randint(20, 40)) for _ in range(6)]
+    near = [b.replace(b.split(" ")[7], "changed", 1) for b in base]
+    lines = ["one line that is here", "an entirely unique closing remark", "one line that is here!", "another unique line, for the second text"]
+    out = [(5, "a"), (5, "b"), (9, "a"), (9, "A"), (None, "a"), (7, None), (7, ""), (None, None), (3, "same row"), (3, "same row"), (None, "alone without an id"), (None, "alone without an id")]
+    out += [(20, base[0]), (20, base[1]), (21, near[1]), (None, near[0]), (None, base[2]), (None, near[2]), (30, base[3]), (30, base[3]), (31, base[3].upper()), (32, near[3]), (40, near[4]), (40, base[4]), (40, base[5])]
+    out += [(50, "\n".join(lines[:2])), (50, "\n".join([lines[2], lines[3]])), (None, "\n".join([lines[0], "of no id"])), (60, lines[3] + "\n" + "x y"), (60, lines[3] + "\n" + "x y")]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark, odd):
+    return spark.createDataFrame([(i, t, k, "clash", "clash", 1) for k, (i, t) in enumerate(odd)], "doc_id long, text string, row long, key string, label string, stays int").repartition(3)
+
+
+def ordered(values):
+    return sorted(values, key=repr)
+
+
+@pytest.mark.parametrize("weaken", [0, 1, 3])
+def test_exact_dedup_of_odd_rows(odd, odd_docs, weaken):
+    want = []
+    for i, t in odd:
+        same = [j for j, u in odd if low(u) == low(t)]
+        keep = max((j for j in same if j is not None), default=None)
+        want.append((i, keep if keep is not None else i, len(same), i == keep, hashlib.sha256(low(t).encode()).hexdigest()))
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert ordered(tuple(r[c] for c in columns) for r in exact_dedup.exact_groups(odd_docs, weaken=weaken).collect()) == ordered(want)
+    left = exact_dedup.drop_copies(odd_docs, weaken=weaken)
+    rows = left.collect()
+    assert left.columns == odd_docs.columns and len(rows) == len({low(t) for _, t in odd}) == len({low(r["text"]) for r in rows})
+    for r in rows:
+        same = [j for j, u in odd if low(u) == low(r["text"])]
+        assert r["doc_id"] == max((j for j in same if j is not None), default=None) and odd[r["row"]] == (r["doc_id"], r["text"])
+
+
+def test_huge_texts_are_hashed_in_parallel(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HUGE", 100_000)
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    texts = [long, long.upper(), long[:-1] + "z", "short", long[:65_536], long[:131_072], ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(df).collect()}
+    assert got == {0: (1, 2), 1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (4, 1), 5: (5, 1), 6: (6, 1)}
+    own = df.select("text")
+    for r in exact_dedup.huge_prints(own, 100_000, 0).collect():
+        text = next(t.lower().encode() for t in texts if hashlib.sha256(t.lower().encode()).hexdigest() == r["text_sha256"])
+        assert (r["size"], r["print"]) == exact_dedup._packed(exact_dedup.fingerprint(text), 0)
+
+
+def shingled(text):
+    w = [x for x in re.split("[\x20\x09-\x0d]+", low(text)) if x]
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
+
+
+def test_ngram_join_of_odd_rows(odd, odd_docs):
+    sets = [shingled(t) for _, t in odd]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    of = components(near, range(len(sets)))
+    least = {c: min((odd[k][0] for k in of if of[k] == c and odd[k][0] is not None), default=None) for c in set(of.values())}
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(odd_docs).collect()]
+    assert ordered(got) == ordered((i, len(sets[k]), least[of[k]]) for k, (i, _) in enumerate(odd))
+    left = ngram_join.one_of_each(odd_docs)
+    rows = left.collect()
+    assert left.columns == odd_docs.columns
+    assert {of[r["row"]] for r in rows if sets[r["row"]]} == {of[k] for k in of if sets[k]} and len({of[r["row"]] for r in rows}) == len(rows)
+    assert sum(not sets[r["row"]] for r in rows) == sum(not s for s in sets)
+    assert all(r["doc_id"] == least[of[r["row"]]] for r in rows if sets[r["row"]])
+
+
+def test_fuzzy_lines_of_odd_rows(odd, odd_docs):
+    lines = [(k, p, x.strip(" \t\r\x0b\x0c")) for k, (_, t) in enumerate(odd) for p, x in enumerate(low(t).split("\n")) if x.strip(" \t\r\x0b\x0c")]
+    texts = sorted({x for *_, x in lines})
+    sets = [{x[a : a + 8] for a in range(max(1, len(x) - 7))} for x in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    of = components(near, range(len(sets)))
+    got = fuzzy_lines.dedup_lines(odd_docs).collect()
+    assert ordered((r["doc_id"]) for r in got) == ordered(i for i, _ in odd)
+    kept = {}  # distinct rows that keep a line of a component
+    for r in got:
+        for x in (r["text"] or "").split("\n"):
+            if low(x).strip():
+                kept.setdefault(of[texts.index(low(x).strip(" \t\r\x0b\x0c"))], set()).add((r["doc_id"], r["text"]))
+    assert set(kept) == set(of.values()) and all(len(rows) == 1 for rows in kept.values())
+    ids = {c: [odd[k][0] for k, _, x in lines if of[texts.index(x)] == c] for c in kept}
+    for c, rows in kept.items():
+        assert next(iter(rows))[0] == min((i for i in ids[c] if i is not None), default=None)
+
+
+def test_long_texts_come_in_pieces(spark, monkeypatch):
+    rng = random.Random(17)
+    monkeypatch.setattr(fuzzy_lines, "SLICE", 2000)
+    monkeypatch.setattr(fuzzy_lines, "GIANT", 5000)
+    own = ["".join(rng.choice("abcdefgh é ") for _ in range(rng.choice((0, 3, 40, 300, 7000)))) for _ in range(60)]
+    text = "\n".join(own).encode()
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([text.decode(), "x\ny"])], names=["text"])
+    found = {}
+    for _, lines in fuzzy_lines.line_slices(iter([batch])):
+        keys = lines.keys(lines.distinct()) if len(lines.ids) else []
+        for t, p, i in zip(lines.text.tolist(), lines.place.tolist(), lines.ids.tolist(), strict=True):
+            if not (t == 1 or len(found) and p in found and lines.data == b"x\ny\n"):
+                found[p] = i
+        assert len(keys) == len(set(lines.ids.tolist()))
+    assert {p for p, x in enumerate(own) if x.strip()} <= set(found)
+    assert len({found[p] for p, x in enumerate(own) if x.strip()}) == len({x.strip() for x in own if x.strip()})
+    giant = next(x for x in own if len(x.strip().encode()) > 5000).strip()
+    assert len(fuzzy_lines.line_sets([giant.encode()])[0]) == len({giant[a : a + 8] for a in range(len(giant) - 7)})
+    plain = fuzzy_lines.Lines([giant.encode()])
+    assert (plain.keys(plain.distinct()) == fuzzy_lines.Giant(giant.encode()).keys(None)).all()
+
+
+def test_other_operators_take_odd_rows(odd, odd_docs):
+    def key(i, t):
+        return (i, hashlib.sha256((t or "").encode()).hexdigest())
+
+    assert ordered((r["doc_id"], r["decoded_sha256"]) for r in bpe.encode_digests(odd_docs).collect()) == ordered(key(i, t) for i, t in odd)
+    assert ordered(r["doc_id"] for r in secret_scan.secret_spans(odd_docs).collect()) == ordered(i for i, _ in odd)
+    got = kd_shards.kd_shards(odd_docs, 4).collect()
+    assert ordered((r["doc_id"], r["size"]) for r in got) == ordered((i, len((t or "").encode()) + 1) for i, t in odd)
+    labels = odd_docs.sparkSession.createDataFrame([(5, 1, 0), (9, 0, 0), (20, 1, 1), (20, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    scored = quality.scores(odd_docs, quality.train(odd_docs, labels)).collect()
+    assert ordered(r["doc_id"] for r in scored) == ordered(i for i, _ in odd)
+
+
+def test_kd_shards_split_equal_rows(spark):
+    df = spark.createDataFrame([(7, "the same text")] * 1000 + [(i, "y" * 50) for i in range(100)], "doc_id long, text string").repartition(5)
+    sizes = [r["b"] for r in kd_shards.kd_shards(df, 16).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.5 * min(sizes)
+    by_target = kd_shards.kd_shards(df, None, target_bytes=2000).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert len(by_target) == 16 and max(r["b"] for r in by_target) <= 2000
+
+
+def test_top_k_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    rng = np.random.default_rng(30)
+    vectors = {i: rng.normal(size=20) for i in range(200)}
+    q = topk.quantised(spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>"))
+    got = {}
+    for r in topk.top_k(q, q.filter("vec_id % 7 = 0"), 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    fine = {i: np.floor(1024 * v).astype(np.int64) for i, v in vectors.items()}
+    assert set(got) == {i for i in vectors if i % 7 == 0}
+    for i, rows in got.items():
+        best = sorted(((-int(fine[i] @ v), j) for j, v in fine.items() if j != i))[:5]
+        assert sorted(rows) == [(k, j, -s) for k, (s, j) in enumerate(best, 1)]
+
+
+def test_formats_know_lengths():
+    rng, learnt = random.Random(2), secret_scan.formats()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def some(n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    for n, fits in ((5, False), (12, False), (35, False), (36, True), (37, False), (60, False), (500, False)):
+        assert (learnt.scores(["ghp_" + some(n)])[0] > learnt.threshold) == fits
+    token = "ghp_" + some(36)
+    for text in (f"X={token}.", f"see path/{token}", f"({token})", f"é{token}é"):
+        (_, spans), = secret_scan.scan([text.encode()], learnt)
+        assert [text[a:b] for a, b, k in spans if k == 3] == [token]
+
+
+def test_labels_of_rules_and_terms_make_the_models_differ_from_the_terms(spark):
+    rng = random.Random(16)
+    urls = [f"http://{a}{rng.randint(0, 99)}.{t}/{p}/{k}" for k in range(900) for a, t, p in [rng.choice((("casino-win", "org", "en"), ("garden", "org", "fr"), ("museum", "org", "en"), ("cheap-pills", "net", "en"), ("pharmacy-deals", "net", "en")))]]
+    urls += [f"http://pharmacy-deals{k}.org/en/1" for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r["page_id"]]: r for r in url_filter.url_verdicts(df).collect()}
+    unruled = {u: r["verdict"] for u, r in got.items() if r["rule"] is None}
+    listed = {u: "block" if any(t in u for t in url_filter.TERMS) else "allow" for u in unruled}
+    assert sum(v == "block" for u, v in unruled.items() if "museum" in u) == 0
+    assert all(v == "block" for u, v in unruled.items() if "casino" in u)
+    scores = {u: got[u]["score"] for u in unruled}
+    assert min(s for u, s in scores.items() if "pharmacy" in u) > max(s for u, s in scores.items() if "museum" in u) and set(listed.values()) == {"block", "allow"}
+
+
+def test_ordinal_fit_reaches_the_plain_likelihood():
+    """The fit against a plain one: the same penalised likelihood, written as loops and minimised by slow descent along numerical slopes."""
+    rng = np.random.default_rng(12)
+    x = (rng.random((400, 3)) < 0.5).astype(float)
+    s = x @ np.array([1.5, -2.0, 1.5]) * 2 + rng.logistic(size=400)
+    grades = (s > -1).astype(int) + (s > 1.5).astype(int)
+    rows = [np.flatnonzero(r) for r in x]
+    slots, offsets = np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+
+    def loss(p):
+        total = 0.0
+        for r, g in zip(x, grades, strict=True):
+            theta = [p[3], p[3] + np.exp(p[4])]
+            upto = [1 / (1 + np.exp(r @ p[:3] - t)) for t in theta]
+            total -= np.log(max(1e-9, ([*upto, 1.0][g]) - ([0.0, *upto][g])))
+        return total / len(grades) + quality.DECAY / 2 * (p[:3] ** 2).sum()
+
+    model = quality.Ordinal().fit(slots, np.ones(len(slots)), offsets, grades)
+    own = np.array([*model.weights[:3], model.theta[0], np.log(model.theta[1] - model.theta[0])])
+    plain, step = np.zeros(5), 1.0
+    for _ in range(120):
+        slope = np.array([(loss(plain + d) - loss(plain - d)) / 2e-4 for d in np.eye(5) * 1e-4])
+        while loss(plain - step * slope) > loss(plain) and step > 1e-6:
+            step /= 2
+        plain, step = plain - step * slope, step * 1.5
+    assert loss(own) < loss(plain) + 0.01 and np.abs(own - plain).max() < 0.5
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 50, f"word{i} other{i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    seen = []
+    own = quality.Ordinal.learn
+    try:
+        quality.Ordinal.learn = lambda self, slots, values, offsets, grades, langs: seen.append((len(slots), len(grades))) or own(self, slots, values, offsets, grades, langs)
+        quality.train(docs, labels)
+        quality.train(docs, labels, entries=200)
+    finally:
+        quality.Ordinal.learn = own
+    assert seen[0][1] == 50 and 0 < seen[1][0] <= 200 and seen[1][1] < 50
+
+
+def test_poisson_draws_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, "s", f"text {i}") for i in range(4000)], "doc_id long, source string, text string")
+    mixed = poisson_mix.poisson_mix(df, {"s": 1.0}, rows_wanted=8000)
+    per = [r["n"] for r in mixed.groupBy("text").agg(F.count("*").alias("n")).collect()]
+    assert abs(sum(per) - 8000) < 400 and np.var([*per, *[0] * (4000 - len(per))]) > 1.5
+    spread_ = [r["n"] for r in mixed.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(spread_) < 1.3 * min(spread_)
+    both = spark.createDataFrame([(i, "small" if i < 10 else "large", "t") for i in range(10_010)], "doc_id long, source string, text string")
+    counts = {r["source"]: r["n"] for r in poisson_mix.poisson_mix(both, {"small": 1.0, "large": 1.0}).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert abs(counts["small"] - 5005) < 5 * 71 and abs(counts["large"] - 5005) < 5 * 71
+
+
 def test_empty_tables(spark, nothing):
     assert exact_dedup.exact_groups(nothing).count() == 0
     assert ngram_join.ngram_components(nothing).count() == 0
