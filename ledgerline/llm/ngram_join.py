@@ -42,8 +42,8 @@ from .tables import Tables, keep_rows, only, row_keys, table
 WIDTH, PERCENT = 5, 75
 COMMON = 1 << 19
 #: Values of distinct sets that a task gathers before it counts which of them occur twice.
-GATHER = 4_000_000
-ENTRIES_A_TASK = 1_500_000
+GATHER = 2_000_000
+ENTRIES_A_TASK = 750_000
 #: Least shingles of a set that join it with others beforehand.
 LEADS = 4
 #: A shingle that more sets have (as far as tasks see it twice) forms partitions without its sets meeting in one task.
