@@ -15,7 +15,7 @@ its token bitmap of a bit or two a shingle. The join runs in four steps.
    aren't compared again.
 4. The links' components, by a distributed union-find, give each document the smallest id that it reaches.
 
-Texts are read three times (sets, first quarters, texts of grouped documents), in slices of 1 MB, and only texts of documents in a group are shuffled.
+Texts are read three times (sets, first quarters, texts of grouped documents), in slices of 512 KB, and only texts of documents in a group are shuffled.
 
 Defined results: words are maximal runs without 0x20, 0x09 to 0x0D, after lower-casing A-Z; a text with one to four words has one shingle, all of them; null,
 empty and blank texts have an empty set and link with nothing (not even with each other). Rows are told apart by id and text, so that an id may repeat with other texts; a row with
@@ -43,6 +43,7 @@ WIDTH, PERCENT = 5, 75
 COMMON = 1 << 19
 #: Values of distinct sets that a task gathers before it counts which of them occur twice.
 GATHER = 2_000_000
+SLICE = 1 << 19
 ENTRIES_A_TASK = 750_000
 #: Least shingles of a set that join it with others beforehand.
 LEADS = 4
@@ -54,7 +55,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: dict[tuple[int, int], np.ndarray] = {}
         size = 0
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", SLICE):
             sets = shingle_sets(texts, width)
             prints = [set_print(s) for s in sets]
             for p, s in zip(prints, sets, strict=True):
@@ -147,7 +148,7 @@ def _entries(sent, width: int, percent: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = _first(width, percent, sent)
         warm = len(sent.value[1]) - int((sent.value[1] > HOT).sum())
-        for _, texts in slices(batches, "text"):
+        for _, texts in slices(batches, "text", SLICE):
             keys, names, sizes = first(texts)
             hot = keys >= ((U(1) << U(63)) | (U(warm) << U(40)))  # the keys of frequent values are in order of frequency
             # frequent values lie in the upper half of the keys: the parts are ranges of a hash of the key, not of the key
