@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .kernels import SLICE, U, mix, slices
 from .tables import only, table
 
-CACHE = 96 << 20  # bytes of what a worker keeps, with about 200 a piece for the objects
+CACHE = 64 << 20  # bytes of what a worker keeps, with about 200 a piece for the objects
 NONE = (1 << 62) - 1
 POS = 24  # bits of a position in a node of the arrays
 WIDE = 64  # longer pieces get a tree of their own

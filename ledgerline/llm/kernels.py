@@ -6,6 +6,8 @@ Hashes are 64 bits wide and the same in every process. Words are what lies betwe
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,6 +36,13 @@ def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release() -> None:
+    """Gives back what a task has freed: workers serve many tasks, and what they keep adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows whose texts come to about ``limit`` bytes, or one longer text alone: what bounds memory."""
     for batch in batches:
@@ -50,6 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) ->
             size += len(data)
         if held:
             yield batch.slice(begin), held
+    release()
 
 
 @cache
@@ -73,10 +83,13 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Bytes of nearly all buffers: one table of powers serves them.
+_USUAL = 1 << 21
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of spans of bytes, wherever they lie: a polynomial of the bytes, shifted back by the place, with the length."""
-    size = 1 << max(16, int(len(buf)).bit_length())
-    up, down = _powers(size) if size <= 1 << 21 else _powers.__wrapped__(size)
+    up, down = _powers(_USUAL) if len(buf) < _USUAL else _powers.__wrapped__(len(buf) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, dtype=U), np.cumsum(_letters()[buf] * up[: len(buf)], dtype=U)))
         return mix(((total[end] - total[start]) * down[start]) ^ ((end - start).astype(U) * _GOLD))

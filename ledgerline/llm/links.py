@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import SLICE, Forest, least_labels, mix, raw, shared
+from .kernels import SLICE, Forest, least_labels, mix, raw, release, shared
 from .tables import Tables
 
 EDGES_A_TASK = 1_000_000
@@ -253,6 +253,7 @@ def _join_units(percent: int, expand: Callable[[list[bytes]], list[np.ndarray]],
                 ids, side, label = (rows.column(c).to_numpy() for c in ("id", "side", "label"))
                 links = links_of(ids, unit, side, label, _expanded(raw(rows.column("data")), expand), percent)
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
+        release()
 
     return run
 
@@ -505,6 +506,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = length[some]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         yield pa.record_batch([pa.array(np.repeat(name[some], n).view(np.int64)), pa.array(id_[np.repeat(first[some], n) + inside])], names=["group", "id"])
+    del met, key, id_, near, again, run, first, length, name
+    release()
 
 
 def packed_entries(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parts: int, percent: int, by: np.ndarray | None = None) -> pa.RecordBatch:

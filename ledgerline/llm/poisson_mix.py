@@ -66,10 +66,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, rows_wanted:
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, rows_wanted: int | None = None, seed: int = SEED) -> DataFrame:
-    """The mixture before it is shuffled: the columns of ``docs`` plus __rate, __copies and __copy (from 1)."""
+    """The mixture before it is shuffled: the columns of ``docs`` plus __name, __rate, __copies and __copy (from 1)."""
     tables = Tables(docs.sparkSession, "mix")
     plan = tables.save(rates(docs, weights, rows_wanted), "rates")
-    name = draw_name(docs)
+    name = F.col("__name")
 
     def copies(draw: Column) -> Column:
         return F.size(F.filter("__cdf", lambda c: draw >= c)).cast("long")
@@ -78,7 +78,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, rows_wan
         F.sequence(F.lit(2).cast("long"), F.col("__parts")), F.lit(0).cast("long"), lambda n, k: n + copies(uniform(F.lit(str(seed)), name, k.cast("string")))
     )
     return (
-        docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+        docs.withColumn("__name", draw_name(docs)).withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit("")))
         .join(plan.withColumnRenamed("rate", "__rate").withColumnRenamed("cdf", "__cdf").withColumnRenamed("parts", "__parts"), "__source")
         .withColumn("__draw", uniform(F.lit(str(seed)), name))
         .withColumn("__copies", copies(F.col("__draw")) + F.when(F.col("__parts") > 1, more).otherwise(0)).withColumn("__copies", F.col("__copies").cast("int"))
@@ -95,7 +95,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, rows_w
 
 def _shuffled(copies: DataFrame, seed: int) -> DataFrame:
     """Every partition gets a random set of copies, in a random order: partition by one half of a hash, order by the other."""
-    spot = F.xxhash64(F.lit(seed), draw_name(copies), "__copy")
+    spot = F.xxhash64(F.lit(seed), "__name", "__copy")
     tasks = spread(copies.sparkSession, 0, 1)
     return copies.withColumn("__spot", spot).repartition(tasks, "__spot").sortWithinPartitions(F.xxhash64("__spot"), "doc_id", "__copy")
 

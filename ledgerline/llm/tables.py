@@ -84,6 +84,10 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+#: Rows of four numbers that are still broadcast, some 30 MB.
+BROADCAST_ROWS = 500_000
+
+
 def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """key, key2: 128 bits that stand for a row's id and text."""
     own = F.coalesce(F.col(f"`{doc_id}`").cast("long").cast("string"), F.lit("")), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -93,7 +97,9 @@ def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 def keep_rows(docs: DataFrame, fate: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that do not stay; ``fate``: key, key2, stays, times. Of a row that stays and is there several times one is left; rows that ``fate`` lacks stay."""
     names = [f"__{c}" for c in ("key", "key2", "stays", "times")]
-    fate = fate.select(*[F.col(c).alias(n) for c, n in zip(("key", "key2", "stays", "times"), names, strict=True)])
+    fate = fate.filter("not stays or times > 1").select(*[F.col(c).alias(n) for c, n in zip(("key", "key2", "stays", "times"), names, strict=True)])
+    if fate.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        fate = F.broadcast(fate)
     own = docs.select("*", *[c.alias(n) for c, n in zip(row_keys(doc_id, text), names, strict=False)]).join(fate, names[:2], "left")
     kept = [F.col(f"`{c}`") for c in docs.columns]
     once = own.filter("__stays is null or (__stays and __times = 1)").select(*kept)
