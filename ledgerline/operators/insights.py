@@ -40,6 +40,14 @@ def _size_bonus(est: Column, steps: tuple[float, float, float]) -> Column:
     return F.when(est >= 250_000, float(steps[2])).when(est >= 50_000, float(steps[1])).otherwise(float(steps[0]))
 
 
+def upper_median(df: DataFrame, key: str, value: str, least: int) -> DataFrame:
+    """key, middle: the value at place n / 2 (from 0) of each key with enough rows. Equal values are counted first, so that no list of a key's values is ever held."""
+    counts = df.groupBy(key, value).agg(F.count("*").alias("__c"))
+    order = Window.partitionBy(key).orderBy(value)
+    upto = counts.withColumn("__upto", F.sum("__c").over(order)).withColumn("__n", F.sum("__c").over(Window.partitionBy(key)))
+    return upto.filter((F.col("__n") >= least) & (F.col("__upto") > F.expr("__n div 2"))).groupBy(key).agg(F.min(value).alias("middle"))
+
+
 def coordinated(trades: DataFrame, ticker: str = "ticker", least: int = 3) -> DataFrame:
     per = trades.groupBy(ticker, week_of(F.col("traded_at")).alias("week")).agg(
         F.count_distinct("name").alias("reps"), F.count_distinct("trade_type").alias("kinds"), F.max("traded_at").alias("last")
@@ -69,8 +77,7 @@ def court_trade(trades: DataFrame, filings: DataFrame) -> DataFrame:
 
 def quick_round_trip(trades: DataFrame, baseline_days: int = 365, days: int = 30, amount: int = 10_000) -> DataFrame:
     """Trips of a month at most, held against the person's usual holding time (upper median of five trips or more)."""
-    usual = round_trips(trades, baseline_days, 0, None).groupBy("person_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("hold_days")).alias("holds"))
-    usual = usual.filter("n >= 5").select("person_id", F.element_at("holds", F.floor(F.col("n") / 2).cast("int") + 1).alias("usual"))
+    usual = upper_median(round_trips(trades, baseline_days, 0, None), "person_id", "hold_days", 5).withColumnRenamed("middle", "usual")
     quick = round_trips(trades, days, amount, None).join(usual, "person_id", "left")
     off = (F.col("usual") - F.col("hold_days")) / F.col("usual")
     rarity = F.when(F.col("usual").isNull(), F.when(F.col("hold_days") <= 14, 60 + (14 - F.col("hold_days")) * 2.0)).otherwise(F.when(off > 0.3, 50 + off * 50))
@@ -89,8 +96,7 @@ def swarm_outlier(trades: DataFrame, insiders: DataFrame, prices: DataFrame) ->
 
 def lone_wolf(trades: DataFrame, factor: float = 4.0, least: int = 5, top: int = 3) -> DataFrame:
     """A person's largest trades, if they are several times the person's own upper median."""
-    per = trades.filter("est > 0").groupBy("person_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("est")).alias("all"))
-    middle = per.filter(F.col("n") >= least).select("person_id", F.element_at("all", F.floor(F.col("n") / 2).cast("int") + 1).alias("middle"))
+    middle = upper_median(trades.filter("est > 0"), "person_id", "est", least)
     window = Window.partitionBy("person_id").orderBy(F.desc("est"), F.desc("traded_at"), "ticker", "order_id", "line")
     largest = trades.withColumn("__r", F.row_number().over(window)).filter(F.col("__r") <= top).join(middle, "person_id")
     largest = largest.withColumn("ratio", F.col("est") / F.col("middle")).filter(F.col("ratio") >= factor)

@@ -23,21 +23,28 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str,
     return a.join(b, [*keys, "__bucket"]).filter((gap >= low * micros) & (gap <= high * micros)).drop("__bucket")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, values: list[str], forward: bool = False, strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, values: list[str], forward: bool = False, strict: bool = False, days: int = 32) -> DataFrame:
     """Left rows with the ``values`` of the last right row at or before them (``forward``: the first one after), and ``matched_at``.
 
-    Both sides are united and one window carries values along: n log n for each key, and no pair is formed. ``strict`` leaves equal times out.
+    Both sides are united and one window carries values along within buckets of a key and ``days`` days; no pair is formed. What a bucket inherits, the last hit of the buckets before it,
+    comes from one row for each bucket. So a key with a large share of all rows is spread over its buckets. ``strict`` leaves equal times out.
     """
     columns = left.columns
     hit = F.struct(F.col(right_at).alias("matched_at"), *values)
     own = left.withColumns({"__at": F.col(left_at), "__hit": F.lit(None).cast(right.select(hit).schema[0].dataType), "__left": F.lit(True)})
     other = right.select(*keys, F.col(right_at).alias("__at"), hit.alias("__hit")).withColumn("__left", F.lit(False))
     rank = F.when(F.col("__left"), F.lit(1)).otherwise(F.lit(2 if strict else 0))
-    order = [F.col("__at").desc(), rank] if forward else [F.col("__at"), rank]
-    order.append(F.col("__hit"))
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    united = own.unionByName(other, allowMissingColumns=True).withColumn("__found", F.last("__hit", ignorenulls=True).over(window))
-    return united.filter("__left").select(*columns, "__found.*")
+    at = F.col("__at").desc() if forward else F.col("__at")
+    bucket = F.floor(F.unix_seconds(F.col("__at").cast("timestamp")) / (days * 86400)).alias("__bucket")
+    united = own.unionByName(other, allowMissingColumns=True).withColumn("__bucket", bucket)
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(at, rank, F.col("__hit")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    united = united.withColumn("__found", F.last("__hit", ignorenulls=True).over(inside))
+    hits = other.withColumn("__bucket", bucket).groupBy(*keys, "__bucket").agg((F.min if forward else F.max)("__hit").alias("__edge"))
+    buckets = united.select(*keys, "__bucket").distinct().join(hits, [*keys, "__bucket"], "left")
+    before = Window.partitionBy(*keys).orderBy(F.col("__bucket").desc() if forward else F.col("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    inherited = buckets.withColumn("__inherited", F.last("__edge", ignorenulls=True).over(before)).drop("__edge")
+    out = united.filter("__left").join(inherited, [*keys, "__bucket"], "left").withColumn("__found", F.coalesce("__found", "__inherited"))
+    return out.select(*columns, "__found.*")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -159,6 +159,6 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def freshness(meta: DataFrame, as_of: Column) -> DataFrame:
     """Grade of every source: A to D by how many polling intervals ago it last succeeded."""
-    late = (F.unix_seconds(as_of) - F.unix_seconds("last_success")) / F.col("poll_interval_seconds")
+    late = (F.unix_seconds(as_of) - F.unix_seconds(F.col("last_success").cast("timestamp"))) / F.col("poll_interval_seconds")
     grade = F.when((F.col("status") != "healthy") | late.isNull(), "D").when(late < 2, "A").when(late < 5, "B").when(late < 10, "C").otherwise("D")
     return meta.withColumn("grade", grade)

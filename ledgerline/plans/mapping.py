@@ -1,19 +1,21 @@
 """The domain's tables over the tables at hand: Spark plans, and the same in SQL.
 
 A trade is a line item: the customer is the person, the brand the ticker, the part type the sector, the return flag the trade type, the supplier the
-corporate insider, order and ship dates are traded and filed. Prices are daily maxima per ticker, scores are monthly per ticker.
+corporate insider, order and ship dates are traded and filed. Prices are daily maxima per ticker, scores are monthly per ticker. The other kinds of rows: contracts are orders by
+their first line, sanctions are suppliers, lobbying records are customers, tariffs are nations, and donations, court filings and layoffs are events by type.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import midpoint
 
 AS_OF = "2001-08-01"
+YEARS_BACK = 24  # events lie so many years after the trades
 
 
 class Catalog:
@@ -25,58 +27,155 @@ class Catalog:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
+    @cached_property
+    def nations(self) -> DataFrame:
+        region = F.broadcast(self.read("region"))  # five rows
+        return self.read("nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("state"), F.col("r_name").alias("region"))
+
     @cached_property
     def persons(self) -> DataFrame:
         nation = F.broadcast(self.read("nation").select("n_nationkey", F.col("n_name").alias("state")))  # one row per country
-        party = F.when(F.col("c_custkey") % 3 == 0, "R").when(F.col("c_custkey") % 3 == 1, "D").otherwise("I")
-        return (
-            self.read("customer")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(F.col("c_custkey").alias("person_id"), F.col("c_name").alias("name"), party.alias("party"), "state", F.col("c_mktsegment").alias("committee"))
-        )
+        return self.read("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(*self._person(), "state")
+
+    def _person(self) -> list[Column]:
+        key = F.col("c_custkey")
+        party = F.when(key % 3 == 0, "R").when(key % 3 == 1, "D").otherwise("I")
+        role = F.when(key % 2 == 0, "senator").otherwise("representative")
+        return [
+            key.alias("person_id"), F.col("c_name").alias("name"), F.lower("c_name").alias("slug"), party.alias("party"), role.alias("role"), F.lit("legislative").alias("person_branch"),
+            (key % 4 + 1).cast("int").alias("tier"), F.col("c_mktsegment").alias("committee"),
+        ]
 
     @cached_property
     def companies(self) -> DataFrame:
-        return self.read("part").select(F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("ticker"), F.col("p_type").alias("sector"), F.col("p_name").alias("company"))
+        cap = F.when(F.col("p_size") >= 34, "large").when(F.col("p_size") >= 17, "mid").otherwise("small")
+        return self.read("part").select(
+            F.col("p_partkey").alias("part_id"), F.col("p_brand").alias("ticker"), F.col("p_type").alias("sector"), F.col("p_name").alias("company"),
+            F.concat(F.lit("group "), F.expr("p_size div 10")).alias("subsector"), cap.alias("market_cap"), (F.col("p_size") % 25).alias("hs_code"),
+        )
 
-    @cached_property
-    def trades(self) -> DataFrame:
+    def facts(self, company: bool = True, person: bool = True, state: bool = False, order: bool = True) -> DataFrame:
+        """Trades with the dimensions that a query needs, and no other join. Without ``order`` a trade has no person and no date of its own but the filing's."""
         kind = F.when(F.col("l_returnflag") == "A", "purchase").when(F.col("l_returnflag") == "R", "sale_full").otherwise("sale_partial")
         low = F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("long")
         high = F.floor("l_extendedprice").cast("long")
-        return (
-            self.read("lineitem")
-            .join(self.read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .join(self.companies, F.col("l_partkey") == F.col("part_id"))
-            .join(self.persons, F.col("o_custkey") == F.col("person_id"))
-            .select(
-                "person_id", "name", "party", "state", "committee", "ticker", "sector", "company", "part_id", kind.alias("trade_type"),
-                low.alias("low"), high.alias("high"), midpoint(low, high).alias("est"),
-                F.col("o_orderdate").alias("traded_at"), F.col("l_shipdate").alias("filed_at"), F.col("l_suppkey").alias("insider_id"),
-                F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"),
-            )
+        columns = [
+            kind.alias("trade_type"), low.alias("low"), high.alias("high"), midpoint(low, high).alias("est"), F.col("l_shipdate").alias("filed_at"),
+            F.col("l_suppkey").alias("insider_id"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part_id"), F.col("l_linestatus").alias("owner"),
+        ]
+        rows = self.read("lineitem")
+        if order:
+            rows = rows.join(self.read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            columns += [F.col("o_custkey").alias("person_id"), F.col("o_orderdate").alias("traded_at")]
+        rows = rows.select(*columns)
+        if company:
+            rows = rows.join(self.companies, "part_id")
+        if person or state:
+            persons = self.persons if state else self.read("customer").select(*self._person())
+            rows = rows.join(persons, "person_id")
+        return rows
+
+    @cached_property
+    def trades(self) -> DataFrame:
+        return self.facts(state=True).select(
+            "person_id", "name", "party", "state", "committee", "ticker", "sector", "company", "part_id", "trade_type",
+            "low", "high", "est", "traded_at", "filed_at", "insider_id", "order_id", "line",
         )
 
     @cached_property
     def prices(self) -> DataFrame:
-        return self.trades.groupBy("ticker", F.col("traded_at").alias("at")).agg(
-            (F.max("high") * 100).alias("price_cents"), F.count("*").alias("volume")
-        )
+        daily = self.facts(person=False).groupBy("ticker", F.col("traded_at").alias("at"))
+        return daily.agg((F.max("high") * 100).alias("price_cents"), F.count("*").alias("volume"))
 
     @cached_property
     def scores(self) -> DataFrame:
         n = F.count("*")
 
-        def share(x: F.Column) -> F.Column:
+        def share(x: Column) -> Column:
             return F.sum(F.when(x, 1).otherwise(0)) * 100.0 / n
 
-        monthly = self.trades.groupBy("ticker", F.date_trunc("month", "traded_at").alias("computed_at")).agg(
+        monthly = self.facts().groupBy("ticker", F.date_trunc("month", "traded_at").alias("computed_at")).agg(
             share(F.col("trade_type") == "purchase").alias("market"),
             share(F.col("filed_at") > F.col("traded_at")).alias("policy"),
             share(F.col("party") == "R").alias("insider"),
         )
         return monthly.withColumn("composite", F.round(0.35 * F.col("market") + 0.40 * F.col("policy") + 0.25 * F.col("insider"), 4))
 
+    @cached_property
+    def happenings(self) -> DataFrame:
+        """Events of companies, in the years of the trades."""
+        at = F.expr(f"ts - make_interval({YEARS_BACK})")
+        return self.read("events").select("event_id", F.col("user_id").alias("part_id"), at.alias("at"), "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+    def branches(self) -> dict:
+        """The nine kinds of rows of the filter language; amounts are in the branch's own unit."""
+        dims = [F.col("company").alias("company_name"), "ticker", "sector", "subsector", "market_cap"]
+        start = F.lit("1995-01-01").cast("timestamp")
+
+        def days_on(days: Column) -> Column:
+            return F.timestamp_seconds(F.unix_seconds(start) + days * 86400)
+
+        def cents(x: Column | str) -> Column:
+            return F.round(F.col(x) * 100 if isinstance(x, str) else x * 100).cast("long")
+
+        def trade() -> DataFrame:
+            return self.facts().select(
+                F.col("order_id").alias("event_id"), F.col("traded_at").alias("occurred_at"), F.col("slug").alias("person_slug"), F.col("name").alias("person_name"), F.col("party").alias("person_party"),
+                "person_branch", "role", F.array("committee").alias("committees"), *dims, F.col("trade_type").alias("action"), "owner", F.col("est").alias("amount_mid"), "filed_at",
+            )
+
+        def contract() -> DataFrame:
+            first = self.read("lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("part_id"))
+            return first.join(self.read("orders"), "o_orderkey").join(self.companies, "part_id", "left").select(
+                F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("occurred_at"), *dims, F.col("o_orderstatus").alias("action"), cents("o_totalprice").alias("amount_mid"),
+                F.col("o_orderpriority").alias("agency"), F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("description"),
+            )
+
+        def sanction() -> DataFrame:
+            suppliers = self.read("supplier").join(F.broadcast(self.nations), F.col("s_nationkey") == F.col("n_nationkey"))  # one row per country
+            return suppliers.join(self.companies, F.col("s_suppkey") == F.col("part_id"), "left").select(
+                F.col("s_suppkey").alias("event_id"), days_on(F.col("s_suppkey") * 7 % 2400).alias("occurred_at"), *dims, F.col("region").alias("program"), F.col("state").alias("country"), F.col("s_name").alias("entity_name")
+            )
+
+        def happened(kind: str) -> DataFrame:
+            return self.happenings.filter(F.col("event_type") == kind).join(self.companies, "part_id", "left")
+
+        def donation() -> DataFrame:
+            return happened("purchase").select("event_id", F.col("at").alias("occurred_at"), *dims, cents("value").alias("amount_mid"))
+
+        def lobbying() -> DataFrame:
+            return self.read("customer").join(self.companies, F.col("c_custkey") == F.col("part_id"), "left").select(
+                F.col("c_custkey").alias("event_id"), days_on(F.col("c_custkey") % 2400).alias("occurred_at"), *dims, cents("c_acctbal").alias("amount_mid"), F.col("c_name").alias("registrant")
+            )
+
+        def insider() -> DataFrame:
+            supplier = self.read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("filer_name"))
+            rows = self.read("lineitem").join(supplier, "l_suppkey").withColumnRenamed("l_partkey", "part_id").join(self.companies, "part_id", "left")
+            kind = F.when(F.col("l_returnflag") == "A", "purchase").when(F.col("l_returnflag") == "R", "sale_full").otherwise("sale_partial")
+            shares = F.col("l_quantity").cast("long")
+            return rows.select(
+                F.col("l_orderkey").alias("event_id"), F.col("l_shipdate").alias("occurred_at"), *dims, kind.alias("action"), (shares * F.floor("l_extendedprice")).cast("long").alias("amount_mid"),
+                "filer_name", F.col("l_linestatus").alias("filer_title"), shares.alias("shares"), F.col("l_shipdate").alias("filed_at"),
+            )
+
+        def court() -> DataFrame:
+            return happened("error").select("event_id", F.col("at").alias("occurred_at"), *dims, F.concat(F.lit("kind "), F.col("k") % 5).alias("filing_type"))
+
+        def warn() -> DataFrame:
+            nation = F.broadcast(self.read("nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("state")))  # one row per country
+            rows = happened("signup").withColumn("n", (F.col("part_id") % 25).cast("int")).join(nation, "n", "left")
+            return rows.select("event_id", F.col("at").alias("occurred_at"), *dims, "state", F.floor("value").cast("long").alias("workers_affected"), F.col("at").alias("filed_at"))
+
+        def tariff() -> DataFrame:
+            """A tariff reaches companies through its codes and theirs, in two hops."""
+            codes = self.companies.select("hs_code", "ticker", F.col("company").alias("company_name"), "sector")
+            rows = self.nations.withColumn("hs", F.explode(F.array("n_nationkey")))
+            return rows.join(codes, F.col("hs") == F.col("hs_code"), "left").select(
+                F.col("n_nationkey").cast("long").alias("event_id"), days_on(F.col("n_nationkey") * 90).alias("occurred_at"), "ticker", "company_name", "sector", F.array("state").alias("countries")
+            )
+
+        return {f.__name__: f for f in (trade, contract, sanction, donation, lobbying, insider, court, warn, tariff)}
+
 
 #: The same tables as common table expressions.
 T = """t AS (SELECT c_custkey AS person_id, c_name AS name, CASE c_custkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'D' ELSE 'I' END AS party, n_name AS state,
@@ -92,3 +191,43 @@ SC = """sc AS (SELECT *, round(0.35 * market + 0.40 * policy + 0.25 * insider, 4
  SELECT ticker, date_trunc('month', traded_at)::TIMESTAMP AS computed_at, sum((trade_type = 'purchase')::INT)::BIGINT * 100.0::DOUBLE / count(*) AS market,
  sum((filed_at > traded_at)::INT)::BIGINT * 100.0::DOUBLE / count(*) AS policy, sum((party = 'R')::INT)::BIGINT * 100.0::DOUBLE / count(*) AS insider
  FROM t GROUP BY 1, 2))"""
+
+_COLUMNS = (
+    "event_type", "event_id", "occurred_at", "person_slug", "person_name", "person_party", "person_branch", "ticker", "company_name", "sector", "action", "owner", "amount_mid", "agency", "program",
+    "country", "state", "workers_affected", "entity_name", "description", "registrant", "filing_type", "filer_name", "filer_title", "shares", "filed_at", "subsector", "market_cap", "role", "committee", "nation", "cents",
+)
+_KINDS = {"event_id": "BIGINT", "cents": "BIGINT", "occurred_at": "TIMESTAMP", "filed_at": "TIMESTAMP", "amount_mid": "BIGINT", "workers_affected": "BIGINT", "shares": "BIGINT"}
+
+
+def _sql_branch(kind: str, rows: str, company: bool = True, **columns: str) -> str:
+    own = {"event_type": f"'{kind}'"} | columns
+    if "amount_mid" in columns and columns["amount_mid"].endswith(" // 100"):
+        own["cents"] = columns["amount_mid"].removesuffix(" // 100")
+    if company:
+        own |= {"ticker": "p_brand", "company_name": "p_name", "sector": "p_type"}
+        if kind != "tariff":
+            own |= {"subsector": "'group ' || (p_size // 10)", "market_cap": "CASE WHEN p_size >= 34 THEN 'large' WHEN p_size >= 17 THEN 'mid' WHEN p_size IS NOT NULL THEN 'small' END"}
+    return "SELECT " + ", ".join(f"CAST({own.get(c, 'NULL')} AS {_KINDS.get(c, 'VARCHAR')}) AS {c}" for c in _COLUMNS) + f" FROM {rows}"
+
+
+_TYPE = "CASE l_returnflag WHEN 'A' THEN 'purchase' WHEN 'R' THEN 'sale_full' ELSE 'sale_partial' END"
+_EVENT = "(SELECT *, ts - INTERVAL 24 YEAR AS moved FROM events WHERE event_type = '{}') e LEFT JOIN part ON p_partkey = user_id"
+#: The nine kinds of rows in one table, with the columns that filters look at besides.
+FQ = "fq AS (" + " UNION ALL ".join((
+    _sql_branch("trade", "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey", event_id="l_orderkey", occurred_at="o_orderdate",
+                person_slug="lower(c_name)", person_name="c_name", person_party="CASE c_custkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'D' ELSE 'I' END", person_branch="'legislative'",
+                role="CASE c_custkey % 2 WHEN 0 THEN 'senator' ELSE 'representative' END", committee="c_mktsegment", action=_TYPE, owner="l_linestatus", filed_at="l_shipdate",
+                amount_mid="(CAST(floor(l_extendedprice * (1 - l_discount)) AS BIGINT) + CAST(floor(l_extendedprice) AS BIGINT)) // 2"),
+    _sql_branch("contract", "lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = 1 LEFT JOIN part ON l_partkey = p_partkey", event_id="o_orderkey", occurred_at="o_orderdate", action="o_orderstatus",
+                amount_mid="CAST(round(o_totalprice * 100) AS BIGINT) // 100", agency="o_orderpriority", description="o_orderstatus || ' ' || o_orderpriority"),
+    _sql_branch("sanction", "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN part ON p_partkey = s_suppkey", event_id="s_suppkey",
+                occurred_at="TIMESTAMP '1995-01-01' + to_days(CAST(s_suppkey * 7 % 2400 AS INT))", program="r_name", country="n_name", entity_name="s_name"),
+    _sql_branch("donation", _EVENT.format("purchase"), event_id="event_id", occurred_at="moved", amount_mid="CAST(round(value * 100) AS BIGINT) // 100"),
+    _sql_branch("lobbying", "customer LEFT JOIN part ON p_partkey = c_custkey", event_id="c_custkey", occurred_at="TIMESTAMP '1995-01-01' + to_days(CAST(c_custkey % 2400 AS INT))",
+                amount_mid="CAST(round(c_acctbal * 100) AS BIGINT) // 100", registrant="c_name"),
+    _sql_branch("insider", "lineitem JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN part ON l_partkey = p_partkey", event_id="l_orderkey", occurred_at="l_shipdate", action=_TYPE, filer_name="s_name", filer_title="l_linestatus",
+                shares="CAST(trunc(l_quantity) AS BIGINT)", amount_mid="CAST(trunc(l_quantity) AS BIGINT) * CAST(floor(l_extendedprice) AS BIGINT) // 100", filed_at="l_shipdate"),
+    _sql_branch("court", _EVENT.format("error"), event_id="event_id", occurred_at="moved", filing_type="'kind ' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 5)"),
+    _sql_branch("warn", _EVENT.format("signup") + " LEFT JOIN nation ON n_nationkey = user_id % 25", event_id="event_id", occurred_at="moved", state="n_name", workers_affected="CAST(floor(value) AS BIGINT)", filed_at="moved"),
+    _sql_branch("tariff", "nation LEFT JOIN part ON p_size % 25 = n_nationkey", event_id="n_nationkey", occurred_at="TIMESTAMP '1995-01-01' + to_days(CAST(n_nationkey * 90 AS INT))", nation="n_name"),
+)) + ")"

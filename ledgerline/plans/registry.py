@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import re
 from collections.abc import Callable
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, insights, scores, signals, trades
 from ..operators.temporal import asof_join
 from ..streaming import streams
-from . import fql
+from . import fql_queries, more_queries
 from .mapping import AS_OF, PX, SC, T, Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,12 +42,12 @@ add(
     "top_tickers",
     f"SELECT ticker, count(*) AS trades, count(DISTINCT person_id) AS reps, {n_if(BUY)} AS buys, {n_if(SELL)} AS sells, {d_if("party = 'R'")} AS r_count, {d_if("party = 'D'")} AS d_count, "
     "sum(est)::BIGINT AS volume, min(traded_at) AS first_trade, max(traded_at) AS last_trade FROM t GROUP BY ticker ORDER BY reps DESC, trades DESC, ticker LIMIT 50",
-    lambda c: trades.top_tickers(c.trades),
+    lambda c: trades.top_tickers(c.facts()),
 )
 add(
     "ticker_persons",
     f"SELECT ticker, person_id, name, party, count(*) AS trades, {n_if(BUY)} AS buys, {n_if(SELL)} AS sells, sum(est)::BIGINT AS volume, max(traded_at) AS last_trade FROM t GROUP BY ALL",
-    lambda c: trades.ticker_persons(c.trades),
+    lambda c: trades.ticker_persons(c.facts()),
 )
 add(
     "persons_by_influence",
@@ -61,45 +60,49 @@ add(
     "person_headline",
     "SELECT person_id, sum(n)::BIGINT AS trades, count(*) AS tickers, sum(v)::BIGINT AS volume, round(sum((v::DOUBLE / whole) * (v::DOUBLE / whole)), 6) AS hhi, round(max(v::DOUBLE / whole), 6) AS top_share, max(big) AS biggest "
     "FROM (SELECT person_id, ticker, count(*) AS n, sum(est)::BIGINT AS v, max(est) AS big, sum(sum(est)) OVER (PARTITION BY person_id)::BIGINT AS whole FROM t GROUP BY 1, 2) GROUP BY person_id",
-    lambda c: trades.person_headline(c.trades),
+    lambda c: trades.person_headline(c.facts(person=False)),
 )
 add(
     "person_top_tickers",
     "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY volume DESC, ticker)::INT AS rank FROM (SELECT person_id, ticker, count(*) AS trades, sum(est)::BIGINT AS volume FROM t GROUP BY 1, 2)) WHERE rank <= 10",
-    lambda c: trades.person_top_tickers(c.trades),
+    lambda c: trades.person_top_tickers(c.facts(person=False)),
+)
+add(
+    "solo_tickers",
+    "SELECT part_id, min(person_id) AS person_id, count(*) AS trades FROM t WHERE traded_at >= TIMESTAMP '2001-05-01' GROUP BY part_id HAVING count(DISTINCT person_id) = 1",
+    lambda c: trades.solo_tickers(c.facts(company=False, person=False).filter(F.col("traded_at") >= F.lit("2001-05-01").cast("timestamp")), "part_id"),
 )
-add("solo_tickers", "SELECT part_id, min(person_id) AS person_id, count(*) AS trades FROM t GROUP BY part_id HAVING count(DISTINCT person_id) = 1", lambda c: trades.solo_tickers(c.trades, "part_id"))
 add(
     "net_flow",
     f"SELECT person_id, strftime(traded_at, '%Y-%m') AS month, coalesce(sum(est) FILTER (WHERE {BUY}), 0)::BIGINT AS bought, coalesce(sum(est) FILTER (WHERE {SELL}), 0)::BIGINT AS sold, (coalesce(sum(est) FILTER (WHERE {BUY}), 0) - coalesce(sum(est) FILTER (WHERE {SELL}), 0))::BIGINT AS net FROM t GROUP BY 1, 2",
-    lambda c: trades.net_flow(c.trades),
+    lambda c: trades.net_flow(c.facts(company=False, person=False)),
 )
 add(
     "owner_split",
     "SELECT CASE WHEN committee = 'FURNITURE' THEN 'unspecified' ELSE committee END AS owner, count(*) AS trades, sum(est)::BIGINT AS volume FROM t GROUP BY 1",
     lambda c: trades.owner_split(c.trades, F.when(F.col("committee") == "FURNITURE", "--").otherwise(F.col("committee"))),
 )
-add("heat_day_month", "SELECT dayofweek(traded_at)::INT AS dow, month(traded_at)::INT AS month, count(*) AS trades, sum(est)::BIGINT AS volume FROM t GROUP BY 1, 2", lambda c: trades.heat_day_month(c.trades))
+add("heat_day_month", "SELECT dayofweek(traded_at)::INT AS dow, month(traded_at)::INT AS month, count(*) AS trades, sum(est)::BIGINT AS volume FROM t GROUP BY 1, 2", lambda c: trades.heat_day_month(c.facts(company=False, person=False)))
 add(
     "heat_party_sector",
     f"SELECT party, sector, count(*) AS trades, {n_if(BUY)} AS buys, {n_if(SELL)} AS sells, sum(est)::BIGINT AS volume FROM t GROUP BY 1, 2",
-    lambda c: trades.heat_party_sector(c.trades),
+    lambda c: trades.heat_party_sector(c.facts()),
 )
 TOP_P = "p AS (SELECT person_id FROM t GROUP BY 1 ORDER BY count(*) DESC, person_id LIMIT 15)"
 add(
     "heat_person_month",
     "SELECT person_id, name, strftime(traded_at, '%Y-%m') AS month, count(*) AS trades FROM t WHERE person_id IN (SELECT person_id FROM p) GROUP BY ALL",
-    lambda c: trades.heat_person_month(c.trades), TOP_P,
+    lambda c: trades.heat_person_month(c.facts(company=False)), TOP_P,
 )
 add(
     "heat_person_ticker",
     "SELECT person_id, ticker, count(*) AS trades, sum(est)::BIGINT AS volume FROM t WHERE person_id IN (SELECT person_id FROM p) AND ticker IN (SELECT ticker FROM k) GROUP BY ALL",
-    lambda c: trades.heat_person_ticker(c.trades), TOP_P, "k AS (SELECT ticker FROM t GROUP BY 1 ORDER BY count(*) DESC, ticker LIMIT 10)",
+    lambda c: trades.heat_person_ticker(c.facts(person=False)), TOP_P, "k AS (SELECT ticker FROM t GROUP BY 1 ORDER BY count(*) DESC, ticker LIMIT 10)",
 )
 add(
     "activity",
     f"SELECT count(*) AS trades, count(DISTINCT person_id) AS persons, count(DISTINCT ticker) AS tickers, sum(est)::BIGINT AS volume FROM t WHERE traded_at >= DATE '{AS_OF}' - 365 AND traded_at < DATE '{AS_OF}'",
-    lambda c: trades.activity(c.trades, AS_OF),
+    lambda c: trades.activity(c.facts(person=False), AS_OF),
 )
 add(
     "drill_party_sector",
@@ -127,17 +130,20 @@ add(
     "SELECT * FROM (SELECT * FROM (SELECT ts AS at, 'event' AS kind, event_type AS what FROM events ORDER BY at DESC, what LIMIT 20) UNION ALL SELECT * FROM (SELECT computed_at, 'score', ticker FROM sc ORDER BY 1 DESC, 3 LIMIT 20)) ORDER BY at DESC, kind, what LIMIT 20",
     lambda c: trades.timeline(c.read("events").select(F.col("ts").alias("at"), F.col("event_type").alias("what")), c.scores), SC,
 )
-add("sectors", "SELECT DISTINCT sector FROM t", lambda c: trades.distinct_values(c.trades, "sector"))
+add("sectors", "SELECT DISTINCT sector FROM t", lambda c: trades.distinct_values(c.facts(person=False, order=False), "sector"))
 SW = f"""sw AS (SELECT ticker, date_trunc('week', traded_at)::DATE AS week, count(DISTINCT person_id) AS reps, count(*) AS trades, {n_if(BUY)} AS buys, {n_if(SELL)} AS sells, {d_if("party = 'R'")} AS r_count,
  {d_if("party = 'D'")} AS d_count, array_to_string(list_sort(list(DISTINCT name)), ',') AS names FROM t WHERE traded_at >= TIMESTAMP '2000-01-01' GROUP BY 1, 2 HAVING count(DISTINCT person_id) >= 4)"""
-add("swarms", "SELECT * FROM sw ORDER BY week DESC, reps DESC, ticker LIMIT 100", lambda c: signals.swarms(c.trades), SW)
-add(
-    "swarms_enriched",
-    "SELECT ticker, week, reps, (SELECT count(*) FROM t i WHERE i.ticker = sw.ticker AND i.filed_at >= week AND i.filed_at < week + INTERVAL 7 DAY) AS insider_trades, "
+add("swarms", "SELECT * FROM sw ORDER BY week DESC, reps DESC, ticker LIMIT 100", lambda c: signals.swarms(c.facts()), SW)
+SE = (
+    "se AS (SELECT ticker, week, reps, (SELECT count(*) FROM t i WHERE i.ticker = sw.ticker AND i.filed_at >= week AND i.filed_at < week + INTERVAL 7 DAY) AS insider_trades, "
     f"(SELECT count(*) FROM t i WHERE i.ticker = sw.ticker AND i.{BUY} AND i.filed_at >= week AND i.filed_at < week + INTERVAL 7 DAY) AS insider_buys, "
     "round((SELECT avg(volume) FROM px p WHERE p.ticker = sw.ticker AND at >= week AND at < week + INTERVAL 7 DAY) / (SELECT avg(volume) FROM px p WHERE p.ticker = sw.ticker AND at >= week - INTERVAL 90 DAY AND at < week), 6) AS volume_ratio, "
-    "round((SELECT (arg_max(price_cents, at) - arg_min(price_cents, at)) * 100.0::DOUBLE / arg_min(price_cents, at) FROM px p WHERE p.ticker = sw.ticker AND at >= week AND at < week + INTERVAL 7 DAY), 6) AS price_move FROM sw",
-    lambda c: signals.enriched_swarms(c.trades, c.trades.select("ticker", F.col("filed_at").alias("traded_at"), "trade_type"), c.prices), PX, SW,
+    "round((SELECT (arg_max(price_cents, at) - arg_min(price_cents, at)) * 100.0::DOUBLE / arg_min(price_cents, at) FROM px p WHERE p.ticker = sw.ticker AND at >= week AND at < week + INTERVAL 7 DAY), 6) AS price_move FROM sw)"
+)
+add(
+    "swarms_enriched",
+    "SELECT * FROM se",
+    lambda c: signals.enriched_swarms(c.trades, c.trades.select("ticker", F.col("filed_at").alias("traded_at"), "trade_type"), c.prices), PX, SW, SE,
 )
 _NET = "sign(r_buyers - r_sellers) * sign(d_buyers - d_sellers)"
 for _mode, _weight in (("consensus", "round(total * (1 - abs(score)), 6)"), ("contrarian", "round(total * abs(score), 6)")):
@@ -147,42 +153,42 @@ for _mode, _weight in (("consensus", "round(total * (1 - abs(score)), 6)"), ("co
         "FROM (SELECT *, r_buyers + r_sellers + d_buyers + d_sellers AS total, round((r_buyers + r_sellers - d_buyers - d_sellers)::DOUBLE / nullif(r_buyers + r_sellers + d_buyers + d_sellers, 0), 6) AS score FROM ("
         + "SELECT ticker, " + ", ".join(f"{d_if(f"party = '{p.upper()}' AND {x}")} AS {p}_{n}" for p in "rd" for n, x in (("buyers", BUY), ("sellers", SELL)))
         + ", count(DISTINCT person_id) AS reps FROM t GROUP BY 1)) WHERE reps >= 4 ORDER BY weight DESC, ticker LIMIT 50",
-        lambda c, m=_mode: signals.partisan(c.trades, m),
+        lambda c, m=_mode: signals.partisan(c.facts(), m),
     )
 add(
     "first_movers",
     f"SELECT part_id, person_id, rank::INT AS rank, buyers, first_buy, date_diff('day', lead, first_buy)::INT AS lag_days FROM (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY part_id) AS buyers, first_value(first_buy) OVER w AS lead FROM (SELECT part_id, person_id, min(traded_at) AS first_buy FROM t WHERE {BUY} GROUP BY 1, 2) WINDOW w AS (PARTITION BY part_id ORDER BY first_buy, person_id)) WHERE buyers >= 3 AND rank <= 5",
-    lambda c: signals.first_movers(c.trades, "part_id"),
+    lambda c: signals.first_movers(c.facts(company=False, person=False), "part_id"),
 )
 TRIPS = f"""rt AS (SELECT *, (epoch(sold_at) - epoch(traded_at))::BIGINT // 86400 AS hold_days FROM (SELECT b.person_id, b.ticker, b.traded_at, b.est, b.order_id, b.line, (SELECT min(s.traded_at) FROM t s WHERE s.person_id = b.person_id AND s.ticker = b.ticker AND s.{SELL} AND s.traded_at > b.traded_at) AS sold_at
  FROM t b WHERE b.{BUY}) WHERE sold_at IS NOT NULL)"""
 add(
     "round_trips",
     "SELECT person_id, ticker, traded_at, est, order_id, line, sold_at, hold_days::INT AS hold_days FROM rt WHERE hold_days <= 90 ORDER BY hold_days, est DESC, person_id, ticker, order_id, line LIMIT 100",
-    lambda c: signals.round_trips(c.trades), TRIPS,
+    lambda c: signals.round_trips(c.facts(person=False)), TRIPS,
 )
 PAIR = "a.part_id = b.part_id AND a.person_id < b.person_id AND abs(date_diff('day', a.traded_at, b.traded_at)) <= 14"
 add(
     "co_trader_network",
     f"SELECT a.person_id AS a, b.person_id AS b, count(DISTINCT a.part_id) AS shared FROM t a JOIN t b ON {PAIR} WHERE a.traded_at >= TIMESTAMP '1996-01-01' AND b.traded_at >= TIMESTAMP '1996-01-01' GROUP BY 1, 2 HAVING shared >= 2 ORDER BY shared DESC, 1, 2 LIMIT 500",
-    lambda c: signals.co_trader_network(c.trades, since="1996-01-01"),
+    lambda c: signals.co_trader_network(c.facts(company=False, person=False), since="1996-01-01"),
 )
 add(
     "co_traders",
     "SELECT b.person_id, count(DISTINCT a.part_id) AS shared FROM t a JOIN t b ON a.part_id = b.part_id AND a.person_id = 7 AND b.person_id <> 7 AND abs(date_diff('day', a.traded_at, b.traded_at)) <= 14 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25",
-    lambda c: signals.co_traders(c.trades, 7),
+    lambda c: signals.co_traders(c.facts(company=False, person=False), 7),
 )
 LAT = "lat AS (SELECT *, date_diff('day', traded_at, filed_at) AS days FROM t WHERE filed_at >= traded_at AND traded_at >= TIMESTAMP '2000-01-01')"
 add(
     "latency_leaderboard",
     "SELECT person_id, name, count(*) AS trades, round(quantile_cont(days, 0.5))::INT AS median_days, round(quantile_cont(days, 0.9))::INT AS p90_days, max(days)::INT AS worst_days, arg_max(ticker, (days, ticker)) AS worst_ticker, "
     f"{n_if('days > 45')} AS late, round({n_if('days > 45')} * 100.0::DOUBLE / count(*), 4) AS late_pct FROM lat GROUP BY 1, 2 HAVING count(*) >= 5 ORDER BY median_days DESC, late_pct DESC, trades DESC, person_id LIMIT 50",
-    lambda c: signals.latency_leaderboard(c.trades), LAT,
+    lambda c: signals.latency_leaderboard(c.facts()), LAT,
 )
 add(
     "latency_summary",
     f"SELECT count(*) AS trades, count(DISTINCT person_id) AS persons, round(quantile_cont(days, 0.5), 4) AS p50, round(quantile_cont(days, 0.9), 4) AS p90, {n_if('days > 45')} AS late FROM lat",
-    lambda c: signals.latency_summary(c.trades), LAT,
+    lambda c: signals.latency_summary(c.facts(company=False, person=False)), LAT,
 )
 
 
@@ -273,8 +279,8 @@ DETECTORS: dict[str, tuple[Callable[[Catalog], DataFrame], str, tuple[str, ...]]
     ),
     "swarm_outlier": (
         lambda c: insights.swarm_outlier(c.trades, c.trades.select("ticker", F.col("filed_at").alias("traded_at"), "trade_type"), c.prices),
-        finding("swarm_outlier", "''", "ticker", "max(week)", "30 + 5 * sum(reps) + 10 * count(*)", "FROM sw GROUP BY ticker HAVING 30 + 5 * sum(reps) + 10 * count(*) >= 50"),
-        (SW,),
+        finding("swarm_outlier", "''", "ticker", "week", "r", "FROM (SELECT ticker, max(week) AS week, 30 + 5 * sum(reps) + 10 * count(*) + CASE WHEN sum(insider_trades) > 0 THEN 10 ELSE 0 END + 5 * count(*) FILTER (WHERE volume_ratio < 1.5) AS r FROM se GROUP BY ticker) WHERE r >= 50"),
+        (PX, SW, SE),
     ),
     "lone_wolf": (
         lambda c: insights.lone_wolf(c.trades),
@@ -288,9 +294,9 @@ DETECTORS: dict[str, tuple[Callable[[Catalog], DataFrame], str, tuple[str, ...]]
         (PX, GAIN),
     ),
     "sector_rotation": (
-        lambda c: insights.sector_rotation(c.trades, "2000-08-15"),
+        lambda c: insights.sector_rotation(c.trades.filter("state = 'NATION_7'"), "2000-08-15"),
         finding("sector_rotation", "''", "sector", "TIMESTAMP '2000-08-15'", "50 + 2 * abs(shift)", f"FROM (SELECT sector, round(new * 100.0::DOUBLE / nullif(sum(new) OVER (), 0)::DOUBLE - old * 100.0::DOUBLE / nullif(sum(old) OVER (), 0)::DOUBLE, 4) AS shift FROM (SELECT sector, coalesce(sum(est) FILTER (WHERE {BUY} AND traded_at >= TIMESTAMP '2000-08-01'), 0)::BIGINT AS new, coalesce(sum(est) FILTER (WHERE {BUY} AND traded_at < TIMESTAMP '2000-08-01'), 0)::BIGINT AS old "
-                "FROM t WHERE traded_at >= TIMESTAMP '2000-04-15' AND traded_at < TIMESTAMP '2000-08-16' GROUP BY 1)) WHERE abs(shift) >= 10"),
+                "FROM t WHERE state = 'NATION_7' AND traded_at >= TIMESTAMP '2000-04-15' AND traded_at < TIMESTAMP '2000-08-16' GROUP BY 1)) WHERE abs(shift) >= 10"),
         (),
     ),
     "late_profitable": (
@@ -328,47 +334,8 @@ add(
 )
 
 
-def _branches(c: Catalog) -> fql.Branches:
-    t = c.trades
-    insider = c.read("lineitem").join(c.companies, F.col("l_partkey") == F.col("part_id"))
-    return {
-        "trade": lambda: t.select(F.col("order_id").alias("id"), F.col("traded_at").alias("at"), "ticker", "company", "sector", F.col("name").alias("person"), "person_id", "party", "state", "committee", F.col("trade_type").alias("action"), F.col("est").alias("amount")),
-        "insider": lambda: insider.select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("at"), "ticker", "company", "sector", F.floor("l_extendedprice").alias("amount")),
-        "contract": lambda: c.read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("agency"), F.floor("o_totalprice").alias("amount")),
-    }
-
-
-FQ = """fq AS (SELECT 'trade' AS type, order_id AS id, traded_at AS at, ticker, company, sector, name AS person, person_id, party, state, committee, trade_type AS action, NULL::VARCHAR AS owner, NULL::VARCHAR AS agency, est AS amount FROM t
- UNION ALL SELECT 'insider', l_orderkey, l_shipdate, p_brand, p_name, p_type, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CAST(floor(l_extendedprice) AS BIGINT) FROM lineitem JOIN part ON l_partkey = p_partkey
- UNION ALL SELECT 'contract', o_orderkey, o_orderdate, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, o_orderpriority, CAST(floor(o_totalprice) AS BIGINT) FROM orders)"""
-ORDER = "at DESC, id DESC, type, ticker NULLS FIRST, amount DESC, action NULLS FIRST, person NULLS FIRST"
-
-
-def add_fql(name: str, text: str, where: str, order: str = ORDER, limit: int = 50, group: str | None = None, score: bool = False, signal: bool = False, after: str | None = None) -> None:
-    def build(c: Catalog) -> DataFrame:
-        latest = scores.latest_scores(c.scores) if score else None
-        lists = {"swarms": signals.swarms(c.trades, 6, None).select("ticker").distinct()} if signal else None
-        return fql.plan(fql.parse(text), _branches(c), dt.date.fromisoformat(AS_OF), latest, lists, after=after)
-
-    if group:
-        sql = f"SELECT {group} AS \"group\", count(*) AS n, min(at) AS first, max(at) AS last, sum(amount)::BIGINT AS amount FROM fq WHERE {where} GROUP BY 1 ORDER BY n DESC, 1 NULLS FIRST LIMIT {limit}"
-    elif score:
-        sql = f"SELECT fq.*, market, policy, insider, composite FROM fq LEFT JOIN la USING (ticker) WHERE {where} ORDER BY {order} LIMIT {limit}"
-    else:
-        sql = f"SELECT * FROM fq WHERE {where} ORDER BY {order} LIMIT {limit}"
-    add(f"fql_{name}", sql, build, FQ, *([SC, LATEST] if score else []), *([SW] if signal else []))
-
-
-add_fql("recent", "", "true")
-add_fql("filters", "type:trade party:R action:buy amount:>50k since:2000 sort:amount limit:20", "type = 'trade' AND party = 'R' AND action = 'purchase' AND amount > 50000 AND at >= TIMESTAMP '2000-01-01'", "amount DESC NULLS LAST, " + ORDER, 20)
-add_fql("negation", "type:trade,insider -sector:econ -amount:1000..60000 before:1998-05-09", "type IN ('trade', 'insider') AND NOT contains(lower(sector), 'econ') AND NOT (amount >= 1000 AND amount <= 60000) AND at < TIMESTAMP '1998-05-09'")
-add_fql("words", 'widget "Customer#0000000" -type:contract limit:30', "type <> 'contract' AND (lower(ticker) LIKE '%widget%' OR lower(company) LIKE '%widget%' OR lower(person) LIKE '%widget%') AND (lower(ticker) LIKE '%customer#0000000%' OR lower(company) LIKE '%customer#0000000%' OR lower(person) LIKE '%customer#0000000%')", limit=30)
-add_fql("agency", "type:contract agency:medium amount:<=90k", "type = 'contract' AND contains(lower(agency), 'medium') AND amount <= 90000")
-add_fql("score", "type:trade score:>=50 sort:score limit:40", "type = 'trade' AND composite >= 50", "composite DESC NULLS LAST, " + ORDER, 40, score=True)
-add_fql("signal", "type:trade signal:swarm since:2000-06 limit:25", "type = 'trade' AND ticker IN (SELECT ticker FROM sw WHERE reps >= 6) AND at >= TIMESTAMP '2000-06-01'", limit=25, signal=True)
-add_fql("cursor", "type:trade limit:30", "type = 'trade' AND (at < TIMESTAMP '2000-01-05' OR (at = TIMESTAMP '2000-01-05' AND id < 500))", limit=30, after=fql.write_cursor(dt.datetime(2000, 1, 5), 500))
-for _group, _key in (("type", "type"), ("company", "ticker"), ("person", "person"), ("sector", "sector"), ("week", f"date_trunc('week', at)::DATE::VARCHAR"), ("month", "strftime(at, '%Y-%m')")):
-    add_fql(f"group_{_group}", f"group:{_group} since:1999 limit:60", "at >= TIMESTAMP '1999-01-01'", limit=60, group=_key)
+fql_queries.register(add, SW)
+more_queries.register(add)
 
 
 def _edges(c: Catalog) -> DataFrame:
@@ -380,7 +347,7 @@ def _edges(c: Catalog) -> DataFrame:
 _LEVEL = "n{k} AS (SELECT DISTINCT x.b AS node FROM e2 x JOIN n{j} ON x.a = n{j}.node WHERE x.b NOT IN (SELECT node FROM n0{more}))"
 add(
     "graph_bfs",
-    "WITH e AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem WHERE l_partkey < 50), e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n0 AS (SELECT 'c7' AS node), "
+    "WITH e AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem), e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n0 AS (SELECT 'c7' AS node), "
     + _LEVEL.format(k=1, j=0, more="") + ", " + _LEVEL.format(k=2, j=1, more=" UNION ALL SELECT node FROM n1")
     + " SELECT node, 0 AS level FROM n0 UNION ALL (SELECT node, 1 FROM n1 ORDER BY node LIMIT 199) UNION ALL (SELECT node, 2 FROM n2 ORDER BY node LIMIT 100)",
     lambda c: graph.bfs(_edges(c), "c7", 2, 200),

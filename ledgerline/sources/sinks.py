@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import normalize_name
+from ..operators.lookups import search_names
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -37,7 +40,7 @@ def prune_by_events(facts: DataFrame, events: DataFrame, cutoff: Column) -> Data
 
 
 def resolve(names: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
-    """names (id, ticker, name) with company_id: by ticker, exact name, normalised name, alias, in this order; ties to the shortest name, then the smallest id."""
+    """names (id, ticker, name) with company_id: by ticker, exact name, normalised name, prefix either way, alias, in this order; ties to the shortest name, then the smallest id."""
     targets = companies.select(F.col("id").alias("company_id"), F.col("ticker").alias("t"), F.col("name").alias("n"))
 
     def by(key: Column, df: DataFrame, other: Column, rank: int, length: Column) -> DataFrame:
@@ -48,7 +51,8 @@ def resolve(names: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataF
     hits = by(F.upper("ticker"), targets, F.upper("t"), 0, n).unionByName(by(F.lower("name"), targets, F.lower("n"), 1, n))
     hits = hits.unionByName(by(normalize_name(F.col("name")), targets, normalize_name(F.col("n")), 2, n))
     known = aliases.select(F.col("entity_id").alias("company_id"), "alias")
-    hits = hits.unionByName(by(F.lower("name"), known, F.lower("alias"), 3, F.length("alias")))
+    prefix = search_names(names.select("id", "name"), companies.select("id", "name")).select("id", F.struct(F.lit(3).alias("rank"), F.lit(0).alias("length"), "company_id").alias("hit"))
+    hits = hits.unionByName(prefix).unionByName(by(F.lower("name"), known, F.lower("alias"), 4, F.length("alias")))
     return names.join(hits.groupBy("id").agg(F.min("hit").alias("hit")), "id", "left").select(*names.columns, F.col("hit.company_id").alias("company_id"))
 
 
@@ -57,6 +61,46 @@ def generate_aliases(companies: DataFrame) -> DataFrame:
     return companies.select(F.col("id").alias("entity_id"), F.explode(kinds).alias("alias")).filter("alias is not null and alias <> ''").dropDuplicates(["alias"])
 
 
+def delete(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key (the columns of ``keys``) is not among those to go."""
+    return df.join(keys.distinct(), keys.columns, "left_anti")
+
+
+def record_health(meta: DataFrame, results: DataFrame, down_after: int = 10) -> DataFrame:
+    """source_meta after polls (source_name, at, ok, error): last success or error, consecutive failures, status. The latest poll of a source counts."""
+    last = Window.partitionBy("source_name").orderBy(F.desc("at"))
+    own = results.withColumn("__r", F.row_number().over(last)).filter("__r = 1").drop("__r")
+    both = meta.join(own, "source_name", "left")
+    failures = F.when(F.col("ok"), 0).when(~F.col("ok"), F.coalesce("failures", F.lit(0)) + 1).otherwise(F.coalesce("failures", F.lit(0)))
+    status = F.when(F.col("at").isNull(), F.col("status")).when(failures == 0, "healthy").when(failures >= down_after, "down").otherwise("degraded")
+    return both.select(
+        "source_name", status.alias("status"), failures.cast("int").alias("failures"), F.when(F.col("ok"), F.col("at")).otherwise(F.col("last_success")).alias("last_success"),
+        F.when(F.col("ok"), F.lit(None)).otherwise(F.coalesce("error", "last_error")).alias("last_error"), "poll_interval_seconds",
+    )
+
+
+def signal_lists(**signals: DataFrame) -> DataFrame:
+    """signal, ticker: the distinct tickers of every signal, as one table that queries read lists from."""
+    out = None
+    for name, df in signals.items():
+        own = df.select(F.lit(name.replace("_", "-")).alias("signal"), "ticker").filter("ticker is not null").distinct()
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def export_all(datasets: dict[str, DataFrame], root: str, by: dict[str, tuple[str, ...]] | None = None) -> None:
+    """Every dataset as JSON below its name; those in ``by`` in a folder for each value of their columns."""
+    for name, df in datasets.items():
+        if not re.fullmatch(r"[a-z0-9-]+", name):
+            raise ValueError(f"not a name of a dataset: {name}")
+        export_json(df, f"{root}/{name}", (by or {}).get(name, ()))
+
+
+def export_warehouse(tables: dict[str, DataFrame], root: str) -> None:
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+
+
 def export_json(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).json(path)

@@ -5,7 +5,6 @@ Each ``*_stream`` function is a transformation of a streaming DataFrame; the oth
 
 from __future__ import annotations
 
-import shutil
 import uuid
 from collections.abc import Callable
 
@@ -36,6 +35,50 @@ def debounce_stream(events: DataFrame, quiet: str = "5 seconds", late: str = "1
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", quiet).alias("burst")).agg(F.count("*").alias("n"))
 
 
+def limited(due: DataFrame, done: DataFrame, cooldown: str = "5 minutes", budget: int = 100) -> DataFrame:
+    """Which subjects (user_id, at) are recomputed now: those whose last time (user_id, last) lies a cooldown back or never was, the longest waiting first, ``budget`` at most."""
+    fresh = due.groupBy("user_id").agg(F.min("at").alias("at")).join(done, "user_id", "left")
+    able = fresh.filter(F.col("last").isNull() | (F.col("at") >= F.col("last") + F.expr(f"INTERVAL {cooldown}")))
+    return able.select("user_id", "at").orderBy("at", "user_id").limit(budget)
+
+
+def recompute(stream: DataFrame, done_path: str, act: Callable[[DataFrame], None], cooldown: str = "5 minutes", budget: int = 100) -> Callable[[DataFrame, int], None]:
+    """A sink for debounced bursts: acts on the subjects that cooldown and budget allow, and keeps what was done as a table per batch, so that a batch tried again replaces its own."""
+    spark = stream.sparkSession
+
+    def sink(batch: DataFrame, number: int) -> None:
+        due = batch.select("user_id", F.col("burst.end").alias("at"))
+        earlier = spark.read.schema("user_id long, at timestamp, number int").parquet(done_path) if number else spark.createDataFrame([], "user_id long, at timestamp, number int")
+        done = earlier.filter(F.col("number") < number).groupBy("user_id").agg(F.max("at").alias("last"))
+        chosen = limited(due, done, cooldown, budget)
+        chosen.write.mode("overwrite").parquet(f"{done_path}/number={number}")
+        act(spark.read.schema("user_id long, at timestamp").parquet(f"{done_path}/number={number}"))
+
+    return sink
+
+
+def resolve_stream(events: DataFrame, resolve: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
+    """A sink that resolves every batch of events and keeps it under its number."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        resolve(batch).write.mode("overwrite").parquet(f"{out}/number={number}")
+
+    return sink
+
+
+def of_ticker(events: DataFrame, ticker: str) -> DataFrame:
+    return events.filter(F.col("ticker") == ticker)
+
+
+def score_changes(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("event_type") == "score_change")
+
+
+def top_symbols(scores: DataFrame, n: int = 30) -> DataFrame:
+    """The symbols that a market stream subscribes to: the best by composite score."""
+    return scores.orderBy(F.desc("composite"), "ticker").limit(n).select("ticker")
+
+
 def interval_join_stream(left: DataFrame, right: DataFrame, key: str, days: int = 14) -> DataFrame:
     """Pairs of left and right rows of a key with right 1 to ``days`` days after left. Watermarks bound the state of both sides."""
     a = left.select(F.col(key).alias("k"), F.col("ts").alias("a")).withWatermark("a", "1 day")
@@ -50,12 +93,13 @@ def finished(spark: SparkSession, stream: DataFrame, mode: str, shape: Callable[
     place = f"{root}/{name}"
     out = f"{place}/out"
 
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.withColumn("__batch", F.lit(number)).write.mode("append").parquet(out)
+    def sink(batch: DataFrame, number: int) -> None:  # a batch that is tried again replaces its own rows
+        batch.write.mode("overwrite").parquet(f"{out}/__batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").foreachBatch(sink).trigger(availableNow=True).start()
     query.awaitTermination()
-    shutil.rmtree(f"{place}/state", ignore_errors=True)
+    state = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/state")
+    state.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(state, True)
     return shape(spark.read.parquet(out))
 
 
@@ -65,4 +109,6 @@ def weekly_counts(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, directory: str) -> DataFrame:
-    return finished(spark, dedupe_stream(event_stream(spark, directory)), "append", lambda df: df.select("event_id", "ts", "user_id", "event_type"))
+    """The events, of which the stream brings each twice."""
+    twice = event_stream(spark, directory).unionByName(event_stream(spark, directory))
+    return finished(spark, dedupe_stream(twice), "append", lambda df: df.select("event_id", "ts", "user_id", "event_type"))

@@ -107,7 +107,106 @@ def test_fql_parser():
             fql.parse(bad)
     day = dt.date(2024, 3, 31)
     assert fql.resolve_date("1m", day) == dt.date(2024, 2, 29) and fql.resolve_date("2023-02", day) == dt.date(2023, 2, 1)
-    assert fql.read_cursor(fql.write_cursor(dt.datetime(2024, 1, 2), 7)) == ("2024-01-02T00:00:00", 7)
+    cursor = fql.write_cursor("recent", {"occurred_at": "2024-01-02T00:00:00", "event_id": 7}, 1, "v1")
+    assert fql.read_cursor(cursor, data_as_of="v1")["key"] == {"occurred_at": "2024-01-02T00:00:00", "event_id": 7}
+    for sort, version, code in (("amount", "v1", "CURSOR_SORT_ERROR"), ("recent", "v2", "CURSOR_STALE")):
+        with pytest.raises(fql.FqlError) as e:
+            fql.read_cursor(cursor, sort, version)
+        assert e.value.code == code
+    assert fql.complexity(fql.parse("")) == 7 and fql.complexity(fql.parse("type:trade since:2000 group:week")) == 2
+
+
+ROWS = [(1, dt.datetime(2024, 1, d % 3 + 1), f"T{d % 2}", "Acme 5%", d * 10 if d % 4 else None) for d in range(12)]
+
+
+@pytest.mark.parametrize("sort", ["recent", "amount"])
+def test_fql_pages_lose_and_repeat_nothing(spark, sort):
+    """All rows share an id, and many a time: pages still hold every row once."""
+    df = spark.createDataFrame(ROWS, "event_id long, occurred_at timestamp, ticker string, company_name string, amount_mid long")
+    seen, after = [], None
+    for _ in range(10):
+        page = fql.plan(fql.parse(f"type:trade sort:{sort} limit:5"), {"trade": lambda: df}, dt.date(2024, 2, 1), after=after, data_as_of="v").page()
+        seen += [(r["occurred_at"], r["ticker"], r["amount_mid"]) for r in page["results"]]
+        after = page["meta"]["next_cursor"]
+        if not after:
+            break
+    assert sorted(seen, key=repr) == sorted(((at, t, n) for _, at, t, _, n in ROWS), key=repr)
+
+
+def test_fql_warnings_and_errors(spark):
+    df = spark.createDataFrame(ROWS, "event_id long, occurred_at timestamp, ticker string, company_name string, amount_mid long")
+    builders = {"trade": lambda: df, "warn": lambda: df}
+
+    def plan(text, **more):
+        return fql.plan(fql.parse(text), builders, dt.date(2024, 2, 1), **more)
+
+    assert plan("by:5% type:trade").rows.count() == 0 and plan('"5%"').rows.count() == 24 and plan('"5_"').rows.count() == 0
+    assert any("party does not apply to warn" in w for w in plan("party:R").warnings) and plan("-party:R type:warn").rows.count() == 0
+    assert any("no date" in w for w in plan("since:2024-02 before:2024-01").warnings)
+    assert any("no scores" in w for w in plan("score:>50").warnings) and plan("score:>50 workers:>5 score-delta:>1 type:trade").rows.count() == 12
+    assert any("repeated" in w for w in plan("ticker:T0 ticker:T1").warnings) and any("no list" in w for w in plan("signal:swarm").warnings)
+    assert plan("type:nosuch").rows.count() == 0
+    with pytest.raises(fql.FqlError) as e:
+        plan("group:week", max_complexity=6)
+    assert e.value.code == "COMPLEXITY_LIMIT"
+    assert plan("", max_complexity=6).rows.columns == list(fql.CANONICAL) and len(fql.CANONICAL) == 27
+
+
+def test_lookups(spark):
+    from ledgerline.operators import lookups
+
+    assert lookups.page_of() == (50, 0) and lookups.page_of(1000, -3) == (100, 0) and lookups.page_of(7, 2) == (7, 2)
+    assert lookups.valid_ticker_text("AAPL") and not lookups.valid_ticker_text("aapl") and lookups.valid_slug_text("ann-b-lee") and not lookups.valid_slug_text("1x")
+    with pytest.raises(ValueError):
+        lookups.time_range(dt.datetime(2020, 1, 1), dt.datetime(2022, 1, 1))
+    events = spark.createDataFrame([(i, None if i % 2 else 5) for i in range(10)], "id long, company_id long")
+    assert [r["id"] for r in lookups.unresolved_after(events, 3, 2).collect()] == [5, 7]
+
+
+def test_asof_crosses_buckets(spark):
+    rng = random.Random(5)
+    day = dt.datetime(2020, 1, 1)
+    left = [("a", i, day + dt.timedelta(days=rng.randint(0, 2000))) for i in range(80)]
+    right = [("a", i, day + dt.timedelta(days=rng.randint(0, 2000))) for i in range(12)]
+    a, b = spark.createDataFrame(left, "k string, i int, x timestamp"), spark.createDataFrame(right, "k string, j int, y timestamp")
+    for forward in (False, True):
+        for strict in (False, True):
+            got = {(r["i"], r["matched_at"]) for r in asof_join(a, b, ["k"], "x", "y", ["j"], forward=forward, strict=strict, days=7).collect()}
+            fits = lambda x, y: (y > x if strict else y >= x) if forward else (y < x if strict else y <= x)
+            assert got == {(i, (min if forward else max)((y for *_, y in right if fits(x, y)), default=None)) for _, i, x in left}
+
+
+def test_sinks(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    meta = spark.createDataFrame([("a", "healthy", 0, t, None, 60), ("b", "degraded", 9, t, "old", 60), ("c", "healthy", 0, t, None, 60)], "source_name string, status string, failures int, last_success timestamp, last_error string, poll_interval_seconds int")
+    polls = spark.createDataFrame([("a", t, True, None), ("a", t + dt.timedelta(hours=1), False, "e"), ("b", t, False, "f")], "source_name string, at timestamp, ok boolean, error string")
+    got = {r["source_name"]: (r["status"], r["failures"], r["last_error"]) for r in sinks.record_health(meta, polls).collect()}
+    assert got == {"a": ("degraded", 1, "e"), "b": ("down", 10, "f"), "c": ("healthy", 0, None)}
+    gone = sinks.delete(meta, spark.createDataFrame([("a",)], "source_name string"))
+    assert {r["source_name"] for r in gone.collect()} == {"b", "c"}
+    sinks.export_all({"source-health": meta}, str(tmp_path), {"source-health": ("status",)})
+    assert spark.read.json(f"{tmp_path}/source-health").count() == 3
+    lists = sinks.signal_lists(round_trips=spark.createDataFrame([("X",), ("X",), (None,)], "ticker string"))
+    assert [tuple(r) for r in lists.collect()] == [("round-trips", "X")]
+
+
+def test_cooldown_and_budget(spark):
+    from ledgerline.streaming import streams
+
+    t = dt.datetime(2024, 1, 1)
+    due = spark.createDataFrame([(i, t + dt.timedelta(seconds=i)) for i in range(5)], "user_id long, at timestamp")
+    done = spark.createDataFrame([(0, t - dt.timedelta(minutes=1)), (1, t - dt.timedelta(minutes=6))], "user_id long, last timestamp")
+    assert [r["user_id"] for r in streams.limited(due, done, budget=3).collect()] == [1, 2, 3]
+
+
+def test_engine(spark):
+    from ledgerline.engine import Engine
+
+    engine = Engine(spark, "/root/testdata/sf0.001")
+    assert engine.persons("influence", 5, party="R").count() == 5 and engine.top_tickers(3).count() == 3
+    page = engine.fql("type:warn since:1999 limit:3").page()
+    assert page["meta"]["result_count"] == 3 and page["meta"]["next_cursor"] and not page["warnings"]
+    assert engine.profile("customer#000000007")["headline"].count() == 1 and engine.companies(limit=5).count() == 5
 
 
 def test_payloads(spark):
