@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, exact_dedup, fuzzy_lines, kd_shards, kernels, links, ngram_join, poisson_mix, quality, secret_scan, topk, url_filter
+from ledgerline.llm import bpe, exact_dedup, fuzzy_lines, kd_shards, kernels, links, ngram_join, poisson_mix, quality, secret_scan, sieve, topk, url_filter
 from ledgerline.llm.tables import Tables
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, size string, label string"
@@ -559,6 +559,34 @@ def test_poisson_draws_of_null_and_repeated_ids(spark):
     assert abs(counts["small"] - 5005) < 5 * 71 and abs(counts["large"] - 5005) < 5 * 71
 
 
+def test_rows_are_parted_by_the_bitmap(spark):
+    rng = random.Random(29)
+    keys = [rng.getrandbits(64) - (1 << 63) for _ in range(4000)]
+    tables = Tables(spark, "test")
+    held = tables.save(spark.createDataFrame([(k,) for k in keys[:1000]], "key long"), "held")
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key long, n long")
+    may, no = sieve.parted(rows, "key", held, tables, "bits")
+    may, no = {r["n"] for r in may.collect()}, {r["n"] for r in no.collect()}
+    bits = sieve.sieve(held, "key")
+    assert may == set(np.flatnonzero(sieve.passes(bits, np.array(keys))).tolist()) >= set(range(1000))
+    assert no == set(range(4000)) - may and len(no) > 2800
+    none = tables.save(held.limit(0), "none")
+    assert sieve.parted(rows, "key", none, tables, "no-bits")[0].count() == 0
+
+
+def test_lines_are_counted_alike_whether_some_go_or_none(spark):
+    texts = [None, "", " \t\n\x0b\x0c\r", "\u2003\nab cd ef gh\r\n\n x", "one line that comes twice", "one line that comes twice\n \nand one that does not", "\x1c\x85\u2028b\rc\n\0"]
+    got = fuzzy_lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    gone = {5: {0}}
+    for r in got:
+        own = (texts[r["doc_id"]] or "").split("\n")
+        n = sum(bool(x.strip(" \t\r\x0b\x0c")) for x in own)
+        left = gone.get(r["doc_id"], set())
+        text = None if texts[r["doc_id"]] is None else "\n".join(x for k, x in enumerate(own) if k not in left)
+        assert (r["n_lines"], r["n_kept"], r["text"]) == (n, n - len(left), text)
+    assert len(got) == len(texts)
+
+
 def test_empty_tables(spark, nothing):
     assert exact_dedup.exact_groups(nothing).count() == 0
     assert ngram_join.ngram_components(nothing).count() == 0
