@@ -5,7 +5,7 @@ segment tree that stores the rank of the pair that begins there; an inner node s
 the leftmost pair of least rank. A merge writes three leaves (the pair itself, the neighbour it swallowed, and the live neighbour on the left)
 and repairs their paths: logarithmic work, also for a piece of a million bytes. Short pieces are merged many at a time, one tree a row of an array.
 
-Pieces repeat, so each Python worker keeps the ids of pieces, up to ``CACHE`` bytes in all. Rows are independent: no shuffle. Memory is bounded by a
+Pieces repeat, so each task keeps the ids of pieces, up to ``CACHE`` bytes in all. Rows are independent: no shuffle. Memory is bounded by a
 slice of about 1 MB of text; a longer text is read piece by piece and its digests are updated as it goes.
 
 Defined results: null counts as empty and has no tokens; special tokens aren't known, their strings are ordinary text; repeated rows are
@@ -26,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import SLICE, U, mix, slices
+from .kernels import SLICE, U, mix, release, slices
 from .tables import only, table
 
-CACHE = 64 << 20  # bytes of what a worker keeps, with about 200 a piece for the objects
+CACHE = 64 << 20  # bytes of what a task keeps, with about 200 a piece for the objects
 NONE = (1 << 62) - 1
 POS = 24  # bits of a position in a node of the arrays
 WIDE = 64  # longer pieces get a tree of their own
@@ -119,6 +119,12 @@ class Vocabulary:
             self.held += size
             known.update(zip(missing, self.encode_pieces([w.encode() for w in missing]), strict=True))
 
+    def forget(self) -> None:
+        """Empties the cache at the end of a task: a worker that waits for its next one keeps the ranks alone."""
+        self.known.clear()
+        self.held = 0
+        release()
+
     def ids(self, words: list[str]) -> bytes:
         self.learn(set(words))
         return b"".join(map(self.known.__getitem__, words))
@@ -282,6 +288,7 @@ def _digests(path: str, pattern: str):
                 decoded.append(b.hexdigest())
             columns = (part.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(encoded), pa.array(decoded))
             yield pa.record_batch(list(columns), names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        v.forget()
 
     return run
 
@@ -302,6 +309,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         for part, texts in slices(batches, "text", 2 * SLICE):
             ids = [np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int32) for parts in v.encode_all(texts)]
             yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        v.forget()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, ids array<int>")

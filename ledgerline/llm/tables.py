@@ -27,8 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Has Spark hand long texts to Python in batches of 8 MB rather than 64: that bounds what a worker holds at once."""
+def small_batches(spark: SparkSession, most: int = 2 << 20) -> None:
+    """Has Spark hand long texts to Python in batches of 2 MB rather than 64: that bounds what a worker and the buffers on its executor's side hold at once."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, "67108864b").rstrip("b")) != most:
         spark.conf.set(key, f"{most}b")
