@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .kernels import SLICE, U, mix, release, slices
 from .tables import only, table
 
-CACHE = 64 << 20  # bytes of what a task keeps, with about 200 a piece for the objects
+CACHE = 32 << 20  # bytes of what a task keeps, with about 200 a piece for the objects
 NONE = (1 << 62) - 1
 POS = 24  # bits of a position in a node of the arrays
 WIDE = 64  # longer pieces get a tree of their own
@@ -275,7 +275,7 @@ def default_vocabulary() -> tuple[str, str]:
 def _digests(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        for part, texts in slices(batches, "text", 2 * SLICE):
+        for part, texts in slices(batches, "text", SLICE):
             tokens, encoded, decoded = [], [], []
             for parts in v.encode_all(texts):
                 a, b, n = hashlib.sha256(), hashlib.sha256(), 0
@@ -306,7 +306,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(a, b)
-        for part, texts in slices(batches, "text", 2 * SLICE):
+        for part, texts in slices(batches, "text", SLICE):
             ids = [np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int32) for parts in v.encode_all(texts)]
             yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
         v.forget()
