@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, fuzzy_lines, hard_negatives, kd_shards, ngram_join, poisson_mix, quality, secret_scan, topk, url_filter
+from . import bpe, decontaminate, exact_dedup, fuzzy_lines, hard_negatives, kd_shards, ngram_join, poisson_mix, quality, secret_scan, topk, url_filter
 
 QUERIES = {
     "op1_fuzzy_lines": fuzzy_lines.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_poisson_mix": poisson_mix.query,
     "op10_ngram_join": ngram_join.query,
+    "op11_decontaminate": decontaminate.query,
     "op13_hard_negatives": hard_negatives.query,
 }
-SQL = {"op5_exact_dedup": exact_dedup.SQL, "op6_top_k": topk.SQL, "op9_poisson_mix": poisson_mix.SQL, "op13_hard_negatives": hard_negatives.SQL}
+SQL = {"op5_exact_dedup": exact_dedup.SQL, "op6_top_k": topk.SQL, "op9_poisson_mix": poisson_mix.SQL, "op11_decontaminate": decontaminate.SQL, "op13_hard_negatives": hard_negatives.SQL}
