@@ -8,7 +8,7 @@ an anchor's scores are never in one place, no vector is shuffled, and what leave
 
 Defined results: components become floor(scale * x). Rows with a null id, a null label or a null vector, or with a null or non-finite component, take no part. Vectors
 of different lengths are compared as if padded with zeros. Rows that repeat an anchor's id are the anchor's own: one of them (of the least label and vector) is the anchor, and
-none is a positive or a negative of it; other rows that repeat an id each take part. Higher scores come first, ties by smaller id. A negative has to lie within
+none is a positive or a negative of it; other rows that repeat an id each take part, also as positives. Higher scores come first, ties by smaller id. A negative has to lie within
 low / 100 and high / 100 of the positive's score, both included, so that a positive with a negative score has none. A score has to fit a long. An empty table
 gives an empty result; other columns are not read.
 """
@@ -142,8 +142,8 @@ def _negatives(sent, k: int, low: int, high: int):
                     best.add(a + slot, -down[spot], rows.ids[i - at, others[spot]])
         slot, found, ids = best.merge()
         anchor = np.repeat(np.arange(len(own)), np.diff(begins))[slot]
-        columns = (own[anchor], positive[slot], ids, score[slot], found)
-        yield pa.record_batch([pa.array(c) for c in columns], names=["anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"])
+        columns = (own[anchor], slot - begins[anchor], positive[slot], ids, score[slot], found)
+        yield pa.record_batch([pa.array(c) for c in columns], names=["anchor_id", "place", "positive_id", "negative_id", "positive_score", "negative_score"])
 
     return run
 
@@ -174,10 +174,10 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, positives: int = POSITIV
         near = _first(near, positives, ["anchor_id"], "positive_score", "positive_id").toArrow().sort_by([("anchor_id", "ascending"), ("rank", "ascending")])
         of, positive, score = (near.column(c).to_numpy().astype(np.int64) for c in ("anchor_id", "positive_id", "positive_score"))
         sent = spark.sparkContext.broadcast((ids, label, q, np.append(np.searchsorted(of, ids), len(of)), positive, score))
-        kinds = "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long"
+        kinds = "anchor_id long, place long, positive_id long, negative_id long, positive_score long, negative_score long"
         tables.save(rows.mapInArrow(_negatives(sent, negatives, low, high), kinds), f"found/block={block}")
         sent.destroy()
-    found = _first(tables.read("found", kinds), negatives, ["anchor_id", "positive_id"], "negative_score", "negative_id")
+    found = _first(tables.read("found", kinds), negatives, ["anchor_id", "place"], "negative_score", "negative_id")
     return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
