@@ -67,16 +67,16 @@ def market_score(prices: DataFrame, insiders: DataFrame) -> DataFrame:
 
 
 def policy_score(sanctions: Column, contract_cents: Column, donations: Column) -> Column:
-    contracts = F.when(contract_cents <= 0, 50.0).when(contract_cents < 10_000_000_000, 50 + 25 * contract_cents / 1e10).otherwise(90.0)
+    contracts = F.when(contract_cents == 0, 50.0).when(contract_cents < 10_000_000_000, 50 + 25 * contract_cents / 1e10).otherwise(90.0)
     return 0.40 * ladder(sanctions, ((0, 50), (2, 70), (5, 85)), 95) + 0.35 * contracts + 0.25 * ladder(donations, ((0, 50), (5, 60), (20, 70)), 80)
 
 
-def insider_score(form4: Column, congressional: Column, donated_dollars: Column) -> Column:
-    """Weights are spread over the sources that have rows; 50 without any."""
+def insider_score(form4: Column, congressional: Column, donated_dollars: Column, donations: Column | None = None) -> Column:
+    """Weights are spread over the sources that have rows; 50 without any. Without the number of donations, dollars tell whether there are any."""
     parts = (
         (0.30, form4, ladder(form4, ((0, 50), (3, 65), (10, 80)), 90)),
         (0.50, congressional, ladder(congressional, ((0, 50), (2, 60), (5, 70), (10, 80)), 90)),
-        (0.20, donated_dollars, F.when(donated_dollars <= 0, 50.0).when(donated_dollars < 10_000, 60.0).when(donated_dollars < 100_000, 75.0).otherwise(90.0)),
+        (0.20, donated_dollars if donations is None else donations, F.when(donated_dollars == 0, 50.0).when(donated_dollars < 10_000, 60.0).when(donated_dollars < 100_000, 75.0).otherwise(90.0)),
     )
     top = sum((F.when(n > 0, w * s).otherwise(0.0) for w, n, s in parts), F.lit(0.0))
     bottom = sum((F.when(n > 0, w).otherwise(0.0) for w, n, _ in parts), F.lit(0.0))

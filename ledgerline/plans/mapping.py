@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import midpoint
+from ..operators.backfill import score_history
 
 AS_OF = "2001-08-01"
 YEARS_BACK = 24  # events lie so many years after the trades
@@ -89,17 +90,16 @@ class Catalog:
 
     @cached_property
     def scores(self) -> DataFrame:
-        n = F.count("*")
+        """Scores of every ticker at the start of every month: insiders' line items, trades, sanctions, contracts and donations."""
+        of = self.branches()
 
-        def share(x: Column) -> Column:
-            return F.sum(F.when(x, 1).otherwise(0)) * 100.0 / n
+        def dated(kind: str, *more: Column) -> DataFrame:
+            return of[kind]().select("ticker", F.col("occurred_at").alias("at"), *more)
 
-        monthly = self.facts().groupBy("ticker", F.date_trunc("month", "traded_at").alias("computed_at")).agg(
-            share(F.col("trade_type") == "purchase").alias("market"),
-            share(F.col("filed_at") > F.col("traded_at")).alias("policy"),
-            share(F.col("party") == "R").alias("insider"),
-        )
-        return monthly.withColumn("composite", F.round(0.35 * F.col("market") + 0.40 * F.col("policy") + 0.25 * F.col("insider"), 4))
+        cents = F.col("amount_mid").alias("cents")
+        congress = self.facts(person=False).select("ticker", F.col("traded_at").alias("at"))
+        form4 = self.facts(person=False, order=False).select("ticker", F.col("filed_at").alias("at"))
+        return score_history(self.prices, {"form4": form4, "congress": congress, "sanction": dated("sanction"), "contract": dated("contract", cents), "donation": dated("donation", cents)})
 
     @cached_property
     def happenings(self) -> DataFrame:
@@ -187,10 +187,29 @@ T = """t AS (SELECT c_custkey AS person_id, c_name AS name, CASE c_custkey % 3 W
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey
  JOIN nation ON c_nationkey = n_nationkey)"""
 PX = "px AS (SELECT ticker, traded_at AS at, max(high) * 100 AS price_cents, count(*) AS volume FROM t GROUP BY ALL)"
-SC = """sc AS (SELECT *, round(0.35 * market + 0.40 * policy + 0.25 * insider, 4) AS composite FROM (
- SELECT ticker, date_trunc('month', traded_at)::TIMESTAMP AS computed_at, sum((trade_type = 'purchase')::INT)::BIGINT * 100.0::DOUBLE / count(*) AS market,
- sum((filed_at > traded_at)::INT)::BIGINT * 100.0::DOUBLE / count(*) AS policy, sum((party = 'R')::INT)::BIGINT * 100.0::DOUBLE / count(*) AS insider
- FROM t GROUP BY 1, 2))"""
+_LADDER = "CASE WHEN {n} = 0 THEN {0} WHEN {n} <= {a} THEN {1} WHEN {n} <= {b} THEN {2} ELSE {3} END"
+SC = f"""qx AS (SELECT ticker, CAST(traded_at AS TIMESTAMP) AS at, max(high) * 100 AS price_cents, count(*) AS volume FROM t GROUP BY ALL),
+fx AS (SELECT p_brand AS ticker, CAST(l_shipdate AS TIMESTAMP) AS at, 'form4' AS kind, 0::BIGINT AS cents FROM lineitem JOIN part ON l_partkey = p_partkey
+ UNION ALL SELECT ticker, CAST(traded_at AS TIMESTAMP), 'congress', 0 FROM t
+ UNION ALL SELECT p_brand, TIMESTAMP '1995-01-01' + to_days(CAST(s_suppkey * 7 % 2400 AS INT)), 'sanction', 0 FROM supplier JOIN part ON p_partkey = s_suppkey
+ UNION ALL SELECT p_brand, CAST(o_orderdate AS TIMESTAMP), 'contract', CAST(round(o_totalprice * 100) AS BIGINT) FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN part ON l_partkey = p_partkey
+ UNION ALL SELECT p_brand, CAST(ts AS TIMESTAMP) - INTERVAL {YEARS_BACK} YEAR, 'donation', CAST(round(value * 100) AS BIGINT) FROM events JOIN part ON p_partkey = user_id WHERE event_type = 'purchase'),
+sn AS (SELECT ticker, unnest(generate_series(date_trunc('month', min(at))::TIMESTAMP + INTERVAL 1 MONTH, date_trunc('month', max(at))::TIMESTAMP + INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS at
+ FROM (SELECT ticker, at FROM fx UNION ALL SELECT ticker, at FROM qx) GROUP BY 1),
+sf AS (SELECT sn.ticker, sn.at, count(*) FILTER (kind = 'form4' AND fx.at >= sn.at - INTERVAL 30 DAY) AS form4_month, count(*) FILTER (kind = 'form4') AS form4, count(*) FILTER (kind = 'congress') AS congress,
+ count(*) FILTER (kind = 'sanction') AS sanctions, coalesce(sum(cents) FILTER (kind = 'contract'), 0)::DOUBLE AS contract_cents, count(*) FILTER (kind = 'donation') AS donations, coalesce(sum(cents) FILTER (kind = 'donation'), 0)::DOUBLE AS donation_cents
+ FROM sn LEFT JOIN fx ON fx.ticker = sn.ticker AND fx.at BETWEEN sn.at - INTERVAL 90 DAY AND sn.at GROUP BY 1, 2),
+sp AS (SELECT sn.ticker, sn.at, list(price_cents ORDER BY qx.at)[-5:] AS recent, arg_max(volume, qx.at)::DOUBLE AS latest, avg(volume) AS usual
+ FROM sn JOIN qx ON qx.ticker = sn.ticker AND qx.at BETWEEN sn.at - INTERVAL 30 DAY AND sn.at GROUP BY 1, 2),
+ss AS (SELECT ticker, at, CASE WHEN recent IS NULL AND form4_month = 0 THEN 50.0::DOUBLE ELSE
+ 0.30::DOUBLE * CASE WHEN coalesce(len(recent), 0) < 2 OR recent[1] = 0 THEN 50.0::DOUBLE ELSE greatest(0, least(100, ((recent[-1] - recent[1])::DOUBLE / recent[1] + 0.1::DOUBLE) / 0.2::DOUBLE * 100)) END
+ + 0.30::DOUBLE * CASE WHEN usual > 0 THEN greatest(0, least(100, (latest / usual - 0.5::DOUBLE) / 1.5::DOUBLE * 100)) ELSE 50.0::DOUBLE END + 0.40::DOUBLE * {_LADDER.format(50, 60, 75, 90, n="form4_month", a=2, b=5)} END AS market,
+ 0.40::DOUBLE * {_LADDER.format(50, 70, 85, 95, n="sanctions", a=2, b=5)} + 0.35::DOUBLE * CASE WHEN contract_cents = 0 THEN 50.0::DOUBLE WHEN contract_cents < 1e10 THEN 50 + 25 * contract_cents / 1e10 ELSE 90 END
+ + 0.25::DOUBLE * {_LADDER.format(50, 60, 70, 80, n="donations", a=5, b=20)} AS policy,
+ coalesce(((form4 > 0)::INT * 0.30::DOUBLE * {_LADDER.format(50, 65, 80, 90, n="form4", a=3, b=10)} + (congress > 0)::INT * 0.50::DOUBLE * CASE WHEN congress <= 2 THEN 60 WHEN congress <= 5 THEN 70 WHEN congress <= 10 THEN 80 ELSE 90 END
+ + (donations > 0)::INT * 0.20::DOUBLE * CASE WHEN donation_cents = 0 THEN 50 WHEN donation_cents < 1000000 THEN 60 WHEN donation_cents < 10000000 THEN 75 ELSE 90 END)
+ / nullif((form4 > 0)::INT * 0.30::DOUBLE + (congress > 0)::INT * 0.50::DOUBLE + (donations > 0)::INT * 0.20::DOUBLE, 0), 50.0::DOUBLE) AS insider FROM sf LEFT JOIN sp USING (ticker, at)),
+sc AS (SELECT ticker, at AS computed_at, round(market, 4) AS market, round(policy, 4) AS policy, round(insider, 4) AS insider, round(0.35::DOUBLE * market + 0.40::DOUBLE * policy + 0.25::DOUBLE * insider, 4) AS composite FROM ss)"""
 
 _COLUMNS = (
     "event_type", "event_id", "occurred_at", "person_slug", "person_name", "person_party", "person_branch", "ticker", "company_name", "sector", "action", "owner", "amount_mid", "agency", "program",

@@ -209,6 +209,7 @@ add(
     "LEFT JOIN (SELECT person_id, count(DISTINCT (order_id, line, t.part_id, est)) AS pre_events FROM t JOIN ev ON t.part_id = ev.part_id AND date_diff('day', traded_at, at) BETWEEN 1 AND 14 GROUP BY 1) p USING (person_id))",
     lambda c: signals.accountability(c.trades, _events(c), RULES), LAT, EV,
 )
+add("score_backfill", "SELECT * FROM sc", lambda c: c.scores, SC)
 add("score_rankings", "SELECT * FROM la ORDER BY composite DESC, ticker LIMIT 50", lambda c: scores.rankings(c.scores), SC, LATEST)
 add(
     "score_movers",
