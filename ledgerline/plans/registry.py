@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, insights, scores, signals, trades
 from ..operators.temporal import asof_join
 from ..streaming import streams
-from . import fql_queries, more_queries
+from . import fql_queries, more_queries, stream_queries
 from .mapping import AS_OF, PX, SC, T, Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -337,6 +337,7 @@ add(
 
 fql_queries.register(add, SW)
 more_queries.register(add)
+stream_queries.register(add)
 
 
 def _edges(c: Catalog) -> DataFrame:
