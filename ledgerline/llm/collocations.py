@@ -35,11 +35,11 @@ from .tables import Tables, only, spread, table
 LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
 COMMON = 1 << 19
 SIDE = LONGEST - 1
-SLICE, BLOCK = 1 << 20, 1 << 20
+SLICE, BLOCK = 1 << 19, 1 << 19
 #: Fragments that a task gathers before it combines and emits them.
-GATHER = 1_000_000
+GATHER = 250_000
 #: Occurrences of frequent words for which there is a part.
-WORDS_A_PART = 1_000_000
+WORDS_A_PART = 400_000
 #: Occurrences of a pivot for which it has a part.
 SALT = 1_000_000
 #: Added to ids of words beyond the common ones, which makes them come after all ranks.
