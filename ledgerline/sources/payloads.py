@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_time, source_id
+from .store import last_of
 
 MAX_PAYLOAD = 64 * 1024
 MAX_DEPTH = 10
@@ -81,9 +82,10 @@ def unformula(text: Column) -> Column:
 def _events(records: DataFrame, name: str, kind: str, id_parts: tuple[Column, ...], date: Column, data: Column, checked: bool = True) -> DataFrame:
     out = records.select(
         F.lit(name).alias("source"), source_id(*id_parts).alias("source_id"), F.lit(kind).alias("event_type"),
-        F.coalesce(parse_time(date), F.col("ingest_ts")).alias("occurred_at"), F.to_json(data).alias("event_data"),
+        F.coalesce(parse_time(date), F.col("ingest_ts")).alias("occurred_at"), F.to_json(data).alias("event_data"), F.col("ingest_ts").alias("__ingest"), F.col("pos").alias("__pos"),
     )
-    return (out.filter(fine(F.col("event_data"))) if checked else out).dropDuplicates(["source", "source_id"])
+    out = out.filter(fine(F.col("event_data"))) if checked else out
+    return last_of(out, ["source", "source_id"], "__ingest", "__pos").drop("__ingest", "__pos")
 
 
 def _shaped(records: DataFrame, source: str) -> DataFrame:
@@ -100,9 +102,9 @@ def _shaped(records: DataFrame, source: str) -> DataFrame:
         number = F.coalesce(F.get_json_object(r["file_num"], "$[0]"), r["file_num"])
         records = records.withColumn("r", r.withField("file_num", number))
     elif source == "courtlistener":  # a record for each transaction: not for mere holdings, nor for what is redacted
-        each = records.select("ingest_ts", "r.id", "r.person", "r.year", F.explode("r.investments").alias("i"))
+        each = records.select("ingest_ts", F.col("pos").alias("outer"), "r.id", "r.person", "r.year", F.posexplode("r.investments").alias("inner", "i"))
         each = each.filter((F.coalesce("i.transaction_during_reporting_period", F.lit("")) != "") & ~F.coalesce("i.redacted", F.lit(False)))
-        records = each.select("ingest_ts", F.struct(F.col("id").alias("disclosure_id"), F.col("i.id").alias("investment_id"), "person", "year", "i.description", "i.transaction_during_reporting_period",
+        records = each.select("ingest_ts", F.struct("outer", "inner").alias("pos"), F.struct(F.col("id").alias("disclosure_id"), F.col("i.id").alias("investment_id"), "person", "year", "i.description", "i.transaction_during_reporting_period",
                                                     "i.transaction_date", "i.transaction_value_code", "i.gross_value_code").alias("r"))
     elif source == "finnhub":  # pings carry nothing
         records = records.filter("r.s is not null and r.s <> ''")
@@ -113,20 +115,20 @@ def parse_json(raw: DataFrame, source: str, checked: bool = True) -> DataFrame:
     """Bronze events of a JSON source; bodies that don't parse give none. ``checked``: without payloads that are too large or too deep, which ``refused`` counts."""
     if source in ARRAYS:
         s = ARRAYS[source]
-        records = raw.select("ingest_ts", F.explode(F.from_json("body", s.schema)).alias("r"))
+        records = raw.select("ingest_ts", F.posexplode(F.from_json("body", s.schema)).alias("pos", "r"))
     else:
         s = SOURCES[source]
         if source == "polygon":  # its records have fields T and t, and names don't tell case apart
             raw = raw.withColumn("body", F.regexp_replace("body", r'"T"(\s*:)', '"symbol"$1'))
         path = F.from_json("body", s.schema).getField(s.records) if "." not in s.records else F.expr(f"from_json(body, '{s.schema}').{s.records}")
-        records = raw.select("ingest_ts", F.explode(path).alias("r"))
+        records = raw.select("ingest_ts", F.posexplode(path).alias("pos", "r"))
     return _events(_shaped(records, source), s.name, s.event_type, tuple(F.expr(p) for p in s.id_parts), F.expr(s.date), F.col("r"), checked)
 
 
 def parse_litigation(raw: DataFrame) -> DataFrame:
     """Litigation releases of an RSS feed; the release number is the creator, or title and date where there is none."""
     pieces = F.regexp_extract_all("body", F.lit(r"(?s)<item[ >].*?</item>"), F.lit(0))
-    items = raw.select("ingest_ts", F.explode(pieces).alias("x"))
+    items = raw.select("ingest_ts", F.posexplode(pieces).alias("pos", "x"))
 
     def tag(name: str) -> Column:
         inner = F.regexp_extract("x", rf"(?s)<{name}(?:\s[^>]*)?>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{name}>", 1)
@@ -134,7 +136,7 @@ def parse_litigation(raw: DataFrame) -> DataFrame:
             inner = F.replace(inner, F.lit(entity), F.lit(c))
         return F.trim(inner)
 
-    own = items.select("ingest_ts", tag("title").alias("title"), tag("link").alias("url"), tag("pubDate").alias("at"), tag("dc:creator").alias("creator"))
+    own = items.select("ingest_ts", "pos", tag("title").alias("title"), tag("link").alias("url"), tag("pubDate").alias("at"), tag("dc:creator").alias("creator"))
     name = F.when(F.col("creator") != "", F.col("creator")).otherwise(F.concat_ws("|", "title", "at"))
     own = own.withColumn("id", name).withColumn("date", F.date_format(F.coalesce(parse_time(F.col("at")), F.col("ingest_ts")), "yyyy-MM-dd"))
     return _events(own, "sec_edgar_lit", "sec_litigation", (F.lit("sec_edgar_lit"), F.col("id")), F.col("at"), F.struct("id", "date", "title", "url"))
@@ -144,19 +146,20 @@ def parse_ofac_xml(raw: DataFrame) -> DataFrame:
     """The XML form of the sanctions list, with the payload that the JSON form gives."""
     schema = "uid bigint, firstName string, lastName string, sdnType string, programList struct<program:array<string>>, dateAdded string"
     pieces = F.regexp_extract_all("body", F.lit(r"(?s)<sdnEntry[ >].*?</sdnEntry>"), F.lit(0))
-    r = raw.select("ingest_ts", F.explode(pieces).alias("x")).select("ingest_ts", F.from_xml("x", schema).alias("x"))
-    r = r.select("ingest_ts", F.struct("x.uid", "x.firstName", "x.lastName", "x.sdnType", F.col("x.programList.program").alias("programs"), "x.dateAdded").alias("r"))
+    r = raw.select("ingest_ts", F.posexplode(pieces).alias("pos", "x")).select("ingest_ts", "pos", F.from_xml("x", schema).alias("x"))
+    r = r.select("ingest_ts", "pos", F.struct("x.uid", "x.firstName", "x.lastName", "x.sdnType", F.col("x.programList.program").alias("programs"), "x.dateAdded").alias("r"))
     return _events(r, "ofac_sdn", "sanction_designation", (F.col("r.uid"),), F.col("r.dateAdded"), F.col("r"))
 
 
 def seed_companies(raw: DataFrame) -> DataFrame:
-    """Companies of a JSON list (ticker, name, sector), each ticker once."""
-    return raw.select(F.explode(F.from_json("body", "array<struct<ticker:string,name:string,sector:string>>")).alias("r")).select("r.*").filter("ticker is not null").dropDuplicates(["ticker"])
+    """Companies of a JSON list (ticker, name, sector), each ticker once: the last of a list counts."""
+    rows = raw.select(F.posexplode(F.from_json("body", "array<struct<ticker:string,name:string,sector:string>>")).alias("pos", "r")).select("pos", "r.*").filter("ticker is not null")
+    return last_of(rows, ["ticker"], "pos").drop("pos")
 
 
 def with_names(companies: DataFrame, reference: DataFrame) -> DataFrame:
     """Companies whose name is only their ticker get the name of the reference data (ticker, name), if it has one."""
-    known = reference.select("ticker", F.col("name").alias("__name")).dropDuplicates(["ticker"])
+    known = reference.filter("name is not null").groupBy("ticker").agg(F.min("name").alias("__name"))
     name = F.when(F.coalesce("name", F.lit("")).isin("") | (F.col("name") == F.col("ticker")), F.coalesce("__name", "name")).otherwise(F.col("name"))
     return companies.join(known, "ticker", "left").withColumn("name", name).drop("__name")
 
@@ -164,14 +167,14 @@ def with_names(companies: DataFrame, reference: DataFrame) -> DataFrame:
 def parse_xml(raw: DataFrame, source: str, event_type: str, tag: str, schema: str, id_field: str, date_field: str) -> DataFrame:
     """Bronze events of an XML source whose records are the elements ``tag`` (no nesting of the same tag)."""
     pieces = F.regexp_extract_all("body", F.lit(rf"(?s)(<{tag}[ >].*?</{tag}>)"), F.lit(1))
-    records = raw.select("ingest_ts", F.explode(pieces).alias("x")).select("ingest_ts", F.from_xml("x", schema).alias("r"))
+    records = raw.select("ingest_ts", F.posexplode(pieces).alias("pos", "x")).select("ingest_ts", "pos", F.from_xml("x", schema).alias("r"))
     return _events(records, source, event_type, (F.col(f"r.{id_field}"),), F.col(f"r.{date_field}"), F.col("r"))
 
 
 def parse_html_rows(raw: DataFrame, source: str, event_type: str, columns: tuple[str, ...], id_columns: tuple[str, ...], date_column: str) -> DataFrame:
     """Bronze events of an HTML table: a row per ``tr`` with as many ``td`` cells; tags and common entities are removed."""
-    rows = F.explode(F.regexp_extract_all("body", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("tr")
+    rows = F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "tr")
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]+>", " "), "&amp;", "&"), r"&nbsp;|\s+", " "))
     cells = raw.select("ingest_ts", rows).withColumn("td", F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), clean))
-    cells = cells.filter(F.size("td") == len(columns)).select("ingest_ts", F.struct(*[F.get("td", F.lit(i)).alias(c) for i, c in enumerate(columns)]).alias("r"))
+    cells = cells.filter(F.size("td") == len(columns)).select("ingest_ts", "pos", F.struct(*[F.get("td", F.lit(i)).alias(c) for i, c in enumerate(columns)]).alias("r"))
     return _events(cells, source, event_type, tuple(F.col(f"r.{c}") for c in id_columns), F.col(f"r.{date_column}"), F.col("r"))

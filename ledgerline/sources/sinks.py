@@ -10,11 +10,13 @@ from pyspark.sql.window import Window
 
 from ..functions.exprs import normalize_name
 from ..operators.lookups import search_names
+from .store import last_of
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Old and new rows, the new one where a key has both; ``keep`` columns fall back on the old value if the new one is null. Idempotent."""
-    new = new.dropDuplicates(keys)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """Old and new rows, the new one where a key has both; ``keep`` columns fall back on the old value if the new one is null. Of new rows that repeat a key the last by ``order`` stays; ``order``
+    columns that the old rows lack are dropped. Idempotent."""
+    new = last_of(new, keys, *order, keep=keep)
     renamed = old.select(*keys, F.lit(True).alias("__old"), *[F.col(c).alias(f"__{c}") for c in old.columns if c not in keys])
     both = renamed.join(new.withColumn("__new", F.lit(True)), keys, "full")
 
@@ -25,8 +27,10 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
     return both.select(*[F.col(c) if c in keys else pick(c) for c in old.columns])
 
 
-def insert_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return old.unionByName(new.dropDuplicates(keys).join(old, keys, "left_anti"))
+def insert_missing(old: DataFrame, new: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """Old rows, and new ones of other keys: of those that repeat a key the first by ``order``."""
+    fresh = last_of(new, keys, *order, first=True).join(old, keys, "left_anti")
+    return old.unionByName(fresh.select(*old.columns))
 
 
 def prune_scores(scores: DataFrame, cutoff: Column) -> DataFrame:
@@ -58,7 +62,7 @@ def resolve(names: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataF
 
 def generate_aliases(companies: DataFrame) -> DataFrame:
     kinds = F.array_distinct(F.array(F.col("ticker"), normalize_name(F.col("name")), F.upper("name")))
-    return companies.select(F.col("id").alias("entity_id"), F.explode(kinds).alias("alias")).filter("alias is not null and alias <> ''").dropDuplicates(["alias"])
+    return companies.select(F.col("id").alias("entity_id"), F.explode(kinds).alias("alias")).filter("alias is not null and alias <> ''").groupBy("alias").agg(F.min("entity_id").alias("entity_id")).select("entity_id", "alias")
 
 
 def delete(df: DataFrame, keys: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ a live source.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -38,7 +39,7 @@ class Loads:
     """A folder of loads below the shared folder, a stream over them, and what its sinks have written."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.schema = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", None
+        self.spark, self.root, self.schema, self.dropped = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", None, 0
 
     def arrive(self, rows: DataFrame, number: int) -> None:
         """One load, as one file: a batch of the stream."""
@@ -50,8 +51,10 @@ class Loads:
 
     def run(self, stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append", name: str = "state") -> None:
         """Takes all loads there are, batch by batch; a later call with the same name goes on from its checkpoint."""
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{self.root}/{name}").foreachBatch(sink).trigger(availableNow=True).start()
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{self.root}/checkpoint-{name}").foreachBatch(sink).trigger(availableNow=True).start()
         query.awaitTermination()
+        progress = [json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else p for p in query.recentProgress]
+        self.dropped = sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"][-1:])
 
     def table_sink(self, name: str) -> Callable[[DataFrame, int], None]:
         """Keeps each batch under its number: one that is tried again replaces its own rows."""

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from ledgerline.streaming import debounce
+from ledgerline.streaming import debounce, health, late
 
 START = dt.datetime(2024, 1, 1)
 
@@ -55,3 +55,61 @@ def test_budget_of_a_minute(spark):
     rows = [(s, 0, m * 60_000 + s, 1, s % 4 != 0) for m in range(3) for s in range(10)]
     got = debounce.with_budget(spark.createDataFrame(rows, debounce.OUT), 3).filter("granted").collect()
     assert sorted((r["ended_ms"] // 60_000, r["subject"]) for r in got) == [(m, s) for m in range(3) for s in (1, 2, 3)]
+
+
+@pytest.fixture(scope="module")
+def late_loads(spark):
+    rng, hour, out = random.Random(6), dt.timedelta(hours=1), []
+    for k in range(5):
+        own = [(k * 100 + i, rng.choice("ab"), START + (24 * k + rng.randint(0, 23)) * hour) for i in range(20)]
+        if k > 1:
+            own += [(k * 100 + 50, "a", START + rng.randint(0, 5) * hour), (k * 100 + 51, "b", START + (24 * k - 30) * hour)]
+        out.append([*own, own[0], (1000 + k, "a", None), (None, "a", START)])  # a repeated row, and rows without a time or an id
+    return [spark.createDataFrame([(*r, "clash") for r in rows], "event_id long, event_type string, ts timestamp, w string") for rows in out], out
+
+
+def test_late_rows_are_refused_and_kept(spark, late_loads):
+    frames, rows = late_loads
+    seen = late.admit(spark, frames, "1 day", "1 day")
+    accepted, refused = {r["event_id"] for r in seen.accepted.collect()}, {r["event_id"] for r in seen.refused.collect()}
+    every = {i for own in rows for i, _, _ in own if i is not None}
+    assert accepted | refused == every and not accepted & refused and seen.accepted.count() == len(accepted)
+    want = set()
+    for k, own in enumerate(rows):
+        before = [t for earlier in rows[: max(0, k - 1)] for _, _, t in earlier if t is not None]
+        want |= {i for i, _, t in own if i is not None and (t is None or (before and t <= max(before) - dt.timedelta(days=1)))}
+    assert refused == want and len(want) > 5
+    counts = {}
+    for own in rows:
+        for i, kind, t in set(own):
+            if i in accepted:
+                counts[kind, t.replace(hour=0)] = counts.get((kind, t.replace(hour=0)), 0) + 1
+    assert {(r["event_type"], r["start"]): r["n"] for r in seen.closed.collect()} == counts
+    assert seen.dropped == sum(i in want and t is not None for own in rows for i, _, t in own)
+
+
+@pytest.mark.parametrize(("fails", "status", "failures"), [(0, "healthy", 0), (2, "healthy", 0), (9, "degraded", 3)])
+def test_health_of_sources(spark, fails, status, failures):
+    frames = [spark.createDataFrame([(s, START + dt.timedelta(hours=10 * k + len(s))) for s in ("one", "three") for _ in range(k + 1)], "source string, at timestamp") for k in range(4)]
+    left = [fails]
+
+    def sink(batch, number):
+        batch.count()
+        if number == 2 and left[0]:
+            left[0] -= 1
+            raise RuntimeError("no")
+
+    got = {r["source_name"]: r for r in health.monitored(spark, frames, ["one", "three", "never"], sink)[0].collect()}
+    done = 4 if fails < 3 else 2
+    assert set(got) == {"one", "three", "never"} and got["one"]["status"] == got["three"]["status"] == status
+    assert (got["three"]["failures"], got["three"]["events"]) == (failures, sum(range(1, done + 1))) and (got["three"]["last_error"] is None) == (failures == 0)
+    assert got["three"]["last_success"] == START + dt.timedelta(hours=10 * (done - 1) + 5)
+    assert got["never"]["events"] == 0 and got["never"]["last_success"] is None
+
+
+def test_a_source_is_down_after_ten_failures(spark):
+    meta = spark.createDataFrame([("a", "degraded", 8, START, "old", 60)], health.META)
+    polls = [("a", START + dt.timedelta(hours=k), False, f"e{k}", 0) for k in range(3)]
+    assert health.folded(meta, spark.createDataFrame(polls, health.POLLS)).first()["status"] == "down"
+    row = health.folded(meta, spark.createDataFrame([("a", START + dt.timedelta(hours=1, minutes=1), True, None, 4), *polls], health.POLLS)).first()
+    assert (row["status"], row["failures"], row["last_error"], row["events"]) == ("degraded", 1, "e2", 4)
