@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, insights, scores, signals, trades
+from ..operators import graph, graph_many, insights, scores, signals, trades
 from ..operators.temporal import asof_join
 from ..streaming import streams
 from . import fql_queries, more_queries, stream_queries
@@ -354,6 +354,33 @@ add(
     + " SELECT node, 0 AS level FROM n0 UNION ALL (SELECT node, 1 FROM n1 ORDER BY node LIMIT 199) UNION ALL (SELECT node, 2 FROM n2 ORDER BY node LIMIT 100)",
     lambda c: graph.bfs(_edges(c), "c7", 2, 200),
 )
+def _network(c: Catalog) -> tuple[graph_many.Graph, DataFrame]:
+    """Customers, orders and parts with their names, and the customers of one country as starts."""
+    edges = c.read("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"), F.lit("placed").alias("relationship"))
+    edges = edges.unionByName(c.read("lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), F.col("l_returnflag").alias("relationship")))
+    labels = c.read("customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_name").alias("label"))
+    labels = labels.unionByName(c.read("part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.col("p_name").alias("label")))
+    labels = labels.unionByName(c.read("orders").filter("o_orderstatus <> 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.concat(F.lit("order "), "o_orderkey").alias("label")))
+    return graph_many.Graph(edges, labels), c.read("customer").filter("c_nationkey = 7").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+
+
+def _reached(c: Catalog, edges: bool) -> DataFrame:
+    network, starts = _network(c)
+    seen = network.search(starts, 2, 25)
+    return network.between(seen) if edges else network.named(seen)
+
+
+NETWORK = """WITH e AS (SELECT 'o' || o_orderkey AS x, 'c' || o_custkey AS y, 'placed' AS relationship FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey, l_returnflag FROM lineitem),
+lb AS (SELECT 'c' || c_custkey AS node, c_name AS label FROM customer UNION ALL SELECT 'p' || p_partkey, p_name FROM part UNION ALL SELECT 'o' || o_orderkey, 'order ' || o_orderkey FROM orders WHERE o_orderstatus <> 'P'),
+e2 AS (SELECT DISTINCT a, b FROM (SELECT x AS a, y AS b FROM e UNION ALL SELECT y, x FROM e) WHERE b IN (SELECT node FROM lb)),
+n0 AS (SELECT 'c' || c_custkey AS source, 'c' || c_custkey AS node, 0 AS level FROM customer WHERE c_nationkey = 7),
+{levels}
+seen AS (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2) """
+_REACH = """n{k} AS (SELECT f.source, f.node, {k} AS level FROM (SELECT DISTINCT n{j}.source, e2.b AS node FROM n{j} JOIN e2 ON e2.a = n{j}.node) f ANTI JOIN ({seen}) s ON s.source = f.source AND s.node = f.node
+ JOIN (SELECT source, count(*) AS had FROM ({seen}) GROUP BY 1) h ON h.source = f.source QUALIFY row_number() OVER (PARTITION BY f.source ORDER BY f.node) <= 25 - had),"""
+NETWORK = NETWORK.replace("{levels}", _REACH.format(k=1, j=0, seen="SELECT * FROM n0") + _REACH.format(k=2, j=1, seen="SELECT * FROM n0 UNION ALL SELECT * FROM n1"))
+add("graph_many_nodes", NETWORK + "SELECT source, seen.node, level, label FROM seen LEFT JOIN lb ON lb.node = seen.node", lambda c: _reached(c, False))
+add("graph_many_edges", NETWORK + "SELECT s.source, least(x, y) AS a, greatest(x, y) AS b, relationship FROM e JOIN seen s ON s.node = x JOIN seen u ON u.source = s.source AND u.node = y", lambda c: _reached(c, True))
 add(
     "stream_weekly_counts",
     "WITH x AS (SELECT 1) SELECT event_type, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '2024-01-01') AS week, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",

@@ -50,7 +50,7 @@ def admit(spark: SparkSession, loads: list[DataFrame], late: str = "1 day", widt
     arrived = arrived.withColumn("came", F.regexp_extract(F.col("_metadata.file_path"), r"load=(\d+)", 1).cast("int")) if own else arrived.withColumn("came", F.lit(0))
     beat = last.agg(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"), (F.max("ts") + F.expr("INTERVAL 3650 DAYS")).alias("ts"))
     place.arrive(beat, len(own))
-    timed = place.stream().filter("ts is not null")
+    timed = place.stream().filter("ts is not null and (event_id is not null or event_type is null)")
     with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKS):
         place.run(once(timed, late), place.table_sink("passed"), name="once")
         dropped = place.dropped
