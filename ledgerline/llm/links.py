@@ -7,6 +7,7 @@ units of bounded size, each unit has a signature tree, trees are joined by dual
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(nodes[apart]), pa.array(label[apart])], names=["a", "b"])
 
 
-def components(edges: DataFrame, tables: Tables, name: str, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     """node, label (the least node of the component) of every node that the edges (a, b: long) name.
 
     Partitions first replace their edges by spanning forests, without a shuffle. Then alternating star rounds run until nothing changes: each
@@ -50,8 +51,12 @@ def components(edges: DataFrame, tables: Tables, name: str, rounds: int = 40) ->
     )
     if edges.count() <= FINISH:
         edges = tables.save(edges.repartition(1).mapInArrow(_forest, "a long, b long"), f"{name}-whole")
-        rounds = 0
-    for k in range(1, rounds):
+        settled = True
+    else:
+        settled = False
+    for k in itertools.count(1):
+        if settled:
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = tables.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-{k}-least")
         # large star: a node's larger neighbours, and itself, go to the least of its neighbourhood
@@ -63,14 +68,9 @@ def components(edges: DataFrame, tables: Tables, name: str, rounds: int = 40) ->
         small = larger.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = small.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new = tables.save(new, f"{name}-{k}")
-        done = _same(edges, new)
+        settled = _same(edges, new)
         tables.drop(f"{name}-{k}-least", f"{name}-{k}-large", f"{name}-{k}-low", f"{name}-{k - 1}")
         edges = new
-        if done:
-            break
-    else:
-        if rounds:
-            raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
@@ -433,10 +433,10 @@ def _unit_pairs(large: DataFrame) -> DataFrame:
 def shared_key_edges(entries: DataFrame, tasks: int) -> DataFrame:
     """Edges (a, b) between ids that share a key, as spanning forests; entries: part, keys (binary of uint64), ids (binary of int64), sizes (binary of int32).
 
-    ``entries`` rows carry many keys each; what belongs to one part meets in one task. Only neighbours in size are linked, as far as their sizes can go with a
+    ``entries`` rows carry many keys each; what belongs to one part meets in one task, which goes through its parts one after another. Only neighbours in size are linked, as far as their sizes can go with a
     similarity of ``ratio``.
     """
-    return entries.repartition(tasks, "part").mapInArrow(_meet, "a long, b long")
+    return entries.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_meet, "a long, b long")
 
 
 def shared_key_groups(entries: DataFrame, tasks: int) -> DataFrame:
@@ -466,14 +466,35 @@ def _met(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.
     return key, id_, (key[1:] == key[:-1]) & (100 * size[:-1] >= percent * size[1:])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The rows of each part of batches that come in order of their part."""
+    held: list[pa.RecordBatch] = []
+    own = None
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and part[a] != own:
+                yield iter(held)
+                held = []
+            own = part[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield iter(held)
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    met = _met(batches)
-    if met is not None:
-        _, id_, near = met
-        near &= id_[1:] != id_[:-1]
-        nodes, label = least_labels(id_[:-1][near], id_[1:][near])
-        apart = nodes != label
-        yield pa.record_batch([pa.array(nodes[apart]), pa.array(label[apart])], names=["a", "b"])
+    for part in _parts(batches):
+        met = _met(part)
+        if met is not None:
+            _, id_, near = met
+            near &= id_[1:] != id_[:-1]
+            nodes, label = least_labels(id_[:-1][near], id_[1:][near])
+            apart = nodes != label
+            yield pa.record_batch([pa.array(nodes[apart]), pa.array(label[apart])], names=["a", "b"])
+    release()
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,8 @@ from .tables import Tables, only, spread, table
 
 SEED = 20250601
 MAX_RATE = 30.0  # of one draw
+#: Rows of the mixture for which there is a task, some 70 MB of documents.
+ROWS_A_TASK = 20_000
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -37,7 +39,7 @@ def draw_name(docs: DataFrame) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, rows_wanted: int | None = None) -> DataFrame:
-    """__source, rate, parts, cdf: one row per source. ``cdf`` is the distribution function of one of the ``parts`` from 0 up to where it ends."""
+    """__source, n, rate, parts, cdf: one row per source, of n rows. ``cdf`` is the distribution function of one of the ``parts`` from 0 up to where it ends."""
     counts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source")).agg(F.count("*").alias("n"))
     if weights is None:
         share = F.sqrt("n")
@@ -61,14 +63,20 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, rows_wanted:
         .withColumn("rate", rate)
         .withColumn("parts", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rate") / MAX_RATE)))
         .withColumn("__part", F.col("rate") / F.col("parts"))
-        .select("__source", "rate", "parts", F.aggregate(steps, start, step, lambda acc: acc["cdf"]).alias("cdf"))
+        .select("__source", "n", "rate", "parts", F.aggregate(steps, start, step, lambda acc: acc["cdf"]).alias("cdf"))
     )
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, rows_wanted: int | None = None, seed: int = SEED) -> DataFrame:
     """The mixture before it is shuffled: the columns of ``docs`` plus __name, __rate, __copies and __copy (from 1)."""
+    return _planned(docs, weights, rows_wanted, seed)[0]
+
+
+def _planned(docs: DataFrame, weights: dict[str, float] | None, rows_wanted: int | None, seed: int) -> tuple[DataFrame, int]:
+    """The mixture before it is shuffled, and how many rows it will have on average."""
     tables = Tables(docs.sparkSession, "mix")
     plan = tables.save(rates(docs, weights, rows_wanted), "rates")
+    expected = plan.agg(F.sum(F.col("rate") * F.col("n")).alias("rows")).first()["rows"] or 0
     name = F.col("__name")
 
     def copies(draw: Column) -> Column:
@@ -77,33 +85,34 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, rows_wan
     more = F.aggregate(
         F.sequence(F.lit(2).cast("long"), F.col("__parts")), F.lit(0).cast("long"), lambda n, k: n + copies(uniform(F.lit(str(seed)), name, k.cast("string")))
     )
-    return (
+    copied = (
         docs.withColumn("__name", draw_name(docs)).withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-        .join(plan.withColumnRenamed("rate", "__rate").withColumnRenamed("cdf", "__cdf").withColumnRenamed("parts", "__parts"), "__source")
+        .join(plan.select("__source", F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf"), F.col("parts").alias("__parts")), "__source")
         .withColumn("__draw", uniform(F.lit(str(seed)), name))
         .withColumn("__copies", copies(F.col("__draw")) + F.when(F.col("__parts") > 1, more).otherwise(0)).withColumn("__copies", F.col("__copies").cast("int"))
         .drop("__cdf", "__draw", "__parts", "__source")
         .filter("__copies > 0")
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     )
+    return copied, int(expected)
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, rows_wanted: int | None = None, seed: int = SEED) -> DataFrame:
     """The mixture in its global order: the columns of ``docs``, a row for each copy."""
-    return _shuffled(replicate(docs, weights, rows_wanted, seed), seed).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _shuffled(*_planned(docs, weights, rows_wanted, seed), seed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _shuffled(copies: DataFrame, seed: int) -> DataFrame:
-    """Every partition gets a random set of copies, in a random order: partition by one half of a hash, order by the other."""
+def _shuffled(copies: DataFrame, rows: int, seed: int) -> DataFrame:
+    """Every partition gets a random set of copies, in a random order: partition by one half of a hash, order by the other. There are as many partitions as the expected rows ask for."""
     spot = F.xxhash64(F.lit(seed), "__name", "__copy")
-    tasks = spread(copies.sparkSession, 0, 1)
+    tasks = spread(copies.sparkSession, rows, ROWS_A_TASK)
     return copies.withColumn("__spot", spot).repartition(tasks, "__spot").sortWithinPartitions(F.xxhash64("__spot"), "doc_id", "__copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, copies, copy, rate, text of the mixture of all documents."""
     docs = only(table(spark, sf_dir, "documents"), doc_id="long", source="string", text="string")
-    return _shuffled(replicate(docs), SEED).select(
+    return _shuffled(*_planned(docs, None, None, SEED), SEED).select(
         "doc_id",
         "source",
         F.col("__copies").cast("long").alias("copies"),

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -620,3 +621,30 @@ def test_word_kernel():
     texts = [b"", b"a", b" The  quick\x0bbrown\xc3\xa9 ", b"the QUICK"]
     hashes, at = kernels.word_hashes(texts)
     assert np.diff(at).tolist() == [0, 1, 3, 2] and hashes[at[2]] == hashes[at[3]] and hashes[at[2] + 1] == hashes[at[3] + 1]
+
+
+def test_the_mixture_has_tasks_for_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(poisson_mix, "ROWS_A_TASK", 50)
+    for n in (200, 1000, 10_000):
+        docs = spark.range(n).selectExpr("id as doc_id", "'s' as source", "cast(id as string) as text", "id as n")
+        plan = poisson_mix.poisson_mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+        assert f", {max(4, n // 50)}" in next(x for x in plan.splitlines() if "RepartitionByExpression" in x)
+
+
+def test_parts_of_a_task_come_one_after_another():
+    rng = np.random.default_rng(1)
+    batches = [pa.RecordBatch.from_pydict({"part": pa.array(np.sort(rng.integers(k, k + 2, 5)), pa.int32()), "x": pa.array(rng.integers(0, 9, 5))}) for k in range(4)]
+    batches.insert(2, batches[0].slice(0, 0))
+    parts = [pa.Table.from_batches(list(p)) for p in links._parts(iter(batches))]
+    assert all(len(set(p.column("part").to_pylist())) == 1 for p in parts)
+    assert [x for p in parts for x in p.column("x").to_pylist()] == [x for b in batches for x in b.column("x").to_pylist()]
+    assert sum(a.column("part")[0] == b.column("part")[0] for a, b in zip(parts, parts[1:], strict=False)) == 0
+
+
+def test_components_of_a_long_path(spark, monkeypatch):
+    """However many rounds it takes."""
+    monkeypatch.setattr(links, "FINISH", 0)
+    monkeypatch.setattr(links, "EDGES_A_TASK", 4)
+    edges = spark.range(1, 3000).selectExpr("(id * 7919) % 3001 as a", "((id + 1) * 7919) % 3001 as b").repartition(4)
+    got = links.components(edges, Tables(spark, "test"), "path").select("label").distinct().count()
+    assert got == 1
