@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exprs import clamp, days_between, week_of
+from ..functions.exprs import clamp, days_between, format_dollars, week_of
 from .signals import enriched_swarms, oversees, round_trips
 from .temporal import asof_join, band_join
 from .trades import count_if, distinct_if, is_buy, is_sell
@@ -58,8 +58,8 @@ def coordinated(trades: DataFrame, ticker: str = "ticker", least: int = 3) -> Da
 
 def committee_relevant(trades: DataFrame, rules: tuple = COMMITTEE_SECTORS) -> DataFrame:
     own = trades.filter(oversees(F.col("committee"), F.col("sector"), rules))
-    own = own.groupBy("person_id", "ticker", F.col("traded_at").cast("date").alias("day")).agg(F.max("est").alias("est"))
-    return _finding(own, "committee_relevant", F.col("person_id"), F.col("ticker"), F.col("day"), _size_bonus(F.col("est"), (70, 80, 90)), "est")
+    own = own.groupBy("person_id", "ticker", F.col("traded_at").cast("date").alias("day")).agg(F.max("est").alias("est"), F.min("committee").alias("committee"))
+    return _finding(own, "committee_relevant", F.col("person_id"), F.col("ticker"), F.col("day"), _size_bonus(F.col("est"), (70, 80, 90)), "est", "committee")
 
 
 def pre_event(trades: DataFrame, events: DataFrame, kind: str = "pre_event", days: int = 14) -> DataFrame:
@@ -100,7 +100,7 @@ def lone_wolf(trades: DataFrame, factor: float = 4.0, least: int = 5, top: int =
     window = Window.partitionBy("person_id").orderBy(F.desc("est"), F.desc("traded_at"), "ticker", "order_id", "line")
     largest = trades.withColumn("__r", F.row_number().over(window)).filter(F.col("__r") <= top).join(middle, "person_id")
     largest = largest.withColumn("ratio", F.col("est") / F.col("middle")).filter(F.col("ratio") >= factor)
-    return _finding(largest, "lone_wolf", F.col("person_id"), F.col("ticker"), F.col("traded_at"), 50 + 25 * F.log10("ratio"), "est", "middle")
+    return _finding(largest, "lone_wolf", F.col("person_id"), F.col("ticker"), F.col("traded_at"), 50 + 25 * F.log10("ratio"), "est", "middle", "trade_type")
 
 
 def copy_trader(trades: DataFrame, prices: DataFrame, least: int = 3) -> DataFrame:
@@ -184,14 +184,33 @@ def ranked(findings: list[DataFrame], as_of: str, limit: int = 20) -> DataFrame:
 
 
 def evidence(findings: DataFrame) -> DataFrame:
-    """For every finding its proof as a sequence of labelled steps."""
-    step = lambda label, text: F.struct(F.lit(label).alias("label"), text.cast("string").alias("text"))
-    get = lambda path: F.get_json_object("data", f"$.{path}")
+    """Findings with ``steps``: the proof of each as a sequence of (date, kind, label), in order of time."""
+
+    def get(path: str) -> Column:
+        return F.get_json_object("data", f"$.{path}")
+
+    def step(date: Column, kind: str, *label: Column | str) -> Column:
+        return F.struct(date.cast("date").alias("date"), F.lit(kind).alias("kind"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in label]).alias("label"))
+
+    at, ticker, who = F.col("at"), F.col("ticker"), F.concat(F.lit("person "), F.col("subject"))
+    amount = F.concat(F.lit(" ($"), format_dollars(get("est").cast("long")), F.lit(")"))
+    ahead = F.array(step(at, "trade", who, " traded ", ticker, amount), step(F.date_add(at, get("gap").cast("int")), "event", "event of ", ticker))
+    trip = F.array(step(F.date_sub(at, get("hold_days").cast("int")), "trade", who, " buy ", ticker, amount), step(at, "trade", who, " sell ", ticker))
+    times = F.format_string("%.1f", get("est").cast("double") / get("middle").cast("double"))
     steps = (
-        F.when(F.col("kind").isin("pre_event", "court_trade", "committee_insider"), F.array(step("trade", F.col("at")), step("event after days", get("gap"))))
-        .when(F.col("kind") == "round_trip", F.array(step("held for days", get("hold_days")), step("sold", F.col("at"))))
-        .when(F.col("kind") == "coordinated_trades", F.array(step("week", F.col("at")), step("persons", get("reps"))))
-        .when(F.col("kind") == "late_profitable", F.array(step("days late", get("delay")), step("gain", get("pct")), step("filed", F.col("at"))))
-        .otherwise(F.array(step("found", F.col("at"))))
+        F.when(F.col("kind").isin("pre_event", "court_trade", "committee_insider"), ahead)
+        .when(F.col("kind") == "round_trip", trip)
+        .when(F.col("kind") == "coordinated_trades", F.array(step(at, "cluster", get("reps"), " persons traded ", ticker)))
+        .when(F.col("kind") == "bipartisan_convergence", F.array(step(at, "cluster", get("n"), " persons of both parties traded ", ticker)))
+        .when(F.col("kind") == "committee_relevant", F.array(step(at, "trade", who, " traded ", ticker, " (committee: ", get("committee"), ")")))
+        .when(F.col("kind") == "lone_wolf", F.array(step(at, "trade", who, " outsized ", get("trade_type"), " ", ticker, " (", times, " times the usual)")))
+        .when(F.col("kind") == "late_profitable", F.array(step(at, "trade", who, " filed ", ticker, " after ", get("delay"), " days")))
+        .otherwise(F.array(step(at, "event", F.col("kind"), F.when(ticker != "", F.concat(F.lit(" "), ticker)).otherwise(F.lit("")))))
     )
     return findings.withColumn("steps", steps)
+
+
+def proof_steps(findings: DataFrame) -> DataFrame:
+    """kind, subject, ticker, at, place (from 1), date, step, label: a row for each step of each finding."""
+    rows = evidence(findings).select("kind", "subject", "ticker", "at", F.posexplode("steps").alias("place", "s"))
+    return rows.select("kind", "subject", "ticker", "at", (F.col("place") + 1).alias("place"), "s.date", F.col("s.kind").alias("step"), "s.label")

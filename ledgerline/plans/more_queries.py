@@ -100,8 +100,6 @@ def register(add) -> None:
         "(SELECT event_type AS source_name, max(ts) AS last_success, count(*) % 7 * 3600 + 60 AS poll_interval_seconds, CASE WHEN event_type = 'view' THEN 'degraded' ELSE 'healthy' END AS status FROM events GROUP BY event_type)) "
         "JOIN (SELECT event_type AS source_name, (epoch(TIMESTAMP '2024-01-31 12:00:00')::BIGINT - floor(epoch(max(ts)))::BIGINT) / (count(*) % 7 * 3600 + 60)::DOUBLE AS late FROM events GROUP BY 1) USING (source_name)".replace("SELECT *, CASE", "SELECT source_name, last_success, poll_interval_seconds, status, CASE"), _freshness)
     add("prune_scores", "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY computed_at DESC) AS r FROM sc) WHERE computed_at >= TIMESTAMP '2001-07-01' OR r = 1", lambda c: sinks.prune_scores(c.scores, F.lit("2001-07-01").cast("timestamp")), SC)
-    add("scoreboard", None, lambda c: scores.scoreboard(signals.accountability(c.trades, c.happenings)))
-    add("company_timeline", None, lambda c: insights.evidence(insights.coordinated(c.facts(), "part_id")))
     _ingestion(add)
 
 

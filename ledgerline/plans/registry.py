@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, graph_many, insights, scores, signals, trades
+from ..operators import detect, graph, graph_many, insights, scores, signals, trades
 from ..operators.temporal import asof_join
 from ..streaming import streams
+from ..streaming.loads import shared_root
 from . import fql_queries, more_queries, stream_queries
 from .mapping import AS_OF, PX, SC, T, Catalog
 
@@ -69,8 +71,8 @@ add(
 )
 add(
     "solo_tickers",
-    "SELECT part_id, min(person_id) AS person_id, count(*) AS trades FROM t WHERE traded_at >= TIMESTAMP '2001-05-01' GROUP BY part_id HAVING count(DISTINCT person_id) = 1",
-    lambda c: trades.solo_tickers(c.facts(company=False, person=False).filter(F.col("traded_at") >= F.lit("2001-05-01").cast("timestamp")), "part_id"),
+    "SELECT part_id, min(person_id) AS person_id, count(*) AS trades FROM t GROUP BY part_id HAVING count(DISTINCT person_id) = 1",
+    lambda c: trades.solo_tickers(c.facts(company=False, person=False), "part_id"),
 )
 add(
     "net_flow",
@@ -199,16 +201,15 @@ def _events(c: Catalog) -> DataFrame:
 
 EV = "ev AS (SELECT user_id AS part_id, date_trunc('day', ts)::TIMESTAMP - INTERVAL 24 YEAR AS at, event_type FROM events)"
 _TRIP_PART = "CASE WHEN {n} > 0 THEN least(100, 30 + {k} * log2(greatest({n}, 1))) ELSE 0 END"
-add(
-    "accountability",
+ACCOUNTABLE = (
     "SELECT *, round(0.30 * greatest(0, least(100, median_days - 20.0)) + 0.10 * greatest(0, least(100, coalesce(late::DOUBLE / nullif(scoreable, 0), 0) * 100)) + 0.25 * greatest(0, least(100, committee_trades::DOUBLE / trades / 0.5 * 100)) + "
     f"0.20 * {_TRIP_PART.format(n='round_trips', k=40)} + 0.15 * {_TRIP_PART.format(n='pre_events', k=45)}, 8) AS score FROM (SELECT b.person_id, trades, committee_trades, coalesce(scoreable, 0) AS scoreable, coalesce(late, 0) AS late, coalesce(median_days, 0)::DOUBLE AS median_days, "
     "coalesce(round_trips, 0) AS round_trips, coalesce(pre_events, 0) AS pre_events, round(coalesce(late::DOUBLE / nullif(scoreable, 0), 0), 6) AS late_pct FROM "
     f"(SELECT person_id, count(*) AS trades, {n_if(RULE_SQL)} AS committee_trades FROM t GROUP BY 1 HAVING count(*) >= 5) b LEFT JOIN (SELECT person_id, count(*) AS scoreable, {n_if('days > 45')} AS late, quantile_cont(days, 0.5) AS median_days FROM lat GROUP BY 1) l USING (person_id) "
     f"LEFT JOIN (SELECT b.person_id, count(*) AS round_trips FROM t b JOIN t s ON b.person_id = s.person_id AND b.ticker = s.ticker AND b.{BUY} AND s.{SELL} AND date_diff('day', b.traded_at, s.traded_at) BETWEEN 1 AND 60 GROUP BY 1) r USING (person_id) "
-    "LEFT JOIN (SELECT person_id, count(DISTINCT (order_id, line, t.part_id, est)) AS pre_events FROM t JOIN ev ON t.part_id = ev.part_id AND date_diff('day', traded_at, at) BETWEEN 1 AND 14 GROUP BY 1) p USING (person_id))",
-    lambda c: signals.accountability(c.trades, _events(c), RULES), LAT, EV,
-)
+    "LEFT JOIN (SELECT person_id, count(DISTINCT (order_id, line, t.part_id, est)) AS pre_events FROM t JOIN ev ON t.part_id = ev.part_id AND date_diff('day', traded_at, at) BETWEEN 1 AND 14 GROUP BY 1) p USING (person_id))"
+)
+add("accountability", ACCOUNTABLE, lambda c: signals.accountability(c.trades, _events(c), RULES), LAT, EV)
 add("score_backfill", "SELECT * FROM sc", lambda c: c.scores, SC)
 add("score_rankings", "SELECT * FROM la ORDER BY composite DESC, ticker LIMIT 50", lambda c: scores.rankings(c.scores), SC, LATEST)
 add(
@@ -235,12 +236,23 @@ add(
 )
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.select("kind", "subject", "ticker", "at", "rarity")
+#: Where a finding's SQL takes the columns of its data.
+_DATA = "/*data*/"
+_TEXTS = ("committee", "trade_type")
+
+
+def _spread(df: DataFrame, names: list[str]) -> DataFrame:
+    """Findings with their data in columns of their own."""
+    values = [F.get_json_object("data", f"$.{n}").cast("string" if n in _TEXTS else "double").alias(f"d_{n}") for n in names]
+    return df.select("kind", "subject", "ticker", "at", "rarity", *values)
 
 
 def finding(kind: str, subject: str, ticker: str, at: str, rarity: str, rest: str) -> str:
-    return f"SELECT '{kind}' AS kind, ({subject})::VARCHAR AS subject, ({ticker})::VARCHAR AS ticker, ({at})::TIMESTAMP AS at, round(greatest(0.0, least(100.0, ({rarity})::DOUBLE)), 4) AS rarity {rest}"
+    return f"SELECT '{kind}' AS kind, ({subject})::VARCHAR AS subject, ({ticker})::VARCHAR AS ticker, ({at})::TIMESTAMP AS at, round(greatest(0.0, least(100.0, ({rarity})::DOUBLE)), 4) AS rarity{_DATA} {rest}"
+
+
+def _with_data(sql: str, data: dict[str, str]) -> str:
+    return sql.replace(_DATA, "".join(f", ({x})::{'VARCHAR' if n in _TEXTS else 'DOUBLE'} AS d_{n}" for n, x in data.items()))
 
 
 def size_bonus(a: float, b: float, c: float) -> str:
@@ -259,7 +271,7 @@ DETECTORS: dict[str, tuple[Callable[[Catalog], DataFrame], str, tuple[str, ...]]
     ),
     "committee": (
         lambda c: insights.committee_relevant(c.trades, RULES),
-        finding("committee_relevant", "person_id", "ticker", "day", size_bonus(70, 80, 90), f"FROM (SELECT person_id, ticker, traded_at::DATE AS day, max(est) AS est FROM t WHERE {RULE_SQL} GROUP BY ALL)"),
+        finding("committee_relevant", "person_id", "ticker", "day", size_bonus(70, 80, 90), f"FROM (SELECT person_id, ticker, traded_at::DATE AS day, max(est) AS est, min(committee) AS committee FROM t WHERE {RULE_SQL} GROUP BY ALL)"),
         (),
     ),
     "pre_event": (
@@ -280,7 +292,7 @@ DETECTORS: dict[str, tuple[Callable[[Catalog], DataFrame], str, tuple[str, ...]]
     ),
     "swarm_outlier": (
         lambda c: insights.swarm_outlier(c.trades, c.trades.select("ticker", F.col("filed_at").alias("traded_at"), "trade_type"), c.prices),
-        finding("swarm_outlier", "''", "ticker", "week", "r", "FROM (SELECT ticker, max(week) AS week, 30 + 5 * sum(reps) + 10 * count(*) + CASE WHEN sum(insider_trades) > 0 THEN 10 ELSE 0 END + 5 * count(*) FILTER (WHERE volume_ratio < 1.5) AS r FROM se GROUP BY ticker) WHERE r >= 50"),
+        finding("swarm_outlier", "''", "ticker", "week", "r", "FROM (SELECT ticker, max(week) AS week, sum(reps) AS x_reps, count(*) AS x_weeks, sum(insider_trades) AS x_insider, count(*) FILTER (WHERE volume_ratio < 1.5) AS x_low, 30 + 5 * sum(reps) + 10 * count(*) + CASE WHEN sum(insider_trades) > 0 THEN 10 ELSE 0 END + 5 * count(*) FILTER (WHERE volume_ratio < 1.5) AS r FROM se GROUP BY ticker) WHERE r >= 50"),
         (PX, SW, SE),
     ),
     "lone_wolf": (
@@ -295,9 +307,9 @@ DETECTORS: dict[str, tuple[Callable[[Catalog], DataFrame], str, tuple[str, ...]]
         (PX, GAIN),
     ),
     "sector_rotation": (
-        lambda c: insights.sector_rotation(c.trades.filter("state = 'NATION_7'"), "2000-08-15"),
-        finding("sector_rotation", "''", "sector", "TIMESTAMP '2000-08-15'", "50 + 2 * abs(shift)", f"FROM (SELECT sector, round(new * 100.0::DOUBLE / nullif(sum(new) OVER (), 0)::DOUBLE - old * 100.0::DOUBLE / nullif(sum(old) OVER (), 0)::DOUBLE, 4) AS shift FROM (SELECT sector, coalesce(sum(est) FILTER (WHERE {BUY} AND traded_at >= TIMESTAMP '2000-08-01'), 0)::BIGINT AS new, coalesce(sum(est) FILTER (WHERE {BUY} AND traded_at < TIMESTAMP '2000-08-01'), 0)::BIGINT AS old "
-                "FROM t WHERE state = 'NATION_7' AND traded_at >= TIMESTAMP '2000-04-15' AND traded_at < TIMESTAMP '2000-08-16' GROUP BY 1)) WHERE abs(shift) >= 10"),
+        lambda c: insights.sector_rotation(c.trades, "2000-08-15"),
+        finding("sector_rotation", "''", "sector", "TIMESTAMP '2000-08-15'", "50 + 2 * abs(shift)", f"FROM (SELECT sector, new, old, round(new * 100.0::DOUBLE / nullif(sum(new) OVER (), 0)::DOUBLE - old * 100.0::DOUBLE / nullif(sum(old) OVER (), 0)::DOUBLE, 4) AS shift FROM (SELECT sector, coalesce(sum(est) FILTER (WHERE {BUY} AND traded_at >= TIMESTAMP '2000-08-01'), 0)::BIGINT AS new, coalesce(sum(est) FILTER (WHERE {BUY} AND traded_at < TIMESTAMP '2000-08-01'), 0)::BIGINT AS old "
+                "FROM t WHERE traded_at >= TIMESTAMP '2000-04-15' AND traded_at < TIMESTAMP '2000-08-16' GROUP BY 1)) WHERE abs(shift) >= 10"),
         (),
     ),
     "late_profitable": (
@@ -326,13 +338,68 @@ DETECTORS: dict[str, tuple[Callable[[Catalog], DataFrame], str, tuple[str, ...]]
         (),
     ),
 }
+#: What a finding's data holds, and its SQL.
+DATA = {
+    "coordinated": {"reps": "reps", "kinds": "kinds"},
+    "committee": {"est": "est", "committee": "committee"},
+    "pre_event": {"gap": "gap", "est": "est"},
+    "court_trade": {"gap": "gap", "est": "est"},
+    "round_trip": {"hold_days": "hold_days", "est": "est", "usual": "usual"},
+    "swarm_outlier": {"reps": "x_reps", "weeks": "x_weeks", "insider_trades": "x_insider", "low_volume_weeks": "x_low"},
+    "lone_wolf": {"est": "est", "middle": "middle", "trade_type": "trade_type"},
+    "copy_trader": {"trades": "n", "gain": "gain"},
+    "sector_rotation": {"shift": "shift", "new": "new", "old": "old"},
+    "late_profitable": {"delay": "delay", "pct": "pct"},
+    "quiet_accumulation": {"buys": "n", "span": "span", "total": "total"},
+    "committee_insider": {"gap": "gap", "est": "est"},
+    "bipartisan": {"r": "r", "d": "d", "n": "n"},
+    "insider_echo": {"gap": "gap", "same": "same"},
+}
 for _name, (_build, _sql, _tables) in DETECTORS.items():
-    add(f"detect_{_name}", _sql, lambda c, b=_build: _kept(b(c)), *_tables)
+    add(f"detect_{_name}", _with_data(_sql, DATA[_name]), lambda c, b=_build, d=tuple(DATA[_name]): _spread(b(c), d), *_tables)
+_ALL = tuple(dict.fromkeys(x for _, _, ts in DETECTORS.values() for x in ts))
+
+
+def _detected(c: Catalog, **more: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """All detectors over one table of trades; ten minutes each."""
+    shared = c.once(f"{shared_root(c.spark)}/once-{uuid.uuid4().hex}")
+    return detect.detect(c.spark, {name: lambda b=b: b(shared) for name, (b, _, _) in DETECTORS.items()} | more, 600)
+
+
+def _refuses() -> DataFrame:
+    raise RuntimeError("this detector always fails")
+
+
 add(
     "findings_ranked",
-    "SELECT *, round(0.4 * rarity + 60 * pow(0.5, greatest(0, " + DAYS.format(a="at", b=f"TIMESTAMP '{AS_OF}'") + ") / 30), 4) AS blend FROM (" + " UNION ALL ".join(f"({s})" for _, s, _ in DETECTORS.values()) + ") ORDER BY blend DESC, kind, subject, ticker, at LIMIT 20",
-    lambda c: insights.ranked([_kept(b(c)) for b, _, _ in DETECTORS.values()], AS_OF), *dict.fromkeys(x for _, _, ts in DETECTORS.values() for x in ts),
+    "SELECT *, round(0.4 * rarity + 60 * pow(0.5, greatest(0, " + DAYS.format(a="at", b=f"TIMESTAMP '{AS_OF}'") + ") / 30), 4) AS blend FROM (" + " UNION ALL ".join(f"({_with_data(s, {})})" for _, s, _ in DETECTORS.values()) + ") ORDER BY blend DESC, kind, subject, ticker, at LIMIT 20",
+    lambda c: insights.ranked([_detected(c)[0].drop("data")], AS_OF), *_ALL,
+)
+add(
+    "detector_status",
+    " UNION ALL ".join(f"SELECT '{n}' AS detector, TRUE AS ok, count(*) AS findings FROM ({_with_data(s, {})})" for n, (_, s, _) in DETECTORS.items()) + " UNION ALL SELECT 'failing', FALSE, 0",
+    lambda c: detect.summary(_detected(c, failing=_refuses)[1]), *_ALL,
+)
+_DOLLARS = "CASE WHEN est >= 1e6 THEN printf('%.1fM', est / 1e6) WHEN est >= 1e3 THEN round(est / 1000.0)::BIGINT || 'K' ELSE est::VARCHAR END"
+
+
+_WHO = "'person ' || subject || "
+_PROOFS = {
+    "committee": (("at", "trade", f"{_WHO}' traded ' || ticker || ' (committee: ' || d_committee || ')'"),),
+    "lone_wolf": (("at", "trade", f"{_WHO}' outsized ' || d_trade_type || ' ' || ticker || ' (' || printf('%.1f', round(d_est / d_middle, 1)) || ' times the usual)'"),),
+    "round_trip": (("at::DATE - d_hold_days::INT", "trade", f"{_WHO}' buy ' || ticker || ' ($' || {_DOLLARS.replace('est', 'd_est::BIGINT')} || ')'"), ("at", "trade", f"{_WHO}' sell ' || ticker")),
+    "pre_event": (("at", "trade", f"{_WHO}' traded ' || ticker || ' ($' || {_DOLLARS.replace('est', 'd_est::BIGINT')} || ')'"), ("at::DATE + d_gap::INT", "event", "'event of ' || ticker")),
+}
+for _name, _steps in _PROOFS.items():
+    _rows = _with_data(DETECTORS[_name][1], DATA[_name])
+    _made = " UNION ALL ".join(f"SELECT kind, subject, ticker, at, {k}::INT AS place, ({date})::DATE AS date, '{step}' AS step, {label} AS label FROM f" for k, (date, step, label) in enumerate(_steps, 1))
+    add(f"proof_{_name}", _made, lambda c, b=DETECTORS[_name][0]: insights.proof_steps(b(c)), *DETECTORS[_name][2], f"f AS ({_rows})")
+add(
+    "company_timeline",
+    "SELECT kind, subject, ticker, at, 1 AS place, at::DATE AS date, 'cluster' AS step, d_reps::BIGINT || ' persons traded ' || ticker AS label FROM f",
+    lambda c: insights.proof_steps(insights.coordinated(c.facts(), "part_id")), f"f AS ({_with_data(DETECTORS['coordinated'][1], DATA['coordinated'])})",
 )
+add("scoreboard", f"SELECT person_id, floor(score)::INT AS score, trades FROM ({ACCOUNTABLE}) ORDER BY score DESC, trades DESC, person_id LIMIT 100", lambda c: scores.scoreboard(signals.accountability(c.trades, _events(c), RULES)), LAT, EV)
 
 
 fql_queries.register(add, SW)
