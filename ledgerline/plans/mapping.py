@@ -90,10 +90,12 @@ class Catalog:
 
     def once(self, root: str) -> Catalog:
         """This catalog with its trades written to a table, by year and clustered by ticker, and daily prices made of them: for plans that use them many times."""
-        rows = self.trades.withColumn("year", F.year("traded_at"))
+        rows = self.facts(state=True).withColumn("year", F.year("traded_at"))
         rows.repartitionByRange("year", "ticker").sortWithinPartitions("ticker", "traded_at").write.partitionBy("year").parquet(f"{root}/trades")
+        written = self.spark.read.schema(rows.schema).parquet(f"{root}/trades").drop("year")
         other = Catalog(self.spark, self.directory)
-        other.trades = self.spark.read.schema(rows.schema).parquet(f"{root}/trades").drop("year")
+        other.facts = lambda **_: written
+        other.trades = written.select(*self.trades.columns)
         daily = other.trades.groupBy("ticker", F.col("traded_at").alias("at")).agg((F.max("high") * 100).alias("price_cents"), F.count("*").alias("volume"))
         daily.write.parquet(f"{root}/prices")
         other.prices = self.spark.read.schema(daily.schema).parquet(f"{root}/prices")

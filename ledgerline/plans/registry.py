@@ -9,14 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detect, graph, graph_many, insights, scores, signals, trades
+from ..operators import detect, graph, graph_many, insights, scores, signals, sketches, trades
 from ..operators.temporal import asof_join
+from ..sources import datasets, variant
 from ..streaming import streams
 from ..streaming.loads import shared_root
 from . import fql_queries, more_queries, stream_queries
 from .mapping import AS_OF, PX, SC, T, Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BUILDS: dict[str, Callable[[Catalog], DataFrame]] = {}
 SQL: dict[str, str] = {}
 RULES = (("BUILD", ("ECONOMY", "SMALL")), ("AUTO", ("STANDARD",)), ("MACHINE", ("PROMO", "LARGE")))
 RULE_SQL = "((committee LIKE '%BUILD%' AND sector IN ('ECONOMY', 'SMALL')) OR (committee LIKE '%AUTO%' AND sector = 'STANDARD') OR (committee LIKE '%MACHINE%' AND sector IN ('PROMO', 'LARGE')))"
@@ -26,10 +28,11 @@ DAYS = "(epoch_us({b}) - epoch_us({a})) / 86400000000.0"
 
 def add(name: str, sql: str | None, build: Callable[[Catalog], DataFrame], *tables: str) -> None:
     """Registers a query; ``tables`` are the common table expressions its SQL needs besides the trades."""
+    BUILDS[name] = build
     QUERIES[name] = lambda spark, directory: build(Catalog(spark, directory))
     if sql:
         whole = sql if sql.startswith("WITH") else f"WITH {', '.join([T, *tables])} {sql}"
-        SQL[name] = re.sub(r"\bat\b", '"at"', whole)  # a reserved word there
+        SQL[name] = re.sub(r'(?<!")\bat\b(?!")', '"at"', whole)  # a reserved word there
 
 
 def n_if(x: str) -> str:
@@ -458,3 +461,56 @@ add(
     "WITH x AS (SELECT 1) SELECT event_id, ts, user_id, event_type FROM events",
     lambda c: streams.deduplicated(c.spark, c.directory),
 )
+#: Published datasets: the query whose rows they are, and what their files are ordered by.
+PUBLISHED = {
+    "movers": ("score_movers", ()), "rankings": ("score_rankings", ()), "events-latest": ("events_page", ()), "sources": ("freshness", ()), "stats": ("activity", ()),
+    "heatmap-day-month": ("heat_day_month", ()), "heatmap-party-sector": ("heat_party_sector", ()), "heatmap-person-month": ("heat_person_month", ()), "heatmap-person-ticker": ("heat_person_ticker", ()),
+    "companies": ("companies", ("ticker",)), "persons": ("persons_by_influence", ()), "signals-swarms": ("swarms", ()), "signals-consensus": ("partisan_consensus", ()), "signals-contrarian": ("partisan_contrarian", ()),
+    "signals-first-movers": ("first_movers", ("part_id",)), "signals-round-trips": ("round_trips", ()), "signals-latency": ("latency_leaderboard", ()), "signals-latency-summary": ("latency_summary", ()),
+    "insights": ("findings_ranked", ()), "tickers": ("top_tickers", ()), "lobbying": ("lobbying_list", ()), "network": ("co_trader_network", ()), "scoreboard": ("scoreboard", ()), "company-scores": ("score_backfill", ("ticker", "computed_at")),
+    "company-contributors": ("score_breakdown", ("ticker",)), "person-headlines": ("person_headline", ("person_id",)), "person-tickers": ("person_top_tickers", ("person_id",)), "person-flow": ("net_flow", ("person_id",)), "query-index": ("sectors", ()),
+}
+
+
+def _published(c: Catalog) -> DataFrame:
+    root = f"{shared_root(c.spark)}/published-{uuid.uuid4().hex}"
+    shared = c.once(f"{root}-facts")
+    return datasets.publish(shared, {n: datasets.Dataset(BUILDS[q], order) for n, (q, order) in PUBLISHED.items()}, root).select("dataset", "rows")
+
+
+add("published_manifest", "WITH x AS (SELECT 1) " + " UNION ALL ".join(f"SELECT '{n}' AS dataset, count(*) AS rows FROM ({SQL[q]})" for n, (q, _) in PUBLISHED.items()), _published)
+
+
+def _sketched(c: Catalog) -> DataFrame:
+    """Persons and amounts by ticker and quarter from weekly sketches: a week belongs to the quarter of its Monday."""
+    own = c.facts(person=False).select("ticker", "person_id", "est", "traded_at")
+    quarter = F.date_trunc("quarter", F.col("week")).cast("date").alias("quarter")
+    spans = sketches.estimates(sketches.merged(sketches.weekly(own), "ticker", quarter), 0.5, 0.9)
+    monday = F.date_trunc("quarter", F.date_trunc("week", "traded_at")).cast("date").alias("quarter")
+    return sketches.checked(own, spans, [F.col("ticker"), monday], (0.5, 0.9)).drop("estimate")
+
+
+add(
+    "sketch_quarters",
+    "SELECT ticker, date_trunc('quarter', date_trunc('week', traded_at))::DATE AS quarter, count(*) AS trades, count(DISTINCT person_id) AS persons, TRUE AS persons_within, TRUE AS quantiles_within FROM t GROUP BY 1, 2",
+    _sketched,
+)
+#: Payloads of several shapes made of the events' own.
+_SHAPED = "CASE event_id % 5 WHEN 1 THEN replace(replace(props, ': ', ': ['), '}', ', 7]}') WHEN 2 THEN replace(props, '}', '') WHEN 3 THEN replace(replace(props, ': ', ': \"'), '}', '\"}') ELSE props END"
+
+
+def _shaped(c: Catalog) -> DataFrame:
+    rows = variant.with_variant(c.read("events").select("event_type", F.expr(_SHAPED.replace('\"', '"')).alias("payload")), "payload")
+    k = variant.first_of("v", "k", "bigint")
+    return rows.groupBy("event_type").agg(
+        F.count("payload").alias("payloads"), F.count_if(variant.malformed("payload")).alias("malformed"), F.sum(k).alias("total"), F.count_if(k.isNull()).alias("missing"),
+        F.sum(F.size(variant.all_of("v", "k", "bigint"))).alias("values"), F.schema_of_variant_agg("v").alias("shape"),
+    )
+
+
+add(
+    "variant_payloads",
+    "WITH e AS (SELECT event_type, event_id % 5 AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, count(*) AS payloads, count(*) FILTER (WHERE kind = 2) AS malformed, "
+    "sum(k) FILTER (WHERE kind <> 2)::BIGINT AS total, count(*) FILTER (WHERE kind = 2) AS missing, (count(*) FILTER (WHERE kind <> 2) + count(*) FILTER (WHERE kind = 1))::BIGINT AS values, 'OBJECT<k: VARIANT>' AS shape FROM e GROUP BY 1",
+    _shaped,
+)
