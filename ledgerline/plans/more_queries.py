@@ -1,14 +1,12 @@
-"""Queries for lookups, listings, range scans, set operations, sinks and ingestion, each with its SQL."""
+"""Queries for lookups, listings, range scans, set operations and sinks, each with its SQL."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import insights, lookups, scores, signals, trades
-from ..sources import payloads, sinks, typed
+from ..operators import lookups, signals, trades
+from ..sources import sinks
 from .mapping import AS_OF, PX, SC, T, Catalog
 
 P = """p AS (SELECT c_custkey AS person_id, c_name AS name, lower(c_name) AS slug, CASE c_custkey % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'D' ELSE 'I' END AS party,
@@ -100,68 +98,3 @@ def register(add) -> None:
         "(SELECT event_type AS source_name, max(ts) AS last_success, count(*) % 7 * 3600 + 60 AS poll_interval_seconds, CASE WHEN event_type = 'view' THEN 'degraded' ELSE 'healthy' END AS status FROM events GROUP BY event_type)) "
         "JOIN (SELECT event_type AS source_name, (epoch(TIMESTAMP '2024-01-31 12:00:00')::BIGINT - floor(epoch(max(ts)))::BIGINT) / (count(*) % 7 * 3600 + 60)::DOUBLE AS late FROM events GROUP BY 1) USING (source_name)".replace("SELECT *, CASE", "SELECT source_name, last_success, poll_interval_seconds, status, CASE"), _freshness)
     add("prune_scores", "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY computed_at DESC) AS r FROM sc) WHERE computed_at >= TIMESTAMP '2001-07-01' OR r = 1", lambda c: sinks.prune_scores(c.scores, F.lit("2001-07-01").cast("timestamp")), SC)
-    _ingestion(add)
-
-
-def _raw(c: Catalog, body: str) -> DataFrame:
-    return c.spark.createDataFrame([(body, dt.datetime(2024, 1, 1))], "body string, ingest_ts timestamp")
-
-
-def _known(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    companies = [(1, "AAPL", "Apple Inc."), (2, "ACM", "Acme Widgets Corporation"), (3, "LMT", "Lockheed Martin Corp")]
-    return c.spark.createDataFrame(companies, "id long, ticker string, name string"), c.spark.createDataFrame([(2, "WIDGET WORKS")], "entity_id long, alias string")
-
-
-#: source, payload, kind of facts, columns, rows: what comes of the payload, worked out by hand.
-INGESTED = {
-    "market_data": ("polygon", '{"results":[{"T":"AAPL","o":100.0,"h":111.0,"l":99.0,"c":110.255,"v":5000.0,"t":1704153600000},{"T":"NONE","o":1.0,"c":1.0,"v":1.0,"t":1704153600000}]}',
-                    "company_id, data_type, price_cents, volume, change_pct", [(1, "daily", 11026, 5000, 10.255)]),
-    "donations": ("fec", '{"results":[{"sub_id":"1","contributor_name":"=Ann Lee","contribution_receipt_amount":250.5,"contribution_receipt_date":"2024-02-03","committee_name":"Some Committee","contributor_employer":"acme widgets"},{"sub_id":"2","contributor_employer":"Retired","contribution_receipt_amount":9.0},{"sub_id":"3","contributor_name":"Bo","contributor_employer":"Widget Works","contribution_receipt_amount":7.0}]}',
-                  "company_id, donor_name, donor_employer, recipient, amount_cents", [(2, "Ann Lee", "acme widgets", "Some Committee", 25050), (2, "Bo", "Widget Works", None, 700)]),
-    "contracts": ("usaspending", '{"results":[{"Award ID":"W1","Recipient Name":"LOCKHEED MARTIN CORPORATION","Award Amount":1234567.89,"Award Type":"DEFINITIVE","Start Date":"2024-03-01","Awarding Agency":"Department of Defense"},{"Award ID":"W2","Recipient Name":"Nobody Known","Award Amount":5.0}]}',
-                  "company_id, agency, amount_cents, action_type, description", [(3, "Department of Defense", 123456789, "DEFINITIVE", "W1")]),
-    "sanctions": ("ofac_sdn", '{"sdnList":[{"uid":5,"firstName":"Jan","lastName":"Doe","sdnType":"Individual","programs":["SDGT","IRAN"]},{"uid":6,"lastName":"Acme Widgets","sdnType":"Entity","programs":["CUBA"]},{"uid":7,"lastName":"Other Ltd","sdnType":"Entity"}]}',
-                  "company_id, entity_name, entity_type, program", [(None, "Jan Doe", "individual", "SDGT"), (2, "Acme Widgets", "entity", "CUBA"), (None, "Other Ltd", "entity", None)]),
-    "tariffs": ("federal_register", '{"results":[{"document_number":"d1","title":"Duties","type":"Rule","effective_on":"2024-05-01","cfr_references":[{"title":19,"part":"12"}]},{"document_number":"d2","title":"Other","type":"Rule","cfr_references":[{"title":40,"part":"12"}]},{"document_number":"d3","title":"Notice","type":"Notice","cfr_references":[{"title":19,"part":"12"}]}]}',
-                "action_type", [("Duties",)]),
-    "judicial_trades": ("courtlistener", '{"results":[{"id":9,"person":"https://x/people/1234/","year":2020,"investments":[{"id":1,"description":"Apple Inc (AAPL) - Stock","redacted":false,"transaction_during_reporting_period":"Sale","transaction_date":"2020-05-06","transaction_value_code":"K"},{"id":2,"description":"Held (AAPL)","redacted":false,"transaction_during_reporting_period":""},{"id":3,"description":"Secret","redacted":true,"transaction_during_reporting_period":"Buy"},{"id":4,"description":"Apple (AAPL)","redacted":false,"transaction_during_reporting_period":"Buy","gross_value_code":"P3"}]}]}',
-                        "company_id, person_slug, ticker, trade_type, amount_range_low, amount_range_high", [(1, "judge-cl-1234", "AAPL", "sale_full", 50001, 100000), (1, "judge-cl-1234", "AAPL", "purchase", 50000001, None)]),
-    "senate_trades": ("senate_stock_watcher", '[{"ticker":"AAPL","senator":"Hon. Ann B. Lee","transaction_date":"05/06/2024","type":"Sale (Partial)","amount":"$1,001 - $15,000","ptr_link":"p"},{"ticker":"AAPL","senator":"Hon. Ann B. Lee","transaction_date":"05/06/2024","type":"Sale (Partial)","amount":"$1,001 - $15,000","ptr_link":"p"},{"ticker":"--","senator":"X","transaction_date":"05/06/2024","type":"Purchase","ptr_link":"q"}]',
-                      "company_id, person_slug, ticker, trade_type, amount_range_low, amount_range_high", [(1, "ann-b-lee", "AAPL", "sale_partial", 1001, 15000)]),
-    "litigation": ("sec_edgar_lit", "<rss><channel><item><title>SEC Charges Acme Widgets and John Doe for Fraud &amp; Theft</title><link>http://x/1</link><pubDate>Mon, 05 Feb 2024 10:00:00 GMT</pubDate><dc:creator>LR-26531</dc:creator></item></channel></rss>",
-                   "company_id, case_number, court, filing_type, parties", [(2, "LR-26531", "SEC", "sec_litigation", "Acme Widgets; John Doe")]),
-    "warn_filings": ("warn", "<table><tr><th>County</th><th>Notice</th></tr><tr><td>CA</td><td>01/05/2024</td><td>03/05/2024</td><td>Apple Inc.</td><td>120</td><td>Cupertino</td></tr></table>",
-                     "company_id, state, city, workers_affected", [(1, "CA", "Cupertino", 120)]),
-}
-FACT_OF = {"judicial_trades": "congressional_trades", "senate_trades": "congressional_trades", "litigation": "court_filings"}
-
-
-def _literal(x: object) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::BIGINT" if isinstance(x, int) else f"{x}::DOUBLE"
-
-
-def ingested(c: Catalog, source: str, body: str) -> DataFrame:
-    raw = _raw(c, body)
-    if source == "sec_edgar_lit":
-        return payloads.parse_litigation(raw)
-    if source == "warn":
-        return payloads.parse_html_rows(raw, "warn", "warn_filing", ("state", "notice_date", "effective_date", "company", "employees_affected", "city"), ("state", "company", "notice_date"), "notice_date")
-    return payloads.parse_json(raw, source)
-
-
-def _ingestion(add) -> None:
-    for name, (source, body, columns, rows) in INGESTED.items():
-        names = columns.split(", ")
-
-        def run(c: Catalog, name: str = name, source: str = source, body: str = body, names: list = names) -> DataFrame:
-            facts = typed.FACTS[FACT_OF.get(name, name)](ingested(c, source, body), *_known(c))
-            return facts.select(*[F.col(n).cast("long").alias(n) if t in ("int", "bigint") else F.col(n) for n, t in facts.select(*names).dtypes])
-
-        values = ", ".join("(" + ", ".join(_literal(x) for x in row) + ")" for row in rows)
-        add(f"ingest_{name}", f"WITH v({columns}) AS (VALUES {values}) SELECT * FROM v", run)
-    add("ingest_payload_limits", "WITH v(source, events, too_large, too_deep) AS (VALUES ('a', 3::BIGINT, 1::BIGINT, 1::BIGINT)) SELECT * FROM v",
-        lambda c: payloads.refused(c.spark.createDataFrame([("a", "[" * 11 + "]" * 11), ("a", '{"x": "[[[[[[[[[[[[ \\" [["}'), ("a", '"' + "x" * 70_000 + '"')], "source string, event_data string")))
-    add("ingest_sanctions_xml", "WITH v(entity_name, program) AS (VALUES ('Acme Widgets', 'CUBA')) SELECT * FROM v",
-        lambda c: typed.sanctions(payloads.parse_ofac_xml(_raw(c, "<sdnList><sdnEntry><uid>6</uid><lastName>Acme Widgets</lastName><sdnType>Entity</sdnType><programList><program>CUBA</program><program>IRAN</program></programList></sdnEntry></sdnList>")), *_known(c)).select("entity_name", "program"))
-    add("search_names", "WITH v(id, company_id) AS (VALUES (1::BIGINT, 1::BIGINT), (2::BIGINT, 3::BIGINT), (3::BIGINT, 1::BIGINT)) SELECT * FROM v",
-        lambda c: lookups.search_names(c.spark.createDataFrame([(1, "Apple"), (2, "Lockheed Martin Corp of Texas"), (3, "app"), (4, "nobody")], "id long, name string"), _known(c)[0]))

@@ -14,7 +14,7 @@ from ..operators.temporal import asof_join
 from ..sources import datasets, variant
 from ..streaming import streams
 from ..streaming.loads import shared_root
-from . import fql_queries, more_queries, stream_queries
+from . import feed_queries, fql_queries, more_queries, stream_queries
 from .mapping import AS_OF, PX, SC, T, Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -408,6 +408,7 @@ add("scoreboard", f"SELECT person_id, floor(score)::INT AS score, trades FROM ({
 fql_queries.register(add, SW)
 more_queries.register(add)
 stream_queries.register(add)
+feed_queries.register(add)
 
 
 def _edges(c: Catalog) -> DataFrame:

@@ -59,7 +59,7 @@ def parties_of(title: Column) -> Column:
     cut = t
     for end in reversed(ENDS):  # the first kind of end that occurs counts
         cut = F.when(F.instr(t, end) > 1, F.substring(t, F.lit(1), F.instr(t, end) - 1)).otherwise(cut)
-    return F.filter(F.transform(F.split(cut, " and "), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(cut, " and "), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def filing_slug(first: Column, last: Column) -> Column:
@@ -78,10 +78,13 @@ def party_letter(text: Column) -> Column:
 
 
 def _with_company(events: DataFrame, companies: DataFrame, aliases: DataFrame, ticker: Column | None, name: Column | None) -> DataFrame:
+    """The events with company_id. Only distinct pairs of ticker and name are resolved, so that a name which many events have costs no more than any other."""
     none = F.lit(None).cast("string")
-    names = events.select(F.concat_ws("|", *KEY).alias("id"), (none if ticker is None else ticker).alias("ticker"), (none if name is None else name).alias("name"))
+    own = events.withColumns({"__ticker": none if ticker is None else ticker, "__name": none if name is None else name})
+    own = own.withColumn("__id", F.to_json(F.struct("__ticker", "__name")))
+    names = own.select(F.col("__id").alias("id"), F.col("__ticker").alias("ticker"), F.col("__name").alias("name")).distinct()
     found = resolve(names, companies, aliases).select(F.col("id").alias("__id"), "company_id")
-    return events.withColumn("__id", F.concat_ws("|", *KEY)).join(found, "__id", "left").drop("__id")
+    return own.join(found, "__id", "left").drop("__id", "__ticker", "__name")
 
 
 def market_data(events: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -135,7 +138,7 @@ def warn_filings(events: DataFrame, companies: DataFrame, aliases: DataFrame) ->
 
 
 def insider_trades(events: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The company is the first display name, without its registration number."""
+    """The company is the second display name, without its registration number; the filer is the first."""
     name = F.trim(F.regexp_replace(F.coalesce(get("display_names[1]"), get("entity_name"), get("display_names[0]")), r"\s*\(CIK.*$|\s*\([A-Z]{1,5}\).*$", ""))
     own = _with_company(events.filter(F.col("source") == "edgar_form4"), companies, aliases, ticker_in(get("display_names[1]")), name)
     filer = F.trim(F.regexp_replace(get("display_names[0]"), r"\s*\(CIK.*$", ""))
