@@ -617,6 +617,39 @@ def test_pipeline_stages(spark):
     assert docs.count() > 0
 
 
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """What each stage after the classifier makes of its own input, by a plain version of it: equal texts, similar sets, draws in SQL, and the public tokenizer."""
+    import corpus_pipeline
+    import duckdb
+    import tiktoken
+
+    directory = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = Tables(spark, "test").save(stages["quality"](spark, spark.read.parquet(f"{directory}/documents.parquet"), directory), "quality")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    last = {low(t): max(i for i, u in rows.items() if low(u) == low(t)) for t in rows.values()}
+    docs = Tables(spark, "test").save(stages["exact"](spark, docs, directory), "exact")
+    assert {r["doc_id"] for r in docs.collect()} == set(last.values())
+    sets = {}
+    for i in last.values():
+        w = [x for x in re.split("[\x20\x09-\x0d]+", low(rows[i])) if x]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
+    least = components([(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])], sets)
+    docs = Tables(spark, "test").save(stages["near"](spark, docs, directory), "near")
+    assert {r["doc_id"] for r in docs.collect()} == set(least.values())
+    docs.coalesce(1).write.parquet(str(tmp_path / "near"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/near/*.parquet')")
+    drawn = sorted(i for (i,) in con.execute(f"SELECT doc_id FROM ({poisson_mix.SQL})").fetchall())
+    docs = Tables(spark, "test").save(stages["mix"](spark, docs, directory), "mix")
+    assert sorted(r["doc_id"] for r in docs.collect()) == drawn
+    path, pattern = bpe.default_vocabulary()
+    plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=bpe.vocabulary(path, pattern).ranks, special_tokens={})
+    for r in stages["encode"](spark, docs, directory).collect():
+        ids = plain.encode_ordinary(rows[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+
+
 def test_word_kernel():
     texts = [b"", b"a", b" The  quick\x0bbrown\xc3\xa9 ", b"the QUICK"]
     hashes, at = kernels.word_hashes(texts)
