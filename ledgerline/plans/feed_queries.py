@@ -182,6 +182,14 @@ def executive(c: Catalog) -> DataFrame:
     return events.select("source", "source_id", "event_type", F.to_date("occurred_at").alias("day"), typed.get("pdf_url").alias("url"))
 
 
+def lobbied(c: Catalog) -> DataFrame:
+    """Customers as registrants whose client is the company of the part with their number."""
+    own = c.read("customer").join(c.read("part"), F.col("c_custkey") == F.col("p_partkey"), "left")
+    record = json(filing_id="cast(c_custkey as string)", registrant="c_name", client=f"upper({NAME})", specific_issues="c_mktsegment", amount="cast(c_acctbal as double)", period_start="'2024-01-01'", period_end="'03/31/2024'", filed_at="'2024-04-20'")
+    facts = typed.lobbying(payloads.parse_json(raw(own, "c_custkey", record, '{"results":[', "]}"), "lobbying"), *known(c))
+    return facts.select("client_company_id", "registrant", "client", "specific_issues", "amount_cents", F.to_date("period_end").alias("period_end"), F.to_date("filed_at").alias("day"))
+
+
 def seeds(c: Catalog) -> DataFrame:
     """Companies of a list; where it names one by its ticker alone, reference data have the name."""
     own = c.read("part").groupBy(F.expr(LETTERS).alias("ticker"), F.expr(NAME).alias("name")).agg(F.min("p_partkey").alias("k"))
@@ -218,3 +226,4 @@ def register(add) -> None:
     feed("paper_disclosures", "SELECT 'efds_senate' AS source, sha256(c_custkey::VARCHAR) AS source_id, 'congressional_disclosure' AS event_type, DATE '2024-01-02' AS day, 'ann-b-' || lower(c_name) AS slug FROM customer", disclosed)
     feed("executive_disclosures", "SELECT 'oge' AS source, sha256(c_name || '|2024-03-04|Annual') AS source_id, 'executive_disclosure' AS event_type, DATE '2024-03-04' AS day, 'http://x/' || c_custkey || '.pdf' AS url FROM customer", executive)
     feed("seed_companies", "SELECT ticker, company AS name, 'Technology' AS sector FROM co", seeds)
+    feed("lobbying", "SELECT company_id AS client_company_id, c_name AS registrant, upper(company) AS client, c_mktsegment AS specific_issues, round(c_acctbal * 100)::BIGINT AS amount_cents, DATE '2024-03-31' AS period_end, DATE '2024-04-20' AS day FROM customer LEFT JOIN part ON p_partkey = c_custkey LEFT JOIN co ON co.brand = p_brand", lobbied)

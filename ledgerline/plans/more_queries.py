@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import lookups, signals, trades
+from ..operators import lookups, profiles, signals, trades
 from ..sources import sinks
 from .mapping import AS_OF, PX, SC, T, Catalog
 
@@ -98,3 +98,36 @@ def register(add) -> None:
         "(SELECT event_type AS source_name, max(ts) AS last_success, count(*) % 7 * 3600 + 60 AS poll_interval_seconds, CASE WHEN event_type = 'view' THEN 'degraded' ELSE 'healthy' END AS status FROM events GROUP BY event_type)) "
         "JOIN (SELECT event_type AS source_name, (epoch(TIMESTAMP '2024-01-31 12:00:00')::BIGINT - floor(epoch(max(ts)))::BIGINT) / (count(*) % 7 * 3600 + 60)::DOUBLE AS late FROM events GROUP BY 1) USING (source_name)".replace("SELECT *, CASE", "SELECT source_name, last_success, poll_interval_seconds, status, CASE"), _freshness)
     add("prune_scores", "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY computed_at DESC) AS r FROM sc) WHERE computed_at >= TIMESTAMP '2001-07-01' OR r = 1", lambda c: sinks.prune_scores(c.scores, F.lit("2001-07-01").cast("timestamp")), SC)
+    _profiles(add)
+
+
+EVENTS_NOW = "2024-01-25 06:00:00"
+HISTORY = """pd AS (SELECT person_id, traded_at::DATE AS day, CASE WHEN year(traded_at) % 4 = 0 THEN 'I' ELSE party END AS party, count(*) AS n FROM t GROUP BY ALL),
+ps AS (SELECT *, coalesce(lag(party) OVER w <> party, TRUE)::INT AS new FROM pd WINDOW w AS (PARTITION BY person_id ORDER BY day, party)),
+pq AS (SELECT *, sum(new) OVER (PARTITION BY person_id ORDER BY day, party) AS span FROM ps)"""
+
+
+def _profiles(add) -> None:
+    buy, sell = "trade_type = 'purchase'", "trade_type LIKE 'sale%'"
+    late = "pl AS (SELECT person_id, floor(quantile_cont(days, 0.5) + 0.5)::BIGINT AS median_days, round(count(*) FILTER (WHERE days > 45)::DOUBLE / count(*), 6) AS late_pct FROM (SELECT *, date_diff('day', traded_at, filed_at) AS days FROM t WHERE filed_at >= traded_at AND traded_at >= TIMESTAMP '2000-01-01') GROUP BY 1)"
+    add("person_summaries", f"SELECT a.*, median_days, late_pct FROM (SELECT person_id, count(*) AS trades, count(DISTINCT ticker) AS tickers, count(*) FILTER (WHERE {buy}) AS buys, count(*) FILTER (WHERE {sell}) AS sells, sum(est)::BIGINT AS volume, "
+        f"coalesce(sum(est) FILTER (WHERE {buy}), 0)::BIGINT AS bought, coalesce(sum(est) FILTER (WHERE {sell}), 0)::BIGINT AS sold, min(traded_at) AS first_trade, max(traded_at) AS last_trade FROM t GROUP BY 1) a LEFT JOIN pl USING (person_id)",
+        lambda c: profiles.summaries(c.facts(person=False)), late)
+    add("person_biggest_trade", "SELECT person_id, ticker, trade_type, est, traded_at FROM t WHERE est > 0 QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY est DESC, traded_at DESC, ticker DESC, trade_type DESC, order_id DESC, line DESC) = 1",
+        lambda c: profiles.biggest_trades(c.facts(person=False)))
+    add("person_solo_tickers", f"SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY volume DESC, trades DESC, part_id)::INT AS rank, part_id, trades, volume, buys, sells FROM (SELECT part_id, min(person_id) AS person_id, count(*) AS trades, sum(est)::BIGINT AS volume, count(*) FILTER (WHERE {buy}) AS buys, count(*) FILTER (WHERE {sell}) AS sells "
+        "FROM t GROUP BY 1 HAVING min(person_id) = max(person_id)) QUALIFY rank <= 10", lambda c: profiles.solo_top(c.facts(company=False, person=False), "part_id"))
+    party = F.when(F.year("traded_at") % 4 == 0, "I").otherwise(F.col("party"))
+    add("person_party_history", "SELECT person_id, span::BIGINT AS span, any_value(party) AS party, min(day) AS since, max(day) AS until, sum(n)::BIGINT AS trades FROM pq GROUP BY 1, 2", lambda c: profiles.party_history(c.facts(company=False).withColumn("party", party)), HISTORY)
+    since, until = f"TIMESTAMP '{EVENTS_NOW}' - INTERVAL {{}} DAY", f"ts < TIMESTAMP '{EVENTS_NOW}'"
+    add("activity_strip", f"SELECT count(*) FILTER (WHERE ts >= {since.format(1)}) AS events_day, count(*) AS events_week, (SELECT count(DISTINCT ticker) FROM sc) AS companies_scored, (SELECT count(DISTINCT p_brand) FROM part) AS companies FROM events WHERE ts >= {since.format(7)} AND {until}",
+        lambda c: profiles.activity_strip(c.read("events"), c.scores, c.companies, EVENTS_NOW), SC)
+    add("activity_categories", f"SELECT event_type AS category, count(*) AS n FROM events WHERE ts >= {since.format(1)} AND {until} GROUP BY 1 ORDER BY n DESC, category LIMIT 20", lambda c: profiles.activity_categories(c.read("events"), EVENTS_NOW))
+    pairs = "np AS (SELECT a.person_id AS a, b.person_id AS b, count(DISTINCT a.part_id) AS shared FROM t a JOIN t b ON a.part_id = b.part_id AND a.person_id < b.person_id AND abs(date_diff('day', a.traded_at, b.traded_at)) <= 14 GROUP BY 1, 2 HAVING shared >= 2 ORDER BY shared DESC, 1, 2 LIMIT 500)"
+    named = "CASE WHEN party <> '' THEN name || ' (' || party || ')' ELSE name END"
+
+    def network(c: Catalog, edges: bool) -> DataFrame:
+        return profiles.labelled_network(signals.co_trader_network(c.facts(company=False, person=False)), c.persons)[int(edges)]
+
+    add("network_nodes", f"SELECT person_id, {named} AS label, slug FROM p WHERE person_id IN (SELECT a FROM np UNION SELECT b FROM np)", lambda c: network(c, False), P, pairs)
+    add("network_edges", f"SELECT a, b, 'co_trader:' || shared AS relationship, {named.replace('name', 'x.name').replace('party', 'x.party')} AS label_a, {named.replace('name', 'y.name').replace('party', 'y.party')} AS label_b FROM np JOIN p x ON x.person_id = a JOIN p y ON y.person_id = b", lambda c: network(c, True), P, pairs)

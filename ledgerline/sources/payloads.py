@@ -41,6 +41,7 @@ SOURCES = {
         JsonSource("finnhub_congress", "congressional_trade", "data array<struct<amountFrom:double,amountTo:double,assetName:string,filingDate:string,name:string,ownerType:string,symbol:string,transactionDate:string,transactionType:string>>", "data", ("r.name", "r.symbol", "r.transactionDate", "r.transactionType"), "r.transactionDate"),
         JsonSource("finnhub", "market_trade", "type string, data array<struct<s:string,p:double,v:double,t:bigint>>", "data", ("r.s", "r.t"), "date_format(timestamp_millis(r.t), \"yyyy-MM-dd'T'HH:mm:ss\")"),
         JsonSource("courtlistener", "judicial_disclosure", "results array<struct<id:bigint,person:string,year:int,investments:array<struct<id:bigint,description:string,redacted:boolean,gross_value_code:string,transaction_during_reporting_period:string,transaction_date:string,transaction_value_code:string>>>>", "results", ("r.disclosure_id", "r.investment_id"), "r.transaction_date"),
+        JsonSource("lobbying", "lobbying_disclosure", "results array<struct<filing_id:string,registrant:string,client:string,specific_issues:string,amount:double,period_start:string,period_end:string,filed_at:string>>", "results", ("r.filing_id",), "r.filed_at"),
         JsonSource("oge", "executive_disclosure", "data array<struct<name:string,agency:string,title:string,type:string,docDate:string,link:string>>", "data", ("r.name", "r.docDate", "r.type"), "r.docDate"),
     )
 }

@@ -44,7 +44,7 @@ def prune_by_events(facts: DataFrame, events: DataFrame, cutoff: Column) -> Data
 
 
 def resolve(names: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
-    """names (id, ticker, name) with company_id: by ticker, exact name, normalised name, prefix either way, alias, in this order; ties to the shortest name, then the smallest id."""
+    """names (id, ticker, name) with company_id: by ticker, exact name, normalised name, prefix either way, alias, normalised alias, in this order; ties to the shortest name, then the smallest id."""
     targets = companies.select(F.col("id").alias("company_id"), F.col("ticker").alias("t"), F.col("name").alias("n"))
 
     def by(key: Column, df: DataFrame, other: Column, rank: int, length: Column) -> DataFrame:
@@ -57,6 +57,7 @@ def resolve(names: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataF
     known = aliases.select(F.col("entity_id").alias("company_id"), "alias")
     prefix = search_names(names.select("id", "name"), companies.select("id", "name")).select("id", F.struct(F.lit(3).alias("rank"), F.lit(0).alias("length"), "company_id").alias("hit"))
     hits = hits.unionByName(prefix).unionByName(by(F.lower("name"), known, F.lower("alias"), 4, F.length("alias")))
+    hits = hits.unionByName(by(normalize_name(F.col("name")), known, normalize_name(F.col("alias")), 5, F.length("alias")))
     return names.join(hits.groupBy("id").agg(F.min("hit").alias("hit")), "id", "left").select(*names.columns, F.col("hit.company_id").alias("company_id"))
 
 

@@ -197,8 +197,18 @@ def congressional_trades(events: DataFrame, companies: DataFrame, aliases: DataF
     )
 
 
+def lobbying(events: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Lobbying records; the company is the client."""
+    client = trimmed(get("client"))
+    own = _with_company(events.filter(F.col("source") == "lobbying"), companies, aliases, None, client)
+    return own.select(
+        *KEY, F.col("company_id").alias("client_company_id"), get("registrant").alias("registrant"), client.alias("client"), get("specific_issues").alias("specific_issues"), cents(get("amount")).alias("amount_cents"),
+        parse_time(get("period_start")).alias("period_start"), parse_time(get("period_end")).alias("period_end"), F.col("occurred_at").alias("filed_at"),
+    )
+
+
 FACTS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
-    f.__name__: f for f in (market_data, donations, contracts, sanctions, warn_filings, insider_trades, court_filings, tariffs, congressional_trades)
+    f.__name__: f for f in (market_data, donations, contracts, sanctions, warn_filings, insider_trades, court_filings, tariffs, congressional_trades, lobbying)
 }
 
 
