@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import SLICE, U, mix, release, slices
+from .kernels import KEPT, SLICE, U, mix, release, slices
 from .tables import only, table
 
 CACHE = 32 << 20  # bytes of what a task keeps, with about 200 a piece for the objects
@@ -263,6 +263,7 @@ def _merge_long(piece: bytes, vocabulary: Vocabulary) -> list[int]:
 
 @cache
 def vocabulary(path: str, pattern: str) -> Vocabulary:
+    KEPT["bpe"] = vocabulary.cache_clear
     return Vocabulary(path, pattern)
 
 
@@ -275,7 +276,7 @@ def default_vocabulary() -> tuple[str, str]:
 def _digests(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, pattern)
-        for part, texts in slices(batches, "text", SLICE):
+        for part, texts in slices(batches, "text", SLICE, "bpe"):
             tokens, encoded, decoded = [], [], []
             for parts in v.encode_all(texts):
                 a, b, n = hashlib.sha256(), hashlib.sha256(), 0
@@ -306,7 +307,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(a, b)
-        for part, texts in slices(batches, "text", SLICE):
+        for part, texts in slices(batches, "text", SLICE, "bpe"):
             ids = [np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int32) for parts in v.encode_all(texts)]
             yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
         v.forget()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -43,8 +43,14 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Runs of rows whose texts come to about ``limit`` bytes, or one longer text alone: what bounds memory."""
+#: What operators keep in a worker between their tasks, by name, and how it is dropped once tasks of others come.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE, keeps: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows whose texts come to about ``limit`` bytes, or one longer text alone: what bounds memory. What operators other than ``keeps`` have left in this worker goes."""
+    for name in [n for n in KEPT if n != keeps]:
+        KEPT.pop(name)()
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         begin = size = 0
@@ -67,7 +73,6 @@ def _letters() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U) * _GOLD) | U(1)
 
 
-@cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     p = 0x5851F42D4C957F2D
     inverse = pow(p, -1, 1 << 64)
@@ -83,13 +88,23 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-#: Bytes of nearly all buffers: one table of powers serves them.
-_USUAL = 1 << 21
+#: Bytes of nearly all buffers: one table of powers serves them, which grows by steps to what they need.
+_USUAL, _STEP = 1 << 21, 1 << 17
+_held = _powers(1)
+
+
+def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global _held
+    if n > _USUAL:
+        return _powers(n)
+    if len(_held[0]) < n:
+        _held = _powers(-(-n // _STEP) * _STEP)
+    return _held
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of spans of bytes, wherever they lie: a polynomial of the bytes, shifted back by the place, with the length."""
-    up, down = _powers(_USUAL) if len(buf) < _USUAL else _powers.__wrapped__(len(buf) + 1)
+    up, down = _table(len(buf))
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, dtype=U), np.cumsum(_letters()[buf] * up[: len(buf)], dtype=U)))
         return mix(((total[end] - total[start]) * down[start]) ^ ((end - start).astype(U) * _GOLD))
