@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import graph, insights, lookups, scores, signals, trades
+from .operators import detect, graph, graph_many, insights, lookups, profiles, scores, signals, trades
 from .plans import fql
 from .plans.mapping import AS_OF, Catalog
+from .streaming import streams
+from .streaming.loads import shared_root
 
 
 class Engine:
@@ -81,23 +86,51 @@ class Engine:
         return {
             "headline": trades.person_headline(facts), "top_tickers": trades.person_top_tickers(facts), "net_flow": trades.net_flow(facts), "owners": trades.owner_split(facts, F.col("owner")),
             "latency": signals.latency_leaderboard(facts, 1), "round_trips": signals.round_trips(facts),
-            "committees": self.person(slug).select("person_id", "committee"), "party": self.person(slug).select("person_id", "party"),
+            "summary": profiles.summaries(facts), "biggest_trade": profiles.biggest_trades(facts), "party": profiles.party_history(facts), "committees": self.person(slug).select("person_id", "committee"),
+            "solo_tickers": profiles.solo_top(self.catalog.facts(person=False), "part_id").join(self.person(slug).select("person_id"), "person_id", "left_semi"),
             "swarms": signals.swarms(self.catalog.facts(), 4, None).join(facts.select("ticker").distinct(), "ticker", "left_semi").agg(F.count("*").alias("swarms")),
         }
 
     def co_traders(self, person_id: int, days: int = 14, limit: int = 25) -> DataFrame:
         return signals.co_traders(self.catalog.facts(company=False, person=False), person_id, days=days, limit=limit)
 
-    def connections(self, edges: DataFrame, start: str, depth: int = 2, budget: int = 200) -> DataFrame:
-        return graph.bfs(edges, start, depth, budget)
+    def connections(self, start: str, depth: int = 2, budget: int = 200, edges: DataFrame | None = None) -> DataFrame:
+        """What is reached from a node of the catalog's network, or of other edges (a, b)."""
+        return graph.bfs(self.catalog.links()[0] if edges is None else edges, start, depth, budget)
+
+    def connections_of(self, starts: DataFrame, depth: int = 2, budget: int = 200) -> dict[str, DataFrame]:
+        """Nodes with labels and edges of a search from each of many nodes (column node)."""
+        network = graph_many.Graph(*self.catalog.links())
+        seen = network.search(starts, depth, budget)
+        return {"nodes": network.named(seen), "edges": network.between(seen)}
 
     def co_trader_network(self, least: int = 2, since: str | None = None) -> DataFrame:
         return signals.co_trader_network(self.catalog.facts(company=False, person=False), least=least, since=since)
 
+    def network(self, least: int = 2, since: str | None = None) -> dict[str, DataFrame]:
+        nodes, edges = profiles.labelled_network(self.co_trader_network(least, since), self.catalog.persons)
+        return {"nodes": nodes, "edges": edges}
+
+    # sources and streams
+    def sources(self, now: str) -> DataFrame:
+        """Sources with their state and the grade of their freshness at a time."""
+        return trades.freshness(self.catalog.source_meta, F.lit(now).cast("timestamp"))
+
+    def stream(self, kind: str | None = None, part_id: int | None = None) -> DataFrame:
+        """Events as they come, all or those of a kind or a company: a streaming DataFrame."""
+        events = streams.event_stream(self.catalog.spark, self.catalog.directory)
+        if kind is not None:
+            events = events.filter(F.col("event_type") == kind)
+        return events if part_id is None else events.filter(F.col("user_id") == part_id)
+
     # statistics
     def activity(self, days: int = 365) -> DataFrame:
         return trades.activity(self.catalog.facts(person=False), self.as_of, days)
 
+    def activity_strip(self, now: str) -> dict[str, DataFrame]:
+        events = self.catalog.read("events")
+        return {"counts": profiles.activity_strip(events, self.catalog.scores, self.catalog.companies, now), "categories": profiles.activity_categories(events, now)}
+
     def heatmap(self, kind: str, top: int = 15) -> DataFrame:
         kinds = {
             "day-month": lambda: trades.heat_day_month(self.catalog.facts(company=False, person=False)), "party-sector": lambda: trades.heat_party_sector(self.catalog.facts()),
@@ -140,6 +173,12 @@ class Engine:
     def findings(self, kinds: dict[str, DataFrame], limit: int = 20) -> DataFrame:
         return insights.evidence(insights.ranked(list(kinds.values()), self.as_of, limit))
 
+    def detect(self, detectors: dict[str, Callable[[Catalog], DataFrame]], limit: int = 20, budget: float = 30.0) -> dict[str, DataFrame]:
+        """The best findings of the detectors that end well within their seconds, with their proofs, and a status of each. All read one written table of trades."""
+        shared = self.catalog.once(f"{shared_root(self.catalog.spark)}/once-{uuid.uuid4().hex}")
+        found, status = detect.detect(self.catalog.spark, {name: partial(build, shared) for name, build in detectors.items()}, budget)
+        return {"findings": insights.evidence(insights.ranked([found], self.as_of, limit)), "status": status}
+
     def fql(self, text: str, after: str | None = None, max_complexity: int | None = fql.MAX_COMPLEXITY, negate_words: bool = False) -> fql.Result:
         signals_ = {"swarms": signals.swarms(self.catalog.facts(), 4, None).select("ticker").distinct(), "round-trips": signals.round_trips(self.catalog.facts(person=False), limit=None).select("ticker").distinct()}
         return fql.plan(fql.parse(text, negate_words), self.catalog.branches(), dt.date.fromisoformat(self.as_of), self.latest_scores, signals_, None, after, max_complexity, self.data_as_of)

@@ -23,11 +23,12 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str,
     return a.join(b, [*keys, "__bucket"]).filter((gap >= low * micros) & (gap <= high * micros)).drop("__bucket")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, values: list[str], forward: bool = False, strict: bool = False, days: int = 32) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, values: list[str], forward: bool = False, strict: bool = False, days: int | None = 32) -> DataFrame:
     """Left rows with the ``values`` of the last right row at or before them (``forward``: the first one after), and ``matched_at``.
 
     Both sides are united and one window carries values along within buckets of a key and ``days`` days; no pair is formed. What a bucket inherits, the last hit of the buckets before it,
-    comes from one row for each bucket. So a key with a large share of all rows is spread over its buckets. ``strict`` leaves equal times out.
+    comes from one row for each bucket. So a key with a large share of all rows is spread over its buckets. Without ``days`` a key is one bucket, which is cheaper where keys are fine, such as a person and a ticker. ``strict`` leaves
+    equal times out.
     """
     columns = left.columns
     hit = F.struct(F.col(right_at).alias("matched_at"), *values)
@@ -35,9 +36,14 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str,
     other = right.select(*keys, F.col(right_at).alias("__at"), hit.alias("__hit")).withColumn("__left", F.lit(False))
     rank = F.when(F.col("__left"), F.lit(1)).otherwise(F.lit(2 if strict else 0))
     at = F.col("__at").desc() if forward else F.col("__at")
+    carried = Window.unboundedPreceding, Window.currentRow
+    if days is None:
+        whole = own.unionByName(other, allowMissingColumns=True)
+        found = F.last("__hit", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(at, rank, F.col("__hit")).rowsBetween(*carried))
+        return whole.withColumn("__found", found).filter("__left").select(*columns, "__found.*")
     bucket = F.floor(F.unix_seconds(F.col("__at").cast("timestamp")) / (days * 86400)).alias("__bucket")
     united = own.unionByName(other, allowMissingColumns=True).withColumn("__bucket", bucket)
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(at, rank, F.col("__hit")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(at, rank, F.col("__hit")).rowsBetween(*carried)
     united = united.withColumn("__found", F.last("__hit", ignorenulls=True).over(inside))
     hits = other.withColumn("__bucket", bucket).groupBy(*keys, "__bucket").agg((F.min if forward else F.max)("__hit").alias("__edge"))
     buckets = united.select(*keys, "__bucket").distinct().join(hits, [*keys, "__bucket"], "left")
@@ -53,8 +59,8 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def next_sale(trades: DataFrame, keys: tuple[str, ...] = ("person_id", "ticker")) -> DataFrame:
-    """Purchases with ``sold_at``: the first sale of the same keys after them (later, not at the same time)."""
+    """Purchases with ``sold_at``: the first sale of the same keys after them (later, not at the same time). Keys have few rows each, so that they aren't cut into buckets."""
     sales = trades.filter(F.col("trade_type").startswith("sale"))
     buys = trades.filter(F.col("trade_type") == "purchase")
-    found = asof_join(buys, sales.select(*keys, F.col("traded_at").alias("sale_at")), list(keys), "traded_at", "sale_at", [], forward=True, strict=True)
+    found = asof_join(buys, sales.select(*keys, F.col("traded_at").alias("sale_at")), list(keys), "traded_at", "sale_at", [], forward=True, strict=True, days=None)
     return found.withColumnRenamed("matched_at", "sold_at").filter("sold_at is not null")

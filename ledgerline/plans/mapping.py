@@ -120,6 +120,22 @@ class Catalog:
         at = F.expr(f"ts - make_interval({YEARS_BACK})")
         return self.read("events").select("event_id", F.col("user_id").alias("part_id"), at.alias("at"), "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """Edges (a, b, relationship) between customers, orders and parts, and the nodes' labels (node, label); pending orders have none."""
+        orders, items = self.read("orders"), self.read("lineitem")
+        edges = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"), F.lit("placed").alias("relationship"))
+        edges = edges.unionByName(items.select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), F.col("l_returnflag").alias("relationship")))
+        labels = self.read("customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_name").alias("label"))
+        labels = labels.unionByName(self.read("part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.col("p_name").alias("label")))
+        settled = orders.filter("o_orderstatus <> 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.concat(F.lit("order "), "o_orderkey").alias("label"))
+        return edges, labels.unionByName(settled)
+
+    @cached_property
+    def source_meta(self) -> DataFrame:
+        """Kinds of events as sources that are polled every so many hours."""
+        meta = self.read("events").groupBy(F.col("event_type").alias("source_name")).agg(F.max("ts").alias("last_success"), (F.count("*") % 7 * 3600 + 60).alias("poll_interval_seconds"))
+        return meta.withColumn("status", F.when(F.col("source_name") == "view", "degraded").otherwise("healthy"))
+
     def branches(self) -> dict:
         """The nine kinds of rows of the filter language; amounts are in the branch's own unit."""
         dims = [F.col("company").alias("company_name"), "ticker", "sector", "subsector", "market_cap"]

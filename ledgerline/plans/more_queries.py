@@ -35,16 +35,14 @@ def _contributors(c: Catalog) -> DataFrame:
     ])
 
 
-def _signal_lists(c: Catalog) -> DataFrame:
+def signal_lists(c: Catalog) -> DataFrame:
+    """The tickers of each signal, as one table that the filter language can read."""
     facts = c.facts()
     return sinks.signal_lists(swarms=signals.swarms(facts, 8, None), partisan_consensus=signals.partisan(facts, "consensus"), round_trips=signals.round_trips(facts, 3, 0, None))
 
 
 def _freshness(c: Catalog) -> DataFrame:
-    """Kinds of events as sources that are polled every so many hours."""
-    meta = c.read("events").groupBy(F.col("event_type").alias("source_name")).agg(F.max("ts").alias("last_success"), (F.count("*") % 7 * 3600 + 60).alias("poll_interval_seconds"))
-    meta = meta.withColumn("status", F.when(F.col("source_name") == "view", "degraded").otherwise("healthy"))
-    return trades.freshness(meta, F.lit("2024-01-31 12:00:00").cast("timestamp"))
+    return trades.freshness(c.source_meta, F.lit("2024-01-31 12:00:00").cast("timestamp"))
 
 
 def register(add) -> None:

@@ -426,13 +426,8 @@ add(
     lambda c: graph.bfs(_edges(c), "c7", 2, 200),
 )
 def _network(c: Catalog) -> tuple[graph_many.Graph, DataFrame]:
-    """Customers, orders and parts with their names, and the customers of one country as starts."""
-    edges = c.read("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"), F.lit("placed").alias("relationship"))
-    edges = edges.unionByName(c.read("lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), F.col("l_returnflag").alias("relationship")))
-    labels = c.read("customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.col("c_name").alias("label"))
-    labels = labels.unionByName(c.read("part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.col("p_name").alias("label")))
-    labels = labels.unionByName(c.read("orders").filter("o_orderstatus <> 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.concat(F.lit("order "), "o_orderkey").alias("label")))
-    return graph_many.Graph(edges, labels), c.read("customer").filter("c_nationkey = 7").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+    """The catalog's network, and the customers of one country as starts."""
+    return graph_many.Graph(*c.links()), c.read("customer").filter("c_nationkey = 7").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
 
 
 def _reached(c: Catalog, edges: bool) -> DataFrame:
@@ -462,6 +457,17 @@ add(
     "WITH x AS (SELECT 1) SELECT event_id, ts, user_id, event_type FROM events",
     lambda c: streams.deduplicated(c.spark, c.directory),
 )
+add("rebalanced_symbols", "SELECT ticker FROM la ORDER BY composite DESC, ticker LIMIT 30", lambda c: streams.top_symbols(scores.latest_scores(c.scores)), SC, LATEST)
+add(
+    "signal_lists",
+    f"SELECT DISTINCT 'swarms' AS signal, ticker FROM sw WHERE reps >= 8 UNION ALL SELECT DISTINCT 'partisan-consensus', ticker FROM ({SQL['partisan_consensus']}) UNION ALL SELECT DISTINCT 'round-trips', ticker FROM rt WHERE hold_days <= 3",
+    more_queries.signal_lists, SW, TRIPS,
+)
+add(
+    "stream_interval_join",
+    "WITH x AS (SELECT 1) SELECT s.user_id AS k, s.ts AS a, p.ts AS b FROM events s JOIN events p ON s.event_type = 'signup' AND p.event_type = 'purchase' AND s.user_id = p.user_id AND p.ts >= s.ts + INTERVAL 1 DAY AND p.ts <= s.ts + INTERVAL 14 DAY",
+    lambda c: streams.pairs_in_time(c.spark, c.directory, "signup", "purchase"),
+)
 #: Published datasets: the query whose rows they are, and what their files are ordered by.
 PUBLISHED = {
     "movers": ("score_movers", ()), "rankings": ("score_rankings", ()), "events-latest": ("events_page", ()), "sources": ("freshness", ()), "stats": ("activity", ()),

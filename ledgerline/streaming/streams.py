@@ -112,3 +112,9 @@ def deduplicated(spark: SparkSession, directory: str) -> DataFrame:
     """The events, of which the stream brings each twice."""
     twice = event_stream(spark, directory).unionByName(event_stream(spark, directory))
     return finished(spark, dedupe_stream(twice), "append", lambda df: df.select("event_id", "ts", "user_id", "event_type"))
+
+
+def pairs_in_time(spark: SparkSession, directory: str, first: str, then: str, days: int = 14) -> DataFrame:
+    """Events of one kind and those of another that the same user has 1 to ``days`` days later, by a join of two streams whose state the watermarks bound."""
+    left, right = (event_stream(spark, directory).filter(F.col("event_type") == kind) for kind in (first, then))
+    return finished(spark, interval_join_stream(left, right, "user_id", days), "append", lambda df: df.select("k", "a", "b"))

@@ -170,8 +170,8 @@ def test_asof_crosses_buckets(spark):
     right = [("a", i, day + dt.timedelta(days=rng.randint(0, 2000))) for i in range(12)]
     a, b = spark.createDataFrame(left, "k string, i int, x timestamp"), spark.createDataFrame(right, "k string, j int, y timestamp")
     for forward in (False, True):
-        for strict in (False, True):
-            got = {(r["i"], r["matched_at"]) for r in asof_join(a, b, ["k"], "x", "y", ["j"], forward=forward, strict=strict, days=7).collect()}
+        for strict, days in ((False, 7), (True, 7), (False, None), (True, None)):
+            got = {(r["i"], r["matched_at"]) for r in asof_join(a, b, ["k"], "x", "y", ["j"], forward=forward, strict=strict, days=days).collect()}
             fits = lambda x, y: (y > x if strict else y >= x) if forward else (y < x if strict else y <= x)
             assert got == {(i, (min if forward else max)((y for *_, y in right if fits(x, y)), default=None)) for _, i, x in left}
 
@@ -209,6 +209,27 @@ def test_engine(spark):
     assert engine.profile("customer#000000007")["headline"].count() == 1 and engine.companies(limit=5).count() == 5
 
 
+def test_engine_serves_every_route(spark):
+    """Connections, sources, streams, activity, profiles and detectors without anything that the caller has to bring."""
+    from ledgerline.engine import Engine
+    from ledgerline.plans.registry import DETECTORS
+
+    engine = Engine(spark, "/root/testdata/sf0.001")
+    assert engine.connections("c7", 1, 10).count() > 1
+    of = engine.connections_of(spark.createDataFrame([("c7",), ("c8",)], "node string"), 1, 5)
+    assert {r["source"] for r in of["nodes"].collect()} == {"c7", "c8"} and of["edges"].count() > 0
+    assert {r["grade"] for r in engine.sources("2024-01-31 12:00:00").collect()} <= set("ABCD")
+    assert engine.stream("error").isStreaming and engine.stream(part_id=3).isStreaming
+    strip = engine.activity_strip("2024-01-25 00:00:00")
+    assert strip["counts"].first()["events_week"] > 0 and strip["categories"].count() == 5
+    profile = engine.profile("customer#000000007")
+    assert profile["biggest_trade"].count() == profile["summary"].count() == 1 and profile["party"].count() >= 1
+    assert engine.network()["edges"].columns == ["a", "b", "relationship", "label_a", "label_b"]
+    kinds = {name: DETECTORS[name][0] for name in ("coordinated", "bipartisan")} | {"broken": lambda c: c.read("no_such_table")}
+    found = engine.detect(kinds, 5, 300)
+    assert {r["detector"]: r["ok"] for r in found["status"].collect()} == {"coordinated": True, "bipartisan": True, "broken": False} and "steps" in found["findings"].columns
+
+
 def test_payloads(spark):
     def raw(body):
         return spark.createDataFrame([(body, dt.datetime(2024, 1, 1))], "body string, ingest_ts timestamp")
