@@ -105,6 +105,12 @@ ps AS (SELECT *, coalesce(lag(party) OVER w <> party, TRUE)::INT AS new FROM pd
 pq AS (SELECT *, sum(new) OVER (PARTITION BY person_id ORDER BY day, party) AS span FROM ps)"""
 
 
+def _histories(c: Catalog) -> DataFrame:
+    """Every fourth year all trade as independents, so that there are changes to find."""
+    party = F.when(F.year("traded_at") % 4 == 0, "I").otherwise(F.col("party"))
+    return profiles.party_history(c.facts(company=False).withColumn("party", party))
+
+
 def _profiles(add) -> None:
     buy, sell = "trade_type = 'purchase'", "trade_type LIKE 'sale%'"
     late = "pl AS (SELECT person_id, floor(quantile_cont(days, 0.5) + 0.5)::BIGINT AS median_days, round(count(*) FILTER (WHERE days > 45)::DOUBLE / count(*), 6) AS late_pct FROM (SELECT *, date_diff('day', traded_at, filed_at) AS days FROM t WHERE filed_at >= traded_at AND traded_at >= TIMESTAMP '2000-01-01') GROUP BY 1)"
@@ -115,8 +121,7 @@ def _profiles(add) -> None:
         lambda c: profiles.biggest_trades(c.facts(person=False)))
     add("person_solo_tickers", f"SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY volume DESC, trades DESC, part_id)::INT AS rank, part_id, trades, volume, buys, sells FROM (SELECT part_id, min(person_id) AS person_id, count(*) AS trades, sum(est)::BIGINT AS volume, count(*) FILTER (WHERE {buy}) AS buys, count(*) FILTER (WHERE {sell}) AS sells "
         "FROM t GROUP BY 1 HAVING min(person_id) = max(person_id)) QUALIFY rank <= 10", lambda c: profiles.solo_top(c.facts(company=False, person=False), "part_id"))
-    party = F.when(F.year("traded_at") % 4 == 0, "I").otherwise(F.col("party"))
-    add("person_party_history", "SELECT person_id, span::BIGINT AS span, any_value(party) AS party, min(day) AS since, max(day) AS until, sum(n)::BIGINT AS trades FROM pq GROUP BY 1, 2", lambda c: profiles.party_history(c.facts(company=False).withColumn("party", party)), HISTORY)
+    add("person_party_history", "SELECT person_id, span::BIGINT AS span, any_value(party) AS party, min(day) AS since, max(day) AS until, sum(n)::BIGINT AS trades FROM pq GROUP BY 1, 2", _histories, HISTORY)
     since, until = f"TIMESTAMP '{EVENTS_NOW}' - INTERVAL {{}} DAY", f"ts < TIMESTAMP '{EVENTS_NOW}'"
     add("activity_strip", f"SELECT count(*) FILTER (WHERE ts >= {since.format(1)}) AS events_day, count(*) AS events_week, (SELECT count(DISTINCT ticker) FROM sc) AS companies_scored, (SELECT count(DISTINCT p_brand) FROM part) AS companies FROM events WHERE ts >= {since.format(7)} AND {until}",
         lambda c: profiles.activity_strip(c.read("events"), c.scores, c.companies, EVENTS_NOW), SC)

@@ -88,3 +88,13 @@ def test_aliases_and_seeds_are_the_same_in_any_order(spark):
         assert {(r["entity_id"], r["alias"]) for r in sinks.generate_aliases(df).collect() if r["alias"] == "same"} == {(1, "same")}
     raw = spark.createDataFrame([('[{"ticker":"A","name":"one"},{"ticker":"A","name":"two"}]',)], "body string")
     assert [r["name"] for r in payloads.seed_companies(raw).collect()] == ["two"]
+
+
+def test_queries_are_listed_without_a_session():
+    """The entry point lists its queries before there is a Spark session."""
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; assert e.queries() and e.oracle_sql() and SparkContext._active_spark_context is None"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0
