@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from .loads import ROCKS, Loads, settings, slices
@@ -20,51 +21,52 @@ OUT = "subject long, started_ms long, ended_ms long, events long, recomputed boo
 MINUTE_MS = 60_000
 
 
-class Debounce(StatefulProcessor):
-    """Rows (subject, ts) to closed bursts; times are milliseconds."""
-
-    def __init__(self, quiet_ms: int, cooldown_ms: int):
-        self.quiet, self.cooldown = quiet_ms, cooldown_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "started long, last long, events long")
-        self.done = handle.getValueState("done", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if key[0] is None:
-            return
-        bursts = [tuple(x) for x in self.open.get()]
-        bursts += [(at, at, 1) for at in (int(r.ms) for r in rows)]
-        self._keep(merged(bursts, self.quiet))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        bursts = [tuple(x) for x in self.open.get()]
-        last = self.done.get()[0] if self.done.exists() else None
-        closed = [b for b in bursts if b[1] + self.quiet <= now]
-        for started, end, events in closed:
-            due = end + self.quiet
-            able = last is None or due - last >= self.cooldown
-            if able:
-                last = due
-            yield Row(subject=key[0], started_ms=started, ended_ms=due, events=events, recomputed=able)
-        if closed:
-            self._keep(bursts[len(closed) :])
-        if last is None or last + self.cooldown <= now:  # whatever ends from now on is beyond the cooldown
-            self.done.clear()
-        elif closed:
-            self.done.update((last,))
-            self.handle.registerTimer(last + self.cooldown)
-
-    def _keep(self, bursts: list[tuple[int, int, int]]) -> None:
-        if bursts:
-            self.open.put(bursts)
-            for _, last, _ in bursts:
-                self.handle.registerTimer(last + self.quiet)
-        else:
-            self.open.clear()
+#: Subjects share the state of a bucket, so that a batch costs a call for each bucket rather than for each subject.
+BUCKETS = 4096
+#: The open bursts of a bucket, and the last recomputations (``at``) of its subjects (``of``).
+STATE = "subject array<bigint>, started array<bigint>, last array<bigint>, events array<bigint>, of array<bigint>, at array<bigint>"
+
+
+def debounce(quiet: int, cooldown: int):
+    """Rows (subject, none, ms) of a bucket's subjects to their closed bursts; times are milliseconds. State comes and goes with the rows, once a batch and bucket, and one timer stands for all its bursts: it is
+    set for what ends first, and whatever has ended by then is closed."""
+
+    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bursts: dict[int, list[tuple[int, int, int]]] = {}
+        done: dict[int, int] = {}
+        if state.exists:
+            subjects, *rest, of, at = state.get
+            for subject, burst in zip(subjects, zip(*rest, strict=True), strict=True):
+                bursts.setdefault(subject, []).append(burst)
+            done = dict(zip(of, at, strict=True))
+        if not state.hasTimedOut:
+            for frame in frames:
+                named = frame[~frame["none"]]
+                for subject, ms in zip(named["subject"].tolist(), named["ms"].tolist(), strict=True):
+                    bursts.setdefault(subject, []).append((ms, ms, 1))
+        now, out, left, timers = state.getCurrentWatermarkMs(), [], [], []
+        for subject, own in bursts.items():
+            for began, end, n in merged(own, quiet):
+                due = end + quiet
+                if due > now:
+                    left.append((subject, began, end, n))
+                    timers.append(due)
+                    continue
+                able = subject not in done or due - done[subject] >= cooldown
+                if able:
+                    done[subject] = due
+                out.append((subject, began, due, n, able))
+        done = {subject: at for subject, at in done.items() if at + cooldown > now}  # whatever ends from now on is beyond the cooldown of others
+        timers += [at + cooldown for at in done.values()]
+        if timers:
+            state.update((*([x[i] for x in left] for i in range(4)), list(done), list(done.values())))
+            state.setTimeoutTimestamp(max(min(timers) - 1, now + 1, 1))  # a timer runs out once the watermark is beyond it
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+
+    return run
 
 
 def merged(bursts: list[tuple[int, int, int]], quiet: int) -> list[tuple[int, int, int]]:
@@ -81,9 +83,12 @@ def merged(bursts: list[tuple[int, int, int]], quiet: int) -> list[tuple[int, in
 
 def debounced(events: DataFrame, quiet_ms: int, cooldown_ms: int, late: str = "1 day") -> DataFrame:
     """The closed bursts of a stream (user_id, ts)."""
-    own = events.select(F.col("user_id").alias("subject"), F.col("ts").cast("timestamp").alias("ts"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    own = own.filter("ts is not null").withWatermark("ts", late).groupBy("subject")
-    return own.transformWithState(Debounce(quiet_ms, cooldown_ms), OUT, "Append", "EventTime")
+    subject, at = F.col("user_id").cast("long"), F.col("ts").cast("timestamp")
+    bucket = F.pmod(F.xxhash64(subject), F.lit(BUCKETS)).alias("bucket")
+    # a null among the subjects would turn the others of its batch into floats
+    own = events.select(bucket, F.coalesce(subject, F.lit(0)).alias("subject"), subject.isNull().alias("none"), at.alias("ts"), F.unix_millis(at).alias("ms"))
+    own = own.filter("ts is not null").withWatermark("ts", late).groupBy("bucket")
+    return own.applyInPandasWithState(debounce(quiet_ms, cooldown_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def with_budget(bursts: DataFrame, budget: int) -> DataFrame:

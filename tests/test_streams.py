@@ -113,3 +113,12 @@ def test_a_source_is_down_after_ten_failures(spark):
     assert health.folded(meta, spark.createDataFrame(polls, health.POLLS)).first()["status"] == "down"
     row = health.folded(meta, spark.createDataFrame([("a", START + dt.timedelta(hours=1, minutes=1), True, None, 4), *polls], health.POLLS)).first()
     assert (row["status"], row["failures"], row["last_error"], row["events"]) == ("degraded", 1, "e2", 4)
+
+
+def test_subjects_share_the_calls_of_their_bucket(spark, monkeypatch):
+    """However many subjects there are, a batch has a call for each bucket; large ids keep their digits beside rows without a subject."""
+    monkeypatch.setattr(debounce, "BUCKETS", 3)
+    rows = [((1 << 60) + s % 50 if s % 7 else None, START + dt.timedelta(seconds=s * 40)) for s in range(600)]
+    events = spark.createDataFrame(rows, "user_id long, ts timestamp")
+    got = debounce.recomputations(spark, events, 300_000, 3_600_000, 3, True, "10 minutes").collect()
+    assert sorted(map(tuple, got)) == plain_bursts(rows, 300_000, 3_600_000)
