@@ -66,7 +66,8 @@ def depth(json: Column) -> Column:
 
 def fine(json: Column) -> Column:
     """Whether a payload is small and flat enough to keep."""
-    return (F.octet_length(json) <= MAX_PAYLOAD) & (depth(json) <= MAX_DEPTH)
+    opened = F.length(json) - F.length(F.translate(json, "[{", ""))  # no text is deeper than it has opening brackets
+    return (F.octet_length(json) <= MAX_PAYLOAD) & ((opened <= MAX_DEPTH) | (depth(json) <= MAX_DEPTH))
 
 
 def refused(events: DataFrame) -> DataFrame:

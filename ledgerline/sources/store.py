@@ -19,6 +19,11 @@ DAY = "day"
 def last_of(df: DataFrame, keys: list[str], *order: Column | str, first: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each key: the last by ``order`` (or the first); rows that tie are told apart by their other columns. ``keep`` columns are the last that isn't null. Rows are combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
+    if not keep and not any(isinstance(df.schema[c].dataType, (MapType, VariantType)) for c in rest):  # the row is its own place: it travels once
+        named = [c for c in order if isinstance(c, str)]
+        whole = F.struct(*[c if isinstance(c, str) else c.alias(f"__{i}") for i, c in enumerate(order)], *[c for c in rest if c not in named])
+        out = df.groupBy(*keys).agg((F.min if first else F.max)(whole).alias("__row"))
+        return out.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns])
     tie = [F.col(c) for c in rest if not isinstance(df.schema[c].dataType, (MapType, VariantType))]
     place = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order], *tie)
     pick = F.min_by if first else F.max_by

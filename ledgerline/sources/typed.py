@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import amount_range, parse_time, slugify, trade_kind
-from .sinks import resolve
+from .sinks import hits
 
 #: Employers that name no company.
 NO_EMPLOYER = ("SELF-EMPLOYED", "RETIRED", "N/A", "NONE", "NOT EMPLOYED")
@@ -77,62 +77,60 @@ def party_letter(text: Column) -> Column:
     return F.when(t.startswith("r"), "R").when(t.startswith("d"), "D").when(t.startswith("i"), "I")
 
 
-def _with_company(events: DataFrame, companies: DataFrame, aliases: DataFrame, ticker: Column | None, name: Column | None) -> DataFrame:
-    """The events with company_id. Only distinct pairs of ticker and name are resolved, so that a name which many events have costs no more than any other."""
+def _with_company(events: DataFrame, companies: DataFrame, aliases: DataFrame, ticker: Column | None, name: Column | None, *columns: Column | str) -> DataFrame:
+    """``columns`` of the events, ``company_id`` among them. Only distinct pairs of ticker and name are resolved, so that a name which many events have costs no more than any other. The columns are worked
+    out before the join with what was found, so that it carries no payloads."""
     none = F.lit(None).cast("string")
     own = events.withColumns({"__ticker": none if ticker is None else ticker, "__name": none if name is None else name})
-    own = own.withColumn("__id", F.to_json(F.struct("__ticker", "__name")))
-    names = own.select(F.col("__id").alias("id"), F.col("__ticker").alias("ticker"), F.col("__name").alias("name")).distinct()
-    found = resolve(names, companies, aliases).select(F.col("id").alias("__id"), "company_id")
-    return own.join(found, "__id", "left").drop("__id", "__ticker", "__name")
+    names = own.select(F.col("__ticker").alias("ticker"), F.col("__name").alias("name")).distinct().withColumn("id", F.to_json(F.struct("ticker", "name")))
+    found = hits(names, companies, aliases).select(F.col("id").alias("__id"), "company_id")
+    own = own.select(*[c for c in columns if not (isinstance(c, str) and c == "company_id")], F.to_json(F.struct(F.col("__ticker").alias("ticker"), F.col("__name").alias("name"))).alias("__id"))
+    out = own.join(found, "__id", "left")
+    kept = iter([c for c in own.columns if c != "__id"])
+    return out.select(*["company_id" if isinstance(c, str) and c == "company_id" else next(kept) for c in columns])
 
 
 def market_data(events: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
     daily = F.col("source") == "polygon"
     own = events.filter(F.col("source").isin("polygon", "finnhub"))
-    own = _with_company(own, companies, aliases, F.when(daily, get("symbol")).otherwise(get("s")), None).filter("company_id is not null")
     first, last = get("o").cast("double"), get("c").cast("double")
-    return own.select(
-        *KEY, "company_id", F.when(daily, "daily").otherwise("trade").alias("data_type"), F.when(daily, cents(get("c"))).otherwise(cents(get("p"))).alias("price_cents"),
+    return _with_company(
+        own, companies, aliases, F.when(daily, get("symbol")).otherwise(get("s")), None, *KEY, "company_id", F.when(daily, "daily").otherwise("trade").alias("data_type"), F.when(daily, cents(get("c"))).otherwise(cents(get("p"))).alias("price_cents"),
         get("v").try_cast("double").cast("long").alias("volume"), F.when(daily & (first > 0), F.round((last - first) / first * 100, 6)).alias("change_pct"), F.col("occurred_at").alias("recorded_at"),
-    )
+    ).filter("company_id is not null")
 
 
 def donations(events: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
     employer = trimmed(get("contributor_employer"))
     own = events.filter((F.col("source") == "fec") & employer.isNotNull() & ~F.upper(employer).isin(*NO_EMPLOYER))
-    own = _with_company(own, companies, aliases, None, employer).filter("company_id is not null")
-    return own.select(
-        *KEY, "company_id", get("contributor_name").alias("donor_name"), F.lit("individual").alias("donor_type"), employer.alias("donor_employer"), get("committee_name").alias("recipient"),
+    return _with_company(
+        own, companies, aliases, None, employer, *KEY, "company_id", get("contributor_name").alias("donor_name"), F.lit("individual").alias("donor_type"), employer.alias("donor_employer"), get("committee_name").alias("recipient"),
         cents(get("contribution_receipt_amount")).alias("amount_cents"), parse_time(get("contribution_receipt_date")).alias("donated_at"),
-    )
+    ).filter("company_id is not null")
 
 
 def contracts(events: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
     own = events.filter(F.col("source") == "usaspending")
-    own = _with_company(own, companies, aliases, None, trimmed(get("['Recipient Name']"))).filter("company_id is not null")
-    return own.select(
-        *KEY, "company_id", get("['Awarding Agency']").alias("agency"), cents(get("['Award Amount']")).alias("amount_cents"), get("['Award Type']").alias("action_type"),
+    return _with_company(
+        own, companies, aliases, None, trimmed(get("['Recipient Name']")), *KEY, "company_id", get("['Awarding Agency']").alias("agency"), cents(get("['Award Amount']")).alias("amount_cents"), get("['Award Type']").alias("action_type"),
         get("['Award ID']").alias("description"), parse_time(get("['Start Date']")).alias("awarded_at"),
-    )
+    ).filter("company_id is not null")
 
 
 def sanctions(events: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
     """Of individuals the whole name and no company; of entities the name that may be a company's. The first program counts."""
     person = F.lower(F.coalesce(get("sdnType"), F.lit(""))) == "individual"
     own = events.filter(F.col("source") == "ofac_sdn")
-    own = _with_company(own, companies, aliases, None, F.when(~person, trimmed(get("lastName"))))
     whole = F.concat_ws(" ", trimmed(get("firstName")), trimmed(get("lastName")))
-    return own.select(
-        *KEY, "company_id", F.when(person, whole).otherwise(F.trim(get("lastName"))).alias("entity_name"), F.when(person, "individual").otherwise("entity").alias("entity_type"),
+    return _with_company(
+        own, companies, aliases, None, F.when(~person, trimmed(get("lastName"))), *KEY, "company_id", F.when(person, whole).otherwise(F.trim(get("lastName"))).alias("entity_name"), F.when(person, "individual").otherwise("entity").alias("entity_type"),
         get("programs[0]").alias("program"), F.col("occurred_at").alias("added_at"),
     )
 
 
 def warn_filings(events: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
-    own = _with_company(events.filter(F.col("source") == "warn"), companies, aliases, None, trimmed(get("company")))
-    return own.select(
-        *KEY, "company_id", get("state").alias("state"), get("city").alias("city"), get("employees_affected").try_cast("int").alias("workers_affected"),
+    return _with_company(
+        events.filter(F.col("source") == "warn"), companies, aliases, None, trimmed(get("company")), *KEY, "company_id", get("state").alias("state"), get("city").alias("city"), get("employees_affected").try_cast("int").alias("workers_affected"),
         parse_time(get("effective_date")).alias("layoff_date"), parse_time(get("notice_date")).alias("filed_at"),
     )
 
@@ -140,9 +138,8 @@ def warn_filings(events: DataFrame, companies: DataFrame, aliases: DataFrame) ->
 def insider_trades(events: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
     """The company is the second display name, without its registration number; the filer is the first."""
     name = F.trim(F.regexp_replace(F.coalesce(get("display_names[1]"), get("entity_name"), get("display_names[0]")), r"\s*\(CIK.*$|\s*\([A-Z]{1,5}\).*$", ""))
-    own = _with_company(events.filter(F.col("source") == "edgar_form4"), companies, aliases, ticker_in(get("display_names[1]")), name)
-    filer = F.trim(F.regexp_replace(get("display_names[0]"), r"\s*\(CIK.*$", ""))
-    return own.select(*KEY, "company_id", filer.alias("filer_name"), F.lit("form4").alias("trade_type"), F.col("occurred_at").alias("filed_at"))
+    own, filer = events.filter(F.col("source") == "edgar_form4"), F.trim(F.regexp_replace(get("display_names[0]"), r"\s*\(CIK.*$", ""))
+    return _with_company(own, companies, aliases, ticker_in(get("display_names[1]")), name, *KEY, "company_id", filer.alias("filer_name"), F.lit("form4").alias("trade_type"), F.col("occurred_at").alias("filed_at"))
 
 
 def court_filings(events: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -150,8 +147,8 @@ def court_filings(events: DataFrame, companies: DataFrame, aliases: DataFrame) -
     own = events.filter(F.col("source") == "sec_edgar_lit").withColumn("parties", parties_of(get("title")))
     each = own.select(*KEY, F.posexplode("parties").alias("at", "party"))
     numbered = each.withColumn("source_id", F.concat_ws("#", "source_id", "at"))
-    hits = _with_company(numbered, companies, aliases, None, F.col("party")).filter("company_id is not null")
-    first = hits.groupBy("source", F.substring_index("source_id", "#", 1).alias("source_id")).agg(F.min_by("company_id", "at").alias("company_id"))
+    found = _with_company(numbered, companies, aliases, None, F.col("party"), *KEY, "at", "company_id").filter("company_id is not null")
+    first = found.groupBy("source", F.substring_index("source_id", "#", 1).alias("source_id")).agg(F.min_by("company_id", "at").alias("company_id"))
     return own.join(first, KEY, "left").select(
         *KEY, "company_id", get("id").alias("case_number"), F.lit("SEC").alias("court"), F.lit("sec_litigation").alias("filing_type"), F.array_join("parties", "; ").alias("parties"),
         parse_time(get("date")).alias("filed_at"),
@@ -180,7 +177,6 @@ def congressional_trades(events: DataFrame, companies: DataFrame, aliases: DataF
     own = events.filter(source.isin("fmp_congress", "lambda_congress", "finnhub_congress", "courtlistener", "house_clerk_ptr", "senate_stock_watcher"))
     ticker = pick(fmp_congress=get("symbol"), lambda_congress=get("symbol"), finnhub_congress=get("symbol"), courtlistener=ticker_in(get("description")), house_clerk_ptr=get("ticker"), senate_stock_watcher=get("ticker"))
     own = own.withColumn("ticker", trimmed(ticker)).filter("ticker is not null and ticker not in ('--', 'N/A', 'OT')")
-    own = _with_company(own, companies, aliases, F.col("ticker"), None)
     slug = pick(
         fmp_congress=slugify(whole), lambda_congress=slugify(get("representative")), finnhub_congress=slugify(get("name")), courtlistener=judge,
         house_clerk_ptr=slugify(cleaned_name(get("representative"))), senate_stock_watcher=slugify(cleaned_name(get("senator"))),
@@ -191,8 +187,8 @@ def congressional_trades(events: DataFrame, companies: DataFrame, aliases: DataF
     low = F.when(source == "courtlistener", code_low).when(source == "finnhub_congress", get("amountFrom").try_cast("double").cast("long")).otherwise(text_low)
     high = F.when(source == "courtlistener", code_high).when(source == "finnhub_congress", get("amountTo").try_cast("double").cast("long")).otherwise(text_high)
     filed = pick(fmp_congress=get("disclosureDate"), lambda_congress=get("disclosureDate"), finnhub_congress=get("filingDate"), house_clerk_ptr=get("disclosure_date"))
-    return own.select(
-        *KEY, "company_id", slug.alias("person_slug"), "ticker", trade_kind(kind).alias("trade_type"), low.alias("amount_range_low"), high.alias("amount_range_high"),
+    return _with_company(
+        own, companies, aliases, F.col("ticker"), None, *KEY, "company_id", slug.alias("person_slug"), "ticker", trade_kind(kind).alias("trade_type"), low.alias("amount_range_low"), high.alias("amount_range_high"),
         parse_time(filed).alias("filed_at"), F.col("occurred_at").alias("traded_at"),
     )
 
@@ -200,11 +196,10 @@ def congressional_trades(events: DataFrame, companies: DataFrame, aliases: DataF
 def lobbying(events: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
     """Lobbying records; the company is the client."""
     client = trimmed(get("client"))
-    own = _with_company(events.filter(F.col("source") == "lobbying"), companies, aliases, None, client)
-    return own.select(
-        *KEY, F.col("company_id").alias("client_company_id"), get("registrant").alias("registrant"), client.alias("client"), get("specific_issues").alias("specific_issues"), cents(get("amount")).alias("amount_cents"),
+    return _with_company(
+        events.filter(F.col("source") == "lobbying"), companies, aliases, None, client, *KEY, "company_id", get("registrant").alias("registrant"), client.alias("client"), get("specific_issues").alias("specific_issues"), cents(get("amount")).alias("amount_cents"),
         parse_time(get("period_start")).alias("period_start"), parse_time(get("period_end")).alias("period_end"), F.col("occurred_at").alias("filed_at"),
-    )
+    ).withColumnRenamed("company_id", "client_company_id")
 
 
 FACTS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {

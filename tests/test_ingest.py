@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import lookups
-from ledgerline.sources import payloads, typed
+from ledgerline.sources import payloads, sinks, typed
 
 #: source, payload, kind of facts, columns, rows: what comes of the payload, worked out by hand.
 INGESTED = {
@@ -85,3 +85,18 @@ def test_a_common_name_is_resolved_once(spark, known):
     events = spark.createDataFrame(rows, "source string, source_id string, event_data string, occurred_at timestamp")
     facts = typed.donations(events, *known)
     assert facts.filter("company_id = 2").count() == 300
+
+
+def test_names_are_read_once_however_many_keys_they_have(spark):
+    """Each reading of the names costs another pass over all events."""
+    names = spark.range(3, 8).selectExpr("id", "'T' || id AS ticker", "'Name ' || id AS name")
+    companies, aliases = spark.createDataFrame([(1, "T3", "Name")], "id long, ticker string, name string"), spark.createDataFrame([], "entity_id long, alias string")
+    found = sinks.hits(names, companies, aliases)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (3, 8") == 1
+    assert {tuple(r) for r in found.collect()} == {(i, 1) for i in range(3, 8)}
+
+
+def test_companies_meet_facts_without_payloads(spark, known):
+    events = payloads.parse_json(raw(spark, INGESTED["senate_trades"][1]), "senate_stock_watcher")
+    plan = typed.congressional_trades(events, *known).select("company_id", "ticker")._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_data" not in plan.split("Join LeftOuter")[1].split("\n")[1]
