@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from ledgerline.operators import profiles
+from ledgerline.operators import profiles, signals
 from ledgerline.sources import sinks
 
 DAY = dt.datetime(2024, 1, 1)
@@ -66,3 +66,18 @@ def test_names_resolve_by_normalised_alias(spark):
     aliases = spark.createDataFrame([(1, "Old Widget Works Inc.")], "entity_id int, alias string")
     names = spark.createDataFrame([(1, None, "OLD WIDGET WORKS CORP"), (2, None, "Old Widget"), (3, None, "old widget works inc.")], "id int, ticker string, name string")
     assert {(r["id"], r["company_id"]) for r in sinks.resolve(names, companies, aliases).collect()} == {(1, 1), (2, None), (3, 1)}
+
+
+def test_accountability_reads_trades_twice(spark):
+    """Once for what a person's own trades say, once for events; pairs of a purchase and a sale 1 to 60 days later count, whatever lies between."""
+    days = "case id when 0 then 0 when 1 then 1 when 2 then 60 when 3 then 61 else 30 end"
+    rows = spark.range(3, 9).selectExpr(
+        "cast(1 as bigint) as person_id", "'T' as ticker", "7 as part_id", "'c' as committee", "'s' as sector", "id as order_id", "1 as line", "10 as est", "if(id in (3, 7), 'purchase', 'sale_full') as trade_type",
+        f"timestamp'2020-01-01' + make_interval(0, 0, 0, cast({days.replace('id', '(id - 3)')} as int)) as traded_at", "timestamp'2020-06-01' as filed_at",
+    )
+    events = spark.createDataFrame([(7, dt.datetime(2020, 1, 15))], "part_id int, at timestamp")
+    got = signals.accountability(rows, events)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (3, 9") == 2
+    row = got.first()
+    # day 0 pairs with the sales of days 1, 30 and 60; day 30 with those of days 60 and 61; days 0 and 1 lie 14 and 13 days ahead of the event
+    assert (row["trades"], row["scoreable"], row["late"], row["round_trips"], row["pre_events"]) == (6, 6, 6, 5, 2)
