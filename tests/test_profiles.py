@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from ledgerline.operators import profiles, signals
+from ledgerline.operators import insights, profiles, signals
 from ledgerline.sources import sinks
 
 DAY = dt.datetime(2024, 1, 1)
@@ -81,3 +81,16 @@ def test_accountability_reads_trades_twice(spark):
     row = got.first()
     # day 0 pairs with the sales of days 1, 30 and 60; day 30 with those of days 60 and 61; days 0 and 1 lie 14 and 13 days ahead of the event
     assert (row["trades"], row["scoreable"], row["late"], row["round_trips"], row["pre_events"]) == (6, 6, 6, 5, 2)
+
+
+def test_detectors_over_persons_read_trades_once(spark):
+    """And insights of several distinct counts send a row no more than once for each (no Expand)."""
+    rows = spark.range(3, 13).selectExpr(
+        "cast(1 as bigint) as person_id", "'P' as name", "if(id % 2 = 0, 'R', 'D') as party", "'T' as ticker", "id as order_id", "1 as line", "if(id = 12, 100000, 10000 + id) as est",
+        "if(id % 2 = 1, 'purchase', 'sale_full') as trade_type", "timestamp'2020-01-01' + make_interval(0, 0, 0, cast(if(id = 12, 3 + id, 3 * id) as int)) as traded_at",
+    )
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    trips, wolves = insights.quick_round_trip(rows), insights.lone_wolf(rows)
+    assert plan(trips).count("Range (3, 13") == plan(wolves).count("Range (3, 13") == 1
+    assert [(r["subject"], r["ticker"]) for r in wolves.collect()] == [("1", "T")]
+    assert "Expand" not in plan(insights.coordinated(rows)) and "Expand" not in plan(insights.bipartisan(rows))
