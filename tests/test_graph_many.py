@@ -54,3 +54,13 @@ def test_search_of_nothing(spark):
     made = graph_many.Graph(spark.createDataFrame([], "a string, b string, relationship string"))
     assert [tuple(r) for r in made.search(spark.createDataFrame([("a",)], "node string")).collect()] == [("a", "a", 0)]
     assert made.search(spark.createDataFrame([], "node string")).count() == 0
+
+
+def test_a_search_writes_what_it_reaches(spark):
+    """Not all edges: of many that lie elsewhere a bitmap lets few pass, and none is written twice."""
+    edges = [("a", "b", "x"), ("b", "c", "x"), ("c", "d", "x")] + [(f"u{k}", f"v{k}", "y") for k in range(3000)]
+    made = graph_many.Graph(spark.createDataFrame(edges, "a string, b string, relationship string"))
+    seen = made.search(spark.createDataFrame([("a",)], "node string"), 2, 10)
+    assert {(r["a"], r["b"]) for r in made.between(seen).collect()} == {("a", "b"), ("b", "c")}
+    assert {r["node"]: r["level"] for r in seen.collect()} == {"a": 0, "b": 1, "c": 2}
+    assert spark.read.option("recursiveFileLookup", "true").schema("x int").parquet(made.root).count() < 100
