@@ -1,6 +1,7 @@
 """Operators against plain versions, over small tables that hold the awkward cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -681,3 +682,22 @@ def test_components_of_a_long_path(spark, monkeypatch):
     edges = spark.range(1, 3000).selectExpr("(id * 7919) % 3001 as a", "((id + 1) * 7919) % 3001 as b").repartition(4)
     got = links.components(edges, Tables(spark, "test"), "path").select("label").distinct().count()
     assert got == 1
+
+
+def test_fuzzy_lines_leaves_nothing_that_is_not_read(spark, docs):
+    """Of what lies on disk while the result is read, only the dropped places and the bitmap are left, and a band's entry takes 12 bytes."""
+    out = fuzzy_lines.dedup_lines(docs)
+    root = next(f for f in out.inputFiles() if "/lines-" in f).split("/dropped/")[0].split("/losing/")[0].removeprefix("file:")
+    assert sorted(os.listdir(root)) == ["dropped", "losing"]
+    assert out.count() == docs.count()
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 400, dtype=np.uint64)
+    batch = links.packed_entries(keys, np.arange(400), np.ones(400, dtype=np.int32), 4, 75, narrow=True)
+    assert sum(len(x) for c in ("keys", "ids") for x in batch.column(c).to_pylist()) == 12 * 400
+
+
+def test_narrow_keys_link_what_whole_keys_link():
+    rng = np.random.default_rng(2)
+    keys = np.repeat(rng.integers(0, 1 << 63, 50, dtype=np.uint64), 4)
+    batch = links.packed_entries(keys, np.arange(200), np.ones(200, dtype=np.int32), 8, 75, narrow=True)
+    found = {(a, b) for k in range(batch.num_rows) for x in links._meet(iter([batch.slice(k, 1)])) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)}
+    assert found == {(4 * k + j, 4 * k) for k in range(50) for j in (1, 2, 3)}
