@@ -2,7 +2,9 @@
 
 import datetime as dt
 
-from ledgerline.operators import insights, profiles, signals
+from pyspark.sql import functions as F
+
+from ledgerline.operators import insights, profiles, signals, sketches
 from ledgerline.sources import sinks
 
 DAY = dt.datetime(2024, 1, 1)
@@ -94,3 +96,16 @@ def test_detectors_over_persons_read_trades_once(spark):
     assert plan(trips).count("Range (3, 13") == plan(wolves).count("Range (3, 13") == 1
     assert [(r["subject"], r["ticker"]) for r in wolves.collect()] == [("1", "T")]
     assert "Expand" not in plan(insights.coordinated(rows)) and "Expand" not in plan(insights.bipartisan(rows))
+
+
+def test_accountability_leaves_out_companies_without_events(spark):
+    """Before trades are shuffled to meet events, by a broadcast of the companies that have some."""
+    rows = spark.range(12).selectExpr(
+        "id % 2 as person_id", "'T' as ticker", "id % 3 as part_id", "'c' as committee", "'s' as sector", "id as order_id", "1 as line", "10 as est", "'purchase' as trade_type",
+        "timestamp'2020-01-10' as traded_at", "timestamp'2020-06-01' as filed_at",
+    )
+    events = spark.createDataFrame([(1, dt.datetime(2020, 1, 15)), (1, dt.datetime(2020, 1, 12)), (9, dt.datetime(2020, 1, 12))], "part_id long, at timestamp")
+    got = signals.accountability(rows, events)
+    assert "Join LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["person_id"]: r["pre_events"] for r in got.collect()} == {0: 2, 1: 2}
