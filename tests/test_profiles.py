@@ -109,3 +109,13 @@ def test_accountability_leaves_out_companies_without_events(spark):
     assert "Join LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {r["person_id"]: r["pre_events"] for r in got.collect()} == {0: 2, 1: 2}
+
+
+def test_persons_are_counted_in_as_many_tasks_as_trades_ask_for(spark):
+    rows = spark.range(600).selectExpr("if(id % 3 = 0, 'T', 'U') as ticker", "if(id % 50 = 0, null, id % 40) as person_id", "id as est", "timestamp'2020-01-06' as traded_at")
+    spans = sketches.estimates(sketches.merged(sketches.weekly(rows), "ticker"), 0.5, 0.9)
+    few, many = (sketches.checked(rows, spans, [F.col("ticker")], (0.5, 0.9), n) for n in (600, 8 * sketches.TRADES_A_TASK))
+    shown = [df._jdf.queryExecution().optimizedPlan().toString() for df in (few, many)]
+    assert "RepartitionByExpression [ticker" in shown[0] and ", 4\n" in shown[0] and ", 8\n" in shown[1]
+    got = [{r["ticker"]: tuple(r[c] for c in ("trades", "persons", "persons_within", "quantiles_within")) for r in df.collect()} for df in (few, many)]
+    assert got[0] == got[1] == {"T": (200, 40, True, True), "U": (400, 40, True, True)}
