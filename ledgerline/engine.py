@@ -181,4 +181,9 @@ class Engine:
 
     def fql(self, text: str, after: str | None = None, max_complexity: int | None = fql.MAX_COMPLEXITY, negate_words: bool = False) -> fql.Result:
         signals_ = {"swarms": signals.swarms(self.catalog.facts(), 4, None).select("ticker").distinct(), "round-trips": signals.round_trips(self.catalog.facts(person=False), limit=None).select("ticker").distinct()}
-        return fql.plan(fql.parse(text, negate_words), self.catalog.branches(), dt.date.fromisoformat(self.as_of), self.latest_scores, signals_, None, after, max_complexity, self.data_as_of)
+        query, as_of = fql.parse(text, negate_words), dt.date.fromisoformat(self.as_of)
+
+        def planned(floor: str | None) -> fql.Result:
+            return fql.plan(query, self.catalog.branches(floor), as_of, self.latest_scores, signals_, None, after, max_complexity, self.data_as_of, floor)
+
+        return fql.newest(query, planned, self.catalog.dates(), as_of, shared_root(self.catalog.spark), after, max_complexity, self.data_as_of)

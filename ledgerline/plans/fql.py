@@ -5,6 +5,8 @@
 
 Nine kinds of rows (``BRANCHES``) have one projection of 27 columns. Filters are put on every branch before the union, where Catalyst pushes them into its scans. A filter on
 persons or tickers that a branch can't have empties it, with a warning; any other one that it can't have is ignored for it.
+
+``plan`` is lazy. ``newest`` runs: it makes a page of newest rows from the newest days alone, if they fill it, so that older rows meet no join.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ import datetime as dt
 import json
 import re
 import time
+import uuid
+from bisect import bisect_left
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +41,8 @@ ROLES = {"senate": "senator", "house": "representative"}
 SIGNALS = {"swarms": "swarm", "first-movers": "first-mover", "round-trips": "round-trip", "partisan-consensus": "partisan", "partisan-contrarian": "partisan"}
 MAX_CLAUSES = MAX_VALUES = 20
 MAX_COMPLEXITY = 6
+#: ``newest`` looks for a page among days that hold so many times its rows; the newest days it counts, and the rows that a second look may take (few enough for a broadcast).
+TIMES, DAYS, SECOND = 20, 10_000, 100_000
 CANONICAL = {
     "event_type": "string", "event_id": "bigint", "occurred_at": "timestamp", "person_slug": "string", "person_name": "string", "person_party": "string", "person_branch": "string",
     "ticker": "string", "company_name": "string", "sector": "string", "action": "string", "owner": "string", "amount_mid": "bigint", "agency": "string", "program": "string",
@@ -364,8 +371,9 @@ def plan(
     after: str | None = None,
     max_complexity: int | None = None,
     data_as_of: str = "",
+    floor: str | None = None,
 ) -> Result:
-    """The rows that the query asks for. ``scores``: ticker, market, policy, insider, composite, the latest of each ticker, read only if the query needs them."""
+    """The rows that the query asks for. ``scores``: ticker, market, policy, insider, composite, the latest of each ticker, read only if the query needs them. ``floor``: a day before which no row is looked at."""
     warnings = list(query.warnings)
 
     def warn(text: str) -> None:
@@ -380,8 +388,7 @@ def plan(
             if not lists:
                 warn("there is no list of this signal; the filter is ignored")
     cost = complexity(query, no_signal=not lists)
-    if max_complexity is not None and cost > max_complexity and (query.clauses or query.words or query.group):
-        raise FqlError(f"the query's complexity is {cost}, over {max_complexity}: narrow it by type or date", "COMPLEXITY_LIMIT")
+    _guard(query, cost, max_complexity)
     since, before = ([resolve_date(c.values[0], as_of) for c in query.clauses if c.key == k and not c.negated] for k in ("since", "before"))
     if since and before and max(since) >= min(before):
         warn(f"no date is since {max(since)} and before {min(before)}")
@@ -390,9 +397,7 @@ def plan(
         if clause.key == "type":
             for unknown in set(clause.values) - set(BRANCHES):
                 warn(f"there is no type {unknown}")
-            chosen = [b for b in chosen if (b in clause.values) != clause.negated]
-    if query.has("by"):
-        chosen = [b for b in chosen if BRANCHES[b].person]
+    chosen = _chosen(query, chosen)
     if cap and len(chosen) > cap:
         warn(f"only the first {cap} types are searched; left out: {', '.join(chosen[cap:])}")
         chosen = chosen[:cap]
@@ -404,7 +409,7 @@ def plan(
         scored = False
     rows = None
     for kind in chosen or list(builders)[:1]:
-        own = _branch(builders[kind](), kind, query, as_of, scores() if scored and BRANCHES[kind].scored else None, lists, warn)
+        own = _branch(builders[kind](), kind, query, as_of, scores() if scored and BRANCHES[kind].scored else None, lists, warn, floor)
         rows = own if rows is None else rows.unionByName(own)
     if not chosen:
         rows = rows.filter(F.lit(False))
@@ -421,16 +426,79 @@ def plan(
     place = read_cursor(after, query.sort, data_as_of) if after else None
     if place:
         rows = rows.filter(_from_cursor(place["key"]))
-    names = _order_names(query)
-    rows = rows.orderBy(*[F.desc_nulls_last(c) for c in names], *[c for c in CANONICAL if c not in names])
+    rows = _ordered(rows, query)
     if place and place["skip"]:
         rows = rows.offset(place["skip"])
     return Result(query, rows.limit(query.limit), warnings, cost, data_as_of, place)
 
 
-def _branch(df: DataFrame, kind: str, query: Query, as_of: dt.date, scores: DataFrame | None, lists: list[DataFrame], warn: Callable[[str], None]) -> DataFrame:
+def _guard(query: Query, cost: int, most: int | None) -> None:
+    if most is not None and cost > most and (query.clauses or query.words or query.group):
+        raise FqlError(f"the query's complexity is {cost}, over {most}: narrow it by type or date", "COMPLEXITY_LIMIT")
+
+
+def _chosen(query: Query, kinds: list[str]) -> list[str]:
+    for clause in query.clauses:
+        if clause.key == "type":
+            kinds = [k for k in kinds if (k in clause.values) != clause.negated]
+    return [k for k in kinds if BRANCHES[k].person or not query.has("by")]
+
+
+def _ordered(rows: DataFrame, query: Query) -> DataFrame:
+    names = _order_names(query)
+    return rows.orderBy(*[F.desc_nulls_last(c) for c in names], *[c for c in CANONICAL if c not in names])
+
+
+def newest(
+    query: Query, planned: Callable[[str | None], Result], dates: Builders, as_of: dt.date, root: str, after: str | None = None, max_complexity: int | None = None, data_as_of: str = ""
+) -> Result:
+    """The plan of a query, whose page of newest rows is made, below ``root``, from the newest days alone if they fill it: no older row can be on it then.
+
+    ``planned`` plans the query from a day on, or over all rows; ``dates`` has when the rows of a branch occurred, before any join. They only tell where to look: a page that
+    isn't full is looked for once more, over as many rows as the first look's share asks for, and then among all rows. Scores and signals cost more than the joins, so that
+    queries with them are planned whole, as are those in another order.
+    """
+    kinds, place = _chosen(query, list(dates)), read_cursor(after, query.sort, data_as_of) if after else None
+    if not kinds or query.sort != "recent" or query.group or query.has("signal", *SCORES) or place and not place["key"].get("occurred_at"):
+        return planned(None)
+    _guard(query, complexity(query), max_complexity)
+    counted = _days(query, [dates[k]() for k in kinds], as_of, place["key"]["occurred_at"] if place else None)
+    reached = list(accumulate(n for _, n in counted))
+    page = query.limit + (place["skip"] if place else 0)
+    wanted = TIMES * page
+    for first in (True, False):
+        at = bisect_left(reached, wanted)
+        if at == len(reached) or reached[at] > (max(SECOND, reached[-1] // 4) if first else SECOND):
+            break
+        result, path = planned(counted[at][0]), f"{root}/newest-{uuid.uuid4().hex}"
+        result.rows.write.parquet(path)
+        found = result.rows.sparkSession.read.schema(result.rows.schema).parquet(path)
+        full = found.count()
+        if full == query.limit:
+            return replace(result, rows=_ordered(found, query).limit(query.limit))
+        if not full:
+            break
+        wanted = 2 * reached[at] * page // full
+    return planned(None)
+
+
+def _days(query: Query, dates: list[DataFrame], as_of: dt.date, until: str | None) -> list[tuple[str, int]]:
+    """The newest days that the query lets pass, and how many rows occurred on each."""
+    rows = reduce(DataFrame.unionByName, [df.select(F.col("occurred_at").cast("timestamp")) for df in dates])
+    for clause in query.clauses:
+        if clause.key in ("since", "before") and not clause.negated:
+            rows = rows.filter(_condition(clause, "", Branch(), as_of, lambda _: None))
+    if until:
+        rows = rows.filter(F.col("occurred_at") <= F.lit(until).cast("timestamp"))
+    days = rows.filter("occurred_at is not null").groupBy(F.to_date("occurred_at").alias("day")).agg(F.count("*").alias("rows")).orderBy(F.desc("day")).limit(DAYS)
+    return [tuple(r) for r in days.select(F.col("day").cast("string"), "rows").collect()]
+
+
+def _branch(df: DataFrame, kind: str, query: Query, as_of: dt.date, scores: DataFrame | None, lists: list[DataFrame], warn: Callable[[str], None], floor: str | None) -> DataFrame:
     branch = BRANCHES[kind]
     rows = canonical(df, kind)
+    if floor:
+        rows = rows.filter(F.col("occurred_at") >= F.lit(floor).cast("timestamp"))
     if branch.amount:  # builders give amounts in the branch's own unit
         rows = rows.withColumn("__amount", F.col("amount_mid"))
         if branch.cents:

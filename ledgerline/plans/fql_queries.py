@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 
 from ..operators import scores, signals
+from ..streaming.loads import shared_root
 from . import fql
 from .mapping import AS_OF, FQ, SC, Catalog
 
@@ -19,7 +20,12 @@ LATEST = "la AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY ticker
 def build(text: str, after: str | None = None, signal: bool = False, **options) -> object:
     def run(c: Catalog) -> DataFrame:
         lists = {"swarms": signals.swarms(c.trades, 6, None).select("ticker").distinct()} if signal else None
-        return fql.plan(fql.parse(text, **options), c.branches(), dt.date.fromisoformat(AS_OF), lambda: scores.latest_scores(c.scores), lists, after=after).rows
+        query, as_of = fql.parse(text, **options), dt.date.fromisoformat(AS_OF)
+
+        def planned(floor: str | None) -> fql.Result:
+            return fql.plan(query, c.branches(floor), as_of, lambda: scores.latest_scores(c.scores), lists, after=after, floor=floor)
+
+        return fql.newest(query, planned, c.dates(), as_of, shared_root(c.spark), after).rows
 
     return run
 
