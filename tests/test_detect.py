@@ -4,8 +4,10 @@ import datetime as dt
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.operators import detect, insights, trades
+from ledgerline.plans import registry
 from ledgerline.plans.mapping import Catalog
 from ledgerline.plans.registry import DETECTORS, RULES
 
@@ -43,6 +45,31 @@ def test_a_slow_detector_is_stopped(spark):
     assert [r["kind"] for r in findings.collect()] == ["quick"]
 
 
+def test_findings_of_a_failed_detector_are_no_result(spark):
+    def refuses():
+        raise ValueError("no such table")
+
+    good = {"a": lambda: found(spark, 3, "a"), "b": lambda: found(spark, 2, "b")}
+    assert detect.whole(*detect.detect(spark, good, None)).count() == 5
+    with pytest.raises(RuntimeError, match="refuses: ValueError: no such table"):
+        detect.whole(*detect.detect(spark, good | {"refuses": refuses}, None))
+
+
+def test_findings_ranked_and_its_dataset_fail_with_a_detector(spark, monkeypatch):
+    def refuses(c):
+        raise ValueError("disk is full")
+
+    given = found(spark, 3).withColumn("rarity", F.lit(50.0))
+    monkeypatch.setattr(Catalog, "once", lambda self, root: self)
+    monkeypatch.setattr(registry, "DETECTORS", {"fine": (lambda c: given, "", ()), "lone_wolf": (refuses, "", ())})
+    for run in (registry.QUERIES["findings_ranked"], lambda s, d: registry._published(Catalog(s, d))):
+        monkeypatch.setattr(registry, "PUBLISHED", {"insights": ("findings_ranked", ())})
+        with pytest.raises(RuntimeError, match="lone_wolf: ValueError: disk is full"):
+            run(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(registry, "DETECTORS", {"fine": (lambda c: given, "", ())})
+    assert registry.QUERIES["findings_ranked"](spark, "/root/testdata/sf0.001").count() == 3
+
+
 def test_nothing_to_detect(spark):
     findings, status = detect.detect(spark, {})
     assert findings.count() == 0 and status.count() == 0
