@@ -25,9 +25,9 @@ LI = "li AS (SELECT l.*, o.*, c_name, co.company_id, co.ticker, co.company FROM
 KIND_SQL = "CASE l_returnflag WHEN 'A' THEN 'purchase' WHEN 'R' THEN 'sale_full' ELSE 'sale_partial' END"
 
 
-def raw(rows: DataFrame, key: str, record: Column, before: str, after: str) -> DataFrame:
-    """body, ingest_ts: the records of ``KEYS`` keys each, between a beginning and an end."""
-    own = rows.select(F.expr(f"{key} div {KEYS}").alias("g"), record.alias("r"))
+def raw(rows: DataFrame, key: str, record: Column, before: str, after: str, keys: int = KEYS) -> DataFrame:
+    """body, ingest_ts: the records of so many keys each, between a beginning and an end."""
+    own = rows.select((F.expr(f"{key} div {keys}") if keys > 1 else F.col(key)).alias("g"), record.alias("r"))
     packed = own.groupBy("g").agg(F.array_join(F.collect_list("r"), "" if before.startswith("<") else ",").alias("r"))
     return packed.select(F.concat(F.lit(before), "r", F.lit(after)).alias("body"), F.lit("2024-01-01").cast("timestamp").alias("ingest_ts"))
 
@@ -45,7 +45,11 @@ def known(c: Catalog) -> tuple[DataFrame, DataFrame]:
 
 
 def lines(c: Catalog) -> DataFrame:
-    own = c.read("lineitem").join(c.read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.read("part"), F.col("l_partkey") == F.col("p_partkey")).join(c.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    """Line items with order, customer and company. Lines meet orders by the range of keys of a payload, so that they needn't move again for their payload; within it the difference tells orders apart, since
+    an equal key would be hashed too."""
+    sold = c.read("lineitem").join(c.read("part"), F.col("l_partkey") == F.col("p_partkey"))
+    placed = c.read("orders").join(c.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    own = sold.join(placed, (F.expr(f"l_orderkey div {KEYS}") == F.expr(f"o_orderkey div {KEYS}")) & (F.col("l_orderkey") - F.col("o_orderkey") == 0))
     return own.withColumns({"ticker": F.expr(LETTERS), "company": F.expr(NAME), "kind": F.expr("CASE l_returnflag WHEN 'A' THEN 'Purchase' WHEN 'R' THEN 'Sale (Full)' ELSE 'Sale (Partial)' END"), "day": F.date_format("o_orderdate", "yyyy-MM-dd")})
 
 
@@ -146,12 +150,12 @@ def persons_trades(c: Catalog, source: str) -> DataFrame:
 
 def judged(c: Catalog) -> DataFrame:
     """Orders as disclosures, their lines as investments: returned lines are redacted, and those still open are mere holdings."""
-    own = lines(c).groupBy("o_orderkey", "o_custkey").agg(F.collect_list(F.struct(
+    own = lines(c).groupBy(F.expr(f"l_orderkey div {KEYS}").alias("page"), "o_orderkey", "o_custkey").agg(F.collect_list(F.struct(
         F.xxhash64(F.expr(LINE)).alias("id"), F.concat("company", F.lit(" ("), "ticker", F.lit(") - Stock")).alias("description"), (F.col("l_returnflag") == "R").alias("redacted"),
         F.expr("CASE WHEN l_linestatus = 'O' THEN '' ELSE kind END").alias("transaction_during_reporting_period"), F.col("day").alias("transaction_date"), F.lit("K").alias("transaction_value_code"),
     )).alias("investments"))
     record = json(id="o_orderkey", person="concat('https://x/people/', o_custkey, '/')", year="2020", investments="investments")
-    facts = typed.congressional_trades(payloads.parse_json(raw(own, "o_orderkey", record, '{"results":[', "]}"), "courtlistener"), *known(c))
+    facts = typed.congressional_trades(payloads.parse_json(raw(own, "page", record, '{"results":[', "]}", 1), "courtlistener"), *known(c))
     return facts.select("company_id", "person_slug", "ticker", "trade_type", "amount_range_low", "amount_range_high", F.to_date("traded_at").alias("day"))
 
 

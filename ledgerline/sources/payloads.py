@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import parse_time, source_id
+from ..functions.exprs import hashed, id_text, parse_time
 from .store import last_of
 
 MAX_PAYLOAD = 64 * 1024
@@ -82,12 +82,13 @@ def unformula(text: Column) -> Column:
 
 
 def _events(records: DataFrame, name: str, kind: str, id_parts: tuple[Column, ...], date: Column, data: Column, checked: bool = True) -> DataFrame:
+    # what an id is made of is in the payload too and packs well beside it, its hash doesn't: ids are hashed, and constants added, after the shuffle
     out = records.select(
-        F.lit(name).alias("source"), source_id(*id_parts).alias("source_id"), F.lit(kind).alias("event_type"),
-        F.coalesce(parse_time(date), F.col("ingest_ts")).alias("occurred_at"), F.to_json(data).alias("event_data"), F.col("ingest_ts").alias("__ingest"), F.col("pos").alias("__pos"),
+        id_text(*id_parts).alias("__id"), F.coalesce(parse_time(date), F.col("ingest_ts")).alias("occurred_at"), F.to_json(data).alias("event_data"), F.col("ingest_ts").alias("__ingest"), F.col("pos").alias("__pos"),
     )
     out = out.filter(fine(F.col("event_data"))) if checked else out
-    return last_of(out, ["source", "source_id"], "__ingest", "__pos").drop("__ingest", "__pos")
+    last = last_of(out, ["__id"], "__ingest", "__pos")
+    return last.select(F.lit(name).alias("source"), hashed(F.col("__id")).alias("source_id"), F.lit(kind).alias("event_type"), "occurred_at", "event_data")
 
 
 def _shaped(records: DataFrame, source: str) -> DataFrame:

@@ -1,12 +1,17 @@
 """Payloads of every source to typed facts, held against rows worked out by hand."""
 
 import datetime as dt
+import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import lookups
+from ledgerline.plans import feed_queries
+from ledgerline.plans.mapping import Catalog
 from ledgerline.sources import payloads, sinks, typed
+from ledgerline.streaming.loads import settings
 
 #: source, payload, kind of facts, columns, rows: what comes of the payload, worked out by hand.
 INGESTED = {
@@ -100,3 +105,35 @@ def test_companies_meet_facts_without_payloads(spark, known):
     events = payloads.parse_json(raw(spark, INGESTED["senate_trades"][1]), "senate_stock_watcher")
     plan = typed.congressional_trades(events, *known).select("company_id", "ticker")._jdf.queryExecution().optimizedPlan().toString()
     assert "event_data" not in plan.split("Join LeftOuter")[1].split("\n")[1]
+
+
+def _exchanges(df):
+    """The keys that shuffles of a plan deal rows by, all joins being joins by shuffle."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\((.*), \d+\), ", plan)
+
+
+def test_a_line_moves_once_for_its_order_and_payload(spark):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        of = feed_queries.persons_trades(Catalog(spark, "/root/testdata/sf0.001"), "house_clerk_ptr")
+        keys = [re.sub(r"#\d+L?", "", k) for k in _exchanges(of)]
+    assert "(l_orderkey div 50)" in keys and "l_orderkey" not in keys and "g" not in keys  # before: by order, by customer and by payload
+
+
+def test_lines_of_repeated_orders_stay(spark, tmp_path):
+    for name in ("lineitem", "orders", "part", "customer"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        (rows.unionByName(rows.filter("o_orderkey < 10")) if name == "orders" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    c = Catalog(spark, str(tmp_path))
+    plain = c.read("lineitem").join(c.read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c.read("part"), F.col("l_partkey") == F.col("p_partkey")).join(c.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "o_custkey", "p_brand", "c_name"]
+    assert sorted(map(tuple, feed_queries.lines(c).select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+
+
+def test_ids_are_hashed_after_the_shuffle(spark):
+    body = '[{"ticker":"AAPL","senator":"Ann","transaction_date":"2024-05-06","type":"Purchase","amount":"$1 - $2","ptr_link":"p"}]'
+    events = payloads.parse_json(raw(spark, body), "senate_stock_watcher")
+    assert events.columns == ["source", "source_id", "event_type", "occurred_at", "event_data"]
+    assert events.first()["source_id"] == hashlib.sha256(b"p|AAPL|2024-05-06|Purchase").hexdigest()
+    below = events._jdf.queryExecution().executedPlan().toString().partition("Exchange")[2]
+    assert below and "sha2" not in below  # before, 64 letters that can't be packed went with every row
