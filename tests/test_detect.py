@@ -1,15 +1,17 @@
 """Detectors that fail or take too long, the proofs of findings, and detectors whose queries find nothing on the given tables."""
 
 import datetime as dt
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import detect, insights, trades
-from ledgerline.plans import registry
+from ledgerline.plans import mapping, registry
 from ledgerline.plans.mapping import Catalog
 from ledgerline.plans.registry import DETECTORS, RULES
+from ledgerline.streaming.loads import settings
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -60,7 +62,7 @@ def test_findings_ranked_and_its_dataset_fail_with_a_detector(spark, monkeypatch
         raise ValueError("disk is full")
 
     given = found(spark, 3).withColumn("rarity", F.lit(50.0))
-    monkeypatch.setattr(Catalog, "once", lambda self, root: self)
+    monkeypatch.setattr(Catalog, "by_company", lambda self, root, columns: (self, given))
     monkeypatch.setattr(registry, "DETECTORS", {"fine": (lambda c: given, "", ()), "lone_wolf": (refuses, "", ())})
     for run in (registry.QUERIES["findings_ranked"], lambda s, d: registry._published(Catalog(s, d))):
         monkeypatch.setattr(registry, "PUBLISHED", {"insights": ("findings_ranked", ())})
@@ -84,6 +86,34 @@ def test_all_detectors_read_one_table_of_trades(spark, tmp_path):
         assert "l_orderkey" not in plan, name
 
 
+def test_a_company_lies_together_for_detectors(spark, tmp_path):
+    """Detectors of companies don't shuffle trades, which before were dealt anew by every one of them."""
+    shared, kept = Catalog(spark, "/root/testdata/sf0.001").by_company(str(tmp_path), registry.DETECTED)
+    try:
+        assert not shared.cut and {"state", "company", "insider_id"}.isdisjoint(kept.columns)  # no detector reads those
+        with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
+            for name, dealt in (("coordinated", 0), ("bipartisan", 0), ("insider_echo", 0), ("pre_event", 1), ("court_trade", 1), ("committee_insider", 1)):  # events alone
+                plan = registry.DETECTORS[name][0](shared)._jdf.queryExecution().executedPlan().toString()
+                own = plan.partition("InMemoryRelation")[0].count("Exchange") if dealt == 0 else len(re.findall(r"Exchange hashpartitioning\(part_id#\d+L?, \d+\), ENSURE", plan))
+                assert own == dealt, name
+        assert shared.by_company(f"{tmp_path}/again", registry.DETECTED)[0].trades.count() == shared.trades.count()
+    finally:
+        kept.unpersist()
+
+
+def test_findings_of_a_company_with_many_trades_are_the_same(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mapping, "ROWS_A_COMPANY", 1)
+    many, kept = Catalog(spark, "/root/testdata/sf0.001").by_company(f"{tmp_path}/many", registry.DETECTED)
+    monkeypatch.setattr(mapping, "ROWS_A_COMPANY", 10**9)
+    few, other = Catalog(spark, "/root/testdata/sf0.001").by_company(f"{tmp_path}/few", registry.DETECTED)
+    assert many.cut and not few.cut
+    for name in ("pre_event", "committee_insider", "insider_echo"):
+        got = [sorted(map(tuple, registry.DETECTORS[name][0](c).collect())) for c in (many, few, Catalog(spark, "/root/testdata/sf0.001"))]
+        assert got[0] == got[1] == got[2] and got[0], name
+    kept.unpersist()
+    other.unpersist()
+
+
 def finding(spark, kind, data, subject="7", ticker="T"):
     return spark.createDataFrame([(kind, subject, ticker, DAY + dt.timedelta(days=20), 50.0, data)], detect.FINDING)
 
